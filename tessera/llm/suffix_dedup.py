@@ -12,9 +12,11 @@ Ranks are names: equal strings have equal 64-bit names, so no dense renumbering
 2. Round one: Spark sorts and counts (rank of GRAM bytes, position); positions with a unique rank drop out.
 3. Round two: the offset grows to the whole stretch of windows that a gram stands for. Positions with equal
    pairs (gram rank, stretch rank) hold equal windows: all but those of the least document are repeats.
-4. Round three, past the threshold: where one gram has several stretches, their windows are ranked one by one
-   as the pair (rank of 64 bytes at i, rank of 64 bytes at i + threshold - 64), and again all but the least
-   document's are repeats.
+4. Round three, where one gram has several stretches: the offset grows to threshold - 5 bytes, the part that
+   six neighbouring windows share. Windows whose part has a unique rank leave; equal pairs (part, six windows)
+   are settled as before.
+5. Round four, past the threshold: what is left is ranked window by window, as the pair (rank of 64 bytes at i,
+   rank of 64 bytes at i + threshold - 64), and again all but the least document's are repeats.
 
 Hot ranks (a passage in a third of all documents) are only ever counted with partial aggregates or joined,
 which Spark splits; no rank's positions are gathered into one row. What a document's list holds is bounded by
@@ -41,6 +43,7 @@ from . import shared as H
 THRESHOLD = 100
 GRAM = 32
 BLOCK = 1 << 17
+GROUP = 6
 _LAST = 2**63 - 1
 
 
@@ -64,7 +67,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(b: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, ...]:
-    """(gram name, stretch name, first window, number of windows) of each standing gram of the bytes b."""
+    """(gram name, stretch name, first window, number of windows, gram - first) of each standing gram of the bytes b."""
     out = []
     for lo in range(0, max(0, len(b) - threshold + 1), BLOCK):
         part = b[lo : lo + BLOCK + threshold - 1]
@@ -78,24 +81,13 @@ def stretches(b: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, ..
         whole = H.spans_hash(sums, first, first + count + threshold - 1)
         offset = (stand[first] - first).astype(np.uint64)
         whole = H.splitmix(whole ^ H.splitmix(offset * np.uint64(1 << 20) + count.astype(np.uint64)))
-        out.append((grams[stand[first]].view(np.int64), whole.view(np.int64), first + lo, count))
+        out.append((grams[stand[first]].view(np.int64), whole.view(np.int64), first + lo, count, stand[first] - first))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _local_repeats(name: np.ndarray) -> np.ndarray:
-    """True where a name occurred at a smaller index."""
-    again = np.ones(len(name), bool)
-    again[np.unique(name, return_index=True)[1]] = False
-    return again
-
-
-def _bytes(value: object) -> np.ndarray:
-    return np.frombuffer(value.encode("utf-8", "surrogatepass") if value else b"", np.uint8)
-
-
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
     """UTF-8 bytes of a string column without decoding."""
     col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
@@ -106,14 +98,15 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
 
 
 _COUNTS = pa.schema([("g", pa.int64()), ("n", pa.int64())])
-_ROWS = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("first", pa.int32()), ("m", pa.int32()), ("local", pa.bool_())])
-_PAIRS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("doc", pa.int64()), ("first", pa.int32())])
-SPAN = "doc long, start int, stop int"
+#: A position in the race: rank, rank of all its windows, document, first window, number of windows, distance
+#: from the first window to the standing gram; local: repeats inside one document, settled where they are found.
+_ROWS = pa.schema([("r", pa.int64()), ("w", pa.int64()), ("doc", pa.int64()), ("first", pa.int32()), ("m", pa.int16()), ("off", pa.int16()), ("local", pa.bool_())])
+_ROWS_DDL = "r long, w long, doc long, first int, m short, off short, local boolean"
 
 
 def _flush(rows: list, schema: pa.Schema, limit: int = 0) -> Iterator[pa.RecordBatch]:
     if rows and sum(len(r[0]) for r in rows) > limit:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) .cast(f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         rows.clear()
 
 
@@ -140,21 +133,31 @@ def _counted(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], schema=_COUNTS)
 
 
+def _entries(doc: int, r: np.ndarray, w: np.ndarray, first: np.ndarray, m: np.ndarray, off: np.ndarray) -> list[tuple]:
+    """Rows of one document: the first of equal (r, w) enters the race, the others are local repeats."""
+    again = np.ones(len(r), bool)
+    again[np.unique(H.splitmix(r.view(np.uint64)) ^ w.view(np.uint64), return_index=True)[1]] = False
+    new = ~again
+    k = int(new.sum())
+    rows = [(r[new], w[new], np.full(k, doc), first[new], m[new], off[new], np.zeros(k, bool))]
+    if again.any():
+        lo, hi = _merged(first[again], first[again] + m[again])
+        n = -(-(hi - lo) // 30_000)  # m is a short
+        at = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * 30_000
+        size = np.minimum(np.repeat(hi, n) - at, 30_000)
+        rows.append((at, at, np.full(len(at), doc), at, size, np.zeros(len(at), np.int64), np.ones(len(at), bool)))
+    return rows
+
+
 def _stretch_rows(threshold: int):
     def run(batches):
         rows: list = []
         for batch in batches:
             docs = batch.column(batch.schema.get_field_index("doc")).to_numpy(zero_copy_only=False)
             for doc, b in zip(docs, _texts(batch, "text"), strict=True):
-                g, c, first, m = stretches(b, threshold)
-                if not len(g):
-                    continue
-                # The same stretch earlier in this document: decided here, once per run of windows.
-                again = _local_repeats(H.splitmix(g.view(np.uint64)) ^ c.view(np.uint64))
-                rows.append((g[~again], c[~again], np.full((~again).sum(), doc), first[~again], m[~again], np.zeros((~again).sum(), bool)))
-                if again.any():
-                    lo, hi = _merged(first[again], first[again] + m[again])
-                    rows.append((lo, hi, np.full(len(lo), doc), lo, hi - lo, np.ones(len(lo), bool)))
+                g, c, first, m, off = stretches(b, threshold)
+                if len(g):
+                    rows += _entries(doc, g, c, first, m, off)
             yield from _flush(rows, _ROWS, 200_000)
         yield from _flush(rows, _ROWS)
 
@@ -171,31 +174,53 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)]
 
 
-def _window_rows(threshold: int):
+def _todo_rows(threshold: int, step):
+    """Rows that `step` makes of the stretches still to be settled, document by document in bounded pieces."""
+
     def run(batches):
         rows: list = []
         for batch in batches:
             docs = batch.column(batch.schema.get_field_index("doc")).to_numpy(zero_copy_only=False)
             todo = batch.column(batch.schema.get_field_index("todo"))
             for i, (doc, b) in enumerate(zip(docs, _texts(batch, "text"), strict=True)):
-                # Rows that share a doc_id each get the list of both; what does not fit a text is skipped.
-                at = sorted((x["first"], x["m"]) for x in todo[i].as_py())
-                for lo in range(0, len(at), 4096):
-                    first, m = np.array(at[lo : lo + 4096], np.int64).T
-                    starts = np.repeat(first - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-                    starts = np.unique(starts[starts + threshold <= len(b)])
-                    if not len(starts):
-                        continue
-                    base = int(starts[0])
-                    part = b[base : int(starts[-1]) + threshold]
-                    names = H.splitmix(_names(part, H.BYTE_CODES_2, 64))
-                    rows.append((names[starts - base].view(np.int64), names[starts - base + threshold - 64].view(np.int64), np.full(len(starts), doc), starts))
-            yield from _flush(rows, _PAIRS, 200_000)
-        yield from _flush(rows, _PAIRS)
+                x = todo[i].values
+                first, m, off = (x.field(k).to_numpy().astype(np.int64) for k in range(3))
+                order = np.argsort(first, kind="stable")
+                rows += _entries(doc, *step(b, first[order], m[order], off[order], threshold))
+            yield from _flush(rows, _ROWS, 200_000)
+        yield from _flush(rows, _ROWS)
 
     return run
 
 
+def _ranges(m: np.ndarray) -> np.ndarray:
+    return np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+
+
+def six_windows(b: np.ndarray, first: np.ndarray, m: np.ndarray, off: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """Stretches cut into groups of up to GROUP windows, on a grid that starts at the standing gram."""
+    at = first + off
+    low, high = (off - m + 1) // GROUP, off // GROUP
+    n = high - low + 1
+    k = np.repeat(low, n) + _ranges(n)
+    at, lo_all, hi_all = np.repeat(at, n), np.repeat(first, n), np.repeat(first + m, n)
+    lo, hi = np.maximum(lo_all, at - k * GROUP - GROUP + 1), np.minimum(hi_all, at - k * GROUP + 1)
+    sums = H.prefix_sums(H.BYTE_CODES[b])
+    shared = H.spans_hash(sums, at - k * GROUP, at - k * GROUP - GROUP + 1 + threshold)
+    whole = H.spans_hash(H.prefix_sums(H.BYTE_CODES_2[b]), lo, hi - 1 + threshold)
+    shape = ((at - lo) * 4096 + (hi - lo)).astype(np.uint64)
+    r = H.splitmix(shared ^ H.splitmix(k.astype(np.uint64)))
+    return r.view(np.int64), H.splitmix(whole ^ H.splitmix(shape)).view(np.int64), lo, hi - lo, at - lo
+
+
+def single_windows(b: np.ndarray, first: np.ndarray, m: np.ndarray, off: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """Every window with the ranks of its first and its last 64 bytes."""
+    at = np.repeat(first, m) + _ranges(m)
+    sums = H.prefix_sums(H.BYTE_CODES_2[b])
+    r, w = H.splitmix(H.spans_hash(sums, at, at + 64)), H.splitmix(H.spans_hash(sums, at + threshold - 64, at + threshold))
+    return r.view(np.int64), w.view(np.int64), at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with a column __doc that orders documents: doc_id where ids are unique, else a rank by (doc_id, text)."""
     plain = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
@@ -216,32 +241,30 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         texts.select("text").mapInArrow(_gram_counts(threshold), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g"), "sa-grams"
     )
     H.release()
-    rows = texts.mapInArrow(_stretch_rows(threshold), "g long, c long, doc long, first int, m int, local boolean")
-    live = H.settle(
-        rows.join(many.withColumn("hit", F.lit(True)), "g", "left").filter("local or hit").drop("hit"), "sa-live"
-    )
+    rows = texts.mapInArrow(_stretch_rows(threshold), _ROWS_DDL)
+    live = H.settle(rows.join(many.select(F.col("g").alias("r"), F.lit(True).alias("hit")), "r", "left").filter("local or hit").drop("hit"), "sa-live")
     H.discard(many)
-    race = live.filter("not local")
-    classes = race.groupBy("g", "c").agg(F.min("doc").alias("least"))
-    several = classes.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", F.lit(True).alias("several"))
-    ruled = H.settle(race.join(classes, ["g", "c"]).join(several, "g", "left"), "sa-ruled")
-    todo = ruled.filter("doc = least and several").groupBy("doc").agg(F.collect_list(F.struct("first", "m")).alias("todo"))
-    pairs = H.settle(texts.join(todo, "doc").select("doc", "text", "todo").mapInArrow(_window_rows(threshold), "r1 long, r2 long, doc long, first int"), "sa-pairs")
-    H.release()
-    # The least (document, start) of each rank pair stays; within one document the least start.
-    head = pairs.groupBy("r1", "r2").agg(F.min("doc").alias("least"), F.count("*").alias("k")).filter("k > 1")
-    dup = pairs.join(head, ["r1", "r2"])
-    own = dup.filter("doc = least")
-    kept = own.groupBy("r1", "r2", "doc").agg(F.min("first").alias("stays"))
-    late = dup.filter("doc > least").select("doc", "first").union(own.join(kept, ["r1", "r2", "doc"]).filter("first > stays").select("doc", "first"))
-    spans = (
-        live.filter("local").select("doc", F.col("first").alias("start"), (F.col("first") + F.col("m") + threshold - 1).alias("stop"))
-        .union(ruled.filter("doc > least").select("doc", "first", F.col("first") + F.col("m") + threshold - 1))
-        .union(late.select("doc", "first", F.col("first") + threshold))
-    )
+    spans, todo = _settled(live, threshold)
+    for step in (six_windows, single_windows):
+        later = H.settle(texts.join(todo, "doc").select("doc", "text", "todo").mapInArrow(_todo_rows(threshold, step), _ROWS_DDL), "sa-later")
+        H.release()
+        more, todo = _settled(later, threshold, step is single_windows)
+        spans = spans.union(more)
     return spans
 
 
+def _settled(rows: DataFrame, threshold: int, last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(intervals found to be repeats, per document the positions that only a longer rank can settle)."""
+    race = rows.filter("not local")
+    classes = race.groupBy("r", "w").agg(F.min("doc").alias("least"), F.count("*").alias("k"))
+    several = classes.groupBy("r").agg(F.sum("k").alias("all")).filter("all > 1")
+    ruled = race.join(classes, ["r", "w"]).join(several, "r").filter("doc > least" if last else "doc > least or all > k").select("doc", "first", "m", "off", (F.col("doc") > F.col("least")).alias("late"))
+    ruled = H.settle(ruled, "sa-ruled")
+    gone = rows.filter("local").union(ruled.filter("late").select(F.lit(0), F.lit(0), "doc", "first", "m", "off", F.lit(True)))
+    todo = ruled.filter("not late").groupBy("doc").agg(F.collect_list(F.struct("first", "m", "off")).alias("todo"))
+    return gone.select("doc", F.col("first").alias("start"), (F.col("first") + F.col("m") + (threshold - 1)).alias("stop")), todo
+
+
 def _cut(columns: list[str], whole_characters: bool):
     def run(batches):
         for batch in batches:
