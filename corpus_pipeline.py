@@ -1,24 +1,68 @@
-"""A corpus pipeline: each stage's output is written as Parquet and is the next one's documents."""
+"""A corpus pipeline: each stage's output is written as Parquet and is the next one's documents.
+
+Stages: language ID, n-gram Jaccard join, suffix-array dedup, mixing sources to target weights, BPE encoding and
+decoding. SQL can't express them (a learned model, byte spans, token ids), so there is no ORACLE_SQL; tests hold
+`run` against brute-force versions of the stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import shared, suffix_dedup
+from tessera.llm import bpe_codec, jaccard_join, language_id, shared, source_mix, suffix_dedup
+from tessera.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
+LEAST_SCORE = 0.1
+SMALL_IDS = 1_000_000
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those that no learned language fits, go; short and mixed ones stay."""
+    return language_id.keep_identified(docs, language_id.fit(docs), LEAST_SCORE)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: that of the least doc_id. Of equal rows one stays."""
+    groups = shared.settle(jaccard_join.groups(docs.select("doc_id", "text")), "groups")
+    later = groups.filter("component_id < doc_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
+    later = shared.settle(later, "later")
+    small = later.count() <= SMALL_IDS
+    other = (F.broadcast(later) if small else later).withColumnRenamed("doc_id", "later_id")
+    kept = docs.join(other, docs["doc_id"].eqNullSafe(other["later_id"]), "left_anti")
+    if not groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that an earlier document holds; documents left without a word go."""
-    return suffix_dedup.remove_repeats(docs).filter("text rlike '[^ \\t-\\r]'")
+    return suffix_dedup.remove_repeats(docs).filter("text rlike '[^ \\\\t-\\\\r]'")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them: some more than once, some not at all."""
+    return source_mix.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the text decoded from them."""
+    path = tokenizer_path()
+    return bpe_codec.decode(bpe_codec.encode(docs, path).drop("text"), path)
 
 
-STAGES = [("suffix-array dedup", dedup_passages)]
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", dedup_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", tokenize),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = shared.settle(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)

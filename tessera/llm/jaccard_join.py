@@ -45,6 +45,7 @@ SKETCH = 16  # words of 64 bits
 TILE = 512  # classes of one signature compared at once
 SMALL_IDS = 1_000_000  # up to so many ids are broadcast (16 bytes each); beyond that they are joined by a shuffle
 
+_NULL_ID = -(2**63)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -71,7 +72,7 @@ def shingles(b: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 def class_name(s: np.ndarray) -> int:
     """Name of a set; 0 for the empty one."""
-    return int(H.splitmix(np.array([s.sum() ^ H.splitmix(s).sum() ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else 0
+    return int(H.splitmix(s[:1] * np.uint64(0) + s.sum() + np.uint64(len(s) << 40)).view(np.int64)[0]) if len(s) else 0
 
 
 def difference_bound(a: int, b: int) -> int:
@@ -85,41 +86,38 @@ def segments_of_band(t: int) -> int:
 
 
 def _scheme(s: np.ndarray, t: int, most: int) -> np.ndarray:
-    """Signatures of set s in the scheme of band t for partners of up to `most` members."""
+    """Signatures of set s in the scheme of band t for partners of up to `most` members.
+
+    Segments are ranges of the shingle names, which are uniform, so the sorted set lies in segment order.
+    """
     need = difference_bound(len(s), most) + 1
     m = segments_of_band(t)
-    salt = H.splitmix(np.array([t * 2 + 1], np.uint64))[0]
-    mixed = H.splitmix(s ^ salt)
-    seg = ((mixed >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    order = np.argsort(seg, kind="stable")
-    seg, mixed = seg[order], mixed[order]
+    salt = np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64))
+    seg = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     head = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1))
-    names = np.add.reduceat(H.splitmix(mixed), head)
+    names = np.add.reduceat(s, head)
     ids = seg[head]
-    size = np.diff(np.append(head, len(seg)))
     if len(head) >= need:
         # Enough segments hold something: exact subsets of one segment each, one signature a unit.
-        return H.splitmix(names[:need] ^ H.splitmix(ids[:need] * np.uint64(8) + salt))
-    return _with_deletions(mixed, ids, head, size, names, need, m, salt)
+        return H.splitmix(names[:need] ^ (ids[:need] * np.uint64(0xD1342543DE82EF95) + salt))
+    return _with_deletions(s, ids, head, names, m, salt)
 
 
-def _with_deletions(mixed, ids, head, size, names, need, m, salt) -> np.ndarray:
+def _with_deletions(s: np.ndarray, ids: np.ndarray, head: np.ndarray, names: np.ndarray, m: int, salt: np.uint64) -> np.ndarray:
     """Spend units on one-deletion neighbourhoods where plain segments do not suffice.
 
     Only sets that crowd into fewer than H + 1 segments come here. A segment matched with one deletion counts
     two units, and all m segments taken so make 2 m > H of them. Empty segments count too: one may be empty in
     the partner, or hold a single shingle there. The exact signatures serve partners that have segments enough.
     """
-    full = names
-    drop = np.repeat(names, size) - H.splitmix(mixed)
-    tag = H.splitmix(ids * np.uint64(8) + salt + np.uint64(1))
-    out = [H.splitmix(full ^ tag), H.splitmix(drop ^ np.repeat(tag, size)), H.splitmix(full ^ H.splitmix(ids * np.uint64(8) + salt))]
-    if len(head) < m:
-        # An empty segment of this set can face one shingle of the partner, or be empty there too.
-        rest = np.setdiff1d(np.arange(m, dtype=np.uint64), ids)
-        out.append(H.splitmix(H.splitmix(rest * np.uint64(8) + salt + np.uint64(1))))
-        out.append(H.splitmix(H.splitmix(rest * np.uint64(8) + salt)))
-    return np.concatenate(out)
+    size = np.diff(np.append(head, len(s)))
+    exact, loose = (lambda i: i * np.uint64(0xD1342543DE82EF95) + salt), (lambda i: H.splitmix(i * np.uint64(2) + salt))
+    drop = np.repeat(names, size) - s
+    rest = np.setdiff1d(np.arange(m, dtype=np.uint64), ids)
+    return np.concatenate((
+        H.splitmix(names ^ exact(ids)), H.splitmix(names ^ loose(ids)), H.splitmix(drop ^ np.repeat(loose(ids), size)),
+        H.splitmix(exact(rest)), H.splitmix(loose(rest)),
+    ))
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
@@ -131,7 +129,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
     out = [_scheme(s, t, n * DEN // NUM)]
     if t and n * NUM <= ((1 << t) - 1) * DEN:  # a partner may be in the band below
         out.append(_scheme(s, t - 1, (1 << t) - 1))
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -154,12 +152,13 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
 
 def _classes(batches):
     for batch in batches:
-        names, sizes = [], []
+        names, sizes, sketches = [], [], []
         for b in _texts(batch, "text"):
             s = shingles(b)
             names.append(class_name(s))
             sizes.append(len(s))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "cls", "n"])
+            sketches.append(sketch(s) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "cls", "n", "sketch"])
 
 
 _SIG = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
@@ -190,12 +189,8 @@ def _signature_rows(batches):
 
 def _set_rows(batches):
     for batch in batches:
-        cls = batch.column(batch.schema.get_field_index("cls"))
         sets = [shingles(b) for b in _texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays(
-            [cls, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32())],
-            names=["cls", "members", "sketch", "n"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([class_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "members"])
 
 
 def _tile_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -241,32 +236,49 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
+class _Sets:
+    """Shingle sets of classes, read from the text of one document of each."""
+
+    def __init__(self, texts: DataFrame, members: DataFrame):
+        self.texts, self.members = texts, members
+        self.unique = members.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    def of(self, pairs: DataFrame, label: str) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        owner = self.members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        owner = H.settle(owner, "jj-owner")
+        ids = owner.select("doc_id").distinct()
+        rows = self.texts.join(F.broadcast(ids) if owner.count() <= SMALL_IDS else ids, "doc_id").select("text")
+        sets = rows.mapInArrow(_set_rows, "cls long, members array<long>")
+        if not self.unique:  # documents that share an id may hold other sets
+            sets = sets.join(owner, "cls", "left_semi").dropDuplicates(["cls"])
+        return H.settle(sets, label)
+
+
+def _linked(pairs: DataFrame, sets: _Sets, label: str) -> DataFrame:
+    pairs = H.settle(pairs, "jj-plausible")
+    return H.settle(_verified(pairs, sets.of(pairs, "jj-sets")), label)
+
+
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, cls, n per row of docs; links between classes as node -> component, roots left out)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = H.settle(texts.mapInArrow(_classes, "doc_id long, cls long, n long"), "jj-members")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
+    members = H.settle(texts.mapInArrow(_classes, "doc_id long, cls long, n long, sketch array<long>"), "jj-members")
     sigs = texts.select("text").mapInArrow(_signature_rows, "sig long, cls long")
-    met = sigs.groupBy("sig").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).filter("lead <> last").select("sig", "lead")
+    met = sigs.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p <> q").select("sig")
     met = H.settle(met, "jj-met")
     H.release()
-    groups = H.settle(sigs.join(met, "sig").distinct(), "jj-groups")
+    groups = H.settle(sigs.join(met, "sig"), "jj-groups")  # a class is met more than once where several tasks hold copies
     H.discard(met)
-    needed = groups.select("cls").distinct()
-    owner = H.settle(members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id")), "jj-owner")
-    ids = owner
-    if owner.count() <= SMALL_IDS:
-        ids = F.broadcast(owner)
-    # Rows that share a doc_id may hold other sets; the class is checked again below.
-    owned = texts.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text").join(ids, "doc_id")
-    sets = owned.mapInArrow(_set_rows, "cls long, members array<long>, sketch array<long>, n int")
-    if not members.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        sets = texts.select("text").mapInArrow(_all_sets, "cls long, members array<long>, sketch array<long>, n int").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = H.settle(sets, "jj-sets")
-    star = groups.filter("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    light = sets.select("cls", "sketch", "n")
-    first = H.settle(_verified(_plausible(star, light), sets), "jj-star")
+    lead = groups.groupBy("sig").agg(F.min("cls").alias("lead"))
+    star = groups.join(lead, "sig").filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
+    light = members.groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    light = H.settle(light.join(groups.select("cls").distinct(), "cls", "left_semi"), "jj-light")
+    sets = _Sets(texts, members)
+    first = _linked(_plausible(star, light), sets, "jj-star")
+    H.release()
     parts = H.settle(H.components(first), "jj-parts")
-    placed = groups.select("sig", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
+    placed = groups.distinct().join(parts, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
     open_sigs = placed.groupBy("sig").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("k")).filter("p <> q and k > 2").select("sig", "k")
     tiles = F.ceil(F.col("k") / TILE).cast("int")
     dealt = placed.join(open_sigs, "sig").join(light, "cls").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
@@ -276,8 +288,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     near = dealt.groupBy("sig", "i", "j").applyInArrow(_tile_table, "a long, b long").distinct()
-    near = near.join(star, ["a", "b"], "left_anti")
-    second = H.settle(_verified(near, sets), "jj-near")
+    second = _linked(near, sets, "jj-near")
     links = first.union(second)
     return members, H.settle(H.components(links), "jj-components")
 
@@ -287,18 +298,10 @@ def _tile_table(tile: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_tile_pairs(b) for b in batches[:1]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _all_sets(batches):
-    for batch in batches:
-        sets = [shingles(b) for b in _texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([class_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32())],
-            names=["cls", "members", "sketch", "n"],
-        )
-
-
 def groups(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
     members, parts = join_classes(docs)
+    members = members.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
     filled = members.join(parts, F.col("cls") == F.col("node"), "left").select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("root"))
     least = filled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return filled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,4 +1,4 @@
-"""Queries of the operators of this subpackage, one per operator, with production parameters."""
+"""Queries of the operators of this subpackage, one per operator, with production parameters on whole tables."""
 
 from __future__ import annotations
 
@@ -6,29 +6,79 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, jaccard_join, suffix_dedup
+from . import bpe_codec, hamming_search, html_text, jaccard_join, language_id, nn_descent, shard_table, source_mix, suffix_dedup, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
-
-
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op4_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_suffix_array_dedup, op7_bpe_codec, op9_ngram_jaccard_join)}
-ORACLES: dict[str, str] = {}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_source_mix, op2_warc_round_trip, op3_language_id, op4_shard_table, op5_suffix_array_dedup, op6_embedding_near_dedup, op7_bpe_codec, op8_hamming_top_k,
+        op9_ngram_jaccard_join, op10_html_text,
+    )
+}
+
+#: What plain SQL can say of op2: the records that must come back.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS owner FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN owner <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN owner <> d.page_id THEN owner END AS refers_to
+FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND payload_bytes >= 1000
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_source_mix": source_mix.oracle(),
+    "op2_warc_round_trip": _WARC,
+    "op4_shard_table": shard_table.oracle(),
+    "op8_hamming_top_k": hamming_search.ORACLE,
+}
