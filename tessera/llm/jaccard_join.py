@@ -257,7 +257,11 @@ class _Sets:
 
 def _linked(pairs: DataFrame, sets: _Sets, label: str) -> DataFrame:
     pairs = H.settle(pairs, "jj-plausible")
-    return H.settle(_verified(pairs, sets.of(pairs, "jj-sets")), label)
+    H.release()
+    held = sets.of(pairs, "jj-sets")
+    out = H.settle(_verified(pairs, held), label)
+    H.discard(held)
+    return out
 
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -274,20 +278,23 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = groups.join(lead, "sig").filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
     light = members.groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     light = H.settle(light.join(groups.select("cls").distinct(), "cls", "left_semi"), "jj-light")
+    H.release()
     sets = _Sets(texts, members)
     first = _linked(_plausible(star, light), sets, "jj-star")
     H.release()
     parts = H.settle(H.components(first), "jj-parts")
-    placed = groups.distinct().join(parts, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
+    placed = groups.join(parts, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
     open_sigs = placed.groupBy("sig").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("k")).filter("p <> q and k > 2").select("sig", "k")
+    # Only signatures whose members lie in several components go on; rows of one class from several tasks are one.
     tiles = F.ceil(F.col("k") / TILE).cast("int")
-    dealt = placed.join(open_sigs, "sig").join(light, "cls").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    dealt = placed.join(open_sigs, "sig").distinct().join(light, "cls").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select(
         "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "n", "sketch",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    near = dealt.groupBy("sig", "i", "j").applyInArrow(_tile_table, "a long, b long").distinct()
+    near = H.settle(dealt.groupBy("sig", "i", "j").applyInArrow(_tile_table, "a long, b long").distinct(), "jj-tiles")
+    H.release()
     second = _linked(near, sets, "jj-near")
     links = first.union(second)
     return members, H.settle(H.components(links), "jj-components")

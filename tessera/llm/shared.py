@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -49,11 +50,16 @@ def discard(*tables: DataFrame | str) -> None:
 
 
 def release() -> None:
-    """Collect garbage on the driver, so that the context cleaner removes shuffle files of finished stages."""
-    gc.collect()
+    """Collect garbage on the driver, so that the context cleaner removes shuffle files of finished stages.
+
+    Twice, as what the first round lets go of can hold more; the cleaner works beside us and gets a moment.
+    """
     spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        if spark is not None:
+            spark._jvm.System.gc()
+            time.sleep(0.25)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
