@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- names
 
@@ -33,7 +34,10 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)"), 1)
 
 
-@F.pandas_udf("array<struct<start: int, stop: int, name: string>>")
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("name", T.StringType())]))
+
+
+@F.pandas_udf(_SPANS)
 def identifier_spans(text: pd.Series) -> pd.Series:
     """Dotted identifiers with byte offsets [start, stop) in UTF-8; offsets have no JVM expression."""
     import re
@@ -111,7 +115,7 @@ def _lines(text: str) -> list[str]:
 
 
 def windows_udf(cap: int):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else list(line_windows(t, cap)))
 

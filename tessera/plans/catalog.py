@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "scan_parquet"
 
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "rrf_fusion"
 
-def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-QUERIES: dict[str, Query] = {"scan_parquet": scan_parquet}
-ORACLES: dict[str, str] = {"scan_parquet": "SELECT r_regionkey, r_name FROM region"}
+
+def register(oracle: str | None = None, name: str | None = None):
+    """Add a query, called with a function that opens a table by name."""
+
+    def add(f: Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(spark, lambda t: table(spark, sf_dir, t))
+        if oracle:
+            ORACLES[key] = oracle
+        return f
+
+    return add
+
+
+from tessera.plans import graphs, relational, retrieval, selections  # noqa: E402, F401  (they register their queries)
