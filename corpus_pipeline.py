@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that an earlier document holds; documents left without a word go."""
-    return suffix_dedup.remove_repeats(docs).filter("text rlike '[^ \\\\t-\\\\r]'")
+    return suffix_dedup.remove_repeats(docs).filter("text rlike '[^ \\\\t-\\\\r]'").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
