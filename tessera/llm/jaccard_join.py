@@ -199,7 +199,7 @@ def _tile_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
     comp = batch.column(batch.schema.get_field_index("comp")).to_numpy()
     n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
     side = batch.column(batch.schema.get_field_index("side")).to_numpy()
-    sk = batch.column(batch.schema.get_field_index("sketch")).flatten().to_numpy().reshape(len(cls), SKETCH)
+    sk = batch.column(batch.schema.get_field_index("sketch")).flatten().to_numpy().view(np.uint64).reshape(len(cls), SKETCH)  # unsigned, for the bit count
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     same = bool((side == 2).any())
     a, b = [], []

@@ -1,0 +1,460 @@
+"""Operators of tessera.llm against brute force, round trips, held-out accuracy and edge cases."""
+
+import gzip
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+pytest.importorskip("tessera.llm")
+
+from tessera.llm import bpe_codec, hamming_search, html_text, jaccard_join, language_id, nn_descent, queries, shard_table, shared, source_mix, suffix_dedup, warc  # noqa: E402
+
+WORDS = [f"w{i}" for i in range(40)]
+
+
+def docs_of(spark, rows):
+    """Documents with columns that clash with those the operators make."""
+    return spark.createDataFrame([(d, t, "en", s, 1, 2, "x") for d, t, s in rows], "doc_id long, text string, lang string, source string, n_bytes int, size int, spans string")
+
+
+def some_documents(seed, n=60):
+    r = random.Random(seed)
+    base = [" ".join(r.choice(WORDS) for _ in range(r.randint(3, 120))) for _ in range(n // 2)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i in range(n // 2, n):
+        w = r.choice(base).split()
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        rows.append((i, " ".join(w) + (" " + r.choice(base) if r.random() < 0.3 else "")))
+    return rows
+
+
+# ---------------------------------------------------------------- op1
+
+
+def test_mix_agrees_with_sql(spark, sf, duck):
+    got = sorted(map(tuple, queries.op1_source_mix(spark, sf).collect()))
+    assert got == sorted(duck.execute(queries.ORACLES["op1_source_mix"]).fetchall())
+
+
+def test_mix_targets_and_repeats(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice(["a", "b", "c", "d", None])) for i in range(3000)]
+    out = source_mix.mix(docs_of(spark, rows)).collect()
+    source = {d: s for d, _, s in rows}
+    taken, goal, words = {}, {}, {}
+    for x in out:
+        k = source[x.doc_id]
+        taken[k] = taken.get(k, 0) + x.taken
+        goal[k], words[k] = x.target, x.source_size
+        assert x.size == 0 or (x.taken % x.size == 0 and x.taken <= 3 * x.size)
+    assert sum(goal.values()) == pytest.approx(sum(words.values()))
+    assert all(abs(taken[k] - goal[k]) <= 0.02 * goal[k] for k in goal)
+    assert sorted(map(tuple, out)) == sorted(map(tuple, source_mix.mix(docs_of(spark, rows)).collect()))
+
+
+def test_mix_caps_a_small_source(spark):
+    rows = [(i, "w " * 10, "tiny" if i < 3 else "vast") for i in range(300)]
+    goal = {x.source_size: x.target for x in source_mix.mix(docs_of(spark, rows)).collect()}
+    assert goal[30] == 90 and goal[2970] == pytest.approx(2910)
+
+
+def test_mix_edges(spark):
+    rows = [(1, None, "a"), (2, "x y z", None), (3, "x " * 100, "b"), (3, "x " * 100, "b"), (None, "q", "c"), (4, "", "d")]
+    df = docs_of(spark, rows)
+    assert {(x.doc_id, x.taken) for x in source_mix.mix(df).collect() if x.size == 0} == {(1, 0), (4, 0)}
+    assert source_mix.mix(df.limit(0)).count() == 0
+    assert source_mix.mixed(df).columns == df.columns
+
+
+# ---------------------------------------------------------------- op2
+
+
+def test_warc_query(spark, sf, duck):
+    got = sorted(map(tuple, queries.op2_warc_round_trip(spark, sf).collect()))
+    assert got == sorted(duck.execute(queries.ORACLES["op2_warc_round_trip"]).fetchall())
+
+
+def test_warc_splits_and_edges(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(1, "u", "a" * 1500), (2, None, "a" * 1500), (7, "v\r\nX: y", "a" * 1500), (7, "w", "a" * 1500), (3, "x", None), (4, "x", "b" * 10), (5, "x", "b" * 10), (None, "y", "c" * 2000), (None, "y", "c" * 2000)]
+    rows += [(100 + i, "z", "".join(chr(r.randint(32, 0x2FF)) for _ in range(r.randint(0, 4000)))) for i in range(40)] + [(90, "m", "\x1f\x8b\x08WARC/1.1\r\n" * 300)]
+    df = spark.createDataFrame([x + (1,) for x in rows], "page_id long, url string, html string, digest int")
+    path = f"file://{tmp_path}/w"
+    warc.write(df.coalesce(2), path)
+    want = sorted((str(p), hashlib.sha1((h or "").encode()).hexdigest()) for p, _, h in rows)
+    for split in (64, 1000, 1 << 20):
+        got = warc.read(spark, path, split).collect()
+        assert sorted((str(x.page_id), x.payload_digest) for x in got) == want
+        same = [x for x in got if x.payload_digest == hashlib.sha1(b"a" * 1500).hexdigest()]
+        assert sorted((x.record_type, x.refers_to) for x in same) == [("response", None)] + [("revisit", 7)] * 3
+        assert all(hashlib.sha1(bytes(x.payload)).hexdigest() == x.payload_digest for x in got if x.record_type == "response")
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    assert files and sum(gzip.open(p).read().count(b"WARC-Type: ") for p in files) == len(rows)  # plain multi-member gzip
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_broken_member_raises(tmp_path):
+    one = warc._gzip(warc.record("u", 1, b"x" * 5000, "d", None, False))
+    (tmp_path / "f").write_bytes(one[:-30])
+    with open(tmp_path / "f", "rb") as f, pytest.raises(ValueError):
+        list(warc.members(warc._open(f"file://{tmp_path}/f"), 0, 10_000))
+
+
+# ---------------------------------------------------------------- op3
+
+
+def test_language_held_out(spark, sf):
+    rows = queries.op3_language_id(spark, sf).join(shared.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").collect()
+    held = [x for x in rows if x.held_out]
+    assert len(held) > 20 and sum(x.lang == x.lang_pred for x in held) >= 0.9 * len(held)
+    assert all(0 <= x.score <= 1 for x in rows)
+
+
+def test_language_edges(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "!!! 123", "a"), (None, "hello world", "a"), (5, "hello", "a"), (6, "hello there", "a"), (7, "x" * 300_000, "a")]
+    df = docs_of(spark, rows)
+    model = language_id.fit(df)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.predict(df, model).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[None] == ("en", 1.0)
+    assert language_id.fit(df.limit(0)) is None and language_id.predict(df, None).filter("lang_pred <> 'und'").isEmpty()
+    assert language_id.keep_identified(df, model, 0.1).columns == df.columns
+    assert language_id.keep_identified(df, model, 0.1).count() == 4
+
+
+# ---------------------------------------------------------------- op4
+
+
+def test_shards(spark, sf, duck):
+    got = sorted(map(tuple, queries.op4_shard_table(spark, sf).select("doc_id", "shard", "slot").collect()))
+    assert got == sorted((d, s, k) for d, k, s in duck.execute(queries.ORACLES["op4_shard_table"]).fetchall())
+    names = tuple("abcdefg")
+    table = shard_table.fill(names, 1009)
+    sizes = np.bincount(table)
+    assert sizes.max() - sizes.min() <= 1
+    fewer = shard_table.fill(names[:-1], 1009)
+    moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a != 6)
+    assert moved < 0.15 * 1009
+    df = docs_of(spark, [(None, "x", "a"), (1, "y", "a"), (1, "z", "a")])
+    assert shard_table.place(df, names, 1009).groupBy("doc_id").agg({"shard": "min"}).count() == 2
+    assert shard_table.place(df.limit(0), names, 1009).count() == 0
+    for bad in ((), ("a", "a")):
+        with pytest.raises(ValueError):
+            shard_table.fill(bad, 1009)
+    with pytest.raises(ValueError):
+        shard_table.fill(names, 1000)
+
+
+# ---------------------------------------------------------------- op5
+
+
+def test_suffix_dedup_whole_table(spark, sf):
+    rows = [tuple(x) for x in shared.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, queries.op5_suffix_array_dedup(spark, sf).collect())) == sorted(suffix_dedup.brute_force(rows))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_dedup_random(spark, seed):
+    r = random.Random(seed)
+    alphabet = ["ab", "abé", "abcdefgh "][seed]
+    pool = ["".join(r.choice(alphabet) for _ in range(r.randint(90, 700))) for _ in range(6)]
+    rows = [(i, "".join(r.choice(pool)[r.randint(0, 40) : r.randint(60, 700)] for _ in range(r.randint(0, 4)))) for i in range(40)]
+    got = suffix_dedup.digest(docs_of(spark, [(d, t, "a") for d, t in rows])).collect()
+    assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(rows))
+
+
+def test_suffix_dedup_edges(spark):
+    rows = [(1, None), (2, ""), (3, "a" * 350), (4, "b" * 99), (5, "a" * 120 + "x"), (6, "é" * 80), (7, "é" * 80), (8, "abcde " * 90), (9, "zabcde " * 60 + "abcde " * 30), (10, "q" * 400_000)]
+    df = docs_of(spark, [(d, t, "a") for d, t in rows])
+    assert sorted(map(tuple, suffix_dedup.digest(df).collect())) == sorted(suffix_dedup.brute_force(rows))
+    kept = {x.doc_id: x.text for x in suffix_dedup.remove_repeats(df).collect()}
+    assert kept[7] == "" and kept[5] == "x" and suffix_dedup.remove_repeats(df).columns == df.columns
+    assert suffix_dedup.digest(df.limit(0)).count() == 0
+
+
+def test_suffix_dedup_shared_ids(spark):
+    text = "the quick brown fox " * 10
+    r = random.Random(4)
+    a, b = ("".join(r.choice("abcdefghij") for _ in range(300)) for _ in range(2))
+    got = suffix_dedup.digest(docs_of(spark, [(1, a, "s"), (1, b + a, "s"), (None, a, "s"), (None, text, "s")])).collect()
+    assert sum(x.n_removed for x in got if x.doc_id == 1) == 300  # one of the two holds the other's text again
+    assert [x.n_removed for x in got if x.doc_id is None and x.n_bytes == 300] == [300]
+
+
+# ---------------------------------------------------------------- op6
+
+
+def test_near_duplicate_vectors(spark):
+    r = np.random.default_rng(7)
+    rows, k = [], 0
+    for label in (1, 2, 3):
+        for size in (1, 1, 2, 3, 9, 60):
+            c = r.standard_normal(24)
+            for _ in range(size):
+                v = c + 0.12 * r.standard_normal(24)
+                rows.append((k, [float(np.float32(x)) for x in v], label))
+                k += 1
+        rows.append((k, rows[-1][1], label))
+        k += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, nn_descent.near_duplicates(df).collect()))
+    want = nn_descent.brute_force(rows)
+    links = sum(x[1] for x in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True)) and sum(x[1] for x in got) >= 0.99 * links
+
+
+def test_near_duplicate_vectors_edges(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.99, 0.1], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [float("nan"), 1.0], 1), (9, [1.0, 0.0], None), (10, [1.0, 0.0, 0.0], 1), (11, [], 1), (12, [2.0, 0.0], 1)]
+    df = spark.createDataFrame([x + (1,) for x in rows], "vec_id long, embedding array<float>, label int, n_links int")
+    assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == nn_descent.brute_force(rows)
+    assert nn_descent.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_of_the_descent(spark, sf):
+    found = nn_descent.nodes(shared.table(spark, sf, "embeddings"))[1]
+    truth = nn_descent.true_links(found, 0.6).select("a", "b").distinct()
+    pairs = nn_descent.descend(found, 1, 0.6).filter("sim >= 0.6").select("a", "b")
+    total = truth.count()
+    both = pairs.union(pairs.select("b", "a")).distinct()
+    assert truth.join(both, ["a", "b"], "left_semi").count() >= 0.9 * total
+
+
+# ---------------------------------------------------------------- op7
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizers = pytest.importorskip("tokenizers")
+    return tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+
+
+def test_bpe_whole_table(spark, sf, tokenizer):
+    text = {x.doc_id: x.text for x in shared.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    for x in queries.op7_bpe_codec(spark, sf).collect():
+        ids = tokenizer.encode(text[x.doc_id], add_special_tokens=False).ids
+        assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert x.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+PIECES = st.lists(st.sampled_from([" ", "  ", "\n", "a", " the", "The", "é", "1", "'s", "<|endoftext|>", "<|endof", "...", " ", "日本", "😀", " word" * 90, "x" * 400, " " * 300]), max_size=60)
+
+
+@given(PIECES)
+@settings(max_examples=60, deadline=None)
+def test_bpe_any_text(tokenizer, pieces):
+    text = "".join(pieces)
+    c = bpe_codec.codec(queries.tokenizer_path())
+    got = c.encode(text.encode())
+    assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and c.decode(got).decode() == text
+
+
+def test_bpe_chunks_are_reused(tokenizer):
+    r = random.Random(6)
+    body = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(9000))
+    c = bpe_codec.Codec(queries.tokenizer_path())
+    for head in ("", "Another beginning. ", "Ünd "):
+        text = head + body
+        assert c.encode(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert c.reused > c.encoded / 2
+
+
+def test_bpe_edges(spark):
+    path = queries.tokenizer_path()
+    df = docs_of(spark, [(1, None, "a"), (2, "", "a"), (None, "x" * 100_000, "a")])
+    got = {x.doc_id: x.n_tokens for x in bpe_codec.digest(df, path).collect()}
+    assert got[1] == got[2] == 0 and got[None] > 0
+    back = bpe_codec.decode(bpe_codec.encode(df, path).drop("text"), path)
+    assert {x.doc_id: x.text for x in back.collect()} == {1: "", 2: "", None: "x" * 100_000}
+    assert bpe_codec.digest(df.limit(0), path).count() == 0
+
+
+# ---------------------------------------------------------------- op8
+
+
+def test_hamming_query(spark, sf, duck):
+    got = sorted(map(tuple, queries.op8_hamming_top_k(spark, sf).select("query_id", "rank", "id", "distance").collect()))
+    assert got == sorted(duck.execute(queries.ORACLES["op8_hamming_top_k"]).fetchall())
+
+
+@pytest.mark.parametrize("n", [1, 5, 300, 4000])
+def test_hamming_index(n):
+    r = np.random.default_rng(n)
+    center = r.integers(0, 2**63, 20).astype(np.uint64)
+    code = center[r.integers(0, 20, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
+    index = hamming_search.Index(np.arange(n), code)
+    for q in range(0, n, max(1, n // 40)):
+        d = np.bitwise_count(code ^ code[q]).astype(int)
+        want = sorted((int(x), i) for i, x in enumerate(d) if i != q)[:10]
+        assert index.search(q, code[q], 10) == want
+
+
+def test_hamming_edges(spark):
+    rows = [(0, [1.0] * 64), (20, [1.0] * 64), (40, None), (60, [1.0] * 10), (None, [1.0] * 64), (61, [1.0] * 63 + [None]), (3, [-1.0] * 70)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, hamming_search.search(df).collect()))
+    assert got == [(0, 1, 20, 0), (0, 2, 3, 64), (20, 1, 0, 0), (20, 2, 3, 64)]
+    assert hamming_search.search(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- op9
+
+
+def test_jaccard_whole_table(spark, sf):
+    rows = [tuple(x) for x in shared.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, queries.op9_ngram_jaccard_join(spark, sf).collect())) == jaccard_join.brute_force(rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_random(spark, seed):
+    rows = some_documents(seed, 160)
+    assert sorted(map(tuple, jaccard_join.groups(docs_of(spark, [(d, t, "a") for d, t in rows])).collect())) == jaccard_join.brute_force(rows)
+
+
+def test_jaccard_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 4)  # many tiles for a common passage among unlike documents
+    r = random.Random(9)
+    passage = " ".join(WORDS[:25])
+    rows = [(i, " ".join(f"u{r.randint(0, 9999)}" for _ in range(r.randint(5, 60))) + " " + passage) for i in range(60)] + [(100 + i, passage + f" end{i % 3}") for i in range(12)]
+    assert sorted(map(tuple, jaccard_join.groups(docs_of(spark, [(d, t, "a") for d, t in rows])).collect())) == jaccard_join.brute_force(rows)
+
+
+@given(st.integers(1, 400), st.integers(0, 2**32))
+@settings(max_examples=300, deadline=None)
+def test_linked_sets_share_a_signature(n, seed):
+    r = np.random.default_rng(seed)
+    a = np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+    most = jaccard_join.difference_bound(n, n * 4 // 3)
+    gone = int(r.integers(0, most + 1))
+    new = int(r.integers(0, most - gone + 1))
+    b = np.unique(np.concatenate((r.permutation(a)[gone:], r.integers(0, 2**63, new).astype(np.uint64) * np.uint64(2) + np.uint64(1))))
+    x = len(np.intersect1d(a, b))
+    if x and 100 * x >= 75 * (len(a) + len(b) - x):
+        assert len(np.intersect1d(jaccard_join.signatures(a), jaccard_join.signatures(b)))
+        assert np.bitwise_count((jaccard_join.sketch(a) ^ jaccard_join.sketch(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * x
+
+
+def test_jaccard_edges(spark):
+    rows = [(1, None, "s"), (2, "", "s"), (3, " \t\n", "s"), (4, "One two", "s"), (5, "one TWO", "s"), (6, "é É", "s"), (7, "é é", "s"), (8, "a b c d e f " * 20_000, "s"), (None, "one two", "s"), (9, "x y z", "s"), (9, "x y z", "s"), (9, "other words here now then", "s")]
+    got = {(x.doc_id, x.n_shingles): x.component_id for x in jaccard_join.groups(docs_of(spark, rows)).collect()}
+    assert [got[i, 0] for i in (1, 2, 3)] == [1, 2, 3]
+    assert got[4, 1] == got[5, 1] == got[None, 1] == 4 and got[6, 1] == 6 and got[7, 1] == 7 and got[8, 6] == 8 and got[9, 1] == 9
+    assert jaccard_join.groups(docs_of(spark, rows).limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- op10
+
+
+PAGES = [
+    ("<p>a<b>b</b>c<br>d</p>", "abc d"),
+    ('<div class="sidebar">x</div><p>y &amp; z&nbsp;q', "y & z q"),
+    ('<body><header>h</header><main><header>t</header><p>u</p><section id="comments">no</section></main><footer>f', "t u"),
+    ("<ul><li>a<li>b</ul>", "a b"),
+    ("<article>A<aside>no</aside><article>inner</article></article><article class='x'>B</article>", "A inner B"),
+    ("a < b &lt;c&gt; <script>if(a<b)</script>d", "a < b <c> d"),
+    ("<p title='>'>ok</p><!-- no --><textarea>no</textarea>", "ok"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
+    ('<span class="ad">no</span><p>fine <span>in</span>line</p>', "fine inline"),
+    ("plain", "plain"),
+    ("<p hidden>no</p><div>ja<p>x<div>y</div>z</div>", "ja x y z"),
+    ("<nav><ul><li>menu</ul></nav><article><h1>T</h1><p><b>one.<br><p>two</article><footer>f</footer>", "T one. two"),
+    ("<article><p>x</p><form>q<input></form><div class='cookie-notice'>n</div></article>", "x"),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), PAGES)
+def test_page_text(html, want):
+    assert html_text.Page(html).text() == want
+
+
+@given(st.text(alphabet="<>/ab\"'= p!-&;", max_size=200))
+@settings(max_examples=300, deadline=None)
+def test_any_markup_is_parsed(html):
+    page = html_text.Page(html)
+    assert isinstance(page.text(), str) and all(isinstance(h, int) for h in page.hashes().values())
+
+
+def test_templates_are_deleted_per_host(spark):
+    body = "<body><div><p>We sell the same thing</p></div><div><p>own text {i}</p></div></body>"
+    rows = [(i, f"http://h.com/{i}", body.format(i=i), "t") for i in range(12)] + [(50 + i, f"http://few.org/{i}", body.format(i=i), "t") for i in range(3)]
+    rows += [(80, None, None, "t"), (81, "http://[bad", "<p>x", "t"), (82, "http://h.com/a", "<article><p>We sell the same thing</p></article>", "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {x.page_id: x.text for x in html_text.extract(df).collect()}
+    assert all(got[i] == f"own text {i}" for i in range(12))
+    assert got[50] == "We sell the same thing own text 0" and got[80] == "" and got[81] == "x" and got[82] == "We sell the same thing"
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pages_of_the_table(spark, sf):
+    import html
+    import re
+
+    for x in queries.op10_html_text(spark, sf).join(shared.table(spark, sf, "pages").select("page_id", "html"), "page_id").collect():
+        inner = re.search("<article>(.*?)</article>", x.html, re.S)[1]
+        inner = re.sub("</?b>", "", re.sub("<(?:p|/p|br|h1|/h1)>", " ", inner))
+        assert x.text == " ".join(html.unescape(inner).split()) and x.n_chars == len(x.text)
+
+
+# ---------------------------------------------------------------- pipeline and shared parts
+
+
+def test_components(spark):
+    r = random.Random(8)
+    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)] + [(900, x) for x in range(901, 990)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {x.node: x.component for x in shared.components(df).collect()}
+    at = {x: x for e in edges for x in e}
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        at[max(p, q)] = min(p, q)
+    assert all(got.get(x, x) == find(x) for x in at)
+
+
+def test_pipeline_by_stages(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = shared.table(spark, sf, "documents")
+    columns, steps = docs.columns, {}
+    for name, stage in pipeline.STAGES:
+        before = docs
+        docs = shared.settle(stage(spark, docs, sf), "test")
+        steps[name] = (before, docs)
+        if name != pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+    pairs = lambda df: [tuple(x) for x in df.select("doc_id", "text").collect()]
+    before, after = steps["n-gram Jaccard join"]
+    keep = {d for d, _, c in jaccard_join.brute_force(pairs(before)) if d == c}
+    assert {x.doc_id for x in after.select("doc_id").collect()} == keep
+    before, after = steps["suffix-array dedup"]
+    removed = {d: n for d, _, n, _, _ in suffix_dedup.brute_force(pairs(before))}
+    was = dict(pairs(before))
+    assert all(0 <= len(was[d].encode()) - len(t.encode()) <= removed[d] for d, t in pairs(after))
+    before, after = steps["mixing sources to target weights"]
+    copies = {}
+    for d, _ in pairs(after):
+        copies[d] = copies.get(d, 0) + 1
+    want = {x.doc_id: x.taken // x.size for x in source_mix.mix(before).collect() if x.size and x.taken}
+    assert copies == want
+    before, after = steps["BPE encoding and decoding"]
+    assert sorted(pairs(before)) == sorted(pairs(after))
+    assert sorted(pairs(pipeline.run(spark, sf))) == sorted(pairs(after))
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "hello there world of mine", "en", None, 1), (3, "hello there world of mine", "en", None, 1), (None, "words for no id at all", None, "b", 2), (4, "z " * 50_000, "en", "b", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for start in (df, df.limit(0)):
+        docs = start
+        for _, stage in pipeline.STAGES:
+            docs = shared.settle(stage(spark, docs, sf), "odd")
+        assert docs.count() == (0 if start is not df else docs.count())
