@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Per window and event type the number of events and the sum of values; streams drop state behind the watermark."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    # A watermark needs a timestamp with a zone; the window's start goes back to the table's type.
+    kind = dict(events.dtypes)["ts"]
+    source = _marked(events, late) if events.isStreaming else events
     per = source.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return per.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return per.select(F.col("w.start").cast(kind).alias("window_start"), "event_type", "n", "total")
 
 
 def stream_once(events: DataFrame, name: str, checkpoint: str, width: str = "1 day", late: str = "2 hours") -> DataFrame:
@@ -22,4 +28,4 @@ def stream_once(events: DataFrame, name: str, checkpoint: str, width: str = "1 d
 
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "2 hours") -> DataFrame:
     """Each event once; a stream forgets ids behind the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _marked(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
