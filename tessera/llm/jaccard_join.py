@@ -41,7 +41,7 @@ from . import shared as H
 
 WIDTH = 5
 NUM, DEN = 75, 100  # similarity, as a fraction
-SKETCH = 16  # words of 64 bits
+SKETCH, SKETCH_MOST = 16, 128  # words of 64 bits: for small sets, and at most
 TILE = 512  # classes of one signature compared at once
 SMALL_IDS = 1_000_000  # up to so many ids are broadcast (16 bytes each); beyond that they are joined by a shuffle
 
@@ -133,12 +133,26 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity sketch: bits toggled by the members. Hamming distance of sketches <= symmetric difference."""
-    bit = (H.splitmix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(30)).astype(np.int64) % (SKETCH * 64)
-    odd = np.bincount(bit, minlength=SKETCH * 64) & 1
+    """Parity sketch: bits toggled by the members. Hamming distance of sketches <= symmetric difference.
+
+    Two bits a member, so that it stays telling for large sets; a sketch folds into one of half its size.
+    """
+    words = SKETCH
+    while words < SKETCH_MOST and words * 32 < len(s):
+        words *= 2
+    bit = ((H.splitmix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(30)) & np.uint64(words * 64 - 1)).astype(np.int64)
+    odd = np.bincount(bit, minlength=words * 64) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) folded to fewer words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 # ---------------------------------------------------------------- passes over the texts
 
 
@@ -193,36 +207,107 @@ def _set_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([class_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "members"])
 
 
-def _tile_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Pairs of one tile of a signature that may link: different components, sketches near enough."""
-    cls = batch.column(batch.schema.get_field_index("cls")).to_numpy()
-    comp = batch.column(batch.schema.get_field_index("comp")).to_numpy()
-    n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
-    side = batch.column(batch.schema.get_field_index("side")).to_numpy()
-    sk = batch.column(batch.schema.get_field_index("sketch")).flatten().to_numpy().view(np.uint64).reshape(len(cls), SKETCH)  # unsigned, for the bit count
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    same = bool((side == 2).any())
-    a, b = [], []
-    for i in left:
-        at = right[right > i] if same else right
-        at = at[(comp[at] != comp[i]) & (n[at] * NUM <= n[i] * DEN) & (n[i] * NUM <= n[at] * DEN)]
-        if len(at):
-            d = np.bitwise_count(sk[at] ^ sk[i]).sum(1)
-            at = at[d <= (n[at] + n[i]) * (DEN - NUM) // (DEN + NUM)]
-            a.append(np.full(len(at), cls[i]))
-            b.append(cls[at])
-    z = np.zeros(0, np.int64)
-    a, b = np.concatenate(a or [z]), np.concatenate(b or [z])
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+SMALL_TILE = 24  # tiles of up to so many classes are compared many at once
+
+
+class _Light:
+    """What the rows of a batch say of their classes."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.cls, self.comp, self.n, self.side = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("cls", "comp", "n", "side"))
+        col = batch.column(batch.schema.get_field_index("sketch"))
+        self.at = col.offsets.to_numpy().astype(np.int64)
+        self.words = np.diff(self.at)
+        self.flat = col.values.to_numpy().view(np.uint64)  # unsigned, for the bit count
+        self.small = np.empty((len(self.cls), SKETCH), np.uint64)
+        for w in np.unique(self.words):
+            rows = np.flatnonzero(self.words == w)
+            self.small[rows] = fold(self.whole(rows), SKETCH)
+
+    def whole(self, rows: np.ndarray) -> np.ndarray:
+        """Sketches of rows of one size."""
+        w = int(self.words[rows[0]])
+        return self.flat[self.at[rows][:, None] + np.arange(w)]
+
+    def near(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which pairs may link: other components, sizes and sketches near enough."""
+        ok = np.flatnonzero((self.comp[p] != self.comp[q]) & (self.n[p] * NUM <= self.n[q] * DEN) & (self.n[q] * NUM <= self.n[p] * DEN))
+        most = (self.n[p] + self.n[q]) * (DEN - NUM) // (DEN + NUM)
+        ok = ok[np.bitwise_count(self.small[p[ok]] ^ self.small[q[ok]]).sum(1, dtype=np.int64) <= most[ok]]
+        keep = np.ones(len(ok), bool)
+        u, v = self.words[p[ok]], self.words[q[ok]]
+        for x, y in {*zip(u.tolist(), v.tolist(), strict=True)}:
+            if min(x, y) > SKETCH:  # larger ones tell more
+                k = np.flatnonzero((u == x) & (v == y))
+                a, b = fold(self.whole(p[ok[k]]), min(x, y)), fold(self.whole(q[ok[k]]), min(x, y))
+                keep[k] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most[ok[k]]
+        return ok[keep]
+
+
+def _tiles(batches):
+    """Rows sorted by tile: pairs of each tile that may link. A tile is bounded, and so is what is held."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        cut = int(new[-1]) if len(new) else 0
+        held = batch.slice(cut)
+        if cut:
+            yield _compared(batch.slice(0, cut), new[:-1])
+    if held is not None and len(held):
+        yield _compared(held, np.zeros(0, np.int64))
+
+
+def _compared(batch: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+    """new: first rows of all tiles but the first."""
+    x = _Light(batch)
+    start = np.concatenate(([0], new))
+    size = np.diff(np.append(start, len(x.cls)))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def compare(p: np.ndarray, q: np.ndarray) -> None:
+        hit = x.near(p, q)
+        a.append(x.cls[p[hit]])
+        b.append(x.cls[q[hit]])
+
+    small = size <= SMALL_TILE
+    order = np.flatnonzero(small)[np.argsort(size[small], kind="stable")]
+    for lo in range(0, len(order), 256):  # tiles of like size together
+        s, k = start[order[lo : lo + 256]], size[order[lo : lo + 256]]
+        m = int(k.max())
+        at = np.minimum(s[:, None] + np.arange(m), len(x.cls) - 1)
+        ok = np.arange(m) < k[:, None]
+        i, j = np.triu_indices(m, 1)
+        p, q = at[:, i], at[:, j]
+        hit = ok[:, i] & ok[:, j] & ((x.side[p] == 2) | (x.side[p] != x.side[q]))
+        compare(p[hit], q[hit])
+    for t in np.flatnonzero(~small):
+        rows = np.arange(start[t], start[t] + size[t])
+        left, right = rows[x.side[rows] != 1], rows[x.side[rows] != 0]
+        same = x.side[rows[0]] == 2
+        for i in left:
+            at = right[right > i] if same else right
+            compare(np.full(len(at), i), at)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
 def _plausible(pairs: DataFrame, light: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link; drops no pair that links."""
     left = light.select(F.col("cls").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("p"))
     right = light.select(F.col("cls").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("q"))
-    near = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    bound = F.floor((F.col("p") + F.col("q")) * (DEN - NUM) / (DEN + NUM))
-    return pairs.join(left, "a").join(right, "b").filter((F.col("p") * NUM <= F.col("q") * DEN) & (F.col("q") * NUM <= F.col("p") * DEN) & (near <= bound)).select("a", "b")
+    pairs = pairs.join(left, "a").join(right, "b").filter((F.col("p") * NUM <= F.col("q") * DEN) & (F.col("q") * NUM <= F.col("p") * DEN))
+    m = F.least(F.size("x"), F.size("y"))
+    xor = lambda u, v: u.bitwiseXOR(v)
+    # Sets of linkable sizes have sketches of one size, or one is twice as large and folds.
+    folded = lambda c: F.when(F.size(c) > m, F.zip_with(F.slice(c, 1, m), F.slice(c, m + 1, m), xor)).otherwise(F.col(c))
+    near = F.aggregate(F.zip_with(folded("x"), folded("y"), xor), F.lit(0), lambda s, d: s + F.bit_count(d))
+    return pairs.filter(near <= F.floor((F.col("p") + F.col("q")) * (DEN - NUM) / (DEN + NUM))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,13 +340,14 @@ class _Sets:
         return H.settle(sets, label)
 
 
-def _linked(pairs: DataFrame, sets: _Sets, label: str) -> DataFrame:
+def _linked(pairs: DataFrame, sets: _Sets, label: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs that link, pairs that were verified)."""
     pairs = H.settle(pairs, "jj-plausible")
     H.release()
     held = sets.of(pairs, "jj-sets")
     out = H.settle(_verified(pairs, held), label)
     H.discard(held)
-    return out
+    return out, pairs
 
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +366,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     light = H.settle(light.join(groups.select("cls").distinct(), "cls", "left_semi"), "jj-light")
     H.release()
     sets = _Sets(texts, members)
-    first = _linked(_plausible(star, light), sets, "jj-star")
+    first, tried = _linked(_plausible(star, light), sets, "jj-star")
     H.release()
     parts = H.settle(H.components(first), "jj-parts")
     placed = groups.join(parts, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
@@ -293,18 +379,14 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "n", "sketch",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    near = H.settle(dealt.groupBy("sig", "i", "j").applyInArrow(_tile_table, "a long, b long").distinct(), "jj-tiles")
-    H.release()
-    second = _linked(near, sets, "jj-near")
+    parts_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts_, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    near = dealt.mapInArrow(_tiles, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    second, _ = _linked(near, sets, "jj-near")
     links = first.union(second)
     return members, H.settle(H.components(links), "jj-components")
 
 
-def _tile_table(tile: pa.Table) -> pa.Table:
-    batches = tile.combine_chunks().to_batches()
-    return pa.Table.from_batches([_tile_pairs(b) for b in batches[:1]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-
 def groups(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
     members, parts = join_classes(docs)
