@@ -48,8 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text decoded from them."""
-    path = tokenizer_path()
-    return bpe_codec.decode(bpe_codec.encode(docs, path).drop("text"), path)
+    return bpe_codec.transcode(docs, tokenizer_path())
 
 
 STAGES = [

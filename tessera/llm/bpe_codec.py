@@ -31,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOW = 32
 MEAN_BITS = 11  # a cut every 2,048 bytes on average
 LEAST, MOST = 256, 1 << 16
-CACHE_BYTES = 48 << 20  # of chunk bytes and ids, per task
+CACHE_BYTES = 24 << 20  # of chunk bytes and ids, per task
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -210,7 +210,7 @@ def _digests(path: str):
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return H.in_small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encoder(path: str, keep: list[str]):
@@ -228,7 +228,7 @@ def _encoder(path: str, keep: list[str]):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with n_tokens and token_ids; columns of these names are replaced."""
     keep = [c for c in docs.columns if c not in ("n_tokens", "token_ids")]
-    kept = docs.select(*[f"`{c}`" for c in keep])
+    kept = H.in_small_batches(docs).select(*[f"`{c}`" for c in keep])
     return kept.mapInArrow(_encoder(path, keep), f"{_ddl(kept)}, n_tokens long, token_ids array<int>")
 
 
@@ -250,5 +250,24 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return kept.mapInArrow(_decoder(path, keep), f"{_ddl(kept)}, text string")
 
 
+def _transcoder(path: str, keep: list[str]):
+    def run(batches):
+        c = codec(path)
+        for batch in batches:
+            ids = [c.encode(raw) for raw in _raw(batch, "text")]
+            text = pa.array([c.decode(x).decode() for x in ids], pa.string())
+            cols = [text if k == "text" else batch.column(batch.schema.get_field_index(k)) for k in keep]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "n_tokens", "token_ids"])
+
+    return run
+
+
+def transcode(docs: DataFrame, path: str) -> DataFrame:
+    """`encode` and `decode` in one pass: docs with n_tokens and token_ids, and text as the ids decode to it."""
+    keep = [c for c in docs.columns if c not in ("n_tokens", "token_ids")]
+    kept = H.in_small_batches(docs).select(*[f"`{c}`" for c in keep])
+    return kept.mapInArrow(_transcoder(path, keep), f"{_ddl(kept)}, n_tokens long, token_ids array<int>")
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

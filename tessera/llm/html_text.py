@@ -267,7 +267,7 @@ def templates(keyed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
-    keyed = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    keyed = H.in_small_batches(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keyed = keyed.withColumn("page", F.xxhash64("page_id", "url", "html"))
     gone = H.settle(templates(keyed, min_pages), "html-gone")
     n = gone.count()

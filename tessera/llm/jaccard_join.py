@@ -352,7 +352,7 @@ def _linked(pairs: DataFrame, sets: _Sets, label: str) -> tuple[DataFrame, DataF
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, cls, n per row of docs; links between classes as node -> component, roots left out)."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
+    texts = H.in_small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
     members = H.settle(texts.mapInArrow(_classes, "doc_id long, cls long, n long, sketch array<long>"), "jj-members")
     sigs = texts.select("text").mapInArrow(_signature_rows, "sig long, cls long")
     met = sigs.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p <> q").select("sig")

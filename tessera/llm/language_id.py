@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared as H
+
 BITS = 13
 PER_LANGUAGE = 300
 ROWS = 2_400
@@ -146,7 +148,7 @@ def _sparse(batches):
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model | None:
     """Learn from labelled rows that aren't held out: a sample by hash of doc_id, at most `rows` of them."""
-    known = docs.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 2))
+    known = H.in_small_batches(docs).filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 2))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -165,12 +167,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) ->
     return Model(x, [r["lang"] for r in got])
 
 
-def _predictor(model: Model, column: int, keep: list[int], names: list[str]):
+def _predictor(model: Model, text_of, letters_at: int, keep: list[int], names: list[str]):
     def run(batches):
         for batch in batches:
             lang, score = [], []
-            ok = batch.column(column + 1)
-            for raw, letters in zip(batch.column(column).cast(pa.large_binary()), ok, strict=True):
+            ok = batch.column(letters_at)
+            for raw, letters in zip(text_of(batch).cast(pa.large_binary()), ok, strict=True):
                 if not letters.as_py():
                     lang.append(UNKNOWN)
                     score.append(0.0)
@@ -185,19 +187,21 @@ def _predictor(model: Model, column: int, keep: list[int], names: list[str]):
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its text alone."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text", has_letter(F.col("text")).alias("letters"))
+    base = H.in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text", has_letter(F.col("text")).alias("letters"))
     if model is None:
         return base.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    run = _predictor(model, 2, [0, 1], ["doc_id", "held_out", "lang_pred", "score"])
+    run = _predictor(model, lambda batch: batch.column(2), 3, [0, 1], ["doc_id", "held_out", "lang_pred", "score"])
     return base.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """Rows of docs whose language is identified with a score of `least` or more; columns stay as they are."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), "text", has_letter(F.col("text")).alias("letters"))
+    docs = H.in_small_batches(docs)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), has_letter(F.col("text")).alias("letters"))
     if model is None:
         return docs.limit(0)
     row_type = packed.schema["row"].dataType.simpleString()
-    run = _predictor(model, 1, [0], ["row", "lang_pred", "score"])
+    at = docs.columns.index("text")
+    run = _predictor(model, lambda batch: batch.column(0).field(at), 1, [0], ["row", "lang_pred", "score"])
     seen = packed.mapInArrow(run, f"row {row_type}, lang_pred string, score double")
     return seen.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

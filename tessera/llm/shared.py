@@ -62,6 +62,20 @@ def release() -> None:
             time.sleep(0.25)
 
 
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, for passing whole texts to Python: batches of Arrow hold fewer rows than the default, so that tasks need less memory.
+
+    Sets the session's limit unless it is lower already. Results don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -223,7 +223,7 @@ def single_windows(b: np.ndarray, first: np.ndarray, m: np.ndarray, off: np.ndar
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with a column __doc that orders documents: doc_id where ids are unique, else a rank by (doc_id, text)."""
-    plain = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    plain = H.in_small_batches(docs).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     if plain.groupBy("__doc").count().filter("count > 1").isEmpty():
         return plain
     hashed = plain.withColumn("__hash", F.xxhash64("text"))

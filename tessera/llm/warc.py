@@ -78,7 +78,7 @@ def _members(batches):
 
 def write(pages: DataFrame, path: str) -> None:
     """Write the archives of pages (page_id, url, html) under path."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = H.in_small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html"))
     # The largest page_id of a payload, and how many rows hold it.
     groups = rows.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("same")).filter("same > 1")
