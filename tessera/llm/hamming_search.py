@@ -8,8 +8,8 @@ the first s of them to r + 1), every row within distance m r + m - 1 + s of m se
 further off in every segment is further off in all. Rows met are verified by their true distance, and a query ends
 when its k-th distance is covered in this sense. The k best of each block then compete, natively, for the k best.
 
-Nothing is approximate and no candidate is capped: a query whose radius would cost more look-ups than its block
-has rows compares the block's rows directly, which covers every distance.
+Nothing is approximate and no candidate is capped: a query whose look-ups would cost more than comparing the block's
+remaining rows does that, which covers every distance.
 
 Ties of distance are cut by the smaller id. A query doesn't find rows of its own id, but others that share its
 code. Defined results: rows without a code (null vector, fewer than 64 components, null among the first 64)
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import shared as H
 
 BITS = 64
-BLOCK = 2_048
+BLOCK = 4_096
+LOOKUP = 8  # rows that are compared directly in the time of one look-up
 QUERIES = 256
 K = 10
 
@@ -72,7 +73,7 @@ class Index:
             for s, (lo, width, order, heads) in enumerate(self.segments):
                 masks = _masks(width, radius) if radius <= width else np.zeros(0, np.uint64)
                 cost += len(masks)
-                if cost > len(self.ids):  # dearer than looking at every row
+                if cost * LOOKUP > len(self.ids):  # dearer than looking at every row
                     at = np.flatnonzero(~met)
                 else:
                     value = ((query >> lo) & np.uint64((1 << width) - 1)) ^ masks
@@ -87,7 +88,7 @@ class Index:
                     d, i = np.concatenate((found_d, d)), np.concatenate((found_i, self.ids[at]))
                     best = np.lexsort((i, d))[:k]
                     found_d, found_i = d[best], i[best]
-                covered = m * radius + s if cost <= len(self.ids) else BITS
+                covered = m * radius + s if cost * LOOKUP <= len(self.ids) else BITS
                 if covered >= BITS or (len(found_d) >= k and found_d[k - 1] <= covered):
                     return list(zip(found_d.tolist(), found_i.tolist(), strict=True))
         return list(zip(found_d.tolist(), found_i.tolist(), strict=True))
