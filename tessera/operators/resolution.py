@@ -48,3 +48,58 @@ def substitute(term, environment: dict, depth: int = 64):
     if isinstance(term, str):
         return environment.get(term, term)
     return [term[0], *(substitute(a, environment, depth - 1) for a in term[1:])]
+
+
+def ancestry(classes: DataFrame, parents: DataFrame, max_depth: int = 64) -> DataFrame:
+    """Ancestors of each class with their least depth and the worst status on the way: (class, ancestor, depth, status).
+
+    parents: class, parent, status. A class is no ancestor of its own; cycles end as no pair is entered twice.
+    """
+    from tessera.operators.graph import _cut
+
+    rank = F.when(F.col("status") == "unresolved", 2).when(F.col("status") == "ambiguous", 1).otherwise(0)
+    step = _cut(parents.select(F.col("class").alias("c"), F.col("parent").alias("p"), rank.alias("r")))
+    front = _cut(classes.select("class").join(step, F.col("class") == F.col("c")).groupBy("class", F.col("p").alias("ancestor")).agg(F.lit(1).alias("depth"), F.max("r").alias("r")).filter("class <> ancestor"))
+    out = front
+    for depth in range(2, max_depth + 1):
+        nxt = front.withColumnRenamed("r", "r0").join(step, F.col("ancestor") == F.col("c")).groupBy("class", "p").agg(F.max(F.greatest("r0", "r")).alias("r"))
+        nxt = nxt.select("class", F.col("p").alias("ancestor"), F.lit(depth).alias("depth"), "r").filter("class <> ancestor")
+        front = _cut(nxt.join(out.select("class", "ancestor"), ["class", "ancestor"], "left_anti"))
+        if front.isEmpty():
+            break
+        out = _cut(out.union(front))
+    status = F.element_at(F.array(F.lit("resolved"), F.lit("ambiguous"), F.lit("unresolved")), (F.col("r") + 1).cast("int"))
+    return out.select("class", "ancestor", "depth", status.alias("status"))
+
+
+def mentions(found: DataFrame, vocabulary: DataFrame, links: DataFrame) -> DataFrame:
+    """Mentions (doc, name) to exposures (name, exposure, context) in the contexts that the document is linked to (doc, context).
+
+    Every candidate stays; status counts exposures per (doc, name, context).
+    """
+    j = found.join(links, "doc").join(vocabulary, ["name", "context"], "left")
+    return j.groupBy("doc", "name", "context").agg(F.count_distinct("exposure").alias("candidates"), F.min("exposure").alias("first")).select(
+        "doc", "name", "context", "candidates", F.when(F.col("candidates") == 1, F.col("first")).alias("exposure"), decision(F.col("candidates")).alias("status")
+    )
+
+
+def incoming(references: DataFrame, resolved: DataFrame, members: DataFrame) -> DataFrame:
+    """Captured references (reference, ...) whose resolved target is a member. resolved: reference, target, status."""
+    one = resolved.filter("status = 'resolved'").select("reference", "target")
+    return references.join(one, "reference").join(members.select(F.col("member").alias("target")), "target", "left_semi")
+
+
+def linearized(classes: DataFrame) -> DataFrame:
+    """The method resolution order of each class where exactly one complete row gives it, else the reason.
+
+    classes: class, order (array), complete.
+    """
+    per = classes.groupBy("class").agg(F.count_if("complete").alias("n"), F.max(F.when(F.col("complete"), F.col("order"))).alias("order"), F.count("*").alias("rows"))
+    reason = F.when(F.col("n") == 0, "incomplete").when(F.col("n") > 1, "conflicting")
+    return per.select("class", F.when(F.col("n") == 1, F.col("order")).alias("order"), reason.alias("reason"))
+
+
+def dispatch(members: DataFrame, orders: DataFrame, name: str) -> DataFrame:
+    """Which class of each order first defines a member: (class, owner). members: owner, name."""
+    at = orders.filter("reason is null").select("class", F.posexplode("order").alias("place", "owner"))
+    return at.join(members.filter(F.col("name") == name).select("owner"), "owner", "left_semi").groupBy("class").agg(F.min_by("owner", "place").alias("owner"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import parts as P
 from tessera.functions import text as X
 from tessera.operators import aggregates, joins, paging, predicates, ranking, resolution, validation
+from tessera.plans import stages
 from tessera.plans.catalog import register
 from tessera.sources import sql
 from tessera.streaming import windows
@@ -403,3 +405,86 @@ def reconcile(spark, t):
 @register("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, t):
     return windows.tumbling(t("events")).withColumn("total", F.round("total", 4))
+
+
+# ---------------------------------------------------------------- parts, anchors, schedules
+
+
+@register("SELECT c_custkey AS scope, o.definition, CASE WHEN ok IS NULL THEN 'not_requested' WHEN ok THEN 'available' ELSE 'failed' END AS availability FROM customer CROSS JOIN (SELECT DISTINCT o_orderpriority AS definition FROM orders) o LEFT JOIN (SELECT o_custkey, o_orderpriority, bool_and(o_orderstatus <> 'F') AS ok FROM orders GROUP BY 1, 2) r ON r.o_custkey = c_custkey AND r.o_orderpriority = o.definition")
+def stage_frontier(spark, t):
+    planned = t("customer").select(F.col("c_custkey").alias("scope")).crossJoin(t("orders").select(F.col("o_orderpriority").alias("definition")).distinct())
+    results = t("orders").groupBy(F.col("o_custkey").alias("scope"), F.col("o_orderpriority").alias("definition")).agg(F.bool_and(F.col("o_orderstatus") != "F").alias("ok"))
+    return stages.frontier(planned, results)
+
+
+@register("SELECT n_name, count(*) AS customers, max(c_acctbal) AS best FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def stage_schedule(spark, t):
+    steps = [
+        stages.Stage("report", ("joined",), ("report",), lambda r: {"report": r["joined"].groupBy("n_name").agg(F.count("*").alias("customers"), F.max("c_acctbal").alias("best"))}),
+        stages.Stage("join", ("customer", "nation"), ("joined",), lambda r: {"joined": joins.reference(r["customer"], "c_nationkey", r["nation"], "n_nationkey")}),
+    ]
+    return stages.execute(steps, {"customer": t("customer"), "nation": t("nation")})["report"]
+
+
+@register(
+    "SELECT event_id AS id, CASE WHEN NOT bad THEN user_id END AS artifact, CASE WHEN NOT bad THEN cs + start END AS start, CASE WHEN NOT bad THEN cs + stop END AS stop, CASE WHEN bad THEN 'outside' END AS error FROM"
+    " (SELECT event_id, user_id, CAST(user_id * 100 AS BIGINT) AS cs, CAST(floor(value) AS BIGINT) AS start, CAST(floor(value) AS BIGINT) + 10 AS stop, floor(value) < 0 OR floor(value) + 10 > 90 AS bad FROM events)"
+)
+def anchor_ranges(spark, t):
+    e = t("events")
+    v = F.floor("value").cast("long")
+    containers = e.select(F.col("user_id").alias("id"), F.col("user_id").alias("artifact"), (F.col("user_id") * 100).alias("start"), (F.col("user_id") * 100 + 90).alias("stop")).distinct()
+    return P.anchored(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("container"), v.alias("start"), (v + 10).alias("stop")), containers)
+
+
+@register(
+    "SELECT o.o_orderkey AS unit, l.l_partkey AS token, o.o_custkey AS source, o.o_custkey * 1000 + greatest(s, 0) AS source_start, o.o_custkey * 1000 + least(e, 40) AS source_stop FROM orders o"
+    " JOIN (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + l_linenumber AS e FROM lineitem) l ON l.l_orderkey = o.o_orderkey WHERE s < 40 AND e > 0 AND e > s"
+)
+def token_ranges(spark, t):
+    q = F.col("l_quantity").cast("long")
+    tokens = t("lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("token"), q.alias("start"), (q + F.col("l_linenumber")).alias("stop")).distinct()
+    maps = t("orders").select(F.col("o_orderkey").alias("unit"), F.lit(0).cast("long").alias("start"), F.lit(40).cast("long").alias("stop"), F.col("o_custkey").alias("source"), (F.col("o_custkey") * 1000).alias("source_start"))
+    return P.token_ranges(tokens, maps)
+
+
+@register()
+def token_parts(spark, t):
+    d = t("documents").select(F.col("source").alias("unit"), F.col("lang").alias("context"), F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).alias("ordinal"), (F.length("text") / 4).cast("long").alias("tokens"))
+    return P.token_parts(d)
+
+
+@register("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1 AS rank FROM orders) SELECT rank // 4096 AS chunk, count(*) AS n FROM r GROUP BY 1")
+def chunk_digests(spark, t):
+    return P.chunk_digests(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("chunk", "n")
+
+
+@register(
+    "WITH RECURSIVE par AS (SELECT p_partkey AS c, p_partkey // 3 AS p, CASE WHEN p_size % 10 = 0 THEN 2 WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS r FROM part WHERE p_partkey > 0 AND p_partkey <= 300),"
+    " a AS (SELECT c AS class, p AS ancestor, 1 AS depth, r FROM par UNION ALL SELECT class, par.p, depth + 1, greatest(a.r, par.r) FROM a JOIN par ON par.c = a.ancestor)"
+    " SELECT class, ancestor, depth::INTEGER AS depth, ['resolved', 'ambiguous', 'unresolved'][r + 1] AS status FROM a"
+)
+def ancestry_status(spark, t):
+    status = F.when(F.col("p_size") % 10 == 0, "unresolved").when(F.col("p_size") % 5 == 0, "ambiguous").otherwise("resolved")
+    par = t("part").filter("p_partkey > 0 and p_partkey <= 300").select(F.col("p_partkey").alias("class"), F.floor(F.col("p_partkey") / 3).alias("parent"), status.alias("status"))
+    return resolution.ancestry(par.select("class"), par)
+
+
+@register(
+    "WITH f AS (SELECT doc_id AS doc, lang AS name FROM documents), v AS (SELECT lang AS name, doc_id % 3 AS exposure, source AS context FROM documents WHERE doc_id % 11 = 0), l AS (SELECT doc_id AS doc, source AS context FROM documents)"
+    " SELECT f.doc, f.name, l.context, count(DISTINCT v.exposure) AS candidates, CASE WHEN count(DISTINCT v.exposure) = 1 THEN min(v.exposure) END AS exposure, CASE count(DISTINCT v.exposure) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status"
+    " FROM f JOIN l ON l.doc = f.doc LEFT JOIN v ON v.name = f.name AND v.context = l.context GROUP BY 1, 2, 3"
+)
+def mention_exposures(spark, t):
+    d = t("documents")
+    return resolution.mentions(
+        d.select(F.col("doc_id").alias("doc"), F.col("lang").alias("name")),
+        d.filter("doc_id % 11 = 0").select(F.col("lang").alias("name"), (F.col("doc_id") % 3).alias("exposure"), F.col("source").alias("context")),
+        d.select(F.col("doc_id").alias("doc"), F.col("source").alias("context")),
+    )
+
+
+@register("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '''' || p_name || '''' WHEN p_size % 3 = 1 THEN p_size::VARCHAR ELSE '<call>' END AS shown FROM part")
+def value_presentation(spark, t):
+    kind = F.when(F.col("p_size") % 3 == 0, "text").when(F.col("p_size") % 3 == 1, "int").otherwise("call")
+    return t("part").select("p_partkey", P.presented(kind, F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string"))).alias("shown"))
