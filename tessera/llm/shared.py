@@ -28,11 +28,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/tessera-{label}-{uuid.uuid4().hex}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """What is at the path now goes when the application ends, if not before."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

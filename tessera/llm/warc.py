@@ -266,5 +266,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = H.new_path(spark, "warc")
     write(pages, path)
+    H.drop_at_exit(spark, path)
     H.release()
     return read(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
