@@ -42,7 +42,7 @@ SMALL_DELETIONS = 200_000  # up to so many pages with deletions are broadcast (s
 #: Element names of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-DROPPED = frozenset("head script style noscript iframe template svg math nav footer aside form button select textarea dialog menu object embed canvas audio video title noembed noframes xmp label input".split())
+DROPPED = frozenset("head script style noscript iframe template svg math nav footer aside button select textarea dialog menu object embed canvas audio video title noembed noframes xmp label input".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figcaption caption".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -61,24 +61,35 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+#: Those of MARKS that name what readers wrote: never a frame around the whole page.
+REPLIES = frozenset("comment comments disqus replies respond reply".split())
+HARD, SOFT, REPLY = 3, 1, 2
+
+
+def boilerplate(tag: str, attrs: str, in_article: bool) -> int:
+    """HARD for what a tag, role or hidden state says; SOFT or REPLY for what a form or a class name suggests; else 0."""
     if tag in DROPPED:
-        return True
+        return HARD
     if tag == "header" and not in_article:
-        return True
+        return HARD
+    soft = SOFT if tag == "form" else 0
     if not attrs:
-        return False
+        return soft
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return HARD
         if name == "role" and value.lower() in ROLES:
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in MARKS for w in _WORDS.findall(value)):
-            return True
-    return False
+            return HARD
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            words = {w.lower() for w in _WORDS.findall(value)}
+            if words & REPLIES:
+                soft = REPLY
+            elif words & MARKS and tag != "article":
+                soft = soft or SOFT
+    return soft
 
 
 class Page:
@@ -89,11 +100,13 @@ class Page:
         self.parent: list[int] = [-1]
         self.start: list[int] = [0]
         self.end: list[int] = [0]
-        self.dropped: list[bool] = [False]
+        self.mark: list[int] = [0]
+        self.skipped: list[bool] = [False]  # in a hard-marked element: its text isn't kept
         self.blocks: list[str] = []
         self.owner: list[int] = []
         self._parse(html)
         self.end[0] = len(self.blocks)
+        self.dropped = self._drops()
         self._protect()
 
     def _parse(self, html: str) -> None:
@@ -123,7 +136,7 @@ class Page:
 
         n = len(html)
         for m in iter(lambda: _TAG.search(html, at), None):
-            if m.start() > at and not self.dropped[stack[-1]]:
+            if m.start() > at and not self.skipped[stack[-1]]:
                 text.append(html[at : m.start()])
             at = m.end()
             name = m[3] or m[6]
@@ -131,11 +144,11 @@ class Page:
                 continue
             tag, closing, attrs = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
             if tag in INLINE and tag != "a":
-                if not closing and attrs and is_boilerplate(tag, attrs, False) and tag not in VOID:
+                if not closing and attrs and boilerplate(tag, attrs, False) and tag not in VOID:
                     flush()
                 elif not closing or find({tag}, ()) is None:
                     continue
-            elif tag == "a" and (closing or not attrs or not is_boilerplate(tag, attrs, False)):
+            elif tag == "a" and (closing or not attrs or not boilerplate(tag, attrs, False)):
                 if not closing or find({"a"}, ()) is None:
                     continue
             if closing:
@@ -162,7 +175,8 @@ class Page:
             self.parent.append(stack[-1])
             self.start.append(len(self.blocks))
             self.end.append(len(self.blocks))
-            self.dropped.append(self.dropped[stack[-1]] or is_boilerplate(tag, attrs, in_article))
+            self.mark.append(boilerplate(tag, attrs, in_article))
+            self.skipped.append(self.skipped[stack[-1]] or self.mark[-1] == HARD)
             stack.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -170,11 +184,34 @@ class Page:
                 stack.pop()
             elif attrs.endswith("/") and tag not in CLOSES_P and tag not in ("body", "html"):
                 stack.pop()
-        if at < n and not self.dropped[stack[-1]]:
+        if at < n and not self.skipped[stack[-1]]:
             text.append(html[at:])
         flush()
         close(1)
 
+    def _drops(self) -> list[bool]:
+        """Marked elements and what is in them. A soft mark doesn't hold for a frame: an element around all of the
+        page's articles, or, where there are none, around four fifths of its text."""
+        n = len(self.tag)
+        last = [i for i in range(n)]  # the last element inside each one
+        for i in range(n - 1, 0, -1):
+            last[self.parent[i]] = max(last[self.parent[i]], last[i])
+        heads = [i for i in range(1, n) if self.tag[i] in ("article", "main") and not self.skipped[i] and self.mark[i] != REPLY and self.start[i] < self.end[i]]
+        size = [0]
+        for b in self.blocks:
+            size.append(size[-1] + len(b))
+        out = [False] * n
+        for i in range(1, n):
+            held = self.mark[i]
+            if held == SOFT:
+                if heads:
+                    frame = i < heads[0] and heads[-1] <= last[i]
+                else:
+                    frame = size[self.end[i]] - size[self.start[i]] >= 0.8 * size[-1]
+                held = 0 if frame else held
+            out[i] = bool(held) or out[self.parent[i]]
+        return out
+
     def _protect(self) -> None:
         """The article's elements: top-level ones of article, else main, that aren't dropped; never deleted whole."""
         n = len(self.tag)

@@ -365,6 +365,10 @@ PAGES = [
     ("<nav><ul><li>menu</ul></nav><article><h1>T</h1><p><b>one.<br><p>two</article><footer>f</footer>", "T one. two"),
     ("<article><p>x</p><form>q<input></form><div class='cookie-notice'>n</div></article>", "x"),
     ("", ""),
+    ("<div class='page with-sidebar'><div class='sidebar'>s</div><article>A</article></div>", "A"),
+    ("<form id='all'><div class='menu'>m</div><p>the text of a page inside one form</p></form>", "the text of a page inside one form"),
+    ("<article>A</article><div id='comments'><article>c1 is rather long</article><article class='comment'>c2</article></div>", "A"),
+    ("<div class='newsletter'>sign up</div><div class='story'><p>one</p><p>two three four five six</p></div>", "one two three four five six"),
 ]
 
 
