@@ -18,7 +18,9 @@ Everything is judged on classes of equal sets, so copies never meet. Candidates
 1. signatures met by two or more classes; each class is verified against the least class of its signature;
 2. components of the links found are taken, and only members of one signature in different components go on:
    they are compared in tiles of bounded size by a parity sketch, whose Hamming distance never exceeds the
-   symmetric difference, so no linked pair is lost, and what passes is verified exactly.
+   symmetric difference, so no linked pair is lost, and what passes is verified exactly. A first round takes the
+   nearest pair of each two components of a tile, which joins most that belong together; a second round takes
+   all pairs of components that are still apart.
 Signatures of near copies thus cost a star, not all pairs, and signatures shared by unlike documents cost a few
 machine words per pair inside a tile.
 
@@ -245,7 +247,16 @@ class _Light:
         return ok[keep]
 
 
-def _tiles(batches):
+def _nearest_pairs(batches):
+    """Of each two components in a tile the pair that is nearest by its sketches."""
+    return _tiles(batches, True)
+
+
+def _all_pairs(batches):
+    return _tiles(batches, False)
+
+
+def _tiles(batches, nearest: bool):
     """Rows sorted by tile: pairs of each tile that may link. A tile is bounded, and so is what is held."""
     held: pa.RecordBatch | None = None
     for batch in batches:
@@ -258,22 +269,23 @@ def _tiles(batches):
         cut = int(new[-1]) if len(new) else 0
         held = batch.slice(cut)
         if cut:
-            yield _compared(batch.slice(0, cut), new[:-1])
+            yield _compared(batch.slice(0, cut), new[:-1], nearest)
     if held is not None and len(held):
-        yield _compared(held, np.zeros(0, np.int64))
+        yield _compared(held, np.zeros(0, np.int64), nearest)
 
 
-def _compared(batch: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+def _compared(batch: pa.RecordBatch, new: np.ndarray, nearest: bool) -> pa.RecordBatch:
     """new: first rows of all tiles but the first."""
     x = _Light(batch)
     start = np.concatenate(([0], new))
     size = np.diff(np.append(start, len(x.cls)))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    tile = np.repeat(np.arange(len(start)), size)
+    found_p, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def compare(p: np.ndarray, q: np.ndarray) -> None:
         hit = x.near(p, q)
-        a.append(x.cls[p[hit]])
-        b.append(x.cls[q[hit]])
+        found_p.append(p[hit])
+        found_q.append(q[hit])
 
     small = size <= SMALL_TILE
     order = np.flatnonzero(small)[np.argsort(size[small], kind="stable")]
@@ -293,8 +305,17 @@ def _compared(batch: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
         for i in left:
             at = right[right > i] if same else right
             compare(np.full(len(at), i), at)
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
+    p, q = np.concatenate(found_p), np.concatenate(found_q)
+    if nearest and len(p):
+        d = np.bitwise_count(x.small[p] ^ x.small[q]).sum(1, dtype=np.int64)
+        c, e = np.minimum(x.comp[p], x.comp[q]), np.maximum(x.comp[p], x.comp[q])
+        order = np.lexsort((d, e, c, tile[p]))
+        t, c, e = tile[p][order], c[order], e[order]
+        first = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (e[1:] != e[:-1])))
+        p, q = p[order[first]], q[order[first]]
+    a, b = x.cls[p], x.cls[q]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)  # once a batch, whatever the signatures
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_PAIR)
 
 
 def _plausible(pairs: DataFrame, light: DataFrame) -> DataFrame:
@@ -358,7 +379,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = sigs.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p <> q").select("sig")
     met = H.settle(met, "jj-met")
     H.release()
-    groups = H.settle(sigs.join(met, "sig"), "jj-groups")  # a class is met more than once where several tasks hold copies
+    groups = H.settle(sigs.join(met, "sig").distinct(), "jj-groups")  # several tasks may hold copies of a class
     H.discard(met)
     lead = groups.groupBy("sig").agg(F.min("cls").alias("lead"))
     star = groups.join(lead, "sig").filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
@@ -369,22 +390,30 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first, tried = _linked(_plausible(star, light), sets, "jj-star")
     H.release()
     parts = H.settle(H.components(first), "jj-parts")
+    links = first
+    for step in (_nearest_pairs, _all_pairs):
+        near = _dealt(groups, parts, light).mapInArrow(step, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        more, verified = _linked(near, sets, "jj-near")
+        links, tried = links.union(more), tried.union(verified)
+        parts = H.settle(H.components(links), "jj-parts")
+        H.release()
+    return members, parts
+
+
+def _dealt(groups: DataFrame, parts: DataFrame, light: DataFrame) -> DataFrame:
+    """Members of signatures that lie in several components, dealt to tiles (sig, i, j) of up to about 2 * TILE rows."""
     placed = groups.join(parts, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
-    open_sigs = placed.groupBy("sig").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("k")).filter("p <> q and k > 2").select("sig", "k")
-    # Only signatures whose members lie in several components go on; rows of one class from several tasks are one.
-    tiles = F.ceil(F.col("k") / TILE).cast("int")
-    dealt = placed.join(open_sigs, "sig").distinct().join(light, "cls").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select(
+    names = [F.bit_xor(F.xxhash64(F.lit(i), "cls")).alias(f"h{i}") for i in (1, 2)]
+    several = placed.groupBy("sig").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("k"), *names).filter("p <> q and k > 2")
+    several = several.groupBy("k", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "k")  # equal groups are compared once
+    rows = placed.join(several, "sig").join(light, "cls").withColumn("tiles", F.ceil(F.col("k") / TILE).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select(
         "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "n", "sketch",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    parts_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts_, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    near = dealt.mapInArrow(_tiles, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    second, _ = _linked(near, sets, "jj-near")
-    links = first.union(second)
-    return members, H.settle(H.components(links), "jj-components")
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
 
 def groups(docs: DataFrame) -> DataFrame:
