@@ -66,7 +66,7 @@ def release() -> None:
         gc.collect()
         if spark is not None:
             spark._jvm.System.gc()
-            time.sleep(0.25)
+            time.sleep(float(spark.conf.get("spark.tessera.release.pause", "0.25")))
 
 
 BATCH_ROWS = 1_000
