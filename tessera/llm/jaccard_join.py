@@ -9,10 +9,11 @@ differ in at most H segments, so among any H + 1 of the segments that hold somet
 agrees. A set therefore indexes its first H + 1 such segments, with H from its own size and the largest partner
 it can have, in the scheme of its own band and, where a smaller partner may be in the band below, in that
 scheme too. (If a <= b are the last segments indexed by two linked sets, every segment of the first set up to a
-that agrees is among those indexed by the second.) Cost-based allocation decides how the H + 1 units are spent:
-one unit buys one segment subset matched exactly; two units buy a pair of neighbouring segments matched with one
-deletion (its own hash and those with one shingle less), which is bought only where the pair is so small that it
-costs no more signatures and the plain segments would be too unselective, that is for small sets.
+that agrees is among those indexed by the second.) Cost-based allocation decides how the H + 1 units are spent.
+An exact match of a segment is one signature a unit. A match of a segment with one deletion (its own name and
+those with one shingle less) counts two units and costs one signature more than the segment has shingles, that is
+as much or more a unit. So a set with more than H segments that hold something buys exact matches only; one that
+crowds into fewer buys all m segments with their one-deletion neighbourhoods, 2 m > H units, which always suffice.
 
 Everything is judged on classes of equal sets, so copies never meet. Candidates are verified exactly:
 1. signatures met by two or more classes; each class is verified against the least class of its signature;

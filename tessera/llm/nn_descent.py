@@ -181,7 +181,7 @@ def descend(found: DataFrame, seed: int, threshold: float = THRESHOLD, tables: i
     for _ in range(ROUNDS):
         worst = lists.groupBy("a").agg(F.count("*").alias("k"), F.min("sim").alias("low"))
         limits = worst.select("a", F.when((F.col("low") >= threshold) & (F.col("k") >= NARROW), WIDE).otherwise(NARROW).alias("width"), F.when(F.col("k") >= NARROW, F.col("low")).otherwise(-2.0).alias("bound"))
-        limits = H.settle(limits.withColumn("bound", F.when((F.col("width") == WIDE) & (F.col("bound") >= threshold) & F.lit(True), F.col("bound")).otherwise(F.col("bound"))), "nn-limits")
+        limits = H.settle(limits, "nn-limits")
         named = lists.withColumn("back", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a"))).filter(F.col("back") <= NARROW)
         around = lists.filter(F.col("rank") <= NARROW).select(F.col("a").alias("w"), "b").union(named.select(F.col("b").alias("w"), F.col("a").alias("b"))).distinct()
         around = around.join(limits.select(F.col("a").alias("b"), "bound"), "b").join(vec, "b")
