@@ -11,10 +11,15 @@ from tessera.functions.text import analyzed
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, term, tf, len): one pass and one shuffle; the document's length travels with its terms."""
+def postings(docs: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
+    """(doc, term, tf, len): one pass and one shuffle; the document's length travels with its terms.
+
+    only: terms to keep. Others leave inside their document's array, before anything is exploded or shuffled.
+    """
     terms = analyzed(F.col(text))
     rows = docs.select(F.col(key).alias("doc"), terms.alias("terms")).withColumn("len", F.size("terms"))
+    if only is not None:
+        rows = rows.withColumn("terms", F.filter("terms", lambda t: t.isin(only)))
     return rows.select("doc", "len", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
@@ -29,9 +34,7 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 
 def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """(doc, score, matched) of documents that hold a query term. Distinct terms; an idf below zero counts as zero."""
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in sorted({t.lower() for t in query})], "term string")
-    posts = postings(docs, key, text).join(F.broadcast(wanted), "term")  # the query's size bounds it
+    posts = postings(docs, key, text, sorted({t.lower() for t in query}))
     df = document_frequency(posts)
     stats = corpus_stats(docs, text)
     idf = F.greatest(F.lit(0.0), F.log((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

@@ -40,8 +40,8 @@ def bm25_top10(spark, t):
 
 @register("SELECT doc, term, tf FROM (WITH " + _POSTS + " SELECT p.* FROM p) p WHERE doc IN (0, 20, 40, 60) AND term IN ('the', 'der', 'of')")
 def posting_intersection(spark, t):
-    p = search.postings(t("documents").filter("doc_id IN (0, 20, 40, 60)"), "doc_id", "text")
-    return p.filter("term IN ('the', 'der', 'of')").select("doc", "term", "tf")
+    p = search.postings(t("documents").filter("doc_id IN (0, 20, 40, 60)"), "doc_id", "text", ["the", "der", "of"])
+    return p.select("doc", "term", "tf")
 
 
 def _items(t, where=None):
