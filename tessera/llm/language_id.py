@@ -101,7 +101,7 @@ class Model:
         for key in todo:
             rows = np.ones(len(lab), bool) if key[0] == "family" else (lab == key[1]) | (lab == key[2])
             y = np.where((fam if key[0] == "family" else lab)[rows] == key[1], 1.0, -1.0).astype(np.float32)
-            wk, bk = fit_svm(x[rows], y)
+            wk, bk = fit_svm(x if rows.all() else x[rows], y)
             self.keys.append(key)
             w.append(wk)
             b.append(bk)
@@ -156,15 +156,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) ->
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000))
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1.0, each / n)) + 1)])
     sample = known.filter(draw < limit[F.col("lang")]).filter(has_letter(F.col("text"))).select("lang", "text")
-    got = sample.mapInArrow(_sparse, "lang string, idx array<int>, cnt array<int>").limit(rows + len(counts)).collect()
-    if not got:
+    got = sample.mapInArrow(_sparse, "lang string, idx array<int>, cnt array<int>").limit(rows + len(counts)).toArrow()
+    if not len(got):
         return None
-    got.sort(key=lambda r: (r["lang"], r["idx"], r["cnt"]))  # the order of arrival doesn't matter
-    x = np.zeros((len(got), 1 << BITS), np.float32)
-    for i, r in enumerate(got):
-        x[i, r["idx"]] = np.sqrt(r["cnt"])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    return Model(x, [r["lang"] for r in got])
+    got = got.combine_chunks()
+    langs = got["lang"].to_pylist()
+    idx, cnt = ([v.values.to_numpy() for v in got[c]] for c in ("idx", "cnt"))  # views of the counts as they came
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], idx[i].tobytes(), cnt[i].tobytes()))  # arrival doesn't matter
+    x = np.zeros((len(order), 1 << BITS), np.float32)
+    for i, k in enumerate(order):
+        x[i, idx[k]] = np.sqrt(cnt[k])
+        x[i] /= max(float(np.linalg.norm(x[i])), 1e-9)
+    return Model(x, [langs[k] for k in order])
 
 
 def _predictor(model: Model, text_of, letters_at: int, keep: list[int], names: list[str]):
