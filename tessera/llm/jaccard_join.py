@@ -395,8 +395,10 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for step in (_nearest_pairs, _all_pairs):
         near = _dealt(groups, parts, light).mapInArrow(step, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         more, verified = _linked(near, sets, "jj-near")
-        links, tried = links.union(more), tried.union(verified)
-        parts = H.settle(H.components(links), "jj-parts")
+        tried = tried.union(verified)
+        if not more.isEmpty():
+            links = links.union(more)
+            parts = H.settle(H.components(links), "jj-parts")
         H.release()
     return members, parts
 

@@ -170,8 +170,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         nxt = settle(small, "cc")
         # A star forest: no node is both a leaf and a root, and each leaf has one root.
-        n = nxt.count()
-        stable = n == 0 or (nxt.select("a").distinct().count() == n and nxt.select(F.col("b").alias("a")).distinct().join(nxt, "a", "left_semi").isEmpty())
+        sides = nxt.groupBy("a").agg(F.count("*").alias("k"), F.lit(0).alias("root")).union(nxt.select(F.col("b"), F.lit(0).cast("long"), F.lit(1)).distinct())
+        stable = sides.groupBy("a").agg(F.sum("k").alias("k"), F.count("*").alias("roles")).filter("k > 1 or roles > 1").isEmpty()
         discard(e)
         e = nxt
         if stable:
