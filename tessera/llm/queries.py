@@ -76,9 +76,33 @@ SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN owner <> d.page_id
 FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND payload_bytes >= 1000
 """
 
+#: All pairs of a label, then reachability. Vectors that link with nothing are left out of the pairs.
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT node, b FROM r JOIN links ON a = reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT node AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, node = component_id AS kept FROM c LEFT JOIN n ON a = node
+"""
+
+#: All shingles as text, all pairs that share one, then reachability.
+_SHINGLES = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM p), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 75 * (na.n + nb.n - x)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT node, b FROM r JOIN links ON a = reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT node AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = node
+"""
+
 ORACLES: dict[str, str] = {
     "op1_source_mix": source_mix.oracle(),
     "op2_warc_round_trip": _WARC,
     "op4_shard_table": shard_table.oracle(),
+    "op6_embedding_near_dedup": _VECTORS,
     "op8_hamming_top_k": hamming_search.ORACLE,
+    "op9_ngram_jaccard_join": _SHINGLES,
 }
