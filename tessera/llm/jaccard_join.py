@@ -419,15 +419,39 @@ def _dealt(groups: DataFrame, parts: DataFrame, light: DataFrame) -> DataFrame:
     return rows.repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
+def placed(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n, cls (its set) and root (its component; classes that link with nothing are their own)."""
     members, parts = join_classes(docs)
     members = members.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
-    filled = members.join(parts, F.col("cls") == F.col("node"), "left").select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("root"))
+    return members.join(parts, F.col("cls") == F.col("node"), "left").select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("root"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
+    filled = placed(docs)
     least = filled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return filled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _classed_rows(at: int):
+    def run(batches):
+        for batch in batches:
+            names, sizes = [], []
+            for b in _texts(pa.RecordBatch.from_arrays([batch.column(0).field(at)], names=["text"]), "text"):
+                s = shingles(b)
+                names.append(class_name(s))
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["row", "cls", "n"])
+
+    return run
+
+
+def with_class(docs: DataFrame) -> DataFrame:
+    """Rows of docs as a struct `row` of c0, c1, ..., with the class of each text and the size of its set."""
+    packed = H.in_small_batches(docs).select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    return packed.mapInArrow(_classed_rows(docs.columns.index("text")), f"row {packed.schema['row'].dataType.simpleString()}, cls long, n long")
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple]:
     """The same result for a small fixture: all pairs, sets of word tuples."""
     import re

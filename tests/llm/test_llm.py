@@ -464,3 +464,21 @@ def test_pipeline_stages_take_odd_rows(spark, sf):
         for _, stage in pipeline.STAGES:
             docs = shared.settle(stage(spark, docs, sf), "odd")
         assert docs.count() == (0 if start is not df else docs.count())
+
+
+def test_pipeline_near_copies_per_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(5)
+    base = [" ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(80)) for _ in range(6)]
+    rows = [
+        (1, base[0]), (None, base[0] + " more"), (None, base[1]),  # a null id that links, a clean one beside it
+        (2, base[2]), (5, base[2] + " more"), (5, base[3]),  # of two rows with id 5 one is a near copy
+        (7, base[4]), (7, base[4] + " more"),  # near copies that share an id
+        (None, base[5]), (None, base[5] + " more"), (None, base[5].upper()),  # and that have none
+        (8, ""), (9, ""),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in pipeline.drop_near_copies(spark, docs, "").collect()]
+    pick = lambda d, b: sum(i == d and t.lower().startswith(b) for i, t in got)
+    assert [pick(*x) for x in ((1, base[0]), (None, base[1]), (2, base[2]), (5, base[3]), (7, base[4]), (None, base[5]), (8, ""), (9, ""))] == [1] * 8
+    assert len(got) == 8
