@@ -14,6 +14,11 @@ Families come from FAMILIES; a language that isn't listed is a family of its own
 Defined results: lang_pred is `und` with score 0 where text is null or has no letter, or where there is no
 labelled row to learn from. Rows with a null doc_id are predicted and never learned from. Equal texts get equal
 predictions. One learned language: it is predicted with score 1. Other columns are ignored.
+
+`keep_identified` also measures the fit: the mean log ratio, over a text's trigrams, of their share in the learned
+languages (mixed in equal parts) to a uniform one. Below `floor` no learned language fits, however many families
+there are. The floor is 0, or lower where the lowest hundredth of the labelled rows, each measured without itself,
+lies lower; with too few of them, or for texts of fewer than `JUDGED` trigrams, nothing is rejected by it.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ BITS = 13
 PER_LANGUAGE = 300
 ROWS = 2_400
 UNKNOWN = "und"
+#: Texts of fewer trigrams are too short to say that no language fits; so many labelled rows at least set the floor.
+JUDGED, CALIBRATED = 20, 20
 
 #: ISO 639-1 codes by family.
 FAMILIES = {
@@ -107,6 +114,31 @@ class Model:
             b.append(bk)
         self.w = np.stack(w, 1) if w else np.zeros((1 << BITS, 0), np.float32)
         self.b = np.array(b, np.float32)
+        self.odds, self.floor = np.zeros(1 << BITS, np.float32), -np.inf
+
+    def calibrate(self, langs: list[str], idx: list[np.ndarray], cnt: list[np.ndarray]) -> None:
+        """Set odds and floor from the labelled rows: language, trigrams and their counts."""
+        place = {k: i for i, k in enumerate(self.langs)}
+        seen = np.zeros((len(place), 1 << BITS))
+        for k, i, n in zip(langs, idx, cnt, strict=True):
+            seen[place[k], i] += n
+        total = seen.sum(1, keepdims=True)
+        mixed = lambda c, t: np.log(((c + 0.5) / (t + 0.5 * (1 << BITS))).mean(0) * (1 << BITS))
+        self.odds = mixed(seen, total).astype(np.float32)
+        fits = []
+        for k, i, n in zip(langs, idx, cnt, strict=True):
+            if n.sum() < JUDGED:
+                continue
+            c, t = seen[:, i], total.copy()
+            c[place[k]] -= n
+            t[place[k]] -= n.sum()
+            fits.append(float(n @ mixed(c, t) / n.sum()))
+        if len(fits) >= CALIBRATED:
+            self.floor = min(0.0, float(np.quantile(fits, 0.01)))
+
+    def fits(self, raw: bytes) -> bool:
+        at = trigrams(raw)
+        return len(at) < JUDGED or float(self.odds[at].mean()) >= self.floor
 
     def predict(self, margins: np.ndarray) -> tuple[str, float]:
         at = dict(zip(self.keys, margins.tolist(), strict=True))
@@ -167,16 +199,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) ->
     for i, k in enumerate(order):
         x[i, idx[k]] = np.sqrt(cnt[k])
         x[i] /= max(float(np.linalg.norm(x[i])), 1e-9)
-    return Model(x, [langs[k] for k in order])
+    model = Model(x, [langs[k] for k in order])
+    model.calibrate(*([c[k] for k in order] for c in (langs, idx, cnt)))
+    return model
 
 
-def _predictor(model: Model, text_of, letters_at: int, keep: list[int], names: list[str]):
+def _predictor(model: Model, text_of, letters_at: int, keep: list[int], names: list[str], reject: bool = False):
     def run(batches):
         for batch in batches:
             lang, score = [], []
             ok = batch.column(letters_at)
             for raw, letters in zip(text_of(batch).cast(pa.large_binary()), ok, strict=True):
-                if not letters.as_py():
+                if not letters.as_py() or (reject and not model.fits(raw.as_py())):
                     lang.append(UNKNOWN)
                     score.append(0.0)
                     continue
@@ -198,13 +232,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """Rows of docs whose language is identified with a score of `least` or more; columns stay as they are."""
+    """Rows of docs that a learned language fits and whose language is identified with a score of `least` or more; columns stay as they are."""
     docs = H.in_small_batches(docs)
     packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), has_letter(F.col("text")).alias("letters"))
     if model is None:
         return docs.limit(0)
     row_type = packed.schema["row"].dataType.simpleString()
     at = docs.columns.index("text")
-    run = _predictor(model, lambda batch: batch.column(0).field(at), 1, [0], ["row", "lang_pred", "score"])
+    run = _predictor(model, lambda batch: batch.column(0).field(at), 1, [0], ["row", "lang_pred", "score"], reject=True)
     seen = packed.mapInArrow(run, f"row {row_type}, lang_pred string, score double")
     return seen.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -126,6 +126,17 @@ def test_language_edges(spark):
     assert language_id.keep_identified(df, model, 0.1).count() == 4
 
 
+def test_language_not_learned_is_rejected(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = shared.table(spark, sf, "documents")
+    r = random.Random(4)
+    random_letters = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(60))
+    odd = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "Pchnąć w tę łódź jeża lub ośm skrzyń fig, wszyscy ludzie rodzą się wolni", random_letters, "x" * 500]
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "odd", len(t)) for i, t in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in pipeline.identify_language(spark, docs.unionByName(more), sf).select("doc_id").collect()}
+    assert kept == {x.doc_id for x in docs.filter(language_id.has_letter(docs["text"])).select("doc_id").collect()}
+
+
 # ---------------------------------------------------------------- op4
 
 
