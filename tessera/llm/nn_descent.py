@@ -11,6 +11,9 @@ Vectors are compared only where labels are equal and not null, by cosine in doub
 3. Saturated lists, those whose worst entry still links, are enlarged twofold, up to `WIDE`. What lists can't hold
    is completed exactly: links lie inside components, so all members of a component of three or more are compared
    in tiles of bounded size, and their links counted. No list's width limits n_links.
+   Full lists can hide links to another component, but only where a node has at least NARROW better ones, so inside
+   components of more than NARROW nodes. Any two of these of one label that may touch, by the angles between their
+   least nodes and from these to their members, are compared exactly, too (`bridges`), and joined where a pair links.
 4. Audit: `AUDIT` nodes, chosen by a hash, are compared with all rows in blocks. Where under `RECALL` of their
    links lie inside the components found, another start with other hyperplanes is merged in, and again.
 
@@ -41,6 +44,7 @@ TILE = 512
 AUDIT = 200
 RECALL = 0.995
 STARTS = 3
+SMALL_CENTERS = 1_000
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
@@ -213,6 +217,95 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate((node[left], node[right]))), pa.array(np.concatenate((hit @ copies[right], hit.T @ copies[left])))], schema=schema)
 
 
+def _angles(batches):
+    """Angle of each member to its component's least node."""
+    for batch in batches:
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        out = np.zeros(len(batch))
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            part = batch.take(pa.array(at))
+            out[at] = np.arccos(np.clip(np.einsum("ij,ij->i", _matrix(part), _matrix(part, "center")), -1, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["component", "angle"])
+
+
+_PAIRS = pa.schema([("p", pa.int64()), ("q", pa.int64())])
+SLACK = 1e-6
+
+
+def _touching(table: pa.Table) -> pa.Table:
+    """Pairs of components in a tile that may link: angles that the triangle inequality doesn't rule out."""
+    batches = table.combine_chunks().to_batches()
+    if not batches:
+        return pa.Table.from_batches([], schema=_PAIRS)
+    batch = batches[0]
+    component, side, reach = _column(batch, "component"), _column(batch, "side"), _column(batch, "radius")
+    x = _matrix(batch)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    apart = np.arccos(np.clip(x[left] @ x[right].T, -1, 1))
+    near = apart <= reach[left][:, None] + reach[right] + np.arccos(_column(batch, "threshold")[0]) + SLACK
+    if (side == 2).any():
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    return pa.table([pa.array(component[left[i]]), pa.array(component[right[j]])], schema=_PAIRS)
+
+
+_BRIDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _bridge(table: pa.Table) -> pa.Table:
+    """One link between the two sides of a tile, if there is any."""
+    batches = table.combine_chunks().to_batches()
+    if not batches:
+        return pa.Table.from_batches([], schema=_BRIDGE)
+    batch = batches[0]
+    node, side = _column(batch, "node"), _column(batch, "side")
+    x = _matrix(batch)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    sim = x[left] @ x[right].T
+    if not sim.size or sim.max() < _column(batch, "threshold")[0]:
+        return pa.Table.from_batches([], schema=_BRIDGE)
+    i, j = np.unravel_index(sim.argmax(), sim.shape)
+    return pa.table([pa.array(node[left[[i]]]), pa.array(node[right[[j]]])], schema=_BRIDGE)
+
+
+def bridges(found: DataFrame, parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
+    """Links (a, b) between components of more than NARROW nodes, one at least for each two that link; None where there is none."""
+    large = parts.groupBy("component").agg((F.count("*") + 1).alias("k")).filter(F.col("k") > NARROW)
+    large = H.settle(large, "nn-large")
+    count = large.count()
+    if count < 2:
+        return None
+    at = parts.union(large.select("component", "component"))  # roots, too
+    members = H.settle(found.select("node", "grp", "v").join(at, "node").join(large, "component"), "nn-members")
+    centers = members.filter("node = component").select("component", F.col("v").alias("center"))
+    angles = members.select("component", "v").join(F.broadcast(centers) if count <= SMALL_CENTERS else centers, "component").select("component", "v", "center")
+    radius = angles.mapInArrow(_angles, "component long, angle double").groupBy("component").agg(F.max("angle").alias("radius"))
+    balls = H.settle(members.filter("node = component").select("component", "grp", "k", "v").join(radius, "component"), "nn-balls")
+    several = balls.groupBy("grp").agg(F.count("*").alias("balls")).filter("balls > 1")
+    dealt = _dealt(balls.join(several, "grp"), "component", "balls").select("grp", "i", "j", "component", "radius", "side", "v", F.lit(threshold).alias("threshold"))
+    touch = H.settle(dealt.groupBy("grp", "i", "j").applyInArrow(_touching, "p long, q long"), "nn-touch")
+    tiles = balls.select("component", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64(F.lit("tile"), "node"), F.ceil(F.col("k") / TILE)).cast("int").alias("own")
+    mine = members.select("component", "node", "v", own)
+    all_tiles = lambda name: F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias(name)
+    left = touch.join(tiles.withColumnRenamed("component", "q"), "q").select("p", "q", all_tiles("j")).join(mine.withColumnRenamed("component", "p"), "p")
+    right = touch.join(tiles.withColumnRenamed("component", "p"), "p").select("p", "q", all_tiles("i")).join(mine.withColumnRenamed("component", "q"), "q")
+    sides = left.select("p", "q", F.col("own").alias("i"), "j", "node", "v", F.lit(0).alias("side")).union(right.select("p", "q", "i", F.col("own").alias("j"), "node", "v", F.lit(1).alias("side")))
+    links = sides.withColumn("threshold", F.lit(threshold)).groupBy("p", "q", "i", "j").applyInArrow(_bridge, "a long, b long")
+    links = H.settle(links, "nn-bridges")
+    H.discard(members, balls, touch, large)
+    return None if links.isEmpty() else links
+
+
+def _dealt(rows: DataFrame, name: str, k: str) -> DataFrame:
+    """Rows of a group of k in tiles of bounded size, such that any two meet in one tile (i, j); side 2 where i = j."""
+    dealt = rows.withColumn("tiles", F.ceil(F.col(k) / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit("tile"), name), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": side})
+
+
 def _audit(ids: np.ndarray, grp: np.ndarray, vectors: list[np.ndarray], threshold: float):
     def run(batches):
         for batch in batches:
@@ -255,6 +348,10 @@ def components_of(found: DataFrame, threshold: float = THRESHOLD, recall: float
         pairs = descend(found, 1 + start, threshold)
         links.append(H.settle(pairs.filter(F.col("sim") >= threshold).select("a", "b"), "nn-links"))
         parts = H.settle(H.components(reduce(DataFrame.union, links)), "nn-parts")
+        more = bridges(found, parts, threshold)
+        if more is not None:
+            links.append(more)
+            parts = H.settle(H.components(reduce(DataFrame.union, links)), "nn-parts")
         at = parts.select(F.col("node").alias("n"), "component")
         placed = audit.join(at.withColumnsRenamed({"n": "a", "component": "p"}), "a", "left").join(at.withColumnsRenamed({"n": "b", "component": "q"}), "b", "left")
         hits = placed.filter(F.coalesce("p", "a") == F.coalesce("q", "b")).count()
@@ -272,11 +369,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     placed = found.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = placed.groupBy("component").agg(F.count("*").alias("k"), F.min("low").alias("least"))
     inside = H.settle(placed.join(per.filter("k > 1"), "component"), "nn-inside")
-    tiles = F.ceil(F.col("k") / TILE).cast("int")
-    dealt = inside.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "copies", side.alias("side"), "v", F.lit(threshold).alias("threshold"))
+    dealt = _dealt(inside, "node", "k").select("component", "i", "j", "node", "copies", "side", "v", F.lit(threshold).alias("threshold"))
     counted = dealt.groupBy("component", "i", "j").applyInArrow(_tile, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     facts = placed.join(per, "component").join(counted, "node", "left").select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.join(facts, "node", "left")

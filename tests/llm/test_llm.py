@@ -218,6 +218,20 @@ def test_near_duplicate_vectors(spark):
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True)) and sum(x[1] for x in got) >= 0.99 * links
 
 
+def test_near_duplicate_vectors_across_dense_groups(spark):
+    rng = np.random.default_rng(3)
+    base, other = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    angle = np.arccos(0.945)
+    rows = []
+    for center in (base, np.cos(angle) * base + np.sin(angle) * other):
+        for _ in range(200):
+            e = rng.standard_normal(64)
+            rows.append((len(rows), [float(x) for x in center + 0.05 * e / np.linalg.norm(e)], 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, nn_descent.near_duplicates(df).collect()))
+    assert got == nn_descent.brute_force(rows) and got[-1][1] > 300 and sum(x[3] for x in got) == 1
+
+
 def test_near_duplicate_vectors_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.99, 0.1], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [float("nan"), 1.0], 1), (9, [1.0, 0.0], None), (10, [1.0, 0.0, 0.0], 1), (11, [], 1), (12, [2.0, 0.0], 1)]
     df = spark.createDataFrame([x + (1,) for x in rows], "vec_id long, embedding array<float>, label int, n_links int")
