@@ -5,10 +5,11 @@ do where it matters for text). Three things decide what is text:
 
 1. Roles: elements that are boilerplate by their tag, ARIA role, hidden state or by a word of their class or id
    (menus, headers and footers of the page, sidebars, notices, adverts, forms, comments of readers, markup).
-2. Site templates: every element's subtree gets a hash of its tags and text; Spark counts on how many pages of a
-   host each hash occurs; subtrees that recur on `MIN_PAGES` pages or more are deleted. The element that holds the
-   page's article is never deleted as a whole, nor are its paragraphs, headings, quotes, list items and table
-   cells, which are what it says.
+2. Site templates: every element's subtree gets a hash of its tags and text; Spark counts on how many distinct
+   pages of a host each hash occurs (whole copies of a page count once); subtrees that recur on `MIN_PAGES` pages
+   and on `SHARE` of the host's pages or more are deleted. The element that holds the page's article is never
+   deleted as a whole, nor are its paragraphs, headings, quotes, list items and table cells, which are what it
+   says; they stay where a list, table or section around them is deleted, too.
 3. The article: what is left of the top-level `article` elements (else of `main`, else of the body).
 
 If template removal would leave no text at all, the page is one that the host serves often: it keeps its text.
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from . import shared as H
 
 MIN_PAGES = 10
+SHARE = 0.1
 SMALL_DELETIONS = 200_000  # up to so many pages with deletions are broadcast (some hundred bytes each)
 
 #: Element names of HTML by what they do to text.
@@ -243,19 +245,23 @@ class Page:
         for i in range(1, len(self.tag)):
             if i in self.kept or self.start[i] == self.end[i] or (self.dropped[i] and self.dropped[self.parent[i]]):
                 continue
-            if self.tag[i] in TEXTUAL and self.roots and self.inside[i]:
+            if self._says(i):
                 continue
             packed = np.array(ids[self.start[i] : self.end[i]], np.uint64).tobytes()
             h = xxhash.xxh3_64_intdigest(self.tag[i].encode() + b"\0" + packed)
             out[i] = h - (1 << 64) if h >= 1 << 63 else h
         return out
 
+    def _says(self, node: int) -> bool:
+        """What the article says: no template takes it."""
+        return bool(self.roots) and self.inside[node] and self.tag[node] in TEXTUAL
+
     def text(self, templates: frozenset[int] = frozenset()) -> str:
         dropped = list(self.dropped)
         if templates:
             names = self.hashes()
             for i in range(1, len(self.tag)):
-                dropped[i] = dropped[i] or dropped[self.parent[i]] or names.get(i) in templates
+                dropped[i] = dropped[i] or names.get(i) in templates or (dropped[self.parent[i]] and not self._says(i))
         blocks = [b for k, b in enumerate(self.blocks) if not dropped[self.owner[k]] and (not self.roots or self._in_roots(k))]
         if not blocks and templates:
             return self.text()
@@ -273,17 +279,19 @@ def host_of(url: str | None) -> str:
 
 
 def _subtrees(batches):
-    """One row for each host, page and subtree hash; pages as the hash of the row's key."""
+    """One row for each host, page and subtree hash; pages as the hash of the row's key, copy as that of the HTML."""
     for batch in batches:
-        hosts, pages, names = [], [], []
+        hosts, pages, copies, names = [], [], [], []
         for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if not html:
                 continue
             found = set(Page(html).hashes().values())
+            copy = xxhash.xxh3_64_intdigest(html.encode("utf-8", "surrogatepass"))
             hosts += [host_of(url)] * len(found)
             pages += [page] * len(found)
+            copies += [copy - (1 << 64) if copy >= 1 << 63 else copy] * len(found)
             names += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(names, pa.int64())], names=["host", "page", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(copies, pa.int64()), pa.array(names, pa.int64())], names=["host", "page", "copy", "h"])
 
 
 def _extracted(batches):
@@ -296,9 +304,11 @@ def _extracted(batches):
 
 def templates(keyed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page, gone): the subtree hashes to delete from each page that has any. keyed: page, url, html."""
-    rows = keyed.select("page", "url", "html").mapInArrow(_subtrees, "host string, page long, h long")
+    rows = keyed.select("page", "url", "html").mapInArrow(_subtrees, "host string, page long, copy long, h long")
     rows = H.settle(rows, "html-subtrees")
-    often = rows.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "h")
+    size = rows.groupBy("host").agg(F.countDistinct("copy").alias("pages"))
+    often = rows.groupBy("host", "h").agg(F.countDistinct("copy").alias("n")).filter(F.col("n") >= min_pages)
+    often = often.join(size, "host").filter(F.col("n") >= F.col("pages") * SHARE).select("host", "h")
     return rows.join(often, ["host", "h"]).groupBy("page").agg(F.collect_set("h").alias("gone"))
 
 

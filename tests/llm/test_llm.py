@@ -420,6 +420,17 @@ def test_templates_are_deleted_per_host(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_templates_leave_what_articles_say(spark):
+    copy = "<article><h1>T</h1><ul><li>a</li></ul></article>"
+    rows = [(i, "http://copies.com/x", copy) for i in range(12)]
+    rows += [(100 + i, f"http://list.com/{i}", f"<article><p>own {i}</p><div>frame<ul><li>shared</li></ul></div></article>") for i in range(12)]
+    rows += [(1000 + i, f"http://large.com/{i}", f"<body><div>menu</div><p>{'quote' if i < 10 else f'word {i}'}</p><p>own {i}</p></body>") for i in range(150)]
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(12)} == {"T a"}
+    assert all(got[100 + i] == f"own {i} shared" for i in range(12))
+    assert [got[1000], got[1009], got[1020]] == ["quote own 0", "quote own 9", "word 20 own 20"]
+
+
 def test_pages_of_the_table(spark, sf):
     import html
     import re
