@@ -232,6 +232,23 @@ def test_near_duplicate_vectors_across_dense_groups(spark):
     assert got == nn_descent.brute_force(rows) and got[-1][1] > 300 and sum(x[3] for x in got) == 1
 
 
+def test_full_lists_hide_no_component(spark, monkeypatch):
+    """Lists as good as WIDE entries can be, and no audited node in the two groups."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.array([1.0, 0.3 * (i >= 20), 0, 0]) + 0.01 * rng.standard_normal(4)], 1) for i in range(40)]
+
+    def best(found, *_):
+        got = found.select("node", "v").collect()
+        x = np.array([r.v for r in got]) / np.linalg.norm([r.v for r in got], axis=1, keepdims=True)
+        sim = x @ x.T - 2 * np.eye(len(x))
+        return spark.createDataFrame([(got[i].node, got[int(j)].node, float(sim[i, j])) for i in range(len(x)) for j in np.argsort(-sim[i])[: nn_descent.WIDE]], "a long, b long, sim double")
+
+    monkeypatch.setattr(nn_descent, "descend", best)
+    monkeypatch.setattr(nn_descent, "true_links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted(map(tuple, got.collect())) == nn_descent.brute_force(rows)
+
+
 def test_near_duplicate_vectors_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.99, 0.1], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [float("nan"), 1.0], 1), (9, [1.0, 0.0], None), (10, [1.0, 0.0, 0.0], 1), (11, [], 1), (12, [2.0, 0.0], 1)]
     df = spark.createDataFrame([x + (1,) for x in rows], "vec_id long, embedding array<float>, label int, n_links int")
