@@ -25,7 +25,9 @@ Everything is judged on classes of equal sets, so copies never meet. Candidates
 Signatures of near copies thus cost a star, not all pairs, and signatures shared by unlike documents cost a few
 machine words per pair inside a tile.
 
-Sets are held as 64-bit shingle names and a class as a 64-bit name of its set. Defined results: null, empty and
+Words, shingles and classes are held by names of 64 bits: words by a mixing hash of their bytes, eight at a time,
+shingles by a polynomial in these names. A text is cut into words once for its class, sketch and signatures, and once
+more where its set is verified. Defined results: null, empty and
 blank texts have n_shingles 0 and are their own component. component_id is the least doc_id reachable; a null
 doc_id takes no part as a least id unless all are null. Rows that share a doc_id are separate rows, and share a
 component only through their sets.
@@ -33,10 +35,11 @@ component only through their sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,37 +51,115 @@ SKETCH, SKETCH_MOST = 16, 128  # words of 64 bits: for small sets, and at most
 TILE = 512  # classes of one signature compared at once
 SMALL_IDS = 1_000_000  # up to so many ids are broadcast (16 bytes each); beyond that they are joined by a shuffle
 
-_NULL_ID = -(2**63)
+PIECE = 4 << 20  # bytes that are cut into words at once
+LONG_WORD = 512  # bytes; longer words are named one by one
+CLASSES_HELD = 200_000  # classes that a task knows to have written
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_WORD = np.ones(256, bool)
+_WORD[[32, 9, 10, 11, 12, 13]] = False
+_SPACE = re.compile(rb"[ \t-\r]")
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words_between(data: np.ndarray, lo: int, hi: int, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, 64-bit name) of the words of data[lo:hi], A-Z lower-cased. Texts begin at heads."""
+    b = np.zeros(hi - lo + 8, np.uint8)
+    np.take(_LOWER, data[lo:hi], out=b[:-8])
+    word = np.zeros(hi - lo + 2, bool)  # one further on, so that both ends have a neighbour
+    np.take(_WORD, b[:-8], out=word[1:-1])
+    cut = np.zeros(hi - lo + 1, bool)
+    cut[heads[(heads > lo) & (heads < hi)] - lo] = True
+    first = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))
+    size = np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + 1 - first
+    eights = np.ndarray((hi - lo + 1,), "<u8", b, strides=(1,))
+    names = H.splitmix(size.astype(np.uint64))
+    live, at, left = np.arange(len(first)), first, size
+    while len(live):  # eight bytes of each word at a time
+        names[live] = H.splitmix(names[live] ^ (eights[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        more = (left > 8) & (size[live] <= LONG_WORD)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        names[i] = xxhash.xxh3_64_intdigest(b[first[i] : first[i] + size[i]].tobytes())
+    return first + lo, names
+
+
+def word_names(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words of the texts data[edge[i] : edge[i + 1]], and the number of words of each text."""
+    places, names, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], int(edge[0])
+    while lo < edge[-1]:
+        k = int(np.searchsorted(edge, lo + PIECE, side="right")) - 1
+        hi = int(edge[k])
+        if hi <= lo:  # one text that is longer: cut between words
+            last, hi = int(edge[k + 1]), lo + PIECE
+            while hi < last and _WORD[data[hi]]:
+                step = _SPACE.search(data[hi : hi + PIECE].tobytes())
+                hi = min(last, hi + (step.start() if step else PIECE))
+        at, name = _words_between(data, lo, hi, edge)
+        places.append(at)
+        names.append(name)
+        lo = hi
+    return np.concatenate(names), np.diff(np.searchsorted(np.concatenate(places), edge))
+
+
+class Sets:
+    """Sorted distinct 64-bit shingle names of several texts, one after the other: values[edge[i] : edge[i + 1]]."""
+
+    def __init__(self, values: np.ndarray, edge: np.ndarray):
+        self.values, self.edge = values, edge
+        self.size = np.diff(edge)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.edge[i] : self.edge[i + 1]]
+
+    def take(self, rows: np.ndarray) -> Sets:
+        size = self.size[rows]
+        edge = np.concatenate(([0], np.cumsum(size)))
+        return Sets(self.values[np.repeat(self.edge[rows] - edge[:-1], size) + np.arange(edge[-1])], edge)
+
+    def names(self) -> np.ndarray:
+        """64-bit names of the sets; 0 for empty ones."""
+        out = np.zeros(len(self.size), np.int64)
+        some = np.flatnonzero(self.size)
+        if len(some):
+            sums = np.add.reduceat(self.values, self.edge[some])
+            out[some] = H.splitmix(sums + (self.size[some].astype(np.uint64) << np.uint64(40))).view(np.int64)
+        return out
+
+
+def shingle_sets(data: np.ndarray, edges: np.ndarray, width: int = WIDTH) -> Sets:
+    """Sets of the texts data[edges[i] : edges[i + 1]] of UTF-8 bytes."""
+    names, size = word_names(data, edges)
+    words = np.split(names, np.cumsum(size)[:-1]) if (size < width).any() else []
+    names = np.concatenate((names, np.zeros(width, np.uint64)))
+    h = np.zeros(len(names) - width, np.uint64)
+    for k in range(width):
+        h = h * np.uint64(H.BASE) + names[k : k + len(h)]
+    h = H.splitmix(h + np.uint64(width))
+    start = np.cumsum(size) - size
+    for i in np.flatnonzero((size > 0) & (size < width)):  # the whole sequence as one
+        one = np.zeros(1, np.uint64)
+        for x in words[i]:
+            one = one * np.uint64(H.BASE) + x
+        h[start[i]] = H.splitmix(one + np.uint64(size[i]))[0]
+    count = np.where(size > 0, np.maximum(1, size - width + 1), 0)
+    edge = np.concatenate(([0], np.cumsum(count)))
+    h = h[np.repeat(start - edge[:-1], count) + np.arange(edge[-1])]
+    new = np.ones(len(h), bool)
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        h[lo:hi].sort()
+    new[1:] = h[1:] != h[:-1]
+    new[edge[:-1][count > 0]] = True
+    return Sets(h[new], np.concatenate(([0], np.cumsum(new)))[edge])
+
+
+def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit shingle names of UTF-8 bytes."""
+    return shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), width).values
 
 
-def shingles(b: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit shingle names of UTF-8 bytes."""
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    word = ~_SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0]))))
-    first, stop = edge[::2], edge[1::2]
-    if not len(first):
-        return np.zeros(0, np.uint64)
-    sums = H.prefix_sums(H.BYTE_CODES[_LOWER[b]])
-    words = H.splitmix(H.spans_hash(sums, first, stop) ^ (stop - first).astype(np.uint64))
-    w = min(width, len(words))
-    h = np.zeros(len(words) - w + 1, np.uint64)
-    for k in range(w):
-        h = h * np.uint64(H.BASE) + words[k : len(words) - w + 1 + k]
-    return np.unique(H.splitmix(h + np.uint64(w)))
-
-
-def class_name(s: np.ndarray) -> int:
-    """Name of a set; 0 for the empty one."""
-    return int(H.splitmix(s[:1] * np.uint64(0) + s.sum() + np.uint64(len(s) << 40)).view(np.int64)[0]) if len(s) else 0
-
-
-def difference_bound(a: int, b: int) -> int:
+def difference_bound(a, b):
     """Largest symmetric difference of linked sets with a and b members."""
     return (a + b) * (DEN - NUM) // (DEN + NUM)
 
@@ -88,22 +169,31 @@ def segments_of_band(t: int) -> int:
     return 2 << t if t < 5 else 7 << (t - 3)
 
 
-def _scheme(s: np.ndarray, t: int, most: int) -> np.ndarray:
-    """Signatures of set s in the scheme of band t for partners of up to `most` members.
+def _schemes(sets: Sets, t: np.ndarray, most: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, signature) of sets (none empty), each in the scheme of band t for partners of up to `most` members.
 
-    Segments are ranges of the shingle names, which are uniform, so the sorted set lies in segment order.
+    Segments are ranges of the shingle names, which are uniform, so a sorted set lies in segment order.
     """
-    need = difference_bound(len(s), most) + 1
-    m = segments_of_band(t)
-    salt = np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64))
-    seg = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    head = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1))
-    names = np.add.reduceat(s, head)
-    ids = seg[head]
-    if len(head) >= need:
-        # Enough segments hold something: exact subsets of one segment each, one signature a unit.
-        return H.splitmix(names[:need] ^ (ids[:need] * np.uint64(0xD1342543DE82EF95) + salt))
-    return _with_deletions(s, ids, head, names, m, salt)
+    rows = np.repeat(np.arange(len(t)), sets.size)
+    need = difference_bound(sets.size, most) + 1
+    m = np.array([segments_of_band(int(k)) for k in t], np.uint64)
+    salt = t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    seg = ((sets.values >> np.uint64(32)) * m[rows]) >> np.uint64(32)
+    new = np.ones(len(seg), bool)
+    new[1:] = seg[1:] != seg[:-1]
+    new[sets.edge[:-1]] = True
+    head = np.flatnonzero(new)
+    at, ids, names = rows[head], seg[head], np.add.reduceat(sets.values, head)
+    edge = np.searchsorted(head, sets.edge)
+    enough = np.diff(edge) >= need
+    # Enough segments hold something: exact subsets of one segment each, one signature a unit.
+    use = enough[at] & (np.arange(len(head)) - edge[at] < need[at])
+    out = [(at[use], H.splitmix(names[use] ^ (ids[use] * np.uint64(0xD1342543DE82EF95) + salt[at[use]])))]
+    for i in np.flatnonzero(~enough):
+        lo, hi = edge[i], edge[i + 1]
+        sig = _with_deletions(sets[i], ids[lo:hi], head[lo:hi] - sets.edge[i], names[lo:hi], int(m[i]), salt[i])
+        out.append((np.full(len(sig), i), sig))
+    return out
 
 
 def _with_deletions(s: np.ndarray, ids: np.ndarray, head: np.ndarray, names: np.ndarray, m: int, salt: np.uint64) -> np.ndarray:
@@ -123,16 +213,28 @@ def _with_deletions(s: np.ndarray, ids: np.ndarray, head: np.ndarray, names: np.
     ))
 
 
+def all_signatures(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of sets, none empty, in order of rows; linked sets share at least one signature."""
+    n = sets.size
+    t = np.array([int(x).bit_length() - 1 for x in n], np.int64)
+    out = _schemes(sets, t, n * DEN // NUM)
+    below = np.flatnonzero((t > 0) & (n * NUM <= ((1 << t) - 1) * DEN))  # a partner may be in the band below
+    if len(below):
+        out += [(below[r], s) for r, s in _schemes(sets.take(below), t[below] - 1, (1 << t[below]) - 1)]
+    rows, sigs = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], sigs[order]
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a set; linked sets share at least one."""
-    n = len(s)
-    if not n:
-        return s
-    t = n.bit_length() - 1
-    out = [_scheme(s, t, n * DEN // NUM)]
-    if t and n * NUM <= ((1 << t) - 1) * DEN:  # a partner may be in the band below
-        out.append(_scheme(s, t - 1, (1 << t) - 1))
-    return np.concatenate(out)
+    return all_signatures(Sets(s, np.array([0, len(s)])))[1] if len(s) else s
+
+
+def _words(n: int) -> int:
+    words = SKETCH
+    while words < SKETCH_MOST and words * 32 < n:
+        words *= 2
+    return words
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -140,9 +242,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
     Two bits a member, so that it stays telling for large sets; a sketch folds into one of half its size.
     """
-    words = SKETCH
-    while words < SKETCH_MOST and words * 32 < len(s):
-        words *= 2
+    words = _words(len(s))
     bit = ((H.splitmix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(30)) & np.uint64(words * 64 - 1)).astype(np.int64)
     odd = np.bincount(bit, minlength=words * 64) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -159,55 +259,50 @@ def fold(sketches: np.ndarray, words: int) -> np.ndarray:
 # ---------------------------------------------------------------- passes over the texts
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
-    col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
-    offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
-    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
-    for i in range(len(col)):
-        yield data[offsets[i] : offsets[i + 1]] if col[i].is_valid else data[:0]
-
+def _texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, edges) of a column of texts; null is empty."""
+    col = col.fill_null("").cast(pa.large_binary())
+    edges = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+    return np.frombuffer(col.buffers()[2] or b"", np.uint8), edges
 
-def _classes(batches):
-    for batch in batches:
-        names, sizes, sketches = [], [], []
-        for b in _texts(batch, "text"):
-            s = shingles(b)
-            names.append(class_name(s))
-            sizes.append(len(s))
-            sketches.append(sketch(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "cls", "n", "sketch"])
 
+_CLASSES_DDL = "doc_id long, cls long, n long, sketch array<long>, sigs array<long>"
 
-_SIG = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
 
-
-def _signature_rows(batches):
-    seen: set[int] = set()  # classes this task has emitted; bounded below
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
+def _classes(batches):
+    """Per row its class and the size of its set; sketch and signatures once for each class that the task meets."""
+    seen: set[int] = set()
     for batch in batches:
-        for b in _texts(batch, "text"):
-            s = shingles(b)
-            if not len(s) or (c := class_name(s)) in seen:
-                continue
-            if len(seen) >= 200_000:
-                seen.clear()
-            seen.add(c)
-            sig = signatures(s).view(np.int64)
-            rows.append((sig, np.full(len(sig), c)))
-            n += len(sig)
-            if n > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], schema=_SIG)
-                rows.clear()
-                n = 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], schema=_SIG)
+        sets = shingle_sets(*_texts(batch.column(batch.schema.get_field_index("text"))))
+        names = sets.names()
+        first = np.zeros(len(names), bool)
+        first[np.unique(names, return_index=True)[1]] = True
+        first &= sets.size > 0
+        new = np.array([i for i in np.flatnonzero(first) if names[i] not in seen], np.int64)
+        if len(seen) > CLASSES_HELD:
+            seen.clear()  # a class may be written again: no harm
+        seen.update(names[new].tolist())
+        lists = [pa.nulls(len(names), pa.list_(pa.int64()))] * 2
+        if len(new):
+            rows, sigs = all_signatures(sets.take(new))
+            none = np.ones(len(names), bool)
+            none[new] = False
+            lists = [_lists(none, np.concatenate(x), y) for x, y in (([sketch(sets[i]) for i in new], [_words(int(n)) for n in sets.size[new]]), ([sigs.view(np.int64)], np.bincount(rows, minlength=len(new))))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(sets.size), *lists], names=["doc_id", "cls", "n", "sketch", "sigs"])
+
+
+def _lists(none: np.ndarray, values: np.ndarray, sizes) -> pa.Array:
+    """Lists of the sizes given where not none, null elsewhere."""
+    size = np.zeros(len(none), np.int32)
+    size[~none] = sizes
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(values), mask=pa.array(none))
 
 
 def _set_rows(batches):
     for batch in batches:
-        sets = [shingles(b) for b in _texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([pa.array([class_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "members"])
+        sets = shingle_sets(*_texts(batch.column(batch.schema.get_field_index("text"))))
+        members = pa.ListArray.from_arrays(pa.array(sets.edge.astype(np.int32)), pa.array(sets.values.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(sets.names()), members], names=["cls", "members"])
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -348,14 +443,16 @@ class _Sets:
 
     def __init__(self, texts: DataFrame, members: DataFrame):
         self.texts, self.members = texts, members
-        self.unique = members.groupBy("doc_id").count().filter("count > 1").isEmpty()
+        self.unique = members.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
 
     def of(self, pairs: DataFrame, label: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        owner = self.members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        owner = self.members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))  # null: no copy has an id
         owner = H.settle(owner, "jj-owner")
-        ids = owner.select("doc_id").distinct()
+        ids = owner.filter("doc_id is not null").select("doc_id").distinct()
         rows = self.texts.join(F.broadcast(ids) if owner.count() <= SMALL_IDS else ids, "doc_id").select("text")
+        if not self.unique and not owner.filter("doc_id is null").isEmpty():
+            rows = rows.union(self.texts.filter("doc_id is null").select("text"))
         sets = rows.mapInArrow(_set_rows, "cls long, members array<long>")
         if not self.unique:  # documents that share an id may hold other sets
             sets = sets.join(owner, "cls", "left_semi").dropDuplicates(["cls"])
@@ -374,17 +471,18 @@ def _linked(pairs: DataFrame, sets: _Sets, label: str) -> tuple[DataFrame, DataF
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, cls, n per row of docs; links between classes as node -> component, roots left out)."""
-    texts = H.in_small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
-    members = H.settle(texts.mapInArrow(_classes, "doc_id long, cls long, n long, sketch array<long>"), "jj-members")
-    sigs = texts.select("text").mapInArrow(_signature_rows, "sig long, cls long")
+    texts = H.in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members = H.settle(texts.mapInArrow(_classes, _CLASSES_DDL), "jj-members")
+    sigs = members.select("cls", F.explode("sigs").alias("sig"))
     met = sigs.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p <> q").select("sig")
     met = H.settle(met, "jj-met")
     H.release()
     groups = H.settle(sigs.join(met, "sig").distinct(), "jj-groups")  # several tasks may hold copies of a class
     H.discard(met)
+    members = members.select("doc_id", "cls", "n", "sketch")
     lead = groups.groupBy("sig").agg(F.min("cls").alias("lead"))
     star = groups.join(lead, "sig").filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    light = members.groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    light = members.groupBy("cls").agg(F.first("sketch", ignorenulls=True).alias("sketch"), F.first("n").alias("n"))
     light = H.settle(light.join(groups.select("cls").distinct(), "cls", "left_semi"), "jj-light")
     H.release()
     sets = _Sets(texts, members)
@@ -422,26 +520,22 @@ def _dealt(groups: DataFrame, parts: DataFrame, light: DataFrame) -> DataFrame:
 def placed(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n, cls (its set) and root (its component; classes that link with nothing are their own)."""
     members, parts = join_classes(docs)
-    members = members.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
-    return members.join(parts, F.col("cls") == F.col("node"), "left").select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("root"))
+    parts = parts.select(F.col("node").alias("cls"), "component")
+    return H.join_facts(members.select("doc_id", "n", "cls"), parts, "cls").select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("root"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
-    filled = placed(docs)
-    least = filled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return filled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    filled = H.settle(placed(docs), "jj-placed")
+    least = H.settle(filled.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "jj-least")
+    return H.join_facts(filled, least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _classed_rows(at: int):
     def run(batches):
         for batch in batches:
-            names, sizes = [], []
-            for b in _texts(pa.RecordBatch.from_arrays([batch.column(0).field(at)], names=["text"]), "text"):
-                s = shingles(b)
-                names.append(class_name(s))
-                sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["row", "cls", "n"])
+            sets = shingle_sets(*_texts(batch.column(0).field(at)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.names()), pa.array(sets.size)], names=["row", "cls", "n"])
 
     return run
 

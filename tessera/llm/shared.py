@@ -69,6 +69,23 @@ def release() -> None:
             time.sleep(float(spark.conf.get("spark.tessera.release.pause", "0.25")))
 
 
+HOT_ROWS, HOT_SHARE = 1_000, 1_000  # a key is hot with so many rows, and a thousandth of all
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Left join of rows with facts, which hold a key once at most, such that no key's rows have to meet in one task.
+
+    Keys of a thousandth of the rows or more (so fewer than HOT_SHARE + 1) bring their facts by broadcast to where
+    the rows are; the others meet by a shuffle. Both inputs are read more than once: settled tables.
+    """
+    sizes = rows.filter(F.col(key).isNotNull()).groupBy(key).count()
+    hot = [r[0] for r in sizes.filter(F.col("count") > max(HOT_ROWS, rows.count() // HOT_SHARE)).select(key).collect()]
+    if not hot:
+        return rows.join(facts, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(is_hot).join(F.broadcast(facts.filter(is_hot)), key, "left").unionByName(rows.filter(~is_hot).join(facts, key, "left"))
+
+
 BATCH_ROWS = 1_000
 
 

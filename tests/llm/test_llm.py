@@ -389,6 +389,33 @@ def test_jaccard_edges(spark):
     assert jaccard_join.groups(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_words_that_fool_polynomials(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, a.translate(str.maketrans("ab", "ba"))), (3, a.upper())]
+    assert sorted(map(tuple, jaccard_join.groups(docs_of(spark, [(d, t, "s") for d, t in rows])).collect())) == jaccard_join.brute_force(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+@given(st.lists(st.sampled_from(["a", "B", " ", "\t", "\x1c", "é", "word", "y" * 17, "z" * 600, "\u2003"]), max_size=40), st.integers(1, 64))
+@settings(max_examples=200, deadline=None)
+def test_shingles_of_any_text(parts, piece):
+    texts = ["".join(parts), None, "".join(parts[::2]), "", "x " * 30]
+    col = jaccard_join._texts(jaccard_join.pa.array(["not this", *texts]).slice(1))
+    held, jaccard_join.PIECE = jaccard_join.PIECE, piece
+    sets, jaccard_join.PIECE = jaccard_join.shingle_sets(*col), held
+    assert [len(sets[i]) for i in range(5)] == [n for _, n, _ in jaccard_join.brute_force(list(enumerate(texts)))]
+    assert sets[0].tolist() == jaccard_join.shingles(texts[0].encode()).tolist()
+
+
+def test_join_facts_meets_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 10), (3, 11), (None, 12)], "k long, x int")
+    facts = spark.createDataFrame([(1, "a"), (2, "b")], "k long, y string")
+    got = sorted((r.x, r.k, r.y) for r in shared.join_facts(rows, facts, "k").collect())
+    assert got == [(i, 1, "a") for i in range(9)] + [(10, 2, "b"), (11, 3, None), (12, None, None)]
+
+
 # ---------------------------------------------------------------- op10
 
 
