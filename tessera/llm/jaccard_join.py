@@ -442,13 +442,13 @@ class _Sets:
     """Shingle sets of classes, read from the text of one document of each."""
 
     def __init__(self, texts: DataFrame, members: DataFrame):
-        self.texts, self.members = texts, members
+        self.texts = texts
+        self.owners = H.settle(members.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "jj-owners")  # null: no copy has an id
         self.unique = members.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
 
     def of(self, pairs: DataFrame, label: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        owner = self.members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))  # null: no copy has an id
-        owner = H.settle(owner, "jj-owner")
+        owner = H.settle(self.owners.join(wanted, "cls", "left_semi"), "jj-owner")
         ids = owner.filter("doc_id is not null").select("doc_id").distinct()
         rows = self.texts.join(F.broadcast(ids) if owner.count() <= SMALL_IDS else ids, "doc_id").select("text")
         if not self.unique and not owner.filter("doc_id is null").isEmpty():
