@@ -14,8 +14,9 @@ Vectors are compared only where labels are equal and not null, by cosine in doub
    Full lists can hide links to another component, but only where a node has at least NARROW better ones, so inside
    components of more than NARROW nodes. Any two of these of one label that may touch, by the angles between their
    least nodes and from these to their members, are compared exactly, too (`bridges`), and joined where a pair links.
-4. Audit: `AUDIT` nodes, chosen by a hash, are compared with all rows in blocks. Where under `RECALL` of their
-   links lie inside the components found, another start with other hyperplanes is merged in, and again.
+4. Audit: `AUDIT` nodes, chosen by a hash, and as many of those that the first descent linked, are compared with
+   all rows in blocks. Where under `RECALL` of their links lie inside the components found, another start with other
+   hyperplanes is merged in, and again. The recall is logged; one under `LEAST` after all starts is an error.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components, or whose label is
 null, links with nothing: n_links 0, its own component, kept. Vectors of different lengths link with nothing.
@@ -25,6 +26,7 @@ Rows that share a vec_id are separate vectors.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 import numpy as np
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import shared as H
 
+LOG = logging.getLogger(__name__)
 THRESHOLD = 0.93
 TABLES = 10
 STEPS = 3
@@ -43,6 +46,7 @@ SETTLED = 0.02
 TILE = 512
 AUDIT = 200
 RECALL = 0.995
+LEAST = 0.9
 STARTS = 3
 SMALL_CENTERS = 1_000
 
@@ -155,21 +159,25 @@ def _local_join(batches):
 
 
 def _compared(batch: pa.RecordBatch):
-    w, node, bound = _column(batch, "w"), _column(batch, "b"), _column(batch, "bound")
-    start = np.concatenate(([0], np.flatnonzero(w[1:] != w[:-1]) + 1))
-    count = np.diff(np.append(start, len(w)))
-    x = _matrix(batch)
-    for lo in range(0, len(start), 256):
-        s, c = start[lo : lo + 256], count[lo : lo + 256]
-        m = int(c.max())
-        at = np.minimum(s[:, None] + np.arange(m), len(w) - 1)
-        ok = np.arange(m) < c[:, None]
-        v = x[at]
-        sim = v @ v.transpose(0, 2, 1)
-        good = ok[:, :, None] & ok[:, None, :] & (node[at][:, :, None] != node[at][:, None, :]) & (sim > bound[at][:, :, None])
-        g, i, j = np.nonzero(good)
-        if len(g):
-            yield pa.RecordBatch.from_arrays([pa.array(node[at[g, i]]), pa.array(node[at[g, j]]), pa.array(sim[g, i, j])], names=["a", "b", "sim"])
+    """All pairs around each w. What is around one w has one length; a batch can hold several."""
+    sizes = np.diff(batch.column(batch.schema.get_field_index("v")).offsets.to_numpy())
+    for d in np.unique(sizes):
+        part = batch if (sizes == d).all() else batch.filter(pa.array(sizes == d))
+        w, node, bound = _column(part, "w"), _column(part, "b"), _column(part, "bound")
+        start = np.concatenate(([0], np.flatnonzero(w[1:] != w[:-1]) + 1))
+        count = np.diff(np.append(start, len(w)))
+        x = _matrix(part)
+        for lo in range(0, len(start), 256):
+            s, c = start[lo : lo + 256], count[lo : lo + 256]
+            m = int(c.max())
+            at = np.minimum(s[:, None] + np.arange(m), len(w) - 1)
+            ok = np.arange(m) < c[:, None]
+            v = x[at]
+            sim = v @ v.transpose(0, 2, 1)
+            good = ok[:, :, None] & ok[:, None, :] & (node[at][:, :, None] != node[at][:, None, :]) & (sim > bound[at][:, :, None])
+            g, i, j = np.nonzero(good)
+            if len(g):
+                yield pa.RecordBatch.from_arrays([pa.array(node[at[g, i]]), pa.array(node[at[g, j]]), pa.array(sim[g, i, j])], names=["a", "b", "sim"])
 
 
 def descend(found: DataFrame, seed: int, threshold: float = THRESHOLD, tables: int = TABLES) -> DataFrame:
@@ -331,19 +339,23 @@ def _audit(ids: np.ndarray, grp: np.ndarray, vectors: list[np.ndarray], threshol
     return run
 
 
-def true_links(found: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> DataFrame:
-    """All links (a, b) of a sample of nodes: a bounded set of queries against all rows."""
-    got = found.select("node", "grp", "v").orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(sample).collect()
+def true_links(found: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT, among: DataFrame | None = None) -> DataFrame:
+    """All links (a, b) of a sample of nodes, or of those among others: a bounded set of queries against all rows."""
+    asked = found if among is None else found.join(among, "node", "left_semi")
+    got = asked.select("node", "grp", "v").orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(sample).collect()
     ids, grp = np.array([r["node"] for r in got], np.int64), np.array([r["grp"] for r in got], np.int64)
     run = _audit(ids, grp, [np.array(r["v"], np.float64) for r in got], threshold)
     return found.select("node", "grp", "v").mapInArrow(run, "a long, b long")
 
 
 def components_of(found: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(node, component) for nodes that link, roots left out; starts again until the audited recall is reached."""
+    """(node, component) for nodes that link, roots left out; starts again until the audited recall is reached.
+
+    Audited are nodes of the whole table and, so that links are among them wherever there are any, nodes that the
+    first descent linked. Links that the audit found are kept. A recall under LEAST after all starts is an error.
+    """
     links: list[DataFrame] = []
     audit = H.settle(true_links(found, threshold), "nn-audit")
-    total = audit.count()
     for start in range(STARTS):
         pairs = descend(found, 1 + start, threshold)
         links.append(H.settle(pairs.filter(F.col("sim") >= threshold).select("a", "b"), "nn-links"))
@@ -352,13 +364,21 @@ def components_of(found: DataFrame, threshold: float = THRESHOLD, recall: float
         if more is not None:
             links.append(more)
             parts = H.settle(H.components(reduce(DataFrame.union, links)), "nn-parts")
+        if not start:
+            audit = H.settle(audit.union(true_links(found, threshold, AUDIT, parts.select("node"))).distinct(), "nn-audit")
+            total = audit.count()
         at = parts.select(F.col("node").alias("n"), "component")
         placed = audit.join(at.withColumnsRenamed({"n": "a", "component": "p"}), "a", "left").join(at.withColumnsRenamed({"n": "b", "component": "q"}), "b", "left")
         hits = placed.filter(F.coalesce("p", "a") == F.coalesce("q", "b")).count()
-        if hits >= recall * total:
-            return parts
-    # Audited links are links: they are kept, too.
-    return H.settle(H.components(reduce(DataFrame.union, [*links, audit])), "nn-parts")
+        got = hits / total if total else 1.0
+        LOG.info("start %d: %d of %d audited links lie inside components, recall %.4f", start + 1, hits, total, got)
+        if got >= recall:
+            break
+    if got < LEAST:
+        raise RuntimeError(f"recall of {got:.3f} over {total} audited links after {STARTS} starts")
+    if hits < total:  # audited links are links: they are kept, too
+        parts = H.settle(H.components(reduce(DataFrame.union, [*links, audit])), "nn-parts")
+    return parts
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -366,13 +386,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows, found = nodes(vectors)
     rows, found = H.settle(rows, "nn-rows"), H.settle(found, "nn-nodes")
     parts = components_of(found, threshold) if not found.isEmpty() else found.select("node", F.col("node").alias("component"))
-    placed = found.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = placed.groupBy("component").agg(F.count("*").alias("k"), F.min("low").alias("least"))
-    inside = H.settle(placed.join(per.filter("k > 1"), "component"), "nn-inside")
+    placed = H.settle(found.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "nn-placed")
+    per = H.settle(placed.groupBy("component").agg(F.count("*").alias("k"), F.min("low").alias("least")), "nn-per")
+    inside = H.join_facts(placed, per.filter("k > 1"), "component").filter("k > 1")
     dealt = _dealt(inside, "node", "k").select("component", "i", "j", "node", "copies", "side", "v", F.lit(threshold).alias("threshold"))
     counted = dealt.groupBy("component", "i", "j").applyInArrow(_tile, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    facts = placed.join(per, "component").join(counted, "node", "left").select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.join(facts, "node", "left")
+    facts = H.join_facts(placed, per, "component").join(counted, "node", "left").select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = H.join_facts(rows, H.settle(facts, "nn-facts"), "node")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("least"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -215,7 +215,29 @@ def test_near_duplicate_vectors(spark):
     got = sorted(map(tuple, nn_descent.near_duplicates(df).collect()))
     want = nn_descent.brute_force(rows)
     links = sum(x[1] for x in want)
-    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True)) and sum(x[1] for x in got) >= 0.99 * links
+    assert links > 1000 and got == want
+
+
+def test_near_duplicate_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for label in (1, 2):
+        for length in (4, 6, 9):
+            for _ in range(5):
+                c = r.standard_normal(length)
+                rows += [(len(rows) + i, [float(x) for x in c + 0.05 * r.standard_normal(length)], label) for i in range(12)]
+    r.shuffle(order := np.arange(len(rows)))
+    rows = [(int(k), rows[i][1], rows[i][2]) for k, i in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, nn_descent.near_duplicates(df).collect()))
+    assert got == nn_descent.brute_force(rows) and sum(x[1] for x in got) > 2000
+
+
+def test_a_poor_recall_is_an_error(spark, monkeypatch):
+    rows = [(i, [1.0, 0.001 * i], 1) for i in range(6)]
+    monkeypatch.setattr(nn_descent, "descend", lambda found, *_: found.limit(0).selectExpr("node as a", "node as b", "1D as sim"))
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
 
 
 def test_near_duplicate_vectors_across_dense_groups(spark):
