@@ -1,38 +1,36 @@
 """Exact top-k by Hamming distance: incremental multi-index hashing over binary codes.
 
-Codes are 64-bit (the signs of a vector's first 64 components). All rows are indexed, in blocks of about `BLOCK`
-rows; a task holds one block and up to `QUERIES` queries. A block's codes are cut into segments of about log2(rows)
-bits, and each segment has a table from its value to the rows that hold it. A query looks up, segment by segment,
-the values at distance 0, then 1, and so on from its own: after all segments have been searched to radius r (and
-the first s of them to r + 1), every row within distance m r + m - 1 + s of m segments has been met, since a row
-further off in every segment is further off in all. Rows met are verified by their true distance, and a query ends
-when its k-th distance is covered in this sense. The k best of each block then compete, natively, for the k best.
-
-Nothing is approximate and no candidate is capped: a query whose look-ups would cost more than comparing the block's
-remaining rows does that, which covers every distance.
+Codes are 64-bit (the signs of a vector's first 64 components). They are cut into segments of about log2(codes) - 2
+bits, and one table holds each code once for each segment, under (segment, value). In round r every query that isn't
+answered yet looks up, in every segment, the values at distance r from its own: a join of the queries' probes with
+the table. A code within distance m (r + 1) - 1 of the query has a segment within r, so after round r all of these have
+been met; they are verified by their true distance, and a query ends as soon as its k-th distance is covered so.
+Radii grow until every query has ended this way; there is no other exit and no candidate is capped.
+
+A pair of codes met in several segments or rounds counts where it is met first: in the nearest segment, and the first
+of those. That is read off the two codes, so nothing has to be made distinct by a shuffle. Candidates farther than
+the k-th distance known from earlier rounds are dropped where they are found. Equal codes are one entry with the k + 1
+least ids, which are all that a query can want of them, so copies cost nothing. Values of a segment that hold over a
+thousandth of the codes are dealt to SALTS parts, and the probes for them are sent to each part.
 
 Ties of distance are cut by the smaller id. A query doesn't find rows of its own id, but others that share its
 code. Defined results: rows without a code (null vector, fewer than 64 components, null among the first 64)
-neither ask nor are found; a null id neither asks (no divisor) nor is found. Fewer than k others: all of them.
+neither ask nor are found; a null id neither asks (no divisor) nor is found. Fewer than k others: all of them. Equal
+rows ask once; rows that share an id ask with each of their codes.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-from itertools import combinations
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared as H
 
 BITS = 64
-BLOCK = 4_096
-LOOKUP = 8  # rows that are compared directly in the time of one look-up
-QUERIES = 256
 K = 10
+LEAST_WIDTH, MOST_WIDTH = 4, 20  # bits of a segment
+SALTS = 32
+HOT_ROWS = 1_000
 
 
 def codes(vectors: DataFrame) -> DataFrame:
@@ -43,80 +41,86 @@ def codes(vectors: DataFrame) -> DataFrame:
     return vectors.filter(whole).select(F.col("vec_id").cast("long").alias("id"), bits.alias("code"))
 
 
-@lru_cache(64)
-def _masks(width: int, radius: int) -> np.ndarray:
-    """All values of `width` bits with `radius` of them set."""
-    return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.uint64)
-
-
-class Index:
-    """Segment tables of one block."""
-
-    def __init__(self, ids: np.ndarray, code: np.ndarray):
-        self.ids, self.code = ids, code
-        width = max(4, min(20, int(len(ids)).bit_length()))
-        m = -(-BITS // width)
-        edges = np.linspace(0, BITS, m + 1).round().astype(int)
-        self.segments = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            value = (code >> np.uint64(lo)) & np.uint64((1 << int(hi - lo)) - 1)
-            order = np.argsort(value, kind="stable")
-            heads = np.searchsorted(value[order], np.arange((1 << int(hi - lo)) + 1, dtype=np.uint64))
-            self.segments.append((np.uint64(lo), int(hi - lo), order, heads))
-
-    def search(self, query_id: int, query: np.uint64, k: int) -> list[tuple[int, int]]:
-        """The k nearest (distance, id), exactly."""
-        met = np.zeros(len(self.ids), bool)
-        found_d, found_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        m, cost = len(self.segments), 0
-        for radius in range(max(w for _, w, _, _ in self.segments) + 1):
-            for s, (lo, width, order, heads) in enumerate(self.segments):
-                masks = _masks(width, radius) if radius <= width else np.zeros(0, np.uint64)
-                cost += len(masks)
-                if cost * LOOKUP > len(self.ids):  # dearer than looking at every row
-                    at = np.flatnonzero(~met)
-                else:
-                    value = ((query >> lo) & np.uint64((1 << width) - 1)) ^ masks
-                    a, b = heads[value], heads[value + np.uint64(1)]
-                    n = b - a
-                    at = order[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    at = at[~met[at]]
-                met[at] = True
-                at = at[self.ids[at] != query_id]
-                if len(at):
-                    d = np.bitwise_count(self.code[at] ^ query).astype(np.int64)
-                    d, i = np.concatenate((found_d, d)), np.concatenate((found_i, self.ids[at]))
-                    best = np.lexsort((i, d))[:k]
-                    found_d, found_i = d[best], i[best]
-                covered = m * radius + s if cost * LOOKUP <= len(self.ids) else BITS
-                if covered >= BITS or (len(found_d) >= k and found_d[k - 1] <= covered):
-                    return list(zip(found_d.tolist(), found_i.tolist(), strict=True))
-        return list(zip(found_d.tolist(), found_i.tolist(), strict=True))
-
-
-def _block(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = []
-        if len(rows) and len(queries):
-            index = Index(rows["id"].to_numpy(), rows["code"].to_numpy().view(np.uint64))
-            for q, code in zip(queries["id"].to_pylist(), queries["code"].to_numpy().view(np.uint64), strict=True):
-                out += [(q, i, d) for d, i in index.search(q, code, k)]
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["query_id", "id", "distance"])
-
-    return run
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """rows and queries: (id, code). Per query its k nearest rows: query_id, rank, id, distance."""
-    rows, queries = H.settle(rows, "mih-rows"), H.settle(queries, "mih-queries")
-    blocks, parts = max(1, -(-rows.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
-    r = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    # A query is asked once: rows that share an id ask with each of their codes.
-    q = queries.distinct().withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = r.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInArrow(_block(k), "query_id long, id long, distance int")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+def segments(n: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of the segments for n codes."""
+    width = max(LEAST_WIDTH, min(MOST_WIDTH, n.bit_length() - 2))
+    m = -(-BITS // width)
+    return [(BITS * i // m, BITS * (i + 1) // m - BITS * i // m) for i in range(m)]
+
+
+def _value(code: Column, segment: tuple[int, int]) -> Column:
+    low, width = segment
+    return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _by_segment(code: Column, cut: list[tuple[int, int]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), _value(code, s).alias("value")) for i, s in enumerate(cut)]))
+
+
+def _entries(rows: DataFrame, k: int) -> DataFrame:
+    """(code, ids): each code once, with the k + 1 least ids that have it and how many rows have each (k at most matter)."""
+    counted = rows.groupBy("code", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    least = counted.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("rank") <= k + 1)
+    return least.groupBy("code").agg(F.collect_list(F.struct("id", "times")).alias("ids"))
+
+
+def _met_here(segment: Column, radius: int, cut: list[tuple[int, int]]) -> Column:
+    """Whether a pair (asked, code) that agrees to `radius` in `segment` is met there first."""
+    apart = F.col("asked").bitwiseXOR(F.col("code"))
+    away = [F.bit_count(_value(apart, s)) for s in cut]
+    return _all([F.when(segment > i, a > radius).otherwise(a >= radius) for i, a in enumerate(away)])
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, trace: list[tuple[int, int]] | None = None) -> DataFrame:
+    """rows and queries: (id, code). Per query its k nearest rows: query_id, rank, id, distance.
+
+    trace, if given, gets (radius, queries that asked) of each round.
+    """
+    entries = H.settle(_entries(rows, k), "mih-entries")
+    n = entries.count()
+    cut = segments(n)
+    spark, width = entries.sparkSession, max(w for _, w in cut)
+    table = entries.select("code", "ids", _by_segment(F.col("code"), cut).alias("s")).select("s.segment", "s.value", "code", "ids")
+    hot = table.groupBy("segment", "value").count().filter(F.col("count") > max(HOT_ROWS, n // 1_000)).select("segment", "value", F.lit(SALTS).alias("salts"))
+    hot = H.settle(hot, "mih-hot")  # fewer than a thousand values a segment
+    salts = F.coalesce("salts", F.lit(1))
+    index = table.join(F.broadcast(hot), ["segment", "value"], "left").withColumn("salt", F.pmod(F.xxhash64("code"), salts).cast("int")).drop("salts")
+    index = H.settle(index, "mih-index")
+    masks = spark.range(1 << width).select(F.col("id").alias("mask"), F.bit_count("id").alias("radius"))
+    asking = H.settle(queries.select(F.col("id").alias("query_id"), F.col("code").alias("asked")).distinct(), "mih-queries")
+    active = asking.withColumn("worst", F.lit(BITS))
+    kept = asking.select("query_id", "asked", F.lit(0).cast("long").alias("id"), F.lit(0).alias("distance")).limit(0)
+    order = Window.partitionBy("query_id", "asked").orderBy("distance", "id")
+    for radius in range(width + 1):
+        if trace is not None:
+            trace.append((radius, active.count()))
+        tried = active.withColumn("radius", F.lit(radius)).join(F.broadcast(masks.filter(F.col("radius") == radius)), "radius")
+        probes = tried.select("query_id", "asked", "worst", "mask", _by_segment(F.col("asked"), cut).alias("s"))
+        fits = _all([(F.col("s.segment") != i) | (F.col("mask") < (1 << w)) for i, (_, w) in enumerate(cut)])
+        probes = probes.filter(fits).select("query_id", "asked", "worst", F.col("s.segment").alias("segment"), F.col("s.value").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = probes.join(F.broadcast(hot), ["segment", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        met = probes.join(index, ["segment", "value", "salt"]).withColumn("distance", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))))
+        met = met.filter((F.col("distance") <= F.col("worst")) & _met_here(F.col("segment"), radius, cut))
+        met = met.select("query_id", "asked", "distance", F.explode("ids").alias("x")).filter("x.id <> query_id")
+        met = met.select("query_id", "asked", F.col("x.id").alias("id"), "distance", F.explode(F.sequence(F.lit(1), F.col("x.times"))).alias("time")).drop("time")
+        best = kept.unionByName(met).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+        kept, old = H.settle(best, "mih-kept"), kept
+        H.discard(old)
+        covered = len(cut) * (radius + 1) - 1
+        state = kept.groupBy("query_id", "asked").agg(F.count("*").alias("k"), F.max("distance").alias("far"))
+        worst = F.when(F.col("k") >= k, F.col("far")).otherwise(BITS)
+        active = H.settle(asking.join(state, ["query_id", "asked"], "left").select("query_id", "asked", F.coalesce(worst, F.lit(BITS)).alias("worst")).filter(F.col("worst") > covered), "mih-active")
+        if active.isEmpty():
+            break
+    final = Window.partitionBy("query_id").orderBy("distance", "id")
+    return kept.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def search(vectors: DataFrame, k: int = K) -> DataFrame:

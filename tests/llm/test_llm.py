@@ -344,16 +344,39 @@ def test_hamming_query(spark, sf, duck):
     assert got == sorted(duck.execute(queries.ORACLES["op8_hamming_top_k"]).fetchall())
 
 
-@pytest.mark.parametrize("n", [1, 5, 300, 4000])
-def test_hamming_index(n):
-    r = np.random.default_rng(n)
-    center = r.integers(0, 2**63, 20).astype(np.uint64)
-    code = center[r.integers(0, 20, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
-    index = hamming_search.Index(np.arange(n), code)
-    for q in range(0, n, max(1, n // 40)):
+def _signed(rows):
+    return [(i, [1.0 if code >> (63 - b) & 1 else -1.0 for b in range(64)]) for i, code in rows]
+
+
+@pytest.mark.parametrize("clusters", [20, 400])
+def test_hamming_clusters_end_by_radius(spark, clusters):
+    r = random.Random(clusters)
+    centers = [r.getrandbits(64) for _ in range(clusters)]
+    rows = [(i, r.choice(centers) ^ 1 << r.randrange(64) ^ 1 << r.randrange(64)) for i in range(6000)]
+    rows += [(i, rows[i][1]) for i in range(40)]  # ids that two rows share
+    df = spark.createDataFrame(_signed(rows), "vec_id long, embedding array<float>")
+    base, trace = hamming_search.codes(df), []
+    got = {}
+    for x in hamming_search.top_k(base, base.filter("id % 60 = 0"), 10, trace).collect():
+        got.setdefault(x.query_id, []).append((x.distance, x.id))
+    code = np.array([c for _, c in rows], np.uint64)
+    for q in range(0, 6000, 60):
         d = np.bitwise_count(code ^ code[q]).astype(int)
-        want = sorted((int(x), i) for i, x in enumerate(d) if i != q)[:10]
-        assert index.search(q, code[q], 10) == want
+        assert sorted(got[q]) == sorted((int(d[j]), i) for j, (i, _) in enumerate(rows) if i != q)[:10]
+    # Neighbours lie within 4, so small radii cover all queries but those in clusters of under 11 rows.
+    assert trace[0] == (0, 100) and all(asked <= 10 for _, asked in trace[2:])
+
+
+def test_hamming_hot_values_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(hamming_search, "HOT_ROWS", 20)
+    r = random.Random(1)
+    rows = [(i, 0xFFFF if i % 3 else r.getrandbits(16) << 48 | 7) for i in range(1200)]  # a copy in two thirds; one value in the others
+    df = spark.createDataFrame(_signed(rows), "vec_id long, embedding array<float>")
+    got = {}
+    for x in hamming_search.search(df).collect():
+        got.setdefault(x.query_id, []).append((x.distance, x.id))
+    for q in range(0, 1200, 20):
+        assert sorted(got[q]) == sorted((bin(c ^ rows[q][1]).count("1"), i) for i, c in rows if i != q)[:10]
 
 
 def test_hamming_edges(spark):
