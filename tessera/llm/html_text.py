@@ -3,8 +3,10 @@
 A page is parsed once into a light tree (implied end tags, raw-text elements and unclosed tags handled as browsers
 do where it matters for text). Three things decide what is text:
 
-1. Roles: elements that are boilerplate by their tag, ARIA role, hidden state or by a word of their class or id
-   (menus, headers and footers of the page, sidebars, notices, adverts, forms, comments of readers, markup).
+1. Roles: elements that are boilerplate by their tag, ARIA role, hidden state, or by a class or id that names
+   boilerplate as a whole ("cookie-notice", not "notice-period"): menus, headers and footers of the page, sidebars,
+   notices, adverts, forms, comments of readers, markup. No class takes a paragraph, heading, list item, quote or
+   table cell of an article away.
 2. Site templates: every element's subtree gets a hash of its tags and text; Spark counts on how many distinct
    pages of a host each hash occurs (whole copies of a page count once); subtrees that recur on `MIN_PAGES` pages
    and on `SHARE` of the host's pages or more are deleted. The element that holds the page's article is never
@@ -19,17 +21,18 @@ Counting is by partial aggregates, so a host with a third of all pages costs no
 Pages meet their host's templates by a join on the page; only the hashes of subtrees that recur are sent.
 
 Defined results: null and empty html give an empty text. A null url is a host of its own. page_id is only carried;
-rows that are equal in page_id, url and html get equal results. A page of the size of megabytes is one Python
-string; nothing is cut.
+rows that are equal in page_id, url and html get equal results, and rows that share a page_id are pages of their own.
+Other columns are ignored. A page of the size of megabytes is one Python string; nothing is cut, and the work grows
+in proportion to its size, however deep its elements lie.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,7 +42,7 @@ from . import shared as H
 
 MIN_PAGES = 10
 SHARE = 0.1
-SMALL_DELETIONS = 200_000  # up to so many pages with deletions are broadcast (some hundred bytes each)
+SMALL_DELETIONS = 20_000  # up to so many pages with deletions are broadcast (some hundred bytes each)
 
 #: Element names of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +60,11 @@ MARKS = frozenset(
     "menus breadcrumb breadcrumbs sidebar aside widget widgets footer masthead toolbar pagination pager comment comments disqus replies respond reply share sharing social follow subscribe subscription newsletter signup "
     "login search related recommended recommendations teaser teasers skip copyright".split()
 )
+#: Words that say where such an element stands or what it is made of, and change nothing of that.
+NEUTRAL = frozenset(
+    "a area article articles bar block blocks bottom box boxes btn button buttons center col column columns container content desktop fixed floating form global group holder icon icons inline inner item items "
+    "label left link links list main message messages mobile module outer page panel post posts primary region right row secondary section site slot small sticky story strip text top unit wrap wrapper zone".split()
+)
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -85,12 +93,15 @@ def boilerplate(tag: str, attrs: str, in_article: bool) -> int:
             return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return HARD
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & REPLIES:
-                soft = REPLY
-            elif words & MARKS and tag != "article":
-                soft = soft or SOFT
+        if name in ("class", "id") and tag not in ("html", "body", "main") and not (in_article and tag in TEXTUAL):
+            for token in value.split():
+                words = {w.lower() for w in _WORDS.findall(token)}
+                if not words & MARKS or words - MARKS - NEUTRAL:
+                    continue  # "share-price" or "follow-up" name something else
+                if words & REPLIES:
+                    soft = REPLY
+                elif tag != "article":
+                    soft = soft or SOFT
     return soft
 
 
@@ -113,6 +124,7 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack = [0]
+        open_tags: Counter[str] = Counter()  # on the stack
         text: list[str] = []
         at = 0
 
@@ -126,9 +138,12 @@ class Page:
 
         def close(depth: int) -> None:
             while len(stack) > depth:
+                open_tags[self.tag[stack[-1]]] -= 1
                 self.end[stack.pop()] = len(self.blocks)
 
         def find(tags, scope) -> int | None:
+            if not any(open_tags[x] for x in tags):
+                return None
             for i in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[i]] in tags:
                     return i
@@ -171,7 +186,7 @@ class Page:
                 close(i)
             if tag == "body" and (i := find({"head"}, ())) is not None:
                 close(i)
-            in_article = any(self.tag[x] in ("article", "main") for x in stack)
+            in_article = bool(open_tags["article"] or open_tags["main"])
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
@@ -179,13 +194,12 @@ class Page:
             self.end.append(len(self.blocks))
             self.mark.append(boilerplate(tag, attrs, in_article))
             self.skipped.append(self.skipped[stack[-1]] or self.mark[-1] == HARD)
-            stack.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 at = end.end() if end else n
-                stack.pop()
-            elif attrs.endswith("/") and tag not in CLOSES_P and tag not in ("body", "html"):
-                stack.pop()
+            elif not attrs.endswith("/") or tag in CLOSES_P or tag in ("body", "html"):
+                stack.append(node)
+                open_tags[tag] += 1
         if at < n and not self.skipped[stack[-1]]:
             text.append(html[at:])
         flush()
@@ -217,6 +231,10 @@ class Page:
     def _protect(self) -> None:
         """The article's elements: top-level ones of article, else main, that aren't dropped; never deleted whole."""
         n = len(self.tag)
+        size = [0]  # of the text kept in the blocks before each one
+        for block, owner in zip(self.blocks, self.owner, strict=True):
+            size.append(size[-1] + (0 if self.dropped[owner] else len(block)))
+        length = lambda i: size[self.end[i]] - size[self.start[i]]
         for wanted in ("article", "main"):
             inside = [False] * n
             roots = []
@@ -224,32 +242,38 @@ class Page:
                 inside[i] = inside[self.parent[i]] or self.tag[i] == wanted
                 if self.tag[i] == wanted and not inside[self.parent[i]] and not self.dropped[i]:
                     roots.append(i)
-            if any(self._length(i) for i in roots):
+            if any(length(i) for i in roots):
                 break
         else:
             inside, roots = [True] * n, []
         self.roots, self.inside = roots, inside
-        largest = max(roots, key=self._length, default=0)
+        largest = max(roots, key=length, default=0)
         self.kept = set()
         while largest >= 0:
             self.kept.add(largest)
             largest = self.parent[largest]
-
-    def _length(self, node: int) -> int:
-        return sum(len(self.blocks[k]) for k in range(self.start[node], self.end[node]) if not self.dropped[self.owner[k]])
+        self.in_roots = [not roots] * len(self.blocks)
+        for r in roots:
+            self.in_roots[self.start[r] : self.end[r]] = [True] * (self.end[r] - self.start[r])
 
     def hashes(self) -> dict[int, int]:
-        """Hash of each element that could be deleted: its tags and text. Elements without text have none."""
+        """Hash of each element that could be deleted: its tag, its text and the hashes of the elements in it, in order.
+
+        Made from the innermost elements outwards, each once. Elements without text have none.
+        """
+        parts: list[list[tuple[int, int]]] = [[] for _ in self.tag]  # of each element: (first block, hash)
+        for k, (block, owner) in enumerate(zip(self.blocks, self.owner, strict=True)):
+            parts[owner].append((k, xxhash.xxh3_64_intdigest(block.encode("utf-8", "surrogatepass"))))
         out = {}
-        ids = [xxhash.xxh3_64_intdigest(b.encode("utf-8", "surrogatepass")) for b in self.blocks]
-        for i in range(1, len(self.tag)):
-            if i in self.kept or self.start[i] == self.end[i] or (self.dropped[i] and self.dropped[self.parent[i]]):
+        for i in range(len(self.tag) - 1, 0, -1):
+            if not parts[i]:
                 continue
-            if self._says(i):
-                continue
-            packed = np.array(ids[self.start[i] : self.end[i]], np.uint64).tobytes()
-            h = xxhash.xxh3_64_intdigest(self.tag[i].encode() + b"\0" + packed)
-            out[i] = h - (1 << 64) if h >= 1 << 63 else h
+            packed = b"".join(h.to_bytes(8, "little") for _, h in sorted(parts[i]))
+            h = xxhash.xxh3_64_intdigest(self.tag[i].encode("utf-8", "surrogatepass") + b"\0" + packed)
+            parts[i] = []
+            parts[self.parent[i]].append((self.start[i], h))
+            if i not in self.kept and not (self.dropped[i] and self.dropped[self.parent[i]]) and not self._says(i):
+                out[i] = h - (1 << 64) if h >= 1 << 63 else h
         return out
 
     def _says(self, node: int) -> bool:
@@ -262,14 +286,11 @@ class Page:
             names = self.hashes()
             for i in range(1, len(self.tag)):
                 dropped[i] = dropped[i] or names.get(i) in templates or (dropped[self.parent[i]] and not self._says(i))
-        blocks = [b for k, b in enumerate(self.blocks) if not dropped[self.owner[k]] and (not self.roots or self._in_roots(k))]
+        blocks = [b for k, b in enumerate(self.blocks) if self.in_roots[k] and not dropped[self.owner[k]]]
         if not blocks and templates:
             return self.text()
         return " ".join(blocks)
 
-    def _in_roots(self, block: int) -> bool:
-        return any(self.start[r] <= block < self.end[r] for r in self.roots)
-
 
 def host_of(url: str | None) -> str:
     try:
@@ -321,6 +342,6 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     if n == 0:
         joined = keyed.withColumn("gone", F.lit(None).cast("array<long>"))
     else:
-        joined = keyed.join(F.broadcast(gone) if n <= SMALL_DELETIONS // 10 else gone, "page", "left")
+        joined = keyed.join(F.broadcast(gone) if n <= SMALL_DELETIONS else gone, "page", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.select("page_id", "url", "html", "gone").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")

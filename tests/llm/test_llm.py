@@ -482,6 +482,9 @@ PAGES = [
     ("<div class='page with-sidebar'><div class='sidebar'>s</div><article>A</article></div>", "A"),
     ("<form id='all'><div class='menu'>m</div><p>the text of a page inside one form</p></form>", "the text of a page inside one form"),
     ("<article>A</article><div id='comments'><article>c1 is rather long</article><article class='comment'>c2</article></div>", "A"),
+    ("<article><p>A</p><section id='follow-up'>b</section><p class='share-price'>c</p><div class='notice-period'>d</div><p>z</p></article>", "A b c d z"),
+    ("<body><p>x</p><div class='comments-on-history'>kept</div><div class='comment-list'>gone</div></body>", "x kept"),
+    ("<article><p class='notice'>said</p><div class='notice box'>gone</div><div class='topAdSlot'>gone</div></article>", "said"),
     ("<div class='newsletter'>sign up</div><div class='story'><p>one</p><p>two three four five six</p></div>", "one two three four five six"),
 ]
 
@@ -520,6 +523,26 @@ def test_templates_leave_what_articles_say(spark):
     assert [got[1000], got[1009], got[1020]] == ["quote own 0", "quote own 9", "word 20 own 20"]
 
 
+def test_deep_and_large_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        html = "<body>" + "<div>a<a href='x'>b</a>" * n + "</div>" * n + "<article>one</article><article>two</article>" * 1000 + "</body>"
+        began = time.perf_counter()
+        page = html_text.Page(html)
+        assert len(page.hashes()) > n and page.text() == "one two" + " one two" * 999
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60 and took[1] < 10 * took[0]
+
+
+def test_pages_that_share_ids_and_clash(spark):
+    rows = [(1, "http://a.b/1", "<p>one", "x", 9), (1, "http://a.b/2", "<p>two", "x", 9), (None, None, "<p>three", "x", 9), (1, "http://a.b/1", "<p>one", "x", 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, gone int")
+    got = html_text.extract(df).collect()
+    assert sorted((str(x.page_id), x.text, x.n_chars) for x in got) == [("1", "one", 3), ("1", "one", 3), ("1", "two", 3), ("None", "three", 5)]
+
+
 def test_pages_of_the_table(spark, sf):
     import html
     import re
