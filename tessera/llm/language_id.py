@@ -7,7 +7,9 @@ most pair wins (then the larger sum of margins, then the smaller code point orde
 languages are thus told apart by models that saw only these languages.
 
 The models are fitted on the driver on a sample bounded by `PER_LANGUAGE` rows a language and `ROWS` in all (both
-documented parameters; the sample is drawn by a hash of doc_id over all rows). Prediction reads the text only.
+documented parameters: of each language the rows of least hash of doc_id over all rows, so that the sample depends
+on the rows alone and not on how they lie in files; of more than `ROWS` values of lang, those with most rows).
+Prediction reads the text only.
 
 Families come from FAMILIES; a language that isn't listed is a family of its own.
 
@@ -27,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared as H
@@ -181,14 +183,18 @@ def _sparse(batches):
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model | None:
     """Learn from labelled rows that aren't held out: a sample by hash of doc_id, at most `rows` of them."""
     known = H.in_small_batches(docs).filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 2))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows)  # the languages with most rows
+    counts = [(r["lang"], r["n"]) for r in counts.collect()]
     if not counts:
         return None
     each = max(1, min(per_language, rows // len(counts)))
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000))
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1.0, each / n)) + 1)])
-    sample = known.filter(draw < limit[F.col("lang")]).filter(has_letter(F.col("text"))).select("lang", "text")
-    got = sample.mapInArrow(_sparse, "lang string, idx array<int>, cnt array<int>").limit(rows + len(counts)).toArrow()
+    # The `each` rows of least hash of each language: first all under a bound that leaves several times as many.
+    below = [(k, -(2**63) + min(2**64 - 1, int(2**64 * (4 * each + 50) / n))) for k, n in counts]
+    bounds = docs.sparkSession.createDataFrame(below, "lang string, bound long")
+    drawn = known.withColumn("draw", F.xxhash64(F.lit("language sample"), "doc_id")).join(F.broadcast(bounds), "lang").filter(F.col("draw") <= F.col("bound")).filter(has_letter(F.col("text")))
+    least = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"), "text")
+    sample = drawn.select("lang", "draw", "text").withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= each).select("lang", "text")
+    got = sample.mapInArrow(_sparse, "lang string, idx array<int>, cnt array<int>").toArrow()
     if not len(got):
         return None
     got = got.combine_chunks()

@@ -126,6 +126,35 @@ def test_language_edges(spark):
     assert language_id.keep_identified(df, model, 0.1).count() == 4
 
 
+def test_language_sample_depends_on_rows_alone(spark, tmp_path):
+    r = random.Random(12)
+    langs = "da de en es fr it nl pl pt ru sv tr".split()
+    words = {k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(r.randint(2, 8))) for _ in range(60)] for k in langs}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(40)), k) for i, k in enumerate(langs * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = []
+    for files in (1, 7):
+        df.orderBy(df["doc_id"] * (1 - files)).repartition(files).write.parquet(f"{tmp_path}/{files}")
+        docs = spark.read.parquet(f"{tmp_path}/{files}")
+        model = language_id.fit(docs, 20, 12 * 15)
+        got.append((model.w.tobytes(), sorted(map(tuple, language_id.predict(docs, model).collect()))))
+    assert got[0] == got[1] and model.langs == langs
+    truth = {d: k for d, _, k in rows}
+    assert sum(truth[d] == k for d, held, k, _ in got[0][1] if held) >= 0.9 * sum(held for _, held, _, _ in got[0][1])
+
+
+def test_language_family_decides_before_pairs():
+    x = np.zeros((8, 1 << language_id.BITS), np.float32)
+    for i in range(8):
+        x[i, i // 2] = 1
+    model = language_id.Model(x, ["de", "de", "en", "en", "es", "es", "fr", "fr"])
+    at = {k: 0.0 for k in model.keys} | {("family", "germanic"): -0.2, ("family", "romance"): 0.1, ("pair", "de", "en"): 5.0, ("pair", "es", "fr"): -0.01}
+    assert model.predict(np.array([at[k] for k in model.keys]))[0] == "fr"  # a far surer pair of the other family has no say
+    assert set(model.keys) == {("family", "germanic"), ("family", "romance"), ("pair", "de", "en"), ("pair", "es", "fr")}
+    for i, k in enumerate(["de", "en", "es", "fr"]):
+        assert model.predict(x[2 * i] @ model.w + model.b)[0] == k
+
+
 def test_language_not_learned_is_rejected(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = shared.table(spark, sf, "documents")
