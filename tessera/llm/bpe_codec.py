@@ -8,7 +8,8 @@ the first certain one after it is encoded again, and widened until its ends agre
 chunks. A boundary is certain where a letter is followed by one space and a letter: no pre-token crosses it, in
 the text or in any stretch of it that holds these three characters, so the joined ids are those of the whole text.
 
-The vocabulary file is a parameter (a `tokenizers` JSON file of a byte-level BPE with the usual pattern). Special
+The vocabulary file is a parameter: a `tokenizers` JSON file of a byte-level BPE that splits by the library's own
+pattern and whose ids follow the order of its merges; others are refused (`supported`). Special
 tokens that stand in a text get their own id, as the tokenizers library does; nothing is added, cut or padded.
 
 Defined results: null text is encoded as the empty text (0 tokens). Bytes that aren't UTF-8 become U+FFFD. Other
@@ -37,6 +38,28 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
+def supported(spec: dict) -> None:
+    """Raise ValueError unless the file is a byte-level BPE that this codec encodes as the tokenizers library does."""
+    model, pre, decoder = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    wrong = [name for name, bad in {
+        "model.type": model.get("type", "BPE") != "BPE",
+        "normalizer": bool(spec.get("normalizer")),
+        "post_processor": bool(spec.get("post_processor")),
+        "pre_tokenizer": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") is not False or pre.get("use_regex", True) is not True,
+        "decoder": decoder.get("type") != "ByteLevel",
+        "added_tokens": any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }.items() if bad]
+    wrong += [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    vocab, merges = model.get("vocab") or {}, model.get("merges") or []
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in merges]
+    if any(a >= b for a, b in zip([-1, *made], made)):  # ids stand for the order of merges
+        wrong.append("model.merges: not in the order of the ids")
+    if len(set(made)) + 256 != len(set(vocab.values()) - {t["id"] for t in spec.get("added_tokens", ())}):
+        wrong.append("model.vocab: not 256 bytes and the merges")
+    if wrong:
+        raise ValueError("not a byte-level BPE of the supported kind: " + ", ".join(wrong))
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -45,6 +68,7 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        supported(spec)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         to_byte = {chr(x): x for x in printable}
         to_byte |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in set(printable))}

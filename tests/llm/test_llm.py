@@ -355,6 +355,23 @@ def test_bpe_chunks_are_reused(tokenizer):
     assert c.reused > c.encoded / 2
 
 
+def test_bpe_refuses_other_vocabularies(tmp_path):
+    import json
+
+    from public_tokenizers import path
+
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe_codec.Codec(path("word_bpe_49k.json"))
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        good = f.read()
+    for part, key, value, name in (("pre_tokenizer", "add_prefix_space", True, "pre_tokenizer"), ("model", "dropout", 0.1, "dropout"), ("model", "merges", [["a", "b"], ["Ġ", "t"]], "merges")):
+        spec = json.loads(good)
+        spec[part][key] = value
+        (tmp_path / "v.json").write_text(json.dumps(spec))
+        with pytest.raises(ValueError, match=name):
+            bpe_codec.Codec(str(tmp_path / "v.json"))
+
+
 def test_bpe_edges(spark):
     path = queries.tokenizer_path()
     df = docs_of(spark, [(1, None, "a"), (2, "", "a"), (None, "x" * 100_000, "a")])
