@@ -3,24 +3,30 @@
 A byte is removed when some string of `threshold` bytes that covers it also starts earlier: in a document of
 smaller id, or in the same document at an earlier byte. Strings are judged on the input.
 
-Method: prefix doubling over (position, rank) pairs, where positions whose rank is unique leave the race.
-Ranks are names: equal strings have equal 64-bit names, so no dense renumbering is needed between rounds.
+Method: prefix doubling. Spark sorts pairs (rank, rank further on) of positions by range, documents of a pair in
+order; a pair's place gives the position its new rank. Positions whose rank is unique leave, those that are not the
+first of their rank past the threshold are repeats, and the others go on at a larger offset.
 
 1. Inside a task, names of 1, 2, 4, ... `GRAM` bytes are made by doubling. In each window of `threshold`
    bytes one gram stands for the window (the least name, leftmost), so equal windows have equal standing
    grams, and about one position in 35 takes part in the distributed rounds.
-2. Round one: Spark sorts and counts (rank of GRAM bytes, position); positions with a unique rank drop out.
-3. Round two: the offset grows to the whole stretch of windows that a gram stands for. Positions with equal
+2. Ranks of GRAM bytes are counted; positions with a unique rank leave before any sort.
+3. First sort: the offset grows to the whole stretch of windows that a gram stands for. Positions with equal
    pairs (gram rank, stretch rank) hold equal windows: all but those of the least document are repeats.
-4. Round three, where one gram has several stretches: the offset grows to threshold - 5 bytes, the part that
+4. Second sort, where one gram has several stretches: the offset grows to threshold - 5 bytes, the part that
    six neighbouring windows share. Windows whose part has a unique rank leave; equal pairs (part, six windows)
    are settled as before.
-5. Round four, past the threshold: what is left is ranked window by window, as the pair (rank of 64 bytes at i,
+5. Third sort, past the threshold: what is left is ranked window by window, as the pair (rank of 64 bytes at i,
    rank of 64 bytes at i + threshold - 64), and again all but the least document's are repeats.
 
-Hot ranks (a passage in a third of all documents) are only ever counted with partial aggregates or joined,
-which Spark splits; no rank's positions are gathered into one row. What a document's list holds is bounded by
-its own length.
+Two things differ from the textbook form. Not every byte is a position: sorting pairs of all of them takes far more
+disk than the input (figures in the README), so one position stands for about 35 windows. And the ranks that enter a
+sort are 64-bit names of the bytes (equal strings have equal names) in place of numbers dealt out by the round before:
+the ranks further on are then known where the text is, without a join for each offset.
+
+A sort splits by document what is equal in rank, so a passage in a third of all documents is spread over tasks.
+Classes that go on across partitions are put together from one row a partition. What a document's list holds is
+bounded by its own length.
 
 Defined results: null text is empty. A null doc_id counts as later than all others. Rows that share a doc_id
 count as documents in the order of a hash of their texts; equal rows are judged alike, each against smaller ids
@@ -35,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -253,15 +260,117 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return spans
 
 
+#: What a partition of the sorted pairs tells of its ends: its first pair and document, its last pair, the document
+#: with which the last pair's class begins here, whether that class is the only one here, and whether the ranks at
+#: either end have several classes here.
+_ENDS = pa.struct([("r0", pa.int64()), ("w0", pa.int64()), ("doc0", pa.int64()), ("r1", pa.int64()), ("w1", pa.int64()), ("doc1", pa.int64()), ("one", pa.bool_()), ("several0", pa.bool_()), ("several1", pa.bool_())])
+_RANKED = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("first", pa.int32()), ("m", pa.int16()), ("off", pa.int16()), ("late", pa.bool_()), ("several", pa.bool_()), ("edge", pa.int8()), ("ends", _ENDS)])
+_RANKED_DDL = (
+    "part int, doc long, first int, m short, off short, late boolean, several boolean, edge byte, "
+    "ends struct<r0:long,w0:long,doc0:long,r1:long,w1:long,doc1:long,one:boolean,several0:boolean,several1:boolean>"
+)
+_FIRST_CLASS, _FIRST_RANK, _LAST_RANK = 1, 2, 4  # bits of edge: what the neighbouring partitions may hold, too
+
+
+def _reranked(batches):
+    """Sorted pairs (r, w) of a partition: which rows are late in their class, and which ranks r have several classes.
+
+    Rows that are first in the only class of their rank have a unique rank, or are the first of their kind, and leave,
+    unless the class or rank may go on in another partition. Only such first rows wait for the end of their rank.
+    """
+    part = TaskContext.get().partitionId()
+    ends: dict | None = None
+    r1 = w1 = least1 = 0
+    several1, classes = False, 0
+    waiting: list[tuple[np.ndarray, ...]] = []
+
+    def rows(columns: tuple[np.ndarray, ...], late, several, edge) -> pa.RecordBatch:
+        n = len(columns[0])
+        full = lambda x, t: pa.array(np.broadcast_to(x, n).astype(t))
+        cols = [full(part, np.int32), *(pa.array(c) for c in columns), full(late, bool), full(several, bool), full(edge, np.int8), pa.nulls(n, _ENDS)]
+        return pa.RecordBatch.from_arrays(cols, schema=_RANKED)
+
+    def released(several: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        for *columns, edge in waiting:
+            edge = edge | (_LAST_RANK if last else 0)
+            keep = np.broadcast_to(several, len(edge)) | (edge > 0)
+            if keep.any():
+                yield rows(tuple(c[keep] for c in columns), False, several, edge[keep])
+        waiting.clear()
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        r, w, doc, first, m, off = (batch.column(i).to_numpy() for i in range(6))
+        begins = ends is None
+        if begins:
+            ends = {"r0": int(r[0]), "w0": int(w[0]), "doc0": int(doc[0])}
+        new_rank = np.append(begins or r[0] != r1, r[1:] != r[:-1])
+        new_class = new_rank | np.append(begins or w[0] != w1, w[1:] != w[:-1])
+        head = np.maximum.accumulate(np.where(new_class, np.arange(len(r)), -1))
+        least = np.where(head < 0, least1, doc[head])
+        group = np.cumsum(new_rank)  # 0: the rank goes on from the batch before
+        started = np.bincount(group, weights=new_class, minlength=group[-1] + 1)
+        several = started >= 2
+        several[0] = several1 or started[0] >= 1
+        number = classes + np.cumsum(new_class)  # 1 in the partition's first class
+        if waiting and (several[0] or group[-1] > 0):
+            yield from released(bool(several[0]), False)
+        late = doc > least
+        edge = np.where(number == 1, _FIRST_CLASS, 0) | np.where(r == ends["r0"], _FIRST_RANK, 0)
+        wait = ~late & (group == group[-1]) & ~several[group[-1]]
+        if wait.any():
+            waiting.append(tuple(c[wait] for c in (doc, first, m, off, edge)))
+        keep = ~wait & (late | several[group] | (edge > 0))
+        if keep.any():
+            yield rows(tuple(c[keep] for c in (doc, first, m, off)), late[keep], several[group][keep], edge[keep])
+        r1, w1, least1, several1, classes = r[-1], w[-1], least[-1], bool(several[group[-1]]), int(number[-1])
+        if "several0" not in ends and group[-1] > int(begins):  # the first rank has ended
+            ends["several0"] = bool(several[int(begins)])
+    if ends is not None:
+        yield from released(several1, True)
+        ends |= {"r1": int(r1), "w1": int(w1), "doc1": int(least1), "one": classes == 1, "several1": several1}
+        ends.setdefault("several0", several1)
+        cols = [pa.array([part], pa.int32()), *(pa.nulls(1, f.type) for f in list(_RANKED)[1:-1]), pa.array([ends], _ENDS)]
+        yield pa.RecordBatch.from_arrays(cols, schema=_RANKED)
+
+
+def _across(ends: list) -> list[tuple[int, int | None, bool, bool]]:
+    """(part, least document of its first class in earlier partitions or None, whether its first rank, its last rank has several classes) of partitions in order."""
+    several0, several1 = [e.several0 for _, e in ends], [e.several1 for _, e in ends]
+    carry: list[int | None] = [None] * len(ends)
+    for i in range(1, len(ends)):
+        before, e = ends[i - 1][1], ends[i][1]
+        if before.r1 == e.r0:
+            if before.w1 == e.w0:
+                carry[i] = carry[i - 1] if before.one and carry[i - 1] is not None else before.doc1
+            known = several1[i - 1] or several0[i] or before.w1 != e.w0
+            several0[i] = known
+            several1[i] = several1[i] or (known and e.r0 == e.r1)
+    for i in range(len(ends) - 2, -1, -1):
+        e, after = ends[i][1], ends[i + 1][1]
+        if e.r1 == after.r0:
+            several1[i] = several1[i] or several0[i + 1]
+            several0[i] = several0[i] or (several1[i] and e.r0 == e.r1)
+    return [(p, carry[i], several0[i], several1[i]) for i, (p, _) in enumerate(ends)]
+
+
 def _settled(rows: DataFrame, threshold: int, last: bool = False) -> tuple[DataFrame, DataFrame]:
     """(intervals found to be repeats, per document the positions that only a longer rank can settle)."""
-    race = rows.filter("not local")
-    classes = race.groupBy("r", "w").agg(F.min("doc").alias("least"), F.count("*").alias("k"))
-    several = classes.groupBy("r").agg(F.sum("k").alias("all")).filter("all > 1")
-    ruled = race.join(classes, ["r", "w"]).join(several, "r").filter("doc > least" if last else "doc > least or all > k").select("doc", "first", "m", "off", (F.col("doc") > F.col("least")).alias("late"))
-    ruled = H.settle(ruled, "sa-ruled")
-    gone = rows.filter("local").union(ruled.filter("late").select(F.lit(0), F.lit(0), "doc", "first", "m", "off", F.lit(True)))
-    todo = ruled.filter("not late").groupBy("doc").agg(F.collect_list(F.struct("first", "m", "off")).alias("todo"))
+    spark, order = rows.sparkSession, ["r", "w", "doc", "first"]
+    race = rows.filter("not local").select("r", "w", "doc", "first", "m", "off")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranked = H.settle(race.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_reranked, _RANKED_DDL), "sa-ranked")
+    H.release()
+    # One row a partition comes to the driver: what lies on both sides of a boundary.
+    ends = sorted(((x.part, x.ends) for x in ranked.filter("ends is not null").select("part", "ends").collect()), key=lambda x: (x[1].r0, x[1].w0, x[1].doc0))
+    facts = spark.createDataFrame(_across(ends), "part int, carry long, several0 boolean, several1 boolean")
+    bit = lambda b: F.col("edge").bitwiseAND(F.lit(b).cast("byte")) > 0
+    ruled = ranked.filter("ends is null").join(F.broadcast(facts), "part")
+    ruled = ruled.withColumn("late", F.col("late") | (bit(_FIRST_CLASS) & F.coalesce(F.col("doc") > F.col("carry"), F.lit(False))))
+    ruled = ruled.withColumn("several", F.col("several") | (bit(_FIRST_RANK) & F.col("several0")) | (bit(_LAST_RANK) & F.col("several1")))
+    gone = rows.filter("local").select("doc", "first", "m").union(ruled.filter("late").select("doc", "first", "m"))
+    todo = ruled.filter("not late and several").groupBy("doc").agg(F.collect_list(F.struct("first", "m", "off")).alias("todo"))
     return gone.select("doc", F.col("first").alias("start"), (F.col("first") + F.col("m") + (threshold - 1)).alias("stop")), todo
 
 

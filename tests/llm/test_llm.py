@@ -207,6 +207,52 @@ def test_suffix_dedup_random(spark, seed):
     assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(rows))
 
 
+@pytest.mark.parametrize("rows_a_batch", [3, 10_000])
+def test_suffix_dedup_classes_across_partitions(spark, rows_a_batch):
+    r = random.Random(rows_a_batch)
+    common = "".join(r.choice("abcdefgh ") for _ in range(160))
+    rows = [(i, "".join(r.choice("ijkl") for _ in range(r.randint(0, 50))) + common + "".join(r.choice("ijkl") for _ in range(r.randint(0, 50)))) for i in range(150)]
+    rows += [(1000 + i, common[: r.randint(90, 160)] + common[r.randint(0, 60) :]) for i in range(60)]
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        got = suffix_dedup.digest(docs_of(spark, [(d, t, "a") for d, t in rows])).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(rows))
+
+
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 2), st.integers(0, 9)), min_size=1, max_size=40), st.integers(1, 7), st.integers(1, 5))
+@settings(max_examples=300, deadline=None)
+def test_reranking_agrees_with_grouping(keys, parts, rows_a_batch):
+    """Any partitions of sorted pairs, also with classes over several of them."""
+    keys = sorted(keys)
+    pa = jaccard_join.pa
+    cut = [keys[len(keys) * i // parts : len(keys) * (i + 1) // parts] for i in range(parts)]
+    cut = [[k for k in keys if min(c for c, x in enumerate(cut) if k in x) == i] for i in range(parts)]  # equal rows stay together
+    out, ends = [], []
+    for number, part in enumerate(cut):
+        batches = [part[i : i + rows_a_batch] for i in range(0, len(part), rows_a_batch)]
+        arrow = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*x), range(len(x)), [1] * len(x), [0] * len(x)], [pa.int64()] * 3 + [pa.int32(), pa.int16(), pa.int16()])], names=list("rwdfmo")) for x in batches]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(suffix_dedup.TaskContext, "get", lambda: type("Context", (), {"partitionId": lambda self: number})())
+            for row in (y for b in suffix_dedup._reranked(iter(arrow)) for y in b.to_pylist()):
+                (ends if row["ends"] else out).append(row)
+    at = {e["part"]: x for e, x in zip(ends, suffix_dedup._across([(e["part"], type("Ends", (), e["ends"])()) for e in ends]))}
+    got = []
+    for x in out:
+        _, carry, several0, several1 = at[x["part"]]
+        late = x["late"] or (x["edge"] & 1 and carry is not None and x["doc"] > carry)
+        several = x["several"] or (x["edge"] & 2 and several0) or (x["edge"] & 4 and several1)
+        if late or several:
+            got.append((x["doc"], bool(late)))
+    least = {(r, w): min(d for a, b, d in keys if (a, b) == (r, w)) for r, w, _ in keys}
+    kinds = {r: len({w for a, w, _ in keys if a == r}) for r, _, _ in keys}
+    assert sorted(got) == sorted((d, d > least[r, w]) for r, w, d in keys if d > least[r, w] or kinds[r] > 1)
+
+
 def test_suffix_dedup_edges(spark):
     rows = [(1, None), (2, ""), (3, "a" * 350), (4, "b" * 99), (5, "a" * 120 + "x"), (6, "é" * 80), (7, "é" * 80), (8, "abcde " * 90), (9, "zabcde " * 60 + "abcde " * 30), (10, "q" * 400_000)]
     df = docs_of(spark, [(d, t, "a") for d, t in rows])
