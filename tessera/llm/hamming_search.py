@@ -21,6 +21,8 @@ rows ask once; rows that share an id ask with each of their codes.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,12 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
     return least.groupBy("code").agg(F.collect_list(F.struct("id", "times")).alias("ids"))
 
 
+def _masks(width: int, radius: int) -> Column:
+    """All values of `width` bits with `radius` of them set, as an array that the optimizer folds into a literal."""
+    values = (sum(1 << i for i in c) for c in combinations(range(width), radius))
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def _met_here(segment: Column, radius: int, cut: list[tuple[int, int]]) -> Column:
     """Whether a pair (asked, code) that agrees to `radius` in `segment` is met there first."""
     apart = F.col("asked").bitwiseXOR(F.col("code"))
@@ -86,14 +94,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, trace: list[tuple[int
     entries = H.settle(_entries(rows, k), "mih-entries")
     n = entries.count()
     cut = segments(n)
-    spark, width = entries.sparkSession, max(w for _, w in cut)
+    width = max(w for _, w in cut)
     table = entries.select("code", "ids", _by_segment(F.col("code"), cut).alias("s")).select("s.segment", "s.value", "code", "ids")
     hot = table.groupBy("segment", "value").count().filter(F.col("count") > max(HOT_ROWS, n // 1_000)).select("segment", "value", F.lit(SALTS).alias("salts"))
     hot = H.settle(hot, "mih-hot")  # fewer than a thousand values a segment
     salts = F.coalesce("salts", F.lit(1))
     index = table.join(F.broadcast(hot), ["segment", "value"], "left").withColumn("salt", F.pmod(F.xxhash64("code"), salts).cast("int")).drop("salts")
     index = H.settle(index, "mih-index")
-    masks = spark.range(1 << width).select(F.col("id").alias("mask"), F.bit_count("id").alias("radius"))
     asking = H.settle(queries.select(F.col("id").alias("query_id"), F.col("code").alias("asked")).distinct(), "mih-queries")
     active = asking.withColumn("worst", F.lit(BITS))
     kept = asking.select("query_id", "asked", F.lit(0).cast("long").alias("id"), F.lit(0).alias("distance")).limit(0)
@@ -101,7 +108,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, trace: list[tuple[int
     for radius in range(width + 1):
         if trace is not None:
             trace.append((radius, active.count()))
-        tried = active.withColumn("radius", F.lit(radius)).join(F.broadcast(masks.filter(F.col("radius") == radius)), "radius")
+        tried = active.withColumn("mask", F.explode(_masks(width, radius)))
         probes = tried.select("query_id", "asked", "worst", "mask", _by_segment(F.col("asked"), cut).alias("s"))
         fits = _all([(F.col("s.segment") != i) | (F.col("mask") < (1 << w)) for i, (_, w) in enumerate(cut)])
         probes = probes.filter(fits).select("query_id", "asked", "worst", F.col("s.segment").alias("segment"), F.col("s.value").bitwiseXOR(F.col("mask")).alias("value"))
