@@ -45,6 +45,20 @@ def anchored(slices: DataFrame, containers: DataFrame) -> DataFrame:
     return j.select("id", keep(F.col("artifact")).alias("artifact"), keep(F.col("cs") + F.col("start")).alias("start"), keep(F.col("cs") + F.col("stop")).alias("stop"), F.when(bad, "outside").alias("error"))
 
 
+def ranked(df: DataFrame, *keys: str) -> DataFrame:
+    """df with `rank`, from 0 in the order of keys over the whole relation; no task sorts everything.
+
+    Ranges are cut once and written, so that the sizes counted are those of the partitions that are ranked.
+    """
+    from tessera.operators.graph import _cut
+
+    spread = _cut(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    sizes = spread.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # one row per partition
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return spread.join(F.broadcast(before), "__part").withColumn("rank", place + F.col("__before") - 1).drop("__part", "__before")
+
+
 def chunk_digests(df: DataFrame, key: str, rows: int = 4096) -> DataFrame:
     """Digests of a relation in chunks of its key order: chunk, n, digest. Chunks are cut by rank inside key ranges.
 
@@ -53,11 +67,7 @@ def chunk_digests(df: DataFrame, key: str, rows: int = 4096) -> DataFrame:
     """
     cols = sorted(df.columns)
     hashed = df.select(F.col(key).alias("k"), F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]), 256).alias("h"))
-    spread = hashed.repartitionByRange("k").withColumn("pid", F.spark_partition_id()).persist()
-    sizes = spread.groupBy("pid").agg(F.count("*").alias("n"))
-    before = sizes.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("before"))  # one row per partition
-    ranked = spread.join(F.broadcast(before), "pid").withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("k", "h")) + F.col("before") - 1)
-    per = ranked.groupBy(F.floor(F.col("rank") / rows).alias("chunk"))
+    per = ranked(hashed, "k", "h").groupBy(F.floor(F.col("rank") / rows).alias("chunk"))
     return per.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("rank", "h"))), lambda x: x["h"])), 256).alias("digest"))
 
 

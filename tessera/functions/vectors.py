@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,3 +38,40 @@ def is_unit(v: Column, dimensions: int, within: float = 1e-3) -> Column:
 def centroid_parts(v: Column) -> Column:
     """(pos, val) rows for a mean by position."""
     return F.posexplode(v)
+
+
+def encoded(v: Column) -> Column:
+    """A vector as little-endian bytes of single precision, four a component; null stays null, non-finite ones are refused."""
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(x):
+            if x is None:
+                return None
+            a = np.asarray(x, "<f4")
+            if not np.isfinite(a).all():
+                raise ValueError("a vector's components are finite")
+            return a.tobytes()
+
+        return rows.map(one)
+
+    return run(v)
+
+
+def decoded(b: Column) -> Column:
+    """The vector of such bytes; a length that is no multiple of four is refused."""
+    @F.pandas_udf("array<float>")
+    def run(rows: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(x):
+            if x is None:
+                return None
+            if len(x) % struct.calcsize("<f"):
+                raise ValueError("not whole components")
+            return np.frombuffer(x, "<f4")
+
+        return rows.map(one)
+
+    return run(b)

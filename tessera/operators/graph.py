@@ -145,3 +145,25 @@ def public_paths(children: DataFrame, roots: DataFrame, max_depth: int = 256) ->
             return out.select("node", "path").distinct()
         out = _cut(out.union(front))
     raise RuntimeError("paths did not end within their depth")
+
+
+CHUNK_ARCS = 1 << 16  # 16 bytes an arc: chunks of 1 MiB
+
+
+def encoded(arcs: DataFrame, per_chunk: int = CHUNK_ARCS) -> DataFrame:
+    """(chunk, n, payload): distinct arcs in order, two big-endian longs each, in chunks of bounded size."""
+    from tessera.functions.parts import ranked
+
+    word = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 16, "0")
+    placed = ranked(arcs.select("src", "dst").distinct(), "src", "dst").withColumn("word", F.concat(word("src"), word("dst")))
+    per = placed.groupBy(F.floor(F.col("rank") / per_chunk).alias("chunk"))
+    listed = per.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("words"))
+    return listed.select("chunk", "n", F.unhex(F.concat_ws("", F.transform("words", lambda x: x["word"]))).alias("payload"))
+
+
+def decoded(chunks: DataFrame) -> DataFrame:
+    """(src, dst) of encoded chunks."""
+    words = F.hex("payload")
+    at = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i")
+    part = lambda k: F.conv(F.substr("words", F.col("i") * 32 + 1 + 16 * k, F.lit(16)), 16, -10).cast("long")
+    return chunks.select("n", words.alias("words")).select("words", at).select(part(0).alias("src"), part(1).alias("dst"))

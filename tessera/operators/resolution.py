@@ -103,3 +103,79 @@ def dispatch(members: DataFrame, orders: DataFrame, name: str) -> DataFrame:
     """Which class of each order first defines a member: (class, owner). members: owner, name."""
     at = orders.filter("reason is null").select("class", F.posexplode("order").alias("place", "owner"))
     return at.join(members.filter(F.col("name") == name).select("owner"), "owner", "left_semi").groupBy("class").agg(F.min_by("owner", "place").alias("owner"))
+
+
+def type_links(terms: DataFrame, resolutions: DataFrame, modules: DataFrame) -> DataFrame:
+    """(term, entity, status, reason) of the terms that name something; others have no row.
+
+    terms: term, kind, symbol, module. Terms of a class or function follow their symbol's resolution (symbol, entity,
+    status), module terms an acquired module (module, entity); a reference to an alias names no entity.
+    """
+    by_symbol = terms.filter(F.col("symbol").isNotNull()).join(resolutions, "symbol", "left").withColumn("status", F.coalesce("status", F.lit("unresolved")))
+    reason = F.when(F.col("status") == "resolved", "explicit_identity").when(F.col("status") == "ambiguous", "conflicting_candidates").otherwise("missing_correspondence")
+    named = by_symbol.select("term", "entity", "status", reason.alias("reason"))
+    by_module = terms.filter(F.col("symbol").isNull() & F.col("kind").isin("module", "alias")).join(modules, "module", "left")
+    entity = F.when(F.col("kind") == "module", F.col("entity"))
+    acquired = by_module.select("term", entity.alias("entity"), decision(entity.isNotNull().cast("int")).alias("status"))
+    return named.unionByName(acquired.withColumn("reason", F.when(F.col("status") == "resolved", "explicit_identity").otherwise("missing_correspondence")))
+
+
+def type_binders(variables: DataFrame, declarations: DataFrame, bin_size: int = 4096) -> DataFrame:
+    """(variable, declaration, status, reason): the innermost declarations around a variable's anchor.
+
+    variables: variable, source, start, stop, origin, captured_bytes; declarations: declaration, source, start, stop,
+    depth. Several of the same depth are ambiguous; without one the declaration is null.
+    """
+    from tessera.operators.joins import contained
+
+    known = F.col("origin").isin("scoped", "declared")
+    inside = F.col("captured_bytes").isNotNull() & (F.col("stop") <= F.col("captured_bytes"))
+    asked = variables.filter(known & inside).select("source", F.col("variable").alias("id"), "start", "stop")
+    pairs = contained(declarations.select("source", F.col("declaration").alias("id"), "start", "stop"), asked, "source", bin_size)
+    around = pairs.select(F.col("inner_id").alias("variable"), F.col("outer_id").alias("declaration")).distinct().join(declarations.select("declaration", "depth"), "declaration")
+    deepest = around.groupBy("variable").agg(F.max("depth").alias("depth"))
+    found = around.join(deepest, ["variable", "depth"]).select("variable", "declaration").distinct()
+    counted = found.groupBy("variable").agg(F.count("*").alias("n"))
+    j = variables.join(counted, "variable", "left").join(found, "variable", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    reason = F.when(~known, "unsupported_native_origin").when(~F.coalesce(inside, F.lit(False)), "outside_captured_scope").when(F.col("n") == 0, "missing_correspondence").when(F.col("n") == 1, "explicit_identity").otherwise("conflicting_candidates")
+    return j.select("variable", "declaration", decision(F.col("n")).alias("status"), reason.alias("reason"))
+
+
+def overload_members(candidates: DataFrame, variants: DataFrame) -> DataFrame:
+    """(trace, ordinal, variant, status): native overload candidates and the effective variants of their origin.
+
+    candidates: trace, ordinal, origin, context; variants: variant, origin, context, role. Association selects no call.
+    """
+    effective = variants.filter((F.col("role") == "effective_typed") & F.col("origin").isNotNull()).select("variant", "origin", "context").distinct()
+    counted = effective.groupBy("origin", "context").agg(F.count("*").alias("n"))
+    j = candidates.join(counted, ["origin", "context"], "left").join(effective, ["origin", "context"], "left")
+    return j.select("trace", "ordinal", "variant", decision(F.coalesce("n", F.lit(0))).alias("status"))
+
+
+def callable_authority(applications: DataFrame) -> DataFrame:
+    """(call, authority, reason): whether a signature may speak for a call.
+
+    applications: call, destination, in_annotation, identity, signatures, exact, receiver_known, descriptor, adjustment, and the
+    pairs that have to agree: target_context, signature_context, call_context, target_entity, signature_entity.
+    """
+    c = F.col
+    #: How a signature is adjusted for each kind of descriptor.
+    expected = F.create_map(*[F.lit(x) for x in ("function", "none", "static_method", "none", "instance_method", "bind_instance", "class_method", "bind_class", "property", "property_access")])
+    agree = (c("target_context") == c("signature_context")) & (c("target_context") == c("call_context")) & (c("target_entity") == c("signature_entity"))
+    no = lambda x: ~F.coalesce(x, F.lit(False))
+    reason = (
+        F.when(~c("destination").isin("resolved", "overrides"), "call_transfer").when(no(agree), "missing_evidence").when(c("destination") == "overrides", "dispatch_open").when(c("in_annotation"), "annotation_syntax")
+        .when(c("identity") == "conflicting", "effective_conflicting").when(no(c("identity") == "known"), "effective_unknown").when(no(c("signatures") == "known"), "signature_unknown").when(no(c("exact")), "qualified_uncertainty")
+        .when(no(c("receiver_known")), "receiver_unknown").when(c("descriptor").isNull(), "descriptor_unknown").when(no(expected[c("descriptor")] == c("adjustment")), "adjustment_mismatch").otherwise("established")
+    )
+    refused = F.col("reason").isin("call_transfer", "missing_evidence")
+    return applications.withColumn("reason", reason).select("call", F.when(F.col("reason") == "established", "effective_invocation").when(~refused, "source_inspection").alias("authority"), "reason")
+
+
+def handoffs(definitions: DataFrame, reaching: DataFrame, uses: DataFrame) -> DataFrame:
+    """(producer, consumer, slot, sites): results of a producer that reach an argument of a consumer in official usage.
+
+    definitions: definition, producer; reaching: definition, use; uses: use, consumer, slot, official.
+    """
+    given = uses.filter("official").select("use", "consumer", "slot").join(reaching, "use").join(definitions, "definition")
+    return given.groupBy("producer", "consumer", "slot").agg(F.count_distinct("use").alias("sites"))

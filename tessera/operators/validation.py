@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,3 +42,16 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.withColumn("__d", F.lit(1)).unionByName(right.select(*cols).withColumn("__d", F.lit(-1)))
     diff = both.groupBy(*cols).agg(F.sum("__d").alias("d")).filter("d <> 0")
     return diff.select(*cols, F.when(F.col("d") > 0, "left").otherwise("right").alias("side"), F.abs("d").alias("n"))
+
+
+def typed(df: DataFrame, contract: StructType) -> DataFrame:
+    """df as the columns that a contract declares, in its order: each field there and of its type, or an error that names it.
+
+    Where a field is declared without nulls, a null ends the job when it is read not before.
+    """
+    have = {f.name: f.dataType for f in df.schema}
+    wrong = [f"{f.name}: missing" if f.name not in have else f"{f.name}: {have[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in contract if have.get(f.name) != f.dataType]
+    if wrong:
+        raise TypeError("; ".join(wrong))
+    bad = lambda f: F.raise_error(F.lit(f"{f.name}: null")).cast(f.dataType)
+    return df.select(*[F.col(f.name) if f.nullable else F.coalesce(F.col(f.name), bad(f)).alias(f.name) for f in contract])

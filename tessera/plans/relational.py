@@ -214,10 +214,10 @@ def agg_canonical_count(spark, t):
 _SHARE = "WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM p GROUP BY 1) SELECT l_suppkey, round(sum(1.0::DOUBLE / n), 6) AS share, count(*) AS sites FROM p JOIN n USING (l_orderkey)"
 
 
-@register(_SHARE + " WHERE l_suppkey % 2 = 0 GROUP BY 1")
+@register(_SHARE + " GROUP BY 1")
 def usage_share(spark, t):
     s = aggregates.usage_share(t("lineitem"), "l_orderkey", "l_suppkey")
-    return s.filter("l_suppkey % 2 = 0").select("l_suppkey", F.round("share", 6).alias("share"), "sites")
+    return s.select("l_suppkey", F.round("share", 6).alias("share"), "sites")
 
 
 PAIRS_SQL = "WITH d AS (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem), pairs AS (SELECT x.s AS a, y.s AS b, count(*) AS n FROM d x JOIN d y ON x.l_orderkey = y.l_orderkey AND x.s < y.s GROUP BY 1, 2)"
@@ -365,13 +365,13 @@ def path_relations(spark, t):
 
 
 @register(
-    "WITH c AS (SELECT source AS name, lang AS candidate FROM documents WHERE doc_id % 7 = 0), n AS (SELECT name, count(DISTINCT candidate) AS n, min(candidate) AS sole FROM c GROUP BY 1)"
-    " SELECT doc_id, source, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN sole END AS target, CASE WHEN coalesce(n, 0) = 0 THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM documents LEFT JOIN n ON n.name = source"
+    "WITH c AS (SELECT source || '/' || n_chars AS name, lang AS candidate FROM documents), n AS (SELECT name, count(DISTINCT candidate) AS n, min(candidate) AS sole FROM c GROUP BY 1)"
+    " SELECT doc_id, source || '/' || (n_chars + 1) AS source, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN sole END AS target, CASE WHEN coalesce(n, 0) = 0 THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM documents LEFT JOIN n ON n.name = source || '/' || (n_chars + 1)"
 )
 def resolve_status(spark, t):
     d = t("documents")
-    c = d.filter("doc_id % 7 = 0").select(F.col("source").alias("name"), F.col("lang").alias("candidate"))
-    return resolution.resolve(d.select("doc_id", "source"), "doc_id", "source", c, "candidate", "name")
+    c = d.select(F.concat("source", F.lit("/"), F.col("n_chars")).alias("name"), F.col("lang").alias("candidate"))
+    return resolution.resolve(d.select("doc_id", F.concat("source", F.lit("/"), F.col("n_chars") + 1).alias("source")), "doc_id", "source", c, "candidate", "name")
 
 
 @register(
@@ -454,32 +454,35 @@ def token_parts(spark, t):
     return P.token_parts(d)
 
 
-@register("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1 AS rank FROM orders) SELECT rank // 4096 AS chunk, count(*) AS n FROM r GROUP BY 1")
+@register(
+    "WITH h AS (SELECT o_orderkey AS k, sha256(o_custkey || chr(1) || o_orderkey) AS h FROM orders), r AS (SELECT h, row_number() OVER (ORDER BY k, h) - 1 AS rank FROM h)"
+    " SELECT rank // 4096 AS chunk, count(*) AS n, sha256(string_agg(h, '' ORDER BY rank)) AS digest FROM r GROUP BY 1"
+)
 def chunk_digests(spark, t):
-    return P.chunk_digests(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("chunk", "n")
+    return P.chunk_digests(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("chunk", "n", "digest")
 
 
 @register(
-    "WITH RECURSIVE par AS (SELECT p_partkey AS c, p_partkey // 3 AS p, CASE WHEN p_size % 10 = 0 THEN 2 WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS r FROM part WHERE p_partkey > 0 AND p_partkey <= 300),"
+    "WITH RECURSIVE par AS (SELECT p_partkey AS c, p_partkey // 3 AS p, CASE WHEN p_size % 10 = 0 THEN 2 WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS r FROM part WHERE p_partkey > 0),"
     " a AS (SELECT c AS class, p AS ancestor, 1 AS depth, r FROM par UNION ALL SELECT class, par.p, depth + 1, greatest(a.r, par.r) FROM a JOIN par ON par.c = a.ancestor)"
     " SELECT class, ancestor, depth::INTEGER AS depth, ['resolved', 'ambiguous', 'unresolved'][r + 1] AS status FROM a"
 )
 def ancestry_status(spark, t):
     status = F.when(F.col("p_size") % 10 == 0, "unresolved").when(F.col("p_size") % 5 == 0, "ambiguous").otherwise("resolved")
-    par = t("part").filter("p_partkey > 0 and p_partkey <= 300").select(F.col("p_partkey").alias("class"), F.floor(F.col("p_partkey") / 3).alias("parent"), status.alias("status"))
+    par = t("part").filter("p_partkey > 0").select(F.col("p_partkey").alias("class"), F.floor(F.col("p_partkey") / 3).alias("parent"), status.alias("status"))
     return resolution.ancestry(par.select("class"), par)
 
 
 @register(
-    "WITH f AS (SELECT doc_id AS doc, lang AS name FROM documents), v AS (SELECT lang AS name, doc_id % 3 AS exposure, source AS context FROM documents WHERE doc_id % 11 = 0), l AS (SELECT doc_id AS doc, source AS context FROM documents)"
+    "WITH f AS (SELECT doc_id AS doc, lang || n_chars % 200 AS name FROM documents), v AS (SELECT lang || (n_chars + 1) % 200 AS name, doc_id % 3 AS exposure, source AS context FROM documents), l AS (SELECT doc_id AS doc, source AS context FROM documents)"
     " SELECT f.doc, f.name, l.context, count(DISTINCT v.exposure) AS candidates, CASE WHEN count(DISTINCT v.exposure) = 1 THEN min(v.exposure) END AS exposure, CASE count(DISTINCT v.exposure) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status"
     " FROM f JOIN l ON l.doc = f.doc LEFT JOIN v ON v.name = f.name AND v.context = l.context GROUP BY 1, 2, 3"
 )
 def mention_exposures(spark, t):
     d = t("documents")
     return resolution.mentions(
-        d.select(F.col("doc_id").alias("doc"), F.col("lang").alias("name")),
-        d.filter("doc_id % 11 = 0").select(F.col("lang").alias("name"), (F.col("doc_id") % 3).alias("exposure"), F.col("source").alias("context")),
+        d.select(F.col("doc_id").alias("doc"), F.concat("lang", F.col("n_chars") % 200).alias("name")),
+        d.select(F.concat("lang", (F.col("n_chars") + 1) % 200).alias("name"), (F.col("doc_id") % 3).alias("exposure"), F.col("source").alias("context")),
         d.select(F.col("doc_id").alias("doc"), F.col("source").alias("context")),
     )
 

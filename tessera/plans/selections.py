@@ -44,11 +44,11 @@ def select_any_all(spark, t):
 
 
 @register(
-    "WITH o AS (SELECT source, CASE WHEN quality = 1 AND toxic = 0 THEN 'supported' WHEN quality = 1 THEN 'conflicting' WHEN quality = 0 AND toxic = 1 THEN 'contradicted' ELSE 'unresolved' END AS outcome FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 50 < 3)"
+    "WITH o AS (SELECT source || '/' || doc_id % 300 AS source, CASE WHEN quality = 1 AND toxic = 0 THEN 'supported' WHEN quality = 1 THEN 'conflicting' WHEN quality = 0 AND toxic = 1 THEN 'contradicted' ELSE 'unresolved' END AS outcome FROM documents LEFT JOIN labels USING (doc_id))"
     " SELECT source, CASE WHEN bool_or(outcome = 'contradicted') THEN 'contradicted' WHEN bool_or(outcome = 'conflicting') THEN 'conflicting' WHEN bool_or(outcome = 'unresolved') THEN 'unresolved' ELSE 'supported' END AS outcome FROM o GROUP BY 1"
 )
 def outcome_aggregate(spark, t):
-    j = t("documents").filter("doc_id % 50 < 3").join(t("labels"), "doc_id", "left")
+    j = t("documents").withColumn("source", F.concat("source", F.lit("/"), F.col("doc_id") % 300)).join(t("labels"), "doc_id", "left")
     good, toxic = F.col("quality") == 1, F.col("toxic")
     o = F.when(good & (toxic == 0), "supported").when(good, "conflicting").when((F.col("quality") == 0) & (toxic == 1), "contradicted").otherwise("unresolved")
     return j.withColumn("o", o).groupBy("source").agg(selection.combined(F.col("o")).alias("outcome"))
@@ -68,7 +68,7 @@ def pareto_frontier(spark, t):
     return conditions.pareto(t("lineitem").select("l_partkey", "l_quantity", "l_discount").distinct(), "l_partkey", "l_quantity", "l_discount")
 
 
-@register()
+@register("SELECT p_partkey, true AS forward, p_brand = p_type AND false AS back, p_brand <> p_type AS \"both\" FROM part")
 def condition_implies(spark, t):
     a = F.concat(F.lit('["and", "'), F.col("p_brand"), F.lit('", ["not", "'), F.col("p_type"), F.lit('"]]'))
     b = F.concat(F.lit('["or", "'), F.col("p_brand"), F.lit('", "'), F.col("p_name"), F.lit('"]'))
