@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     placed = shared.settle(jaccard_join.placed(docs.select("doc_id", "text")), "placed")
     worded = placed.filter("n > 0").withColumn("place", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls"))
-    first = worded.groupBy("root").agg(F.min("place").alias("first"))
-    later = shared.settle(worded.join(first, "root").filter("place > first").select("doc_id", "cls").distinct(), "later")
+    first = shared.settle(worded.groupBy("root").agg(F.min("place").alias("first")), "first")
+    later = shared.settle(shared.join_facts(worded, first, "root").filter("place > first").select("doc_id", "cls").distinct(), "later")
     doubted = shared.settle(placed.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doubted")
     if doubted.isEmpty():
         return _without(docs, later.select("doc_id"), "doc_id")
