@@ -699,11 +699,22 @@ def test_pipeline_stages_take_odd_rows(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "hello there world of mine", "en", None, 1), (3, "hello there world of mine", "en", None, 1), (None, "words for no id at all", None, "b", 2), (4, "z " * 50_000, "en", "b", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for start in (df, df.limit(0)):
-        docs = start
-        for _, stage in pipeline.STAGES:
-            docs = shared.settle(stage(spark, docs, sf), "odd")
-        assert docs.count() == (0 if start is not df else docs.count())
+    want = {"language ID": [3, 3, 4, None], "n-gram Jaccard join": [3, 4, None], "suffix-array dedup": [3, 4, None]}
+    texts = {3: rows[2][1], None: rows[4][1]}
+    docs = df
+    for name, stage in pipeline.STAGES:
+        docs = shared.settle(stage(spark, docs, sf), "odd")
+        got = docs.collect()
+        if name in want:
+            assert sorted((r.doc_id for r in got), key=str) == want[name]
+        assert all(r.text == texts[r.doc_id] for r in got if r.doc_id in texts)  # also after mixing, and decoded again
+        if name == "suffix-array dedup":
+            assert [r.text for r in got if r.doc_id == 4] == ["z "]  # each window from the third byte on also starts two bytes earlier
+    assert {r.doc_id for r in got} <= {3, 4, None} and len(got) > 0
+    docs = df.limit(0)
+    for _, stage in pipeline.STAGES:
+        docs = shared.settle(stage(spark, docs, sf), "odd")
+    assert docs.count() == 0
 
 
 def test_pipeline_near_copies_per_row(spark):
