@@ -20,11 +20,15 @@ predictions. One learned language: it is predicted with score 1. Other columns a
 `keep_identified` also measures the fit: the mean log ratio, over a text's trigrams, of their share in the learned
 languages (mixed in equal parts) to a uniform one. Below `floor` no learned language fits, however many families
 there are. The floor is 0, or lower where the lowest hundredth of the labelled rows, each measured without itself,
-lies lower; with too few of them, or for texts of fewer than `JUDGED` trigrams, nothing is rejected by it.
+lies lower; with too few of them, or for texts of fewer than `JUDGED` trigrams, nothing is rejected by it. A text
+below the floor is measured again without its words that hold a digit (keys, addresses and numbers belong to no
+language), each other word weighing the same however long, and stays if that fits or is short; it goes if no letter
+is left.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -51,6 +55,8 @@ FAMILIES = {
     "indo-aryan": ["bn", "gu", "hi", "mr", "ne", "pa", "ur"],
 }
 
+_CODED, _LETTER = re.compile(rb"\S*[0-9]\S*"), re.compile(rb"[A-Za-z\x80-\xff]")
+
 _FOLD = np.full(256, 32, np.uint8)  # letters of ASCII folded, bytes of longer characters kept, the rest spaces
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -61,14 +67,22 @@ def family(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
 
 
-def trigrams(raw: bytes) -> np.ndarray:
-    """Hashed byte trigrams of a text, one for each place."""
+def folded(raw: bytes) -> np.ndarray:
+    """The bytes of a text with letters in lower case, every run of other characters one space, a space at either end."""
     b = _FOLD[np.frombuffer(raw, np.uint8)]
     upper = np.flatnonzero((b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[:-1] == 0xC3)) + 1  # Latin-1 capitals in UTF-8
     b[upper] += 0x20
     if len(b):
         b = b[~((b == 32) & np.concatenate(([True], b[:-1] == 32)))]
-    b = np.concatenate(([32], b, [32])).astype(np.uint32)
+    return np.concatenate(([32], b, [32])).astype(np.uint32)
+
+
+def trigrams(raw: bytes) -> np.ndarray:
+    """Hashed byte trigrams of a text, one for each place."""
+    return _hashed(folded(raw))
+
+
+def _hashed(b: np.ndarray) -> np.ndarray:
     code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
 
@@ -140,7 +154,16 @@ class Model:
 
     def fits(self, raw: bytes) -> bool:
         at = trigrams(raw)
-        return len(at) < JUDGED or float(self.odds[at].mean()) >= self.floor
+        if len(at) < JUDGED or float(self.odds[at].mean()) >= self.floor:
+            return True
+        rest = _CODED.sub(b" ", raw)
+        if not _LETTER.search(rest):
+            return False
+        b = folded(rest)
+        at, inside = _hashed(b), b[1:-1] != 32
+        word = np.cumsum(~inside)[inside]
+        many, sums = np.bincount(word), np.bincount(word, self.odds[at[inside]])
+        return len(at) < JUDGED or float((sums[many > 0] / many[many > 0]).mean()) >= self.floor
 
     def predict(self, margins: np.ndarray) -> tuple[str, float]:
         at = dict(zip(self.keys, margins.tolist(), strict=True))
