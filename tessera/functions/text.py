@@ -141,10 +141,32 @@ def finite(value: Column) -> Column:
     return F.when(bad, F.raise_error("not finite").cast("double")).otherwise(value + F.lit(0.0))
 
 
+#: The grammar of dependency lines (PEP 508), markers without their nesting.
+_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?"
+_EXTRAS = rf"\[\s*(?:{_NAME}\s*(?:,\s*{_NAME}\s*)*)?\]"
+_VERSION = r"(?:===|~=|==|!=|<=|>=|<|>)\s*[A-Za-z0-9._*+!-]+"
+_VERSIONS = rf"{_VERSION}\s*(?:,\s*{_VERSION}\s*)*,?"
+_MARKER_VALUE = r"(?:python_version|python_full_version|os_name|sys_platform|platform_release|platform_system|platform_version|platform_machine|platform_python_implementation|implementation_name|implementation_version|extra|'[^']*'|\"[^\"]*\")"
+_MARKER_TEST = rf"[\s(]*{_MARKER_VALUE}\s*(?:===|~=|==|!=|<=|>=|<|>|not\s+in\b|in\b)\s*{_MARKER_VALUE}[\s)]*"
+_MARKER = rf"{_MARKER_TEST}(?:\b(?:and|or)\b{_MARKER_TEST})*"
+_REQUIREMENT = rf"^\s*({_NAME})\s*({_EXTRAS})?\s*(?:@\s*([^\s;]\S*)(?:\s+|$)|({_VERSIONS}|\(\s*{_VERSIONS}\s*\))?\s*)(?:;\s*({_MARKER}))?$"
+
+
 def parsed_requirement(text: Column) -> Column:
-    """name, extras, specifier, marker of a dependency line."""
-    head = F.trim(F.split_part(text, F.lit(";"), F.lit(1)))
-    name = F.regexp_extract(head, r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)
-    extras = F.regexp_extract(head, r"\[([^\]]*)\]", 1)
-    spec = F.trim(F.regexp_replace(head, r"^[A-Za-z0-9][A-Za-z0-9._-]*\s*(\[[^\]]*\])?", ""))
-    return F.struct(normal_name(name).alias("name"), extras.alias("extras"), spec.alias("specifier"), F.trim(F.split_part(text, F.lit(";"), F.lit(2))).alias("marker"))
+    """name, extras, url, specifier, marker and error of a dependency line; a line outside the grammar has an error and nothing else.
+
+    Of a marker's parentheses only the numbers are compared. An url ends at white space.
+    """
+    whole = F.coalesce(text.rlike(_REQUIREMENT), F.lit(False))
+    part = lambda i: F.trim(F.regexp_extract(text, _REQUIREMENT, i))
+    marker = part(5)
+    bare = F.regexp_replace(marker, "'[^']*'|\"[^\"]*\"", "")
+    paired = F.length(F.regexp_replace(bare, "[^(]", "")) == F.length(F.regexp_replace(bare, "[^)]", ""))
+    names = F.filter(F.split(F.regexp_replace(part(2), r"[\[\]\s]", ""), ","), lambda x: x != "")
+    spec = F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(part(4), r"[()\s]", ""), ","), lambda x: x != "")), ",")
+    ok = whole & paired
+    keep = lambda c, n: F.when(ok, c).alias(n)
+    return F.struct(
+        keep(normal_name(part(1)), "name"), keep(F.array_join(F.array_sort(F.array_distinct(F.transform(names, normal_name))), ","), "extras"), keep(part(3), "url"), keep(spec, "specifier"), keep(marker, "marker"),
+        F.when(text.isNotNull() & ~ok, "invalid").alias("error"),
+    )

@@ -179,3 +179,91 @@ def pareto(rows, by: str, a: str, b: str):
     equal = Window.partitionBy(by, a)
     out = rows.withColumn("__m", F.min(b).over(before)).withColumn("__e", F.min(b).over(equal))
     return out.filter((F.col("__m").isNull() | (F.col(b) < F.col("__m"))) & (F.col(b) == F.col("__e"))).drop("__m", "__e")
+
+
+#: A narrowing graph's leaves, and how deep and how large it may be; beyond that its value is unknown.
+ALWAYS, NEVER, MAX_DEPTH, MAX_VISITED = -1, -2, 256, 4096
+_UNKNOWN = "\0unknown"
+
+
+def _narrowed(graph: str | None, most: int) -> tuple:
+    if graph is None:
+        return None, None, None, None, None
+    g = json.loads(graph)
+    d = Diagrams()
+    done = {ALWAYS: 1, NEVER: 0}
+
+    def visit(x: int, depth: int) -> int:
+        if x in done:
+            return done[x]
+        if depth > MAX_DEPTH or len(done) - 2 >= MAX_VISITED:
+            return d.atom(_UNKNOWN)
+        atom, *ways = g["nodes"][x]
+        yes, either, no = (visit(w, depth + 1) for w in ways)
+        done[x] = d.either(either, d.choose(d.atom(atom), yes, no))
+        return done[x]
+
+    try:
+        f = visit(g["root"], 0)
+        unknown = d.exists(f, [_UNKNOWN]) != f
+        terms, more = d.terms(f, most)
+    except Boundary:
+        return None, True, None, True, bool(g.get("lost"))
+    always = None if f > 1 else bool(f)
+    return (None if unknown else terms), more, always, unknown, bool(g.get("lost"))
+
+
+def narrowed(most: int):
+    """Lower a narrowing graph, JSON {"nodes": [[atom, if true, if uncertain, if false], ...], "root": n, "lost": bool}, to a condition.
+
+    A leaf is ALWAYS or NEVER. The uncertain way is a disjunct of its own, not an unknown verdict: it holds whatever the
+    atom's value. `always` is true, false, or null where the atoms decide; a graph that lost precision is approximated.
+    """
+
+    fields = [T.StructField("terms", T.ArrayType(T.ArrayType(T.StringType()))), *[T.StructField(n, T.BooleanType()) for n in ("truncated", "always", "unknown", "approximated")]]
+
+    @F.pandas_udf(T.StructType(fields))
+    def lower(graph: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_narrowed(x, most) for x in graph], columns=[f.name for f in fields], dtype=object)
+
+    return lower
+
+
+def summaries(sources, calls, max_depth: int, max_steps: int):
+    """Least costs of proofs through calls: (key, depth, steps), the Pareto frontier of each key, and what was refused.
+
+    sources: key, depth, steps; calls: caller, callee, depth, steps (the caller's own part). A proof through a call is one
+    deeper than the callee's, or as deep as the caller's part, and one step longer than both together. Returns two
+    relations, frontier and refused (key, reason): a proof over a limit that no admitted proof of its key dominates.
+    Each round extends only what the last one added; costs grow with each call, so max_steps bounds the rounds.
+    """
+    from tessera.operators.graph import _cut
+
+    step = _cut(calls.select("caller", "callee", F.col("depth").alias("own_depth"), F.col("steps").alias("own_steps")).distinct())
+    over = F.when(F.col("depth") > max_depth, "depth_limit").when((F.col("steps") == 0) | (F.col("steps") > max_steps), "proof_limit")
+    new = sources.select("key", F.col("depth").cast("long").alias("depth"), F.col("steps").cast("long").alias("steps"))
+    best = refused = None
+    while True:
+        judged = new.distinct().withColumn("reason", over)
+        fresh = pareto(judged.filter("reason is null").drop("reason"), "key", "depth", "steps")
+        no = judged.filter("reason is not null")
+        refused = no if refused is None else refused.union(no)
+        refused = _cut(pareto_any(refused))
+        if best is None:
+            best = added = _cut(fresh)
+        else:
+            added = fresh.withColumn("fresh", F.lit(True)).unionByName(best.withColumn("fresh", F.lit(False))).groupBy("key", "depth", "steps").agg(F.min("fresh").alias("fresh"))
+            kept = _cut(pareto(added, "key", "depth", "steps"))
+            best, added = kept.drop("fresh"), kept.filter("fresh").drop("fresh")
+        if added.isEmpty():
+            break
+        new = added.join(step, F.col("key") == F.col("callee")).select(
+            F.col("caller").alias("key"), F.greatest("own_depth", F.col("depth") + 1).cast("long").alias("depth"), (F.col("own_steps") + F.col("steps") + 1).cast("long").alias("steps")
+        )
+    covered = refused.join(best.select(F.col("key").alias("k"), F.col("depth").alias("d"), F.col("steps").alias("s")), (F.col("key") == F.col("k")) & (F.col("d") <= F.col("depth")) & (F.col("s") <= F.col("steps")), "left_anti")
+    return best, covered.select("key", "reason").distinct()
+
+
+def pareto_any(rows):
+    """Refused proofs, the least of each key and reason in both measures: what a later admission has to dominate."""
+    return pareto(rows.withColumn("__k", F.struct("key", "reason")), "__k", "depth", "steps").drop("__k").distinct()

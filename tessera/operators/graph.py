@@ -8,15 +8,21 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage at a reliable checkpoint; a folder of our own where the session names none (tests)."""
-    sc = df.sparkSession.sparkContext
+def folder(sc: SparkContext) -> str:
+    """The session's checkpoint folder; one of our own where it names none (tests)."""
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-graph-"))
+    return sc.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut lineage at a reliable checkpoint."""
+    folder(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 

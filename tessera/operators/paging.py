@@ -41,6 +41,31 @@ def packed_by(df: DataFrame, by: str, order: list[Column], size: Column, limit:
     return df.withColumn("running", F.sum(size).over(w)).filter(F.col("running") <= limit)
 
 
+def fitted(requests: DataFrame, sections: DataFrame, rows: DataFrame, limit: int, margin: int = 1024) -> DataFrame:
+    """Replies cut to their limit: (request, sections_kept, rows_kept, next_offset, bytes, status).
+
+    requests: request, core, offset; sections: request, ordinal, bytes (optional, the last goes first); rows: request, rank, bytes.
+    While a reply is larger than limit - margin, one optional section goes, and once none is left the last ranked row,
+    but never the only one. What then is still too large is refused, never cut. next_offset follows the last row kept.
+    """
+    room = limit - margin
+
+    def sums(parts: DataFrame, order: str) -> DataFrame:
+        w = Window.partitionBy("request").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return parts.select("request", F.row_number().over(Window.partitionBy("request").orderBy(order)).alias("n"), F.sum("bytes").over(w).alias("upto"))
+
+    s, r = sums(sections, "ordinal"), sums(rows, "rank")
+    totals = requests.join(r.groupBy("request").agg(F.max("n").alias("all_rows"), F.max("upto").alias("row_bytes")), "request", "left").na.fill(0, ["all_rows", "row_bytes"])
+    kept = s.join(totals, "request").filter(F.col("core") + F.col("row_bytes") + F.col("upto") <= room).groupBy("request").agg(F.max("n").alias("sections_kept"), F.max("upto").alias("section_bytes"))
+    at = totals.join(kept, "request", "left").na.fill(0, ["sections_kept", "section_bytes"])
+    fits = r.join(totals, "request").filter((F.col("core") + F.col("upto") <= room) | (F.col("n") == 1)).groupBy("request").agg(F.max("n").alias("rows_kept"), F.max("upto").alias("kept_bytes"))
+    out = at.join(fits, "request", "left").na.fill(0, ["rows_kept", "kept_bytes"]).withColumn("bytes", F.col("core") + F.col("section_bytes") + F.col("kept_bytes"))
+    ok = F.col("bytes") <= room
+    keep = lambda c: F.when(ok, F.col(c))
+    more = F.when(ok & (F.col("rows_kept") < F.col("all_rows")), F.col("offset") + F.col("rows_kept"))
+    return out.select("request", keep("sections_kept").alias("sections_kept"), keep("rows_kept").alias("rows_kept"), more.alias("next_offset"), keep("bytes").alias("bytes"), F.when(ok, "fits").otherwise("refused").alias("status"))
+
+
 def _binding(request: dict, snapshot: str) -> str:
     return hashlib.sha256(json.dumps([request, snapshot], sort_keys=True).encode()).hexdigest()
 

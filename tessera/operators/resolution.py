@@ -179,3 +179,55 @@ def handoffs(definitions: DataFrame, reaching: DataFrame, uses: DataFrame) -> Da
     """
     given = uses.filter("official").select("use", "consumer", "slot").join(reaching, "use").join(definitions, "definition")
     return given.groupBy("producer", "consumer", "slot").agg(F.count_distinct("use").alias("sites"))
+
+
+#: Kinds of official usage, the best first.
+OFFICIAL = ("example", "doc_block", "test")
+
+
+def assessed_handoffs(definitions: DataFrame, reaching: DataFrame, uses: DataFrame) -> DataFrame:
+    """(producer, consumer, slot, site, role, status) of results that reach an argument in official usage.
+
+    definitions: definition, producer; reaching: definition, use, condition; uses: use, site, consumer, slot, roles (array),
+    condition. Conditions are JSON trees of `conditions`; the role is the best one. Where the conditions exclude each other
+    there is no handoff; where that is unknown (null, or over the budget) the status is unknown. Each pair of conditions is decided once.
+    """
+    from tessera.operators import conditions
+
+    role = F.coalesce(*[F.when(F.array_contains("roles", r), r) for r in OFFICIAL])
+    used = uses.withColumn("role", role).filter("role is not null").select("use", "site", "consumer", "slot", "role", F.col("condition").alias("__u"))
+    met = reaching.select("definition", "use", F.col("condition").alias("__r")).join(used, "use").join(definitions, "definition")
+    pairs = met.select("__r", "__u").distinct().withColumn("__open", conditions.compatible("__r", "__u")).select(F.col("__r").alias("__a"), F.col("__u").alias("__b"), "__open")
+    j = met.join(pairs, F.col("__r").eqNullSafe(F.col("__a")) & F.col("__u").eqNullSafe(F.col("__b"))).filter("__open is null or __open")
+    return j.groupBy("producer", "consumer", "slot", "site", "role").agg(F.when(F.max("__open"), "established").otherwise("unknown").alias("status"))
+
+
+def receivers(targets: DataFrame, syntax: DataFrame, placements: DataFrame, supports: DataFrame) -> DataFrame:
+    """(target, call, placement, reason, premises): whether a class-method target's receiver is the class of the value it is called on.
+
+    targets: target, site, context, qualified, descriptor; syntax: call, site, context, in_annotation, attribute;
+    placements: placement, call, ordinal, inside; supports: kind (target, syntax, placement), assertion, run, sound. Reason
+    class_of is the positive outcome; the others name the first premise that fails. Calls of a site, values of a call
+    and supports of an assertion are counted before they meet a target; premises are the supports that had a part.
+    """
+    no = lambda x: ~F.coalesce(x, F.lit(False))
+    calls = syntax.groupBy("site", "context").agg(F.count("*").alias("calls"), F.min("call").alias("call"), F.max("in_annotation").alias("in_annotation"), F.min("attribute").alias("attribute"))
+    values = placements.groupBy("call").agg(F.count("*").alias("values"), F.min("placement").alias("placement"), F.min((F.col("ordinal") == 0) & F.col("inside")).alias("first"))
+    told = supports.groupBy("kind", "assertion").agg(F.count("*").alias("n"), F.min(F.coalesce("sound", F.lit(False))).alias("sound"), F.min("run").alias("least"), F.max("run").alias("most"))
+    out = targets.join(calls, ["site", "context"], "left").join(values, "call", "left")
+    for kind, key in (("target", "target"), ("syntax", "call"), ("placement", "placement")):
+        of = told.filter(F.col("kind") == kind).select(F.col("assertion").alias(key), *[F.col(c).alias(f"{kind}_{c}") for c in ("n", "sound", "least", "most")])
+        out = out.join(of, key, "left")
+    c = F.col
+    one_run = lambda k: c(f"{k}_least") == c(f"{k}_most")
+    reason = (
+        F.when(no(c("qualified")), "qualification_disagreement").when(c("descriptor").isNull(), "descriptor_unknown").when(c("calls").isNull(), "missing_syntax").when(c("calls") > 1, "ambiguous_syntax")
+        .when(no(~c("in_annotation")), "qualification_disagreement").when(no(c("attribute")), "syntax_disagreement").when(c("values").isNull(), "missing_placement").when(c("values") > 1, "ambiguous_placement").when(no(c("first")), "qualification_disagreement")
+    )
+    for kind in ("target", "syntax", "placement"):
+        same = one_run(kind) & (F.lit(True) if kind == "target" else c(f"{kind}_least") == c("target_least"))
+        reason = reason.when(c(f"{kind}_n").isNull(), "missing_support").when(no(c(f"{kind}_sound") & same), "support_disagreement")
+    premises = sum((F.coalesce(f"{k}_n", F.lit(0)) for k in ("target", "syntax", "placement")), F.lit(0))
+    found = out.withColumn("reason", reason.otherwise("class_of")).withColumn("premises", premises.cast("long"))
+    ok = F.col("reason") == "class_of"
+    return found.select("target", F.when(ok, F.col("call")).alias("call"), F.when(ok, F.col("placement")).alias("placement"), "reason", F.when(ok, F.col("premises")).alias("premises"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -35,8 +37,10 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """(doc, score, matched) of documents that hold a query term. Distinct terms; an idf below zero counts as zero."""
     posts = postings(docs, key, text, sorted({t.lower() for t in query}))
-    df = document_frequency(posts)
-    stats = corpus_stats(docs, text)
+    return _scored(posts, document_frequency(posts), corpus_stats(docs, text))
+
+
+def _scored(posts: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
     idf = F.greatest(F.lit(0.0), F.log((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("total_length") / F.col("documents")))
     part = idf * F.col("tf") * (K1 + 1) / norm
@@ -45,6 +49,44 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     return scored.groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
 
+def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
+    """Store the postings of a corpus: texts are cut into terms once, here. Layout: path/postings (a folder per bucket of terms), path/terms, path/stats.
+
+    Within a bucket rows are sorted by term, so that the Parquet statistics skip what a query doesn't name. A frequent
+    term spreads over a bucket's files: rows are dealt by (bucket, document). An index there is replaced.
+    """
+    spark = docs.sparkSession
+    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(_SPREAD))).sortWithinPartitions("bucket", "term", "doc")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    # Each term of a text is in its postings, so that the lengths of all texts are the sum of tf.
+    total = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total_length"))
+    docs.agg(F.count("*").alias("documents")).crossJoin(total).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+_SPREAD = 8
+
+
+def probe(spark: SparkSession, path: str, terms: list[str], relation: str = "postings") -> DataFrame:
+    """Rows of an index for some terms: only their buckets are read, and of these the row groups that may hold them."""
+    buckets = spark.read.parquet(f"{path}/stats").first()["buckets"]
+    asked = sorted({t.lower() for t in terms})
+    where = sorted({zlib.crc32(t.encode()) % buckets for t in asked})
+    return spark.read.parquet(f"{path}/{relation}").filter(F.col("bucket").isin(where) & F.col("term").isin(asked)).drop("bucket")
+
+
+def candidates_with(spark: SparkSession, path: str, candidates: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings (doc, term, tf, len) of candidate documents (column doc) and query terms: index rows, no text is read."""
+    return probe(spark, path, terms).join(candidates.select("doc").distinct(), "doc", "left_semi")
+
+
+def bm25_stored(spark: SparkSession, path: str, query: list[str]) -> DataFrame:
+    """As `bm25`, from a stored index: no text is read."""
+    return _scored(probe(spark, path, query), probe(spark, path, query, "terms").select("term", "df"), spark.read.parquet(f"{path}/stats").select("documents", "total_length"))
+
+
 def knn(queries: DataFrame, targets: DataFrame, k: int, floor: float | None = None, by: str | None = None) -> DataFrame:
     """Exact nearest targets of a stated set of queries: query, target, score, rank.
 

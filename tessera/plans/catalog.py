@@ -30,4 +30,4 @@ def register(oracle: str | None = None, name: str | None = None):
     return add
 
 
-from tessera.plans import graphs, normalized, relational, retrieval, selections  # noqa: E402, F401  (they register their queries)
+from tessera.plans import assessed, graphs, normalized, relational, retrieval, selections  # noqa: E402, F401  (they register their queries)

@@ -332,7 +332,9 @@ def text_windows(spark, t):
     return t("documents").select("doc_id", F.posexplode(X.windows_udf(4096)("text")).alias("ordinal", "part")).select("doc_id", "ordinal", F.octet_length("part").alias("bytes"), F.sha2("part", 256).alias("content_id"))
 
 
-@register()
+@register(
+    r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*')) AS n, strlen(regexp_extract(text, '(?s)^.*[A-Za-z_][A-Za-z0-9_]*'))::INTEGER AS last_stop FROM documents WHERE regexp_matches(text, '[A-Za-z_]')"
+)
 def identifier_spans(spark, t):
     return t("documents").select("doc_id", F.explode(X.identifier_spans("text")).alias("s")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("s.stop").alias("last_stop"))
 
@@ -448,7 +450,11 @@ def token_ranges(spark, t):
     return P.token_ranges(tokens, maps)
 
 
-@register()
+@register(
+    "WITH RECURSIVE p AS (SELECT source AS unit, lang AS context, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS ordinal, floor(length(text) / 4.0)::BIGINT AS tokens FROM documents),"
+    " r AS (SELECT *, 0 AS part, tokens AS used FROM p WHERE ordinal = 1 UNION ALL SELECT p.unit, p.context, p.ordinal, p.tokens, r.part + CASE WHEN used + p.tokens <= 1024 OR used = 0 THEN 0 ELSE 1 END, CASE WHEN used + p.tokens <= 1024 OR used = 0 THEN used ELSE 0 END + p.tokens"
+    " FROM r JOIN p ON p.unit IS NOT DISTINCT FROM r.unit AND p.context IS NOT DISTINCT FROM r.context AND p.ordinal = r.ordinal + 1) SELECT unit, context, ordinal, tokens, part, tokens > 2048 AS lexical_only FROM r"
+)
 def token_parts(spark, t):
     d = t("documents").select(F.col("source").alias("unit"), F.col("lang").alias("context"), F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).alias("ordinal"), (F.length("text") / 4).cast("long").alias("tokens"))
     return P.token_parts(d)

@@ -90,10 +90,13 @@ def vector_checks(spark, t):
     return t("embeddings").select("vec_id", V.is_unit(F.col("embedding"), 64).alias("valid"))
 
 
-_PREFIX_COS = "list_cosine_similarity(q.embedding[1:16]::DOUBLE[], r.embedding[1:16]::DOUBLE[])"
+_HEAD = "(SELECT vec_id, embedding, list_transform(h, lambda x: (x / sqrt(list_dot_product(h, h)))::FLOAT::DOUBLE) AS p FROM (SELECT *, embedding[1:16]::DOUBLE[] AS h FROM embeddings))"
 
 
-@register()
+@register(
+    f"WITH e AS {_HEAD}, r AS (SELECT q.vec_id AS query, r.vec_id AS target, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, r.vec_id) AS a, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.p, r.p) DESC, r.vec_id) AS b"
+    " FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0) SELECT query, target, a::INTEGER AS rank, b <= 3 AS found FROM r WHERE a <= 3"
+)
 def projection_losses(spark, t):
     return search.projection_losses(_items(t, "vec_id % 20 = 0").select("item", "vector"), _items(t).select("item", "vector"), 16, 3)
 
