@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_ATOMS, MAX_NODES = 128, 50_000
+MAX_ATOMS, MAX_NODES, MAX_PAIRS = 128, 50_000, 1_000_000
 
 
 class Boundary(Exception):
-    """The budget is spent: the result is unknown, never false."""
+    """The budget of nodes, of combinations or of depth is spent: the result is unknown, never false."""
 
 
 class Diagrams:
@@ -49,6 +49,8 @@ class Diagrams:
             return f
         key = (f, g, h)
         if key not in self.memo:
+            if len(self.memo) >= MAX_PAIRS:
+                raise Boundary
             top = min(self.nodes[x][0] for x in key if x > 1)
             part = lambda x, k: self.nodes[x][k] if x > 1 and self.nodes[x][0] == top else x
             self.memo[key] = self.node(top, self.choose(*(part(x, 1) for x in key)), self.choose(*(part(x, 2) for x in key)))
@@ -132,13 +134,13 @@ def _atoms(tree) -> set[str]:
 def _decide(a: str | None, b: str | None, question: str) -> bool | None:
     if a is None or b is None:
         return None
-    x, y = json.loads(a), json.loads(b)
-    if len(_atoms(x) | _atoms(y)) > MAX_ATOMS:
-        return None
-    d = Diagrams()
     try:
+        x, y = json.loads(a), json.loads(b)
+        if len(_atoms(x) | _atoms(y)) > MAX_ATOMS:
+            return None
+        d = Diagrams()
         return getattr(d, question)(d.build(x), d.build(y))
-    except Boundary:
+    except (Boundary, RecursionError):
         return None
 
 
@@ -161,7 +163,7 @@ def rendered(most: int):
             d = Diagrams()
             try:
                 rows.append(d.terms(d.build(json.loads(x)), most) if x is not None else (None, None))
-            except Boundary:
+            except (Boundary, RecursionError):
                 rows.append((None, True))
         return pd.DataFrame(rows, columns=["terms", "truncated"])
 

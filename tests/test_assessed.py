@@ -26,6 +26,13 @@ def test_a_graph_beyond_its_bounds_is_unknown():
     assert conditions._narrowed(None, 8)[0] is None
 
 
+def test_too_deep_and_too_costly_conditions_are_unknown(monkeypatch):
+    deep = "[\"not\", " * 5000 + '"a"' + "]" * 5000
+    assert conditions._decide(deep, "true", "implies") is None and conditions._decide('"a"', '"a"', "implies") is True
+    monkeypatch.setattr(conditions, "MAX_PAIRS", 3)
+    assert conditions._decide('["and", "a", "b", "c", "d"]', '["or", "a", ["not", "d"]]', "implies") is None
+
+
 def test_summaries_keep_the_frontier_and_say_what_was_refused(spark):
     sources = spark.createDataFrame([("c", 0, 1)], "key string, depth long, steps long")
     calls = spark.createDataFrame([("b", "c", 0, 1), ("a", "b", 0, 1), ("a", "c", 0, 9), ("b", "a", 0, 1), ("far", "a", 0, 90)], "caller string, callee string, depth long, steps long")
