@@ -168,8 +168,7 @@ def encoded(arcs: DataFrame, per_chunk: int = CHUNK_ARCS) -> DataFrame:
 
 
 def decoded(chunks: DataFrame) -> DataFrame:
-    """(src, dst) of encoded chunks."""
-    words = F.hex("payload")
-    at = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i")
-    part = lambda k: F.conv(F.substr("words", F.col("i") * 32 + 1 + 16 * k, F.lit(16)), 16, -10).cast("long")
-    return chunks.select("n", words.alias("words")).select("words", at).select(part(0).alias("src"), part(1).alias("dst"))
+    """(src, dst) of encoded chunks. The text of a chunk is cut into arcs once, so a chunk costs what it is long."""
+    arcs = F.regexp_extract_all(F.hex("payload"), F.lit("[0-9A-F]{32}"), F.lit(0))
+    part = lambda at: F.conv(F.substring("arc", at, 16), 16, -10).cast("long")
+    return chunks.select(F.explode(arcs).alias("arc")).select(part(1).alias("src"), part(17).alias("dst"))
