@@ -47,13 +47,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 def discard(*tables: DataFrame | str) -> None:
     """Delete settled tables that nothing reads any more, and let Spark drop shuffle files of finished work."""
+    remove(*tables)
+    release()
+
+
+def remove(*tables: DataFrame | str) -> None:
+    """Delete settled tables that nothing reads any more."""
     for t in tables:
         path = t if isinstance(t, str) else getattr(t, "_tessera_path", None)
         spark = SparkSession.getActiveSession()
         if path and spark is not None:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    release()
 
 
 def release() -> None:
