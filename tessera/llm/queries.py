@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, collocations, conversation_repair, hamming_search, html_text, jaccard_join, language_id, nn_descent, shard_table, source_mix, suffix_dedup, warc
+from . import bpe_codec, collocations, compression_quality, conversation_repair, hamming_search, html_text, jaccard_join, language_id, nn_descent, shard_table, source_mix, suffix_dedup, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression_quality.score(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
 
@@ -71,7 +76,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_warc_round_trip, op3_language_id, op4_shard_table, op5_suffix_array_dedup, op6_embedding_near_dedup, op7_bpe_codec, op8_hamming_top_k,
-        op9_ngram_jaccard_join, op10_html_text, op12_conversation_repair, op13_phrase_collocations,
+        op9_ngram_jaccard_join, op10_html_text, op11_compression_quality, op12_conversation_repair, op13_phrase_collocations,
     )
 }
 
