@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import ranking, search
+from tessera.operators import graph, ranking, search, vector_index
 from tessera.plans.catalog import register
 
 TERMS = ["the", "rights", "license", "der", "ouer", "Thnd"]
@@ -115,3 +118,34 @@ def rrf_fusion(spark, t):
     vector = search.knn(_items(t, "vec_id = 0"), _items(t), n).select(F.lit("vector").alias("family"), F.lit("cosine").alias("channel"), "target", F.round("score", 9).alias("score"))
     scores = lexical.unionByName(length).unionByName(vector).withColumn("occurrence", F.lit(0))
     return ranking.fuse(scores).select("target", F.round("score", 9).alias("score"))
+
+
+def _vector_index(spark, t):
+    """An index of all vectors in the checkpoint folder, as users would write it once."""
+    path = f"{graph.folder(spark.sparkContext)}/vectors-{uuid.uuid4().hex}"
+    vector_index.write(_items(t).select("item", "vector"), path)
+    return vector_index.Index(spark, path)
+
+
+_ASKED = "vec_id % 20 = 0"
+
+
+@register(f"SELECT query, target, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query, r.vec_id AS target, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, r.vec_id) AS rank FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 10")
+def knn_indexed(spark, t):
+    """Nominated by the index, completed by bands of turns: exact."""
+    return _vector_index(spark, t).nearest(_items(t, _ASKED).select("item", "vector"), 10, 4).select("query", "target", F.round("score", 6).alias("score"), "rank")
+
+
+@register(f"SELECT q.vec_id AS query, r.vec_id AS target, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id AND {_COS} >= 0.9 WHERE q.vec_id % 20 = 0")
+def vectors_within(spark, t):
+    return _vector_index(spark, t).within(_items(t, _ASKED).select("item", "vector"), 0.9).select("query", "target", F.round("score", 6).alias("score"))
+
+
+@register()
+def vector_index_recall(spark, t):
+    """What nominations alone find of the ten nearest of every twentieth vector, by the share of cells asked."""
+    index, asked = _vector_index(spark, t), _items(t, _ASKED).select("item", "vector")
+    truth = graph._cut(search.knn(asked, _items(t).select("item", "vector"), 10))
+    cells = len(index.cells)
+    steps = [max(1, cells // 16), max(1, cells // 4), max(1, cells // 2), max(1, cells * 7 // 8)]
+    return reduce(DataFrame.union, [index.recall(asked, truth, 10, p).select(F.lit(p).alias("probes"), "recall", "cells", "rows") for p in steps])
