@@ -41,24 +41,43 @@ def nearest_earlier(df: DataFrame, by: str, at: str, key: str, wanted: Column) -
     return df.withColumn("nearest", F.last(mark, ignorenulls=True).over(w))
 
 
-def contained(outer: DataFrame, inner: DataFrame, by: str, bin_size: int) -> DataFrame:
+def _level(width: Column) -> Column:
+    """The least level whose cells, of 2**level, are wider than a span."""
+    return F.when(width == 0, 0).otherwise(F.length(F.bin(width))).cast("int")
+
+
+def span_index(spans: DataFrame, by: str) -> DataFrame:
+    """(by, level, cell, outer_id, s, e): every span once, at the level of its length, in the cell of its start. spans: by, id, start, stop; those that end before they start hold nothing and are left out."""
+    o = spans.select(by, F.col("id").alias("outer_id"), F.col("start").cast("long").alias("s"), F.col("stop").cast("long").alias("e")).filter("e >= s")
+    o = o.withColumn("level", _level(F.col("e") - F.col("s")))
+    return o.withColumn("cell", F.expr("shiftright(s, level)"))
+
+
+def contained(outer: DataFrame, inner: DataFrame, by: str) -> DataFrame:
     """Pairs of (by, outer_id, inner_id) with the inner span inside the outer one.
 
-    outer and inner: by, id, start, stop. A range join by bins: an outer span is in every bin that it touches, an
-    inner one in the bin of its start, so the join is an equi-join that Spark can spread and split.
+    outer and inner: by, id, start, stop. A range join over dyadic levels: a span that is no longer than a cell of its
+    level reaches into the cell of its start and the next at most, so an inner span looks up, of each level that occurs,
+    the cell of its start and the one before. A long span is stored once like any other, and of what a look-up meets a fixed
+    share is near: no cell is wider than twice its spans. Spark splits the join where a cell is hot.
     """
-    o = outer.select(by, F.col("id").alias("outer_id"), F.col("start").alias("s"), F.col("stop").alias("e"))
-    o = o.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / bin_size), F.floor(F.col("e") / bin_size))))
-    i = inner.select(by, F.col("id").alias("inner_id"), F.col("start").alias("p"), F.col("stop").alias("q")).withColumn("bin", F.floor(F.col("p") / bin_size))
-    return o.join(i, [by, "bin"]).filter("p >= s and q <= e").select(by, "outer_id", "inner_id", "s", "e", "p", "q")
+    index = span_index(outer, by)
+    levels = sorted(r[0] for r in index.select("level").distinct().collect())  # 64 at most
+    i = inner.select(by, F.col("id").alias("inner_id"), F.col("start").cast("long").alias("p"), F.col("stop").cast("long").alias("q"))
+    asked = F.expr(f"flatten(transform(array({', '.join(f'{j}' for j in levels)}), j -> array(struct(j as level, shiftright(p, j) as cell), struct(j as level, shiftright(p, j) - 1 as cell))))") if levels else F.expr("cast(array() as array<struct<level: int, cell: bigint>>)")
+    i = i.withColumn("at", F.explode(asked)).select(by, "inner_id", "p", "q", "at.level", "at.cell")
+    return index.join(i, [by, "level", "cell"]).filter("p >= s and q <= e").select(by, "outer_id", "inner_id", "s", "e", "p", "q")
 
 
 def innermost(pairs: DataFrame) -> DataFrame:
-    """Per inner span the smallest outer one; equally small ones make it ambiguous. pairs comes from `contained`."""
-    w = Window.partitionBy("inner_id").orderBy(F.col("e") - F.col("s"))
-    best = pairs.withColumn("r", F.rank().over(w)).filter("r = 1")
-    out = best.groupBy("inner_id").agg(F.min("outer_id").alias("outer_id"), F.count("*").alias("n"))
-    return out.select("inner_id", F.when(F.col("n") == 1, F.col("outer_id")).alias("outer_id"), F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("status"))
+    """Per inner span the smallest outer one; equally small ones make it ambiguous. pairs comes from `contained`.
+
+    Widths are counted first, then the least is taken: two partial aggregates, and no inner span's pairs meet in one place.
+    """
+    widths = pairs.groupBy("inner_id", (F.col("e") - F.col("s")).alias("width")).agg(F.count("*").alias("n"), F.min("outer_id").alias("outer_id"))
+    best = widths.groupBy("inner_id").agg(F.min(F.struct("width", "n", "outer_id")).alias("b"))
+    one = F.col("b.n") == 1
+    return best.select("inner_id", F.when(one, F.col("b.outer_id")).alias("outer_id"), F.when(one, "resolved").otherwise("ambiguous").alias("status"))
 
 
 def best_pairs(df: DataFrame, pair: list[str], score: str, ties: list[str]) -> DataFrame:

@@ -116,7 +116,7 @@ def _spans(t, m, w):
 
 @register(f"SELECT o.id AS outer_id, i.id AS inner_id FROM ({_SPANS.format(m=1000, w='event_id % 3 = 0')}) o JOIN ({_SPANS.format(m=10, w='event_id % 3 <> 0')}) i ON o.user_id = i.user_id AND i.start >= o.start AND i.stop <= o.stop")
 def join_span_contains(spark, t):
-    return joins.contained(_spans(t, 1000, "event_id % 3 = 0"), _spans(t, 10, "event_id % 3 <> 0"), "user_id", 86_400).select("outer_id", "inner_id")
+    return joins.contained(_spans(t, 1000, "event_id % 3 = 0"), _spans(t, 10, "event_id % 3 <> 0"), "user_id").select("outer_id", "inner_id")
 
 
 @register(
@@ -125,7 +125,7 @@ def join_span_contains(spark, t):
     " SELECT inner_id, CASE WHEN count(*) = 1 THEN min(outer_id) END AS outer_id, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM r WHERE r = 1 GROUP BY inner_id"
 )
 def join_innermost_span(spark, t):
-    return joins.innermost(joins.contained(_spans(t, 1000, "event_id % 3 = 0"), _spans(t, 10, "event_id % 3 <> 0"), "user_id", 86_400))
+    return joins.innermost(joins.contained(_spans(t, 1000, "event_id % 3 = 0"), _spans(t, 10, "event_id % 3 <> 0"), "user_id"))
 
 
 @register("SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation WHERE r_regionkey = n_regionkey OR n_nationkey < r_regionkey")
