@@ -4,7 +4,7 @@ Each source gets a target number of words: its weight's share of `total`, at mos
 words; what a capped source can't use is shared by weight among the others until none is above (the level lam
 with sum(min(cap_s, lam * weight_s)) = total). A document of a source with ratio r = target / words is taken
 floor(r) times for certain. For one more copy its inclusion probability is the fraction p of r that is left, and
-documents are ranked by Pareto's q = (u / (1 - u)) / (p / (1 - p)) with u a hash of doc_id: random odds divided
+documents are ranked by Pareto's q = (u / (1 - u)) / (p / (1 - p)) with u a hash of doc_id and text: random odds divided
 by inclusion odds. The sample's size is fixed in words: the ranking is followed up to the words that the source
 still lacks. Where the next document is too long for the rest, `PASSES` further samples are drawn in the same
 order from the documents that fit, so that each source ends near its target without cutting a document.
@@ -14,13 +14,12 @@ the running sum over buckets gives the bucket in which the cut falls, and only t
 The number of buckets follows the number of documents, so a hot source costs no more in one task than any other.
 
 Defined results: null text has size 0. Documents of size 0 have taken 0. A source of size 0 has target 0. A null
-source is a source of its own, last in order. Rows that share a doc_id are separate documents with the same u.
-Ties of q are cut in the order of doc_id, then size.
+source is a source of its own, last in order. Rows that share a doc_id, or have none, are separate documents. Only rows of
+one id and one text share a place in the ranking; where a cut falls among them, as many as fit are drawn, by number.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +35,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from 52 bits of a digest of doc_id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def uniform(doc_id: Column, h: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from 52 bits of a digest of doc_id and of the text's digest."""
+    both = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), h).cast("binary"))
+    return (F.conv(F.substring(both, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_COPIES) -> DataFrame:
@@ -68,9 +71,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "words", target.alias("target"))
 
 
-def _key(doc_id: Column, q: Column, size: Column) -> Column:
-    """The place of a document in its source's ranking; null ids come first."""
-    return F.struct(q.alias("q"), F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("d"), size.alias("s"))
+def _key(doc_id: Column, q: Column, size: Column, h: Column) -> Column:
+    """The place of a document in its source's ranking; null ids come first. Only rows of one id and text share it."""
+    return F.struct(q.alias("q"), F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("d"), size.alias("s"), h.alias("h"))
+
+
+_KEY = "struct<q: double, d: bigint, s: bigint, h: string>"
 
 
 def _match(rows: DataFrame, small: DataFrame) -> DataFrame:
@@ -82,8 +88,9 @@ def _match(rows: DataFrame, small: DataFrame) -> DataFrame:
 def _pass(rows: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     """Follow the ranking behind `low` while documents of up to `budget` words keep the running size within it.
 
-    rows: source, key, size. state: source, budget, low. Returns source, budget, low, high (the first document
-    that didn't fit, null where all did) and rest (words still lacking).
+    rows: source, key, size. state: source, budget, low. Returns source, budget, low, high (the place of the first
+    document that didn't fit, null where all did), part (how many rows of that place did fit) and rest (words still
+    lacking). Rows of one place are counted before they meet.
     """
     place = F.least(F.lit(buckets - 1), F.floor(F.col("key.q") / (F.col("key.q") + 1) * buckets)).cast("int")
     fit = _match(rows, state).filter("budget > 0 and size <= budget and (low is null or key > low)").withColumn("bucket", place)
@@ -92,19 +99,21 @@ def _pass(rows: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     sums = sums.withColumn("run", run)
     total = sums.groupBy("source").agg(F.sum("b").alias("all"))
     cut = sums.filter("run > budget").groupBy("source").agg(F.min(F.struct("bucket", (F.col("run") - F.col("b")).alias("before"))).alias("cut"))
-    edge = _match(fit, cut).filter("bucket = cut.bucket")
+    edge = _match(fit, cut).filter("bucket = cut.bucket").groupBy("source", "key", "size", "budget", "cut.before").agg((F.count("*") * F.col("size")).alias("b"))
     order = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("run", F.sum("size").over(order) + F.col("cut.before"))
-    found = edge.groupBy("source").agg(F.min(F.when(F.col("run") > F.col("budget"), F.col("key"))).alias("high"), F.max(F.when(F.col("run") <= F.col("budget"), F.col("run"))).alias("used"))
+    edge = edge.withColumn("run", F.sum("b").over(order) + F.col("before"))
+    found = edge.filter("run > budget").groupBy("source").agg(F.min(F.struct("key", (F.col("run") - F.col("b")).alias("start"), "size")).alias("end"))
     out = _match(_match(_match(state, total), cut), found)
-    used = F.when(F.col("cut").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.coalesce("used", F.col("cut.before")))
-    return out.select("source", "budget", "low", "high", (F.col("budget") - used).alias("rest"))
+    part = F.floor((F.col("budget") - F.col("end.start")) / F.col("end.size"))
+    out = out.withColumn("part", F.coalesce(part, F.lit(0)).cast("long"))
+    used = F.when(F.col("cut").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.col("end.start") + F.col("part") * F.col("end.size"))
+    return out.select("source", "budget", "low", F.col("end.key").alias("high"), "part", (F.col("budget") - used).alias("rest"))
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
     """One row per source: source, words, target, whole, part and `cuts`, the stretches of its ranking that get a copy more.
 
-    sized: doc_id, source, size. Each pass reads it once; what passes on is one row per source.
+    sized: doc_id, source, size, h. Each pass reads it once; what passes on is one row per source.
     """
     goal = targets(sized, weights, share, most)
     whole = F.floor(F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)).cast("long")
@@ -113,12 +122,11 @@ def plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, se
     goal = H.settle(goal, "mix-goal")
     buckets = max(256, min(65_536, sized.count() // 1_024))
     rows = ranked(sized, goal, seed).filter("size > 0 and key is not null").select("source", "key", "size")
-    kind = "struct<q: double, d: bigint, s: bigint>"
-    state = goal.select("source", F.col("lacks").alias("budget"), F.lit(None).cast(kind).alias("low"))
-    cuts = goal.select("source", F.array().cast(f"array<struct<budget: bigint, low: {kind}, high: {kind}>>").alias("cuts"))
+    state = goal.select("source", F.col("lacks").alias("budget"), F.lit(None).cast(_KEY).alias("low"))
+    cuts = goal.select("source", F.array().cast(f"array<struct<budget: bigint, low: {_KEY}, high: {_KEY}, part: bigint>>").alias("cuts"))
     for _ in range(1 + PASSES):
         done = H.settle(_pass(rows, state, buckets), "mix-pass")
-        step = done.select("source", F.struct("budget", "low", "high").alias("step"))
+        step = done.select("source", F.struct("budget", "low", "high", "part").alias("step"))
         cuts = _match(cuts, step).select("source", F.array_append("cuts", F.col("step")).alias("cuts"))
         # Behind the last cut there is nothing left to draw where everything has fit.
         state = done.select("source", F.when(F.col("high").isNull(), 0).otherwise(F.col("rest")).alias("budget"), F.col("high").alias("low"))
@@ -126,33 +134,52 @@ def plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, se
 
 
 def ranked(rows: DataFrame, goal: DataFrame, seed: str) -> DataFrame:
-    """rows (doc_id, source, size and others) with goal's columns and key; null where no further copy can be drawn."""
-    u = uniform(F.col("doc_id"), seed)
+    """rows (doc_id, source, size, h and others) with goal's columns and key; null where no further copy can be drawn."""
+    u = uniform(F.col("doc_id"), F.col("h"), seed)
     odds = F.col("part") / (1 - F.col("part"))
     q = F.when((F.col("part") > 0) & (F.col("part") < 1), (u / (1 - u)) / odds)
-    key = _key(F.col("doc_id"), q, F.col("size"))
+    key = _key(F.col("doc_id"), q, F.col("size"), F.col("h"))
     return _match(rows, goal).withColumn("key", F.when(q.isNotNull(), key))
 
 
 def with_copies(rows: DataFrame, plan_: DataFrame, seed: str = SEED) -> DataFrame:
-    """rows (doc_id, source, size and others) with words, target and copies."""
+    """rows (doc_id, source, size, h and others) with words, target and copies.
+
+    Rows of one place in the ranking, at which a cut falls, are told apart by number: `part` of them get the copy.
+    """
     drawn = F.exists("cuts", lambda c: (F.col("size") <= c["budget"]) & (c["low"].isNull() | (F.col("key") > c["low"])) & (c["high"].isNull() | (F.col("key") < c["high"])))
-    one_more = F.when((F.col("size") > 0) & F.col("key").isNotNull() & drawn, 1).otherwise(0)
-    return ranked(rows, plan_, seed).withColumn("copies", F.col("whole") + one_more).drop("cuts", "key", "whole", "part", "lacks")
+    live = (F.col("size") > 0) & F.col("key").isNotNull()
+    tied = F.get(F.filter("cuts", lambda c: (c["part"] > 0) & (F.col("key") == c["high"])), F.lit(0))["part"]
+    out = ranked(rows, plan_, seed).withColumns({"one_more": F.when(live & drawn, 1).otherwise(0), "tied": F.when(live, tied)})
+    copies = (F.col("whole") + F.col("one_more")).alias("copies")
+    kept = [c for c in out.columns if c not in ("cuts", "key", "whole", "part", "lacks", "one_more", "tied")]
+    if plan_.filter(F.exists("cuts", lambda c: c["part"] > 0)).isEmpty():
+        return out.select(*kept, copies)
+    some = H.settle(out.filter("tied is not null").withColumn("row_number", F.monotonically_increasing_id()), "mix-tied")
+    # The numbers of a place run on from one of the table's partitions to the next, so no task sees more than one of them.
+    here = some.withColumns({"place": F.xxhash64("source", "key"), "there": F.shiftright("row_number", 33)})
+    before = F.sum("count").over(Window.partitionBy("place").orderBy("there").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = here.groupBy("place", "there").count().withColumn("before", F.coalesce(before, F.lit(0))).drop("count")
+    number = F.row_number().over(Window.partitionBy("place", "there").orderBy("row_number"))
+    dealt = here.withColumn("number", number).join(sizes, ["place", "there"]).withColumn("one_more", F.when(F.col("number") + F.col("before") <= F.col("tied"), 1).otherwise(0))
+    return out.filter("tied is null").select(*kept, copies).union(dealt.select(*kept, copies))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return H.settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest(F.col("text")).alias("h")), "mix-sized")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).persist(StorageLevel.DISK_ONLY)
+    sized = _sized(docs)
     out = with_copies(sized, plan(sized, weights, share, most, seed), seed)
     return out.select("doc_id", "size", F.col("words").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
     """docs as the mix takes them: rows drawn more than once are repeated, others are left out; columns stay."""
-    size = word_count(F.col("text"))
-    sized = docs.select("doc_id", "source", size.alias("size")).persist(StorageLevel.DISK_ONLY)
-    packed = docs.select("doc_id", "source", size.alias("size"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    sized = _sized(docs)
+    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest(F.col("text")).alias("h"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
     out = with_copies(packed, plan(sized, weights, share, most, seed), seed).filter("copies > 0")
     out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
@@ -161,7 +188,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> str:
     """The same mix in SQL: every ranking is one running sum over its whole source."""
     parts = [
-        "sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents)",
+        "sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents)",
         "per AS (SELECT source, sum(size)::BIGINT AS words FROM sized GROUP BY source)",
         f"turns AS (SELECT *, [{', '.join(map(str, weights))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)}]::BIGINT AS weight, words * {most} AS cap FROM per)",
         "runs AS (SELECT *, (SELECT sum(words) FROM per)::DOUBLE AS total, coalesce(sum(cap) OVER w, 0) AS cap_before, (SELECT sum(weight) FROM turns) - coalesce(sum(weight) OVER w, 0) AS weight_left"
@@ -171,15 +198,16 @@ def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: st
         "goals AS (SELECT source, words, CASE WHEN lam IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, lam * weight) END AS target FROM levels, lam)",
         "goal AS (SELECT *, CASE WHEN words > 0 THEN floor(target / words)::BIGINT ELSE 0 END AS whole FROM goals)",
         "parts AS (SELECT *, CASE WHEN words > 0 THEN target / words - whole ELSE 0 END AS part, round(target)::BIGINT - whole * words AS lacks FROM goal)",
-        f"us AS (SELECT *, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r} AS u FROM sized)",
-        "rows0 AS (SELECT us.*, words, target, whole, part, lacks, CASE WHEN part > 0 AND part < 1 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q,"
-        " lacks AS budget, -1.0::DOUBLE AS low, 0 AS drawn FROM us JOIN parts ON us.source IS NOT DISTINCT FROM parts.source)",
+        f"us AS (SELECT *, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || h), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r} AS u FROM sized)",
+        "odds AS (SELECT us.*, words, target, whole, part, lacks, CASE WHEN part > 0 AND part < 1 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q FROM us JOIN parts ON us.source IS NOT DISTINCT FROM parts.source)",
+        "rows0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST, size, h) AS g, lacks AS budget, 0 AS low, 0 AS drawn FROM odds)",
     ]
     for k in range(1 + PASSES):
         parts += [
-            f"fit{k} AS (SELECT source, q, doc_id, size, budget, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS run FROM rows{k} WHERE q IS NOT NULL AND budget > 0 AND size <= budget AND q > low)",
-            f"end{k} AS (SELECT source, min(CASE WHEN run > budget THEN q END) AS high, coalesce(max(CASE WHEN run <= budget THEN run END), 0) AS used FROM fit{k} GROUP BY source)",
-            f"rows{k + 1} AS (SELECT r.doc_id, r.source, r.size, r.words, r.target, r.whole, r.part, r.lacks, r.u, r.q, CASE WHEN e.high IS NULL THEN 0 ELSE r.budget - e.used END AS budget, e.high AS low,"
-            f" CASE WHEN r.q > r.low AND r.budget > 0 AND r.size <= r.budget AND (e.high IS NULL OR r.q < e.high) THEN 1 ELSE r.drawn END AS drawn FROM rows{k} r LEFT JOIN end{k} e ON r.source IS NOT DISTINCT FROM e.source)",
+            f"fit{k} AS (SELECT source, g, budget, sum(size) OVER (PARTITION BY source ORDER BY g ROWS UNBOUNDED PRECEDING) AS run FROM rows{k} WHERE q IS NOT NULL AND budget > 0 AND size <= budget AND g > low)",
+            f"stop{k} AS (SELECT source, min(CASE WHEN run > budget THEN g END) AS high FROM fit{k} GROUP BY source)",
+            f"end{k} AS (SELECT f.source, any_value(high) AS high, coalesce(max(CASE WHEN high IS NULL OR g < high THEN run END), 0) AS used FROM fit{k} f JOIN stop{k} s ON f.source IS NOT DISTINCT FROM s.source GROUP BY f.source)",
+            f"rows{k + 1} AS (SELECT r.* EXCLUDE (budget, low, drawn), CASE WHEN e.high IS NULL THEN 0 ELSE r.budget - e.used END AS budget, e.high AS low,"
+            f" CASE WHEN q IS NOT NULL AND r.g > r.low AND r.budget > 0 AND r.size <= r.budget AND (e.high IS NULL OR r.g < e.high) THEN 1 ELSE r.drawn END AS drawn FROM rows{k} r LEFT JOIN end{k} e ON r.source IS NOT DISTINCT FROM e.source)",
         ]
     return "WITH " + ", ".join(parts) + f" SELECT doc_id, size, words AS source_size, target, (whole + drawn) * size AS taken FROM rows{1 + PASSES}"

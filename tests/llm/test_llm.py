@@ -63,6 +63,29 @@ def test_mix_caps_a_small_source(spark):
     assert goal[30] == 90 and goal[2970] == pytest.approx(2910)
 
 
+@pytest.mark.parametrize("ids", ["unique", "null", "shared"])
+@pytest.mark.parametrize("texts", ["equal", "several"])
+def test_mix_meets_targets_whatever_the_ids(spark, ids, texts):
+    """Rows that share an id, or have none, and even a text, are dealt by number: targets are met within a document."""
+    import duckdb
+    import pandas as pd
+
+    rows = [({"unique": i, "null": None, "shared": 7}[ids], " ".join(["w"] * 49 + ["w" if texts == "equal" else f"x{i % 9}"]), "abc"[i % 3]) for i in range(600)]
+    df = docs_of(spark, rows).repartition(7)
+    out = source_mix.mix(df, weights=(5, 2, 1)).collect()
+    goal = {x.source_size: 0 for x in out}
+    assert len(out) == 600 and all(x.taken % x.size == 0 and x.taken <= 3 * x.size for x in out)
+    by = {}
+    for x in out:
+        by.setdefault(round(x.target, 3), []).append(x.taken)
+    assert len(by) == 3 and all(abs(sum(t) - goal) <= 50 for goal, t in by.items())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(d, t, s) for d, t, s in rows], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    assert sorted(map(tuple, out), key=str) == sorted(con.execute(source_mix.oracle()).fetchall(), key=str)
+    kept = source_mix.mixed(df).groupBy("source").count().collect()
+    assert sum(r["count"] for r in kept) == sum(x.taken // x.size for x in out)
+
+
 def test_mix_edges(spark):
     rows = [(1, None, "a"), (2, "x y z", None), (3, "x " * 100, "b"), (3, "x " * 100, "b"), (None, "q", "c"), (4, "", "d")]
     df = docs_of(spark, rows)
