@@ -5,8 +5,8 @@ do where it matters for text). Three things decide what is text:
 
 1. Roles: elements that are boilerplate by their tag, ARIA role, hidden state, or by a class or id that names
    boilerplate as a whole ("cookie-notice", not "notice-period"): menus, headers and footers of the page, sidebars,
-   notices, adverts, forms, comments of readers, markup. No class takes a paragraph, heading, list item, quote or
-   table cell of an article away.
+   notices, adverts, forms, comments of readers, markup. A paragraph, heading, list item, quote or table cell of an
+   article is never taken for its own class, and not with a container whose class may name contents as well ("menu").
 2. Site templates: every element's subtree gets a hash of its tags and text; Spark counts on how many distinct
    pages of a host each hash occurs (whole copies of a page count once); subtrees that recur on `MIN_PAGES` pages
    and on `SHARE` of the host's pages or more are deleted. The element that holds the page's article is never
@@ -71,13 +71,15 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Those of MARKS that may as well name what an article is about: they take none of its paragraphs away.
+VAGUE_WORDS = frozenset("alert aside banner copyright follow login menu menus modal notice notices overlay popup promotion recommendations recommended related search skip teaser teasers widget widgets".split())
 #: Those of MARKS that name what readers wrote: never a frame around the whole page.
 REPLIES = frozenset("comment comments disqus replies respond reply".split())
-HARD, SOFT, REPLY = 3, 1, 2
+HARD, SOFT, REPLY, VAGUE = 3, 1, 2, 4
 
 
 def boilerplate(tag: str, attrs: str, in_article: bool) -> int:
-    """HARD for what a tag, role or hidden state says; SOFT or REPLY for what a form or a class name suggests; else 0."""
+    """HARD for what a tag, role or hidden state says; SOFT, VAGUE or REPLY for what a form or a class name suggests; else 0."""
     if tag in DROPPED:
         return HARD
     if tag == "header" and not in_article:
@@ -100,8 +102,8 @@ def boilerplate(tag: str, attrs: str, in_article: bool) -> int:
                     continue  # "share-price" or "follow-up" name something else
                 if words & REPLIES:
                     soft = REPLY
-                elif tag != "article":
-                    soft = soft or SOFT
+                elif tag != "article" and soft != REPLY:
+                    soft = soft or VAGUE if words & MARKS <= VAGUE_WORDS else SOFT
     return soft
 
 
@@ -130,7 +132,7 @@ class Page:
 
         def flush() -> None:
             if text:
-                block = " ".join(entities.unescape("".join(text)).split())
+                block = " ".join("".join(text).split())
                 text.clear()
                 if block:
                     self.blocks.append(block)
@@ -154,7 +156,7 @@ class Page:
         n = len(html)
         for m in iter(lambda: _TAG.search(html, at), None):
             if m.start() > at and not self.skipped[stack[-1]]:
-                text.append(html[at : m.start()])
+                text.append(entities.unescape(html[at : m.start()]))  # no reference goes on behind a tag
             at = m.end()
             name = m[3] or m[6]
             if not name:
@@ -201,7 +203,7 @@ class Page:
                 stack.append(node)
                 open_tags[tag] += 1
         if at < n and not self.skipped[stack[-1]]:
-            text.append(html[at:])
+            text.append(entities.unescape(html[at:]))
         flush()
         close(1)
 
@@ -216,16 +218,20 @@ class Page:
         size = [0]
         for b in self.blocks:
             size.append(size[-1] + len(b))
-        out = [False] * n
+        out, vague, within = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
-            held = self.mark[i]
-            if held == SOFT:
+            above, held = self.parent[i], self.mark[i]
+            within[i] = within[above] or self.tag[i] in ("article", "main")
+            if held in (SOFT, VAGUE):
                 if heads:
                     frame = i < heads[0] and heads[-1] <= last[i]
                 else:
                     frame = size[self.end[i]] - size[self.start[i]] >= 0.8 * size[-1]
                 held = 0 if frame else held
-            out[i] = bool(held) or out[self.parent[i]]
+            # What an article says is spared where only a vague class name stands around it.
+            spared = vague[above] and not held and within[above] and self.tag[i] in TEXTUAL
+            out[i] = bool(held) or (out[above] and not spared)
+            vague[i] = out[i] and held in (0, VAGUE) and (vague[above] or not out[above])
         return out
 
     def _protect(self) -> None:

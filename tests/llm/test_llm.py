@@ -617,6 +617,10 @@ PAGES = [
     ("<article><p>A</p><section id='follow-up'>b</section><p class='share-price'>c</p><div class='notice-period'>d</div><p>z</p></article>", "A b c d z"),
     ("<body><p>x</p><div class='comments-on-history'>kept</div><div class='comment-list'>gone</div></body>", "x kept"),
     ("<article><p class='notice'>said</p><div class='notice box'>gone</div><div class='topAdSlot'>gone</div></article>", "said"),
+    ("R&<em>reg</em> x AT&<b>amp;</b>T &am<!-- -->p; &amp;lt;", "R&reg x AT&amp;T &amp; &lt;"),
+    ("<article><div class='main-menu'><p>Soup 3 EUR</p>x</div><div class='advert'><p>buy</p></div></article>", "Soup 3 EUR"),
+    ("<article><div class='notice'><ul><li>one<div class='menu'>y</div></ul><div hidden><p>no</p></div></div><div id='comments'><div class='notice'><p>no</p></div></div></article>", "one"),
+    ("<body><div class='main-menu'><p>Home</p></div><p>x y z and more</p></body>", "x y z and more"),
     ("<div class='newsletter'>sign up</div><div class='story'><p>one</p><p>two three four five six</p></div>", "one two three four five six"),
 ]
 
@@ -655,6 +659,35 @@ def test_templates_leave_what_articles_say(spark):
     assert [got[1000], got[1009], got[1020]] == ["quote own 0", "quote own 9", "word 20 own 20"]
 
 
+def test_templates_decide_against_brute_force(spark):
+    """Hosts whose frames are plain divs, without roles, classes or articles: counting alone tells them from contents."""
+    r = random.Random(11)
+    pages = []
+    for host, n, share in (("a.com", 60, 0.9), ("b.com", 200, 0.08), ("c.com", 9, 1.0), ("d.com", 40, 0.3)):
+        frames = [[f"{host} frame {k} line {j}" for j in range(r.randint(1, 3))] for k in range(4)]
+        for i in range(n):
+            blocks = [f for f in frames if r.random() < share] + [[f"{host} own {i} {k}", *(["said on many pages"] if r.random() < 0.5 else [])] for k in range(3)]
+            r.shuffle(blocks)
+            pages.append((len(pages), host, blocks))
+    pages += [(len(pages) + i, *pages[0][1:]) for i in range(30)]  # whole copies count as one page
+    html = lambda blocks: "<body>" + "".join("<div>" + "".join(f"<p>{x}</p>" for x in b) + "</div>" for b in blocks) + "</body>"
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame([(i, f"http://{h}/{i}", html(b)) for i, h, b in pages], "page_id long, url string, html string")).collect()}
+    want, changed = {}, 0
+    for host in {h for _, h, _ in pages}:
+        mine = {html(b): b for _, h, b in pages if h == host}
+        count = {}
+        for blocks in mine.values():
+            for part in {tuple(b) for b in blocks} | {x for b in blocks for x in b}:
+                count[part] = count.get(part, 0) + 1
+        often = {x for x, c in count.items() if c >= 10 and c >= len(mine) / 10}
+        for i, h, blocks in pages:
+            if h == host:
+                left = [x for b in blocks if tuple(b) not in often for x in b if x not in often]
+                want[i] = " ".join(left or [x for b in blocks for x in b])
+                changed += len(left) < sum(map(len, blocks))
+    assert got == want and changed > 100
+
+
 def test_deep_and_large_pages_take_linear_time():
     import time
 
