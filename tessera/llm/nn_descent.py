@@ -67,7 +67,10 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     v = F.col("embedding")
     number = F.aggregate(v, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
     clean = v.isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = clean & (number > 0) & (number < float("inf"))
+    if "double" in vectors.schema["embedding"].dataType.simpleString():  # squares of doubles can overflow or vanish
+        most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+        v = F.when(clean & (most > 0) & ~number.between(1e-200, 1e200), F.transform(v, lambda x: x / most)).otherwise(v)
+    good = clean & F.exists(v, lambda x: x != 0)
     grp = F.xxhash64(F.col("label"), F.size(v))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, grp).alias("grp"), F.when(good, v).alias("v"))
     rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("grp", "v")))

@@ -233,10 +233,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     plain = H.in_small_batches(docs).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     if plain.groupBy("__doc").count().filter("count > 1").isEmpty():
         return plain
-    hashed = plain.withColumn("__hash", F.xxhash64("text"))
-    order = hashed.select("__doc", "__hash").distinct().orderBy("__doc", "__hash").withColumn("__rank", F.monotonically_increasing_id())
+    key = ["__none", "__doc", "__hash"]  # documents without an id come behind the largest id
+    hashed = plain.withColumns({"__none": F.col("doc_id").isNull(), "__hash": F.xxhash64("text")})
+    order = hashed.select(*key).distinct().orderBy(*key).withColumn("__rank", F.monotonically_increasing_id())
     order = H.settle(order, "sa-order")  # monotone in (doc_id, hash); written once, so every later pass sees the same ranks
-    return hashed.join(order, ["__doc", "__hash"], "left").drop("__doc", "__hash").withColumnRenamed("__rank", "__doc")
+    return hashed.join(order, key, "left").drop(*key).withColumnRenamed("__rank", "__doc")
 
 
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

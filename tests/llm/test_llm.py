@@ -314,6 +314,15 @@ def test_suffix_dedup_shared_ids(spark):
 # ---------------------------------------------------------------- op6
 
 
+def test_suffix_dedup_at_the_largest_id(spark):
+    """A document without an id comes behind every other, also behind that of the largest id."""
+    text = "".join(random.Random(5).choices("abcdefgh", k=150))
+    for a, b in ((text + "1", text + "2"), (text + "2", text + "1")):
+        rows = [(None, a, "s"), (2**63 - 1, b, "s"), (None, "x", "s")]
+        got = {(x.doc_id, x.n_bytes): x.n_removed for x in suffix_dedup.digest(docs_of(spark, rows)).collect()}
+        assert got == {(None, 151): 150, (2**63 - 1, 151): 0, (None, 1): 0}
+
+
 def test_near_duplicate_vectors(spark):
     r = np.random.default_rng(7)
     rows, k = [], 0
@@ -393,6 +402,12 @@ def test_near_duplicate_vectors_edges(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_magnitudes(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1.1e-200], 0), (4, [1.0, -1.0], 0), (5, [1e-320, 0.0], 1), (6, [5.0, 1e-9], 1), (7, [0.0, 0.0], 1), (8, [1e308, -1e308], 0)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (1, 4)}
+
+
 def test_recall_of_the_descent(spark, sf):
     found = nn_descent.nodes(shared.table(spark, sf, "embeddings"))[1]
     truth = nn_descent.true_links(found, 0.6).select("a", "b").distinct()
