@@ -7,6 +7,7 @@ executor costs one step. Nothing of a graph is collected, apart from counts.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
@@ -21,9 +22,13 @@ def folder(sc: SparkContext) -> str:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage at a reliable checkpoint."""
-    folder(df.sparkSession.sparkContext)
-    return df.checkpoint()
+    """Cut lineage at a table in the checkpoint folder: computed once, where a checkpoint computes its plan twice. It goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark.sparkContext).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def directed(arcs: DataFrame, direction: str = "out") -> DataFrame:

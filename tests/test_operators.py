@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tessera.functions import text as X
-from tessera.operators import communities, concepts, conditions, graph, paging, ranking, resolution, search, selection
+from tessera.operators import concepts, conditions, graph, paging, ranking, resolution, search, selection
 from tessera.sources import files, sql, store
 from tessera.streaming import windows
 
@@ -147,14 +147,6 @@ def test_diagrams_against_truth_tables():
         d.build(["and", *[["or", f"x{i}", f"y{i}"] for i in range(9)]])
 
 
-def test_leiden_finds_cliques():
-    edges = [(a, b, 1.0) for g in range(4) for a, b in itertools.combinations(range(g * 6, g * 6 + 6), 2)] + [(g * 6, (g * 6 + 6) % 24, 0.1) for g in range(4)]
-    for seed in range(5):
-        labels = communities.leiden(24, edges, 1.0, seed)
-        assert labels == [i // 6 for i in range(24)]
-    assert communities.agreement([0, 0, 1, 1], [1, 1, 0, 0]) == (pytest.approx(1), pytest.approx(1))
-
-
 def test_projection_losses(spark):
     q = spark.createDataFrame([("q", [1.0, 0.2, 0.0])], "item string, vector array<float>")
     t = spark.createDataFrame([("z-best", [1.0, 0.2, 0.0]), ("a-prefix-tie", [1.0, 0.2, 5.0])], "item string, vector array<float>")
