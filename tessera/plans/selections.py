@@ -76,12 +76,25 @@ def condition_implies(spark, t):
 
 
 def _incidence(t):
-    return t("part").select(F.lit("parts").alias("scope"), F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 4).alias("object"), (F.col("p_size") % 12).alias("attribute")).distinct()
+    """Three scopes; objects are shelves of twenty parts, attributes the sizes on them, so that contexts grow with the parts and stay as dense."""
+    scope, shelf = F.concat(F.lit("s"), F.col("p_partkey") % 3), F.floor(F.col("p_partkey") / 20).cast("long")
+    return t("part").select(scope.alias("scope"), shelf.alias("object"), (F.col("p_size") % 12).alias("attribute")).distinct()
 
 
-@register()
+_MASKS = (
+    "o AS (SELECT 's' || (p_partkey % 3) AS scope, p_partkey // 20 AS object, bit_or(1 << (p_size % 12)) AS mask FROM part GROUP BY 1, 2), used AS (SELECT scope, bit_or(mask) AS used FROM o GROUP BY 1),"
+    " sets AS (SELECT scope, s FROM used, (SELECT unnest(range(0, 4096)) AS s) WHERE s & used = s)"
+)
+
+
+# All sets of attributes: a set is the intent of a concept if the objects that have it share no more.
+@register(
+    f"WITH {_MASKS}, c AS (SELECT scope, s, count(*) AS n, bit_and(mask) AS meet, string_agg(object::VARCHAR, ',' ORDER BY object) AS objects FROM sets JOIN o USING (scope) WHERE mask & s = s GROUP BY 1, 2)"
+    " SELECT scope, n::INTEGER AS support, objects, array_to_string(list_filter(range(0, 12), lambda i: (s >> i) & 1 = 1), ',') AS attributes FROM c WHERE meet = s AND n >= 2"
+)
 def fca_concepts(spark, t):
-    return concepts.concepts(_incidence(t)).select("scope", "support", F.concat_ws(",", "objects").alias("objects"), F.concat_ws(",", F.transform("attributes", lambda a: a.cast("string"))).alias("attributes"))
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda a: a.cast("string"))).alias(c)
+    return concepts.concepts(_incidence(t)).select("scope", "support", text("objects"), text("attributes"))
 
 
 @register()
