@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +47,41 @@ def anchored(slices: DataFrame, containers: DataFrame) -> DataFrame:
     return j.select("id", keep(F.col("artifact")).alias("artifact"), keep(F.col("cs") + F.col("start")).alias("start"), keep(F.col("cs") + F.col("stop")).alias("stop"), F.when(bad, "outside").alias("error"))
 
 
-def ranked(df: DataFrame, *keys: str) -> DataFrame:
-    """df with `rank`, from 0 in the order of keys over the whole relation; no task sorts everything.
-
-    Ranges are cut once and written, so that the sizes counted are those of the partitions that are ranked.
-    """
+def _dealt(df: DataFrame, keys: tuple, size: Column) -> tuple[DataFrame, DataFrame]:
+    """(df in ranges of keys, with __part and __size; per part the sum of sizes before it). Ranges are cut once and written, so that what is counted is what is ranked."""
     from tessera.operators.graph import _cut
 
-    spread = _cut(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
-    sizes = spread.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # one row per partition
+    spread = _cut(df.withColumn("__size", size.cast("long")).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    before, table = 0, []
+    for part, n in sorted(map(tuple, spread.groupBy("__part").agg(F.sum("__size")).collect())):  # a row a partition
+        table.append((part, before))
+        before += n or 0
+    return spread, df.sparkSession.createDataFrame(table, "__part int, __before long")
+
+
+def ranked(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """df with `rank`, from 0 in the order of keys (columns or orders of columns) over the whole relation; no task sorts everything."""
+    spread, before = _dealt(df, keys, F.lit(1))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return spread.join(F.broadcast(before), "__part").withColumn("rank", place + F.col("__before") - 1).drop("__part", "__before")
+    return spread.join(F.broadcast(before), "__part").withColumn("rank", place + F.col("__before") - 1).drop("__part", "__before", "__size")
+
+
+def running(df: DataFrame, size: Column, *keys: str | Column) -> DataFrame:
+    """df with `running`, the sum of sizes (a null counts 0) up to and with each row in the order of keys over the whole relation."""
+    spread, before = _dealt(df, keys, F.coalesce(size, F.lit(0)))
+    upto = F.sum("__size").over(Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return spread.join(F.broadcast(before), "__part").withColumn("running", upto + F.col("__before")).drop("__part", "__before", "__size")
+
+
+def ranked_within(df: DataFrame, by: list[str], *keys: str | Column) -> DataFrame:
+    """df with `rank`, from 0 in the order of keys inside each group of `by`; a group of any size is spread over tasks. Groups with a null are groups, too."""
+    from tessera.operators.graph import _cut
+
+    all_ = _cut(ranked(df, *by, *keys))
+    first = all_.groupBy(*by).agg(F.min("rank").alias("__first"))
+    first = first.select(*[F.col(c).alias(f"__{c}") for c in by], "__first")
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return all_.join(first, same).withColumn("rank", F.col("rank") - F.col("__first")).drop("__first", *[f"__{c}" for c in by])
 
 
 def chunk_digests(df: DataFrame, key: str, rows: int = 4096) -> DataFrame:

@@ -8,7 +8,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tessera.functions.parts import ranked, running
 from tessera.sources.sql import Refused
 
 DEFAULT, MOST = 20, 100
@@ -31,8 +33,7 @@ def nested_pages(df: DataFrame, parent: str, key: str, limit: int) -> DataFrame:
 
 def packed(df: DataFrame, order: list[Column], size: Column, limit: int) -> DataFrame:
     """Rows in order while their sizes add up to the limit at most."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(w)).filter(F.col("running") <= limit)
+    return running(df, size, *order).filter(F.col("running") <= limit)
 
 
 def packed_by(df: DataFrame, by: str, order: list[Column], size: Column, limit: int) -> DataFrame:
@@ -84,3 +85,52 @@ def resume(token: str, request: dict, snapshot: str):
     if got.get("for") != _binding(request, snapshot):
         raise Refused("the cursor belongs to another request")
     return got["after"]
+
+
+# ---------------------------------------------------------------- rankings that are kept for their pages
+
+BUCKET_ROWS = 8_192  # rows of a ranking that lie together; pages end where a bucket does
+
+
+def retain(sections: dict[str, tuple[DataFrame, list[Column | str]]], path: str, request: dict, snapshot: str) -> str:
+    """Rank each section's rows (rows, order) once and keep them under path, keyed by request and snapshot. Returns the folder.
+
+    A section's rows lie in buckets of rank; a manifest, written last, has their numbers, and a ranking without one is
+    not served. One that is there already is served as it is.
+    """
+    where = f"{path.rstrip('/')}/{_binding(request, snapshot)}"
+    if not sections:
+        raise Refused("a ranking has a section")
+    spark = next(iter(sections.values()))[0].sparkSession
+    if _manifest(spark, where) is not None:
+        return where
+    sizes = []
+    for name, (rows, order) in sections.items():
+        placed = ranked(rows, *order).withColumn("bucket", F.floor(F.col("rank") / BUCKET_ROWS))
+        placed.repartition("bucket").sortWithinPartitions("bucket", "rank").write.mode("overwrite").partitionBy("bucket").parquet(f"{where}/section={name}")
+        sizes.append((name, spark.read.schema("rank long, bucket long").parquet(f"{where}/section={name}").count(), placed.schema.json()))
+    spark.createDataFrame(sizes, "section string, n long, columns string").coalesce(1).write.mode("overwrite").parquet(f"{where}/manifest")
+    return where
+
+
+def _manifest(spark, where: str) -> dict | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/manifest/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return {r["section"]: (r["n"], StructType.fromJson(json.loads(r["columns"]))) for r in spark.read.parquet(f"{where}/manifest").collect()}
+
+
+def retained_page(spark, path: str, request: dict, snapshot: str, section: str, limit: int = DEFAULT, token: str | None = None) -> tuple[DataFrame, str | None]:
+    """(rows of the section's next page by rank, the cursor behind it or None at the end). Only one bucket is read.
+
+    Cursors are for a section of a request and snapshot; others are refused, and so is a ranking that isn't there.
+    """
+    where = f"{path.rstrip('/')}/{_binding(request, snapshot)}"
+    sizes = _manifest(spark, where)
+    if sizes is None or section not in sizes:
+        raise Refused("no such ranking is kept")
+    at = resume(token, request | {"section": section}, snapshot) if token else 0
+    bucket, (n, columns) = at // BUCKET_ROWS, sizes[section]
+    stop = min(at + max(1, min(limit, MOST)), (bucket + 1) * BUCKET_ROWS, n)
+    rows = spark.read.schema(columns).parquet(f"{where}/section={section}").filter((F.col("bucket") == bucket) & (F.col("rank") >= at) & (F.col("rank") < stop)).drop("bucket").orderBy("rank")
+    return rows, cursor(request | {"section": section}, snapshot, stop) if stop < n else None

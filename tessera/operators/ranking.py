@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.parts import ranked, ranked_within
+
 K = 60
 
 
@@ -22,16 +24,17 @@ def fuse(scores: DataFrame, k: int = K) -> DataFrame:
     live = scores.filter(F.col("score").isNotNull()).withColumn("score", F.col("score") + F.lit(0.0))
     best = Window.partitionBy("family", "channel", "target").orderBy(F.desc("score"), "occurrence")
     one = live.withColumn("n", F.row_number().over(best)).filter("n = 1")
-    place = Window.partitionBy("family", "channel").orderBy(F.desc("score"), "target")
-    by_family = one.withColumn("r", F.row_number().over(place)).groupBy("family", "target").agg(F.sum(reciprocal(F.col("r"), k)).alias("s"))
-    again = Window.partitionBy("family").orderBy(F.desc("s"), "target")
-    return by_family.withColumn("r", F.row_number().over(again)).groupBy("target").agg(F.sum(reciprocal(F.col("r"), k)).alias("score"))
+    # Channels are few and large: their ranks run over all tasks.
+    placed = ranked_within(one, ["family", "channel"], F.desc("score"), "target")
+    by_family = placed.groupBy("family", "target").agg(F.sum(reciprocal(F.col("rank") + 1, k)).alias("s"))
+    again = ranked_within(by_family, ["family"], F.desc("s"), "target")
+    return again.groupBy("target").agg(F.sum(reciprocal(F.col("rank") + 1, k)).alias("score"))
 
 
 def promoted_first(df: DataFrame, exact: Column, *order: Column) -> DataFrame:
-    """Rows with their final rank: exact matches first, then by the given order."""
-    w = Window.orderBy(F.when(exact, 0).otherwise(1), *order)
-    return df.withColumn("rank", F.row_number().over(w))
+    """Rows with their final rank, from 1: exact matches first, then by the given order."""
+    placed = ranked(df.withColumn("__exact", F.when(exact, 0).otherwise(1)), "__exact", *order)
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("__exact")
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:

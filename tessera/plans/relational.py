@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import parts as P
 from tessera.functions import text as X
-from tessera.operators import aggregates, joins, paging, predicates, ranking, resolution, validation
+from tessera.operators import aggregates, graph, joins, paging, predicates, ranking, resolution, validation
 from tessera.plans import stages
 from tessera.plans.catalog import register
 from tessera.sources import sql
@@ -278,6 +280,17 @@ def nested_pages(spark, t):
     return paging.nested_pages(t("orders"), "o_custkey", "o_orderkey", 3).select("o_custkey", "o_orderkey", "place", "omitted")
 
 
+@register("SELECT o_orderkey, o_totalprice, rank FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank FROM orders) WHERE rank BETWEEN 200 AND 299")
+def retained_pages(spark, t):
+    """The third page of a hundred of the orders by price, after the cursors of the first two; the ranking is made once."""
+    path, request = f"{graph.folder(spark.sparkContext)}/rankings-{uuid.uuid4().hex}", {"query": "orders by price"}
+    paging.retain({"orders": (t("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"])}, path, request, "now")
+    token = None
+    for _ in range(3):
+        rows, token = paging.retained_page(spark, path, request, "now", "orders", 100, token)
+    return rows
+
+
 @register("SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT source, doc_id, sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 32768")
 def byte_pack(spark, t):
     return paging.packed_by(t("documents"), "source", [F.col("doc_id")], F.octet_length("text"), 32_768).select("source", "doc_id", "running")
