@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
@@ -74,30 +75,86 @@ def bounded_search(arcs: DataFrame, seed, max_depth: int, max_vertices: int, bou
     return seen, "depth"
 
 
+def _chains(edges: DataFrame, inner: DataFrame) -> DataFrame:
+    """(node, head, tail, least): of each inner node (one arc in, one out) the first nodes before and behind it that aren't inner, and the least node on the way.
+
+    Pointers double each round, so a chain of n nodes takes log2(n) of them. Circles of inner nodes alone have no ends: their
+    heads are inner, and once the ways are longer than all circles, `least` is the circle's least node.
+    """
+    ahead, behind = edges.select(F.col("src").alias("node"), F.col("dst").alias("tail")), edges.select(F.col("dst").alias("node"), F.col("src").alias("head"))
+    way = _cut(inner.join(ahead, "node").join(behind, "node").select("node", "head", "tail", F.col("node").alias("least")))
+    length, before = 1, -1
+    while True:
+        on = way.select(F.col("node").alias("tail"), F.col("tail").alias("tail2"), F.col("least").alias("least2"))
+        back = way.select(F.col("node").alias("head"), F.col("head").alias("head2"))
+        step = way.join(on, "tail", "left").join(back, "head", "left")
+        way = _cut(step.select("node", F.coalesce("head2", "head").alias("head"), F.coalesce("tail2", "tail").alias("tail"), F.least("least", F.coalesce("least2", "least")).alias("least"), (F.col("tail2").isNotNull() | F.col("head2").isNotNull()).alias("open")))
+        length, still = 2 * length, way.filter("open").count()
+        if not still or (still == before and length >= still):  # what doesn't get less are circles
+            return way.drop("open")
+        before = still
+
+
 def strong_components(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): least node of each strongly connected component, by colouring forwards and back.
+    """(node, component): least node of each strongly connected component.
 
-    Each round: nodes without an arc in or out among the open ones are components of their own; of the others,
-    the least ancestor colours each node, and those of a colour that reach its root are one component.
+    Nodes without an arc in or out are components of their own. Chains (nodes with one arc in and one out) are contracted to an
+    arc from head to tail by pointer doubling: what lies on them is in one component with their ends, if these are, else
+    alone. Of what is left, the least ancestor colours each node, and those of a colour that reach its root are one
+    component. Then all over again, without what is known.
     """
-    open_, done = _cut(nodes.select("node").distinct()), None
-    edges = _cut(arcs.select("src", "dst").filter("src <> dst").distinct())
-    while not open_.isEmpty():
-        color = _cut(open_.select("node", F.col("node").alias("color")))
-        while True:  # the least ancestor
-            step = color.join(edges, color["node"] == edges["src"]).groupBy("dst").agg(F.min("color").alias("c"))
-            nxt = _cut(color.join(step, color["node"] == step["dst"], "left").select("node", F.least("color", F.coalesce("c", "color")).alias("color")))
-            changed = not nxt.join(color, ["node", "color"], "left_anti").isEmpty()
-            color = nxt
-            if not changed:
-                break
-        inside = edges.join(color.select(F.col("node").alias("src"), F.col("color").alias("p")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("q")), "dst").filter("p = q")
-        roots = color.filter("node = color").select(F.col("node").alias("seed"), "node")
-        found = _cut(closure(inside, roots, "in").select("node", F.col("seed").alias("component")))
-        done = found if done is None else _cut(done.union(found))
-        open_ = _cut(open_.join(found, "node", "left_anti"))
-        edges = _cut(edges.join(open_.withColumnRenamed("node", "src"), "src", "left_semi").join(open_.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    return done if done is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
+    open_, edges = _cut(nodes.select("node").distinct()), _cut(arcs.select("src", "dst").filter("src <> dst").distinct())
+    known, contracted = [], []
+
+    def keep(rest: DataFrame, arcs_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rest = _cut(rest)
+        return rest, _cut(arcs_.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+
+    while True:
+        ins, outs = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i")), edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"))
+        met = _cut(open_.join(ins, "node", "left").join(outs, "node", "left").select("node", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("o", F.lit(0)).alias("o")))
+        alone, inner = (F.col("i") == 0) | (F.col("o") == 0), (F.col("i") == 1) & (F.col("o") == 1)
+        n, ends, chained = met.agg(F.count("*"), F.count_if(alone), F.count_if(inner)).first()
+        if not n:
+            break
+        if 20 * ends >= n:
+            known.append(met.filter(alone).select("node", F.col("node").alias("component")))
+            open_, edges = keep(met.filter(~alone).select("node"), edges)
+        elif 20 * chained >= n:
+            way = _chains(edges, met.filter(inner).select("node"))
+            inside = way.select(F.col("node").alias("head"))
+            known.append(way.join(inside, "head", "left_semi").select("node", F.col("least").alias("component")))
+            way = _cut(way.join(inside, "head", "left_anti").select("node", "head", "tail"))
+            contracted.append(way)
+            open_, edges = keep(met.filter(~inner).select("node"), edges.union(way.select("head", "tail")).filter("src <> dst").distinct())
+        else:
+            found = _cut(_coloured(open_, edges))
+            known.append(found)
+            open_, edges = keep(open_.join(found, "node", "left_anti"), edges)
+    if not known:
+        return nodes.select("node", F.col("node").alias("component")).limit(0)
+    out = _cut(reduce(DataFrame.union, known))
+    for way in reversed(contracted):
+        at = lambda end: out.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        same = F.when(F.col("of_head") == F.col("of_tail"), F.col("of_head")).otherwise(F.col("node"))
+        out = _cut(out.union(way.join(at("head"), "head").join(at("tail"), "tail").select("node", same.alias("component"))))
+    least = out.groupBy("component").agg(F.min("node").alias("least"))
+    return out.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _coloured(open_: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of those nodes that reach the root of their colour, the least node that reaches them."""
+    color = _cut(open_.select("node", F.col("node").alias("color")))
+    while True:
+        step = color.join(edges, color["node"] == edges["src"]).groupBy("dst").agg(F.min("color").alias("c"))
+        nxt = _cut(color.join(step, color["node"] == step["dst"], "left").select("node", F.least("color", F.coalesce("c", "color")).alias("color"), (F.coalesce("c", "color") < F.col("color")).alias("less")))
+        changed = not nxt.filter("less").isEmpty()
+        color = nxt.drop("less")
+        if not changed:
+            break
+    inside = edges.join(color.select(F.col("node").alias("src"), F.col("color").alias("p")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("q")), "dst").filter("p = q")
+    roots = color.filter("node = color").select(F.col("node").alias("seed"), "node")
+    return closure(inside, roots, "in").select("node", F.col("seed").alias("component"))
 
 
 def callee_first(arcs: DataFrame, components: DataFrame) -> DataFrame:
@@ -133,12 +190,13 @@ def pagerank(arcs: DataFrame, nodes: DataFrame, damping: float = 0.85, tolerance
     n = nodes.count()
     # Nodes keep one partitioning through all rounds.
     score = _cut(nodes.select("node").join(out.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left").select("node", F.coalesce("sends", F.lit(False)).alias("sends"), F.lit(1.0 / n if n else 0.0).alias("score")))
+    sums = lambda df: df.agg(F.coalesce(F.sum(F.when(~F.col("sends"), F.col("score"))), F.lit(0.0)), F.coalesce(F.sum(F.abs(F.col("score") - F.col("old"))), F.lit(0.0))).first()
+    lost, _ = sums(score.withColumn("old", F.col("score")))
     for _ in range(max_rounds):
-        lost = score.filter(~F.col("sends")).agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         base = (1 - damping) / n + damping * lost / n if n else 0.0
         got = flow.join(score, flow["src"] == score["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("in"))
         nxt = _cut(score.join(got, score["node"] == got["dst"], "left").select("node", "sends", (F.lit(base) + damping * F.coalesce("in", F.lit(0.0))).alias("score"), F.col("score").alias("old")))
-        residual = nxt.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("old"))), F.lit(0.0))).first()[0]
+        lost, residual = sums(nxt)
         score = nxt.drop("old")
         if residual < tolerance:
             break
