@@ -144,15 +144,22 @@ def _decide(a: str | None, b: str | None, question: str) -> bool | None:
         return None
 
 
+def _decided(a: pd.Series, b: pd.Series, question: str) -> pd.Series:
+    """Answers by row; each distinct pair of a batch is decided once."""
+    pairs = list(zip(a, b, strict=True))
+    known = {p: _decide(*p, question) for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs], dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def implies(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether condition a (JSON) implies b; null where that is unknown."""
-    return pd.Series([_decide(x, y, "implies") for x, y in zip(a, b, strict=True)], dtype=object)
+    return _decided(a, b, "implies")
 
 
 @F.pandas_udf(T.BooleanType())
 def compatible(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_decide(x, y, "compatible") for x, y in zip(a, b, strict=True)], dtype=object)
+    return _decided(a, b, "compatible")
 
 
 def rendered(most: int):
@@ -188,25 +195,47 @@ ALWAYS, NEVER, MAX_DEPTH, MAX_VISITED = -1, -2, 256, 4096
 _UNKNOWN = "\0unknown"
 
 
+def _in_order(nodes: list, root: int) -> list[tuple[int, int]]:
+    """(node, level) of the inner nodes under root, parents first; a level is the longest way from the root. What lies on a circle is left out."""
+    inner = lambda x: [w for w in nodes[x][1:] if w >= 0]
+    parents, todo = {root: 0}, [root]
+    while todo:
+        for w in inner(todo.pop()):
+            if w not in parents:
+                todo.append(w)
+            parents[w] = parents.get(w, 0) + 1
+    level, out = {root: 0}, []
+    ready = [root] if not parents[root] else []
+    for x in ready:  # grows
+        out.append((x, level[x]))
+        for w in inner(x):
+            level[w] = max(level.get(w, 0), level[x] + 1)
+            parents[w] -= 1
+            if not parents[w]:
+                ready.append(w)
+    return sorted(out, key=lambda xl: (xl[1], xl[0]))
+
+
 def _narrowed(graph: str | None, most: int) -> tuple:
     if graph is None:
         return None, None, None, None, None
     g = json.loads(graph)
-    d = Diagrams()
-    done = {ALWAYS: 1, NEVER: 0}
+    d, values = Diagrams(), {}
 
-    def visit(x: int, depth: int) -> int:
-        if x in done:
-            return done[x]
-        if depth > MAX_DEPTH or len(done) - 2 >= MAX_VISITED:
+    def value(way: int, level: int) -> int:
+        if level > MAX_DEPTH:
             return d.atom(_UNKNOWN)
-        atom, *ways = g["nodes"][x]
-        yes, either, no = (visit(w, depth + 1) for w in ways)
-        done[x] = d.either(either, d.choose(d.atom(atom), yes, no))
-        return done[x]
+        known = {ALWAYS: 1, NEVER: 0}.get(way, values.get(way))
+        return d.atom(_UNKNOWN) if known is None else known
 
     try:
-        f = visit(g["root"], 0)
+        # The first MAX_VISITED nodes are decided, children before their parents: by the time of a node all its ways have values.
+        order = _in_order(g["nodes"], g["root"]) if g["root"] >= 0 else []
+        for x, level in reversed(order[:MAX_VISITED]):
+            atom, *ways = g["nodes"][x]
+            yes, either, no = (value(w, level + 1) for w in ways)
+            values[x] = d.either(either, d.choose(d.atom(atom), yes, no))
+        f = value(g["root"], 0)
         unknown = d.exists(f, [_UNKNOWN]) != f
         terms, more = d.terms(f, most)
     except Boundary:
@@ -226,7 +255,8 @@ def narrowed(most: int):
 
     @F.pandas_udf(T.StructType(fields))
     def lower(graph: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_narrowed(x, most) for x in graph], columns=[f.name for f in fields], dtype=object)
+        known = {x: _narrowed(x, most) for x in graph.drop_duplicates()}  # each distinct graph of a batch once
+        return pd.DataFrame([known[x] for x in graph], columns=[f.name for f in fields], dtype=object)
 
     return lower
 

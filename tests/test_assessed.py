@@ -26,6 +26,37 @@ def test_a_graph_beyond_its_bounds_is_unknown():
     assert conditions._narrowed(None, 8)[0] is None
 
 
+def test_depth_is_that_of_the_longest_way():
+    """A leaf behind more than MAX_DEPTH steps is unknown, one at the bound is not; circles are unknown, shared nodes are decided once."""
+    chain = lambda n: {"nodes": [*[["a", i + 1, -2, i + 1] for i in range(n - 1)], ["z", -1, -2, -2]], "root": 0}
+    assert lower(chain(conditions.MAX_DEPTH))["terms"] == [["z"]] and not lower(chain(conditions.MAX_DEPTH))["unknown"]
+    assert lower(chain(conditions.MAX_DEPTH + 1))["unknown"]
+    assert lower({"nodes": [["a", 1, -2, -2], ["b", 1, -2, -2]], "root": 0})["unknown"]
+    wide = {"nodes": [[f"n{i:04}", -1, i + 1 if i < 4_100 else -2, -2] for i in range(4_101)], "root": 0}
+    assert lower(wide)["unknown"]
+
+
+def test_narrowing_agrees_with_evaluation():
+    import itertools
+    import random
+
+    r = random.Random(8)
+    for _ in range(40):
+        n = r.randint(1, 7)
+        nodes = [[r.choice("pqr"), *(r.choice([-1, -2, *range(i + 1, n)]) for _ in range(3))] for i in range(n)]
+
+        def holds(x, world):
+            if x < 0:
+                return x == -1
+            atom, yes, either, no = nodes[x]
+            return holds(either, world) or holds(yes if world[atom] else no, world)
+
+        got = lower({"nodes": nodes, "root": 0}, 100)
+        for values in itertools.product([False, True], repeat=3):
+            world = dict(zip("pqr", values, strict=True))
+            assert holds(0, world) == any(all(world[a.strip("!")] != a.startswith("!") for a in term) for term in got["terms"])
+
+
 def test_too_deep_and_too_costly_conditions_are_unknown(monkeypatch):
     deep = "[\"not\", " * 5000 + '"a"' + "]" * 5000
     assert conditions._decide(deep, "true", "implies") is None and conditions._decide('"a"', '"a"', "implies") is True
