@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
-from tessera.operators import demand, graph, judge, resolution, validation
+from tessera.operators import demand, graph, judge, resolution, validation, witness
 from tessera.plans.catalog import register
 
 # Filters over orders, and what they ask of o_orderkey at most.
@@ -150,6 +150,33 @@ def judged_cases(spark, t):
     return judge.judged(cases, needs, evidence, worlds)
 
 
+# An order is open or pending in a year and a priority, and a dear one is of the same priority, whatever its year.
+@register(
+    "WITH e AS (SELECT o_custkey AS c, o_orderstatus AS st, o_totalprice > 200000 AS high, o_orderpriority AS pri, year(o_orderdate) AS yr FROM orders), a AS (SELECT c, pri, yr FROM e WHERE st IN ('O', 'P')), h AS (SELECT c, pri FROM e WHERE high),"
+    " na AS (SELECT c, count(*) AS na FROM a GROUP BY 1), nh AS (SELECT c, count(*) AS nh FROM h GROUP BY 1), w AS (SELECT c, count(*) AS n FROM (SELECT DISTINCT a.c, a.pri, a.yr FROM a JOIN h USING (c, pri)) GROUP BY 1),"
+    " m AS (SELECT c_custkey AS c, concat_ws(',', CASE WHEN NOT coalesce(bool_or(high), false) THEN 'high' END, CASE WHEN NOT coalesce(bool_or(st = 'O'), false) THEN 'open' END, CASE WHEN NOT coalesce(bool_or(st = 'P'), false) THEN 'pending' END) AS missing FROM customer LEFT JOIN e ON c = c_custkey GROUP BY 1),"
+    " j AS (SELECT m.c, missing, coalesce(na, 0) * coalesce(nh, 0) AS proofs, coalesce(n, 0) AS n FROM m LEFT JOIN na USING (c) LEFT JOIN nh USING (c) LEFT JOIN w USING (c))"
+    " SELECT c AS case, CASE WHEN proofs > 4096 THEN 'inconclusive' WHEN n = 0 THEN 'insufficient' WHEN c % 5 = 0 THEN 'model_relative_unknown' ELSE 'sufficient' END AS epistemic,"
+    " CASE WHEN proofs > 4096 THEN 'work_bound' WHEN n > 0 THEN NULL WHEN missing <> '' THEN 'missing_predicates' ELSE 'incompatible_contexts' END AS reason, CASE WHEN proofs > 4096 THEN 0 ELSE n END AS assignments, missing FROM j"
+)
+def witnessed_cases(spark, t):
+    k, o = F.col("c_custkey"), t("orders")
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+    none = F.lit(None)
+    cases = t("customer").select(k.alias("case"), F.when(k % 5 == 0, "unknown").otherwise("answer").alias("intent"), none.cast(witness.ASSIGNMENT).alias("context"))
+    at = F.array(pair("priority", F.col("o_orderpriority")), pair("year", F.year("o_orderdate")))
+    said = lambda role, text: o.select(F.col("o_custkey").alias("case"), F.lit(role).alias("role"), text.alias("text"), F.lit("order").alias("anchor"), F.lit("known").alias("status"), at.alias("context"), none.cast("array<struct<id: string, text: string>>").alias("qualifications"))
+    evidence = said("status", F.col("o_orderstatus")).union(said("price", F.when(F.col("o_totalprice") > 200000, "high").otherwise("low")))
+    asks = F.array(*[F.struct(F.lit(p).alias("predicate"), F.lit(r).alias("role"), F.array(F.lit(x)).alias("texts")) for p, r, x in (("open", "status", "O"), ("pending", "status", "P"), ("high", "price", "high"))])
+    predicates = cases.select("case", F.explode(asks).alias("a")).select(
+        "case", "a.predicate", "a.role", "a.texts", F.array(F.lit("order")).alias("anchors"), F.lit("known").alias("status"), none.cast(witness.ASSIGNMENT).alias("context"), none.cast("array<struct<id: string, texts: array<string>>>").alias("qualifications")
+    )
+    tree = [(0, None, 0, "all", None, None), (1, 0, 0, "any", None, None), (2, 1, 0, "leaf", "open", None), (3, 1, 1, "leaf", "pending", None), (4, 0, 1, "exists", None, ["year"]), (5, 4, 0, "leaf", "high", None)]
+    shape = spark.createDataFrame(tree, "node int, parent int, ordinal int, kind string, predicate string, variables array<string>")
+    nodes = cases.select("case").crossJoin(F.broadcast(shape))  # six rows
+    return witness.witnessed(cases, predicates, evidence, nodes).withColumn("missing", F.concat_ws(",", "missing"))
+
+
 @register("SELECT vec_id, len(embedding)::INTEGER * 4 AS bytes, true AS same FROM embeddings")
 def vector_codec(spark, t):
     e = t("embeddings").withColumn("b", V.encoded(F.col("embedding")))
