@@ -41,15 +41,6 @@ def expanded(domain: DataFrame, outcomes: DataFrame, keys: list[str], default: s
     return domain.join(outcomes, keys, "left").withColumn("outcome", F.coalesce("outcome", F.lit(default)))
 
 
-def substitute(term, environment: dict, depth: int = 64):
-    """A type term [constructor, *arguments] with its variables replaced; deeper than the bound is refused."""
-    if depth == 0:
-        raise RecursionError("term too deep")
-    if isinstance(term, str):
-        return environment.get(term, term)
-    return [term[0], *(substitute(a, environment, depth - 1) for a in term[1:])]
-
-
 def ancestry(classes: DataFrame, parents: DataFrame, max_depth: int = 64) -> DataFrame:
     """Ancestors of each class with their least depth and the worst status on the way: (class, ancestor, depth, status).
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import conditions, graph, paging, resolution, search, validation
+from tessera.operators import conditions, graph, paging, resolution, search, validation, terms
 from tessera.plans.catalog import register
 from tessera.plans.retrieval import _BM25, _POSTS, TERMS
 
@@ -106,6 +106,26 @@ def page_fit(spark, t):
     return paging.fitted(requests, lines.filter("odd = 1").withColumnRenamed("place", "ordinal"), lines.filter("odd = 0").withColumnRenamed("place", "rank"), 1400)
 
 
+# Signatures of brands over a shelf's variable; each part is an environment that says what lies on its shelf.
+@register(
+    "SELECT p_partkey AS env, 'call(list(' || CASE WHEN p_size % 4 = 0 THEN 'T' WHEN p_size % 4 = 1 THEN 'list(' || p_type || ')' ELSE p_type END || '), pair(' || p_brand || ', ' || CASE WHEN p_size % 4 = 0 THEN 'T' WHEN p_size % 4 = 1 THEN 'list(' || p_type || ')' ELSE p_type END || '))' AS text,"
+    " CASE WHEN p_size % 4 = 0 THEN 'unknown' ELSE 'resolved' END AS status FROM part"
+)
+def generic_substitution(spark, t):
+    p, con = t("part"), lambda name, *args: F.struct(name.alias("name"), (F.array(*args) if args else F.expr("cast(array() as array<string>)")).alias("args"))
+    at = lambda s: terms.term_id(F.lit("con"), s["name"], s["args"])
+    var = terms.variables(spark.createDataFrame([("T",), ("U",)], "name string"))
+    ids = {r["name"]: r["term"] for r in var.collect()}  # two variables
+    brand, kind = con(F.col("p_brand")), con(F.col("p_type"))
+    listed, pair = con(F.lit("list"), F.lit(ids["T"])), con(F.lit("pair"), at(brand), F.lit(ids["T"]))
+    call, wrapped = con(F.lit("call"), at(listed), at(pair)), con(F.lit("list"), F.lit(ids["U"]))
+    rows = p.select(F.explode(F.array(brand, kind, listed, pair, call, wrapped)).alias("c")).select("c.name", "c.args")
+    odd = F.when(F.col("p_size") % 4 == 1, at(wrapped)).otherwise(at(kind))
+    binds = p.filter("p_size % 4 > 0").select(F.col("p_partkey").alias("env"), F.lit("T").alias("name"), odd.alias("term")).union(p.filter("p_size % 4 = 1").select("p_partkey", F.lit("U"), at(kind)))
+    got, all_, _ = terms.substituted(terms.built(rows).union(var), binds, p.select(F.col("p_partkey").alias("env"), at(call).alias("root")))
+    return got.join(terms.spelled(all_), "term").select("env", "text", "status")
+
+
 _FRAME = "strlen({0}::VARCHAR) || ':' || {0}::VARCHAR || ';'"
 _WORDS = " || ',' || ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8))
 
