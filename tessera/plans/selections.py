@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import concepts, conditions, selection
+from tessera.operators import concepts, conditions, selection, selectors
 from tessera.plans.catalog import register
 
 # Observations: a document's label values by source (context) and language (basis); documents without labels are unknown.
@@ -101,3 +101,37 @@ def fca_concepts(spark, t):
 def fca_implications(spark, t):
     text = lambda c: F.concat_ws(",", F.transform(c, lambda a: a.cast("string"))).alias(c)
     return concepts.implications(_incidence(t)).select("scope", text("premise"), text("conclusion"), "support")
+
+
+# Facts about the star schema as a selection's relations: orders are exposures, customers signatures, suppliers scenarios, parts configuration fields.
+_PICKED = (
+    "SELECT 'public_exposures' AS domain, o_orderkey AS entity FROM orders WHERE o_orderpriority = '1-URGENT' AND (o_orderstatus = 'O' OR o_orderstatus = 'P') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"
+    " UNION ALL SELECT 'signature_variants', c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000)"
+    " AND c_mktsegment <> 'BUILDING' UNION ALL SELECT 'configuration_fields', p_partkey FROM part WHERE p_brand = 'Brand#11' OR p_type = 'PROMO' OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity = 50)"
+    " UNION ALL SELECT 'scenarios', s_suppkey FROM supplier WHERE s_nationkey = 3 OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 49)"
+)
+
+
+@register(_PICKED)
+def selection_predicates(spark, t):
+    """Four selections of twelve predicates, compiled to semi and anti joins."""
+    o, li, p, c = t("orders"), t("lineitem"), t("part"), F.col
+    order_at = o.select(c("o_custkey").alias("entity"), c("o_orderstatus").alias("name"), c("o_orderpriority").alias("kind"), (c("o_totalprice") > 250000).alias("required"))
+    relations = {
+        "exposures": o.select(c("o_orderkey").alias("entity"), F.array("o_orderpriority").alias("path"), c("o_orderstatus").alias("module")),
+        "raises": li.select(c("l_orderkey").alias("entity"), c("l_returnflag").alias("exception")),
+        "parameters": order_at,
+        "returns": t("customer").select(c("c_custkey").alias("entity"), F.lit("declared").alias("role"), c("c_mktsegment").alias("type")),
+        "configuration": p.select(c("p_partkey").alias("entity"), c("p_brand").alias("owner"), c("p_type").alias("scope")),
+        "literals": li.select(c("l_partkey").alias("entity"), c("l_linenumber").alias("name"), c("l_quantity").alias("value")),
+        "scenarios": t("supplier").select(c("s_suppkey").alias("entity"), c("s_nationkey").alias("intent")),
+        "checks": li.filter("l_quantity > 49").select(c("l_suppkey").alias("entity"), c("l_returnflag").alias("check"), c("l_linestatus").alias("status")),
+    }
+    members = {"public_exposures": o.select(c("o_orderkey").alias("entity")), "signature_variants": t("customer").select(c("c_custkey").alias("entity")), "configuration_fields": p.select(c("p_partkey").alias("entity")), "scenarios": t("supplier").select(c("s_suppkey").alias("entity"))}
+    trees = [
+        ("all", ("public_path", {"path": ["1-URGENT"]}), ("any", ("public_module", {"module": "O"}), ("public_module", {"module": "P"})), ("not", ("behavioral_raises", {"exception": "R"}))),
+        ("all", ("parameter_kind", {"name": "O", "kind": "2-HIGH"}), ("parameter_required", {"name": "F", "required": True}), ("not", ("variant_return_type", {"role": "declared", "type": "BUILDING"}))),
+        ("any", ("configuration_owner", {"owner": "Brand#11"}), ("configuration_scope", {"scope": "PROMO"}), ("configuration_literal", {"name": 1, "value": 50.0})),
+        ("any", ("scenario_intent", {"intent": 3}), ("not", ("scenario_check", {"check": "A", "status": "F"}))),
+    ]
+    return selectors.selected_all(trees, members, relations)
