@@ -113,7 +113,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, trace: list[tuple[int
         fits = _all([(F.col("s.segment") != i) | (F.col("mask") < (1 << w)) for i, (_, w) in enumerate(cut)])
         probes = probes.filter(fits).select("query_id", "asked", "worst", F.col("s.segment").alias("segment"), F.col("s.value").bitwiseXOR(F.col("mask")).alias("value"))
         probes = probes.join(F.broadcast(hot), ["segment", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-        met = probes.join(index, ["segment", "value", "salt"]).withColumn("distance", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))))
+        # Probes are many more than the queries whose size Spark knows: they meet the index by a shuffle, and are never broadcast.
+        met = probes.join(index.hint("merge"), ["segment", "value", "salt"]).withColumn("distance", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))))
         met = met.filter((F.col("distance") <= F.col("worst")) & _met_here(F.col("segment"), radius, cut))
         met = met.select("query_id", "asked", "distance", F.explode("ids").alias("x")).filter("x.id <> query_id")
         met = met.select("query_id", "asked", F.col("x.id").alias("id"), "distance", F.explode(F.sequence(F.lit(1), F.col("x.times"))).alias("time")).drop("time")
