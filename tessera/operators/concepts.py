@@ -177,7 +177,7 @@ def _searched(least: int, steps: int, kinds: dict):
                 while stack and left > 0:
                     e, c, after = stack.pop()
                     left -= 1
-                    out.append((row.scope, _packed(e, n), _packed(c, m), None, [o for i in _bits(e) for o in row.classes[i]], [row.attributes[i] for i in _bits(c)], size(e)))
+                    out.append((row.scope, _packed(e, n), _packed(c, m), None, sorted(o for i in _bits(e) for o in row.classes[i]), [row.attributes[i] for i in _bits(c)], size(e)))
                     stack += [(x, y, j + 1) for x, y, j in _children(columns, size, e, c, after, least)]
                 out += [(row.scope, _packed(e, n), _packed(c, m), after, None, None, None) for e, c, after in stack]
             yield pd.DataFrame(out, columns=["scope", "extent", "intent", "after", "objects", "attributes", "support"]).astype({"after": "Int32", "support": "Int32"})

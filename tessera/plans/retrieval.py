@@ -136,9 +136,9 @@ def knn_indexed(spark, t):
     return _vector_index(spark, t).nearest(_items(t, _ASKED).select("item", "vector"), 10, 4).select("query", "target", F.round("score", 6).alias("score"), "rank")
 
 
-@register(f"SELECT q.vec_id AS query, r.vec_id AS target, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id AND {_COS} >= 0.9 WHERE q.vec_id % 20 = 0")
+@register(f"SELECT q.vec_id AS query, r.vec_id AS target, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id AND {_COS} >= 0.3 WHERE q.vec_id % 20 = 0")
 def vectors_within(spark, t):
-    return _vector_index(spark, t).within(_items(t, _ASKED).select("item", "vector"), 0.9).select("query", "target", F.round("score", 6).alias("score"))
+    return _vector_index(spark, t).within(_items(t, _ASKED).select("item", "vector"), 0.3).select("query", "target", F.round("score", 6).alias("score"))
 
 
 @register()
