@@ -111,7 +111,7 @@ def type_links(terms: DataFrame, resolutions: DataFrame, modules: DataFrame) ->
     return named.unionByName(acquired.withColumn("reason", F.when(F.col("status") == "resolved", "explicit_identity").otherwise("missing_correspondence")))
 
 
-def type_binders(variables: DataFrame, declarations: DataFrame, bin_size: int = 4096) -> DataFrame:
+def type_binders(variables: DataFrame, declarations: DataFrame) -> DataFrame:
     """(variable, declaration, status, reason): the innermost declarations around a variable's anchor.
 
     variables: variable, source, start, stop, origin, captured_bytes; declarations: declaration, source, start, stop,
@@ -122,7 +122,7 @@ def type_binders(variables: DataFrame, declarations: DataFrame, bin_size: int =
     known = F.col("origin").isin("scoped", "declared")
     inside = F.col("captured_bytes").isNotNull() & (F.col("stop") <= F.col("captured_bytes"))
     asked = variables.filter(known & inside).select("source", F.col("variable").alias("id"), "start", "stop")
-    pairs = contained(declarations.select("source", F.col("declaration").alias("id"), "start", "stop"), asked, "source", bin_size)
+    pairs = contained(declarations.select("source", F.col("declaration").alias("id"), "start", "stop"), asked, "source")
     around = pairs.select(F.col("inner_id").alias("variable"), F.col("outer_id").alias("declaration")).distinct().join(declarations.select("declaration", "depth"), "declaration")
     deepest = around.groupBy("variable").agg(F.max("depth").alias("depth"))
     found = around.join(deepest, ["variable", "depth"]).select("variable", "declaration").distinct()

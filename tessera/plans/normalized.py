@@ -92,7 +92,7 @@ def type_binders(spark, t):
         F.col("o_orderkey").alias("variable"), F.col("o_custkey").alias("source"), at.alias("start"), (at + 5).alias("stop"),
         F.when(F.col("o_orderkey") % 4 == 0, "foreign").otherwise("scoped").alias("origin"), F.when(F.col("o_orderkey") % 9 > 0, F.lit(400)).alias("captured_bytes"),
     )
-    return resolution.type_binders(v, d, 64)
+    return resolution.type_binders(v, d)
 
 
 @register(

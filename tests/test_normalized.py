@@ -57,7 +57,7 @@ def test_codecs_round_trip(spark):
 def test_ambiguous_binders_and_overloads_stay_visible(spark):
     d = spark.createDataFrame([("outer", 1, 0, 90, 0), ("in1", 1, 10, 50, 1), ("in2", 1, 12, 60, 1)], "declaration string, source long, start long, stop long, depth int")
     v = spark.createDataFrame([("a", 1, 20, 30, "scoped", 100), ("b", 1, 55, 70, "declared", 100), ("c", 1, 20, 30, "other", 100), ("d", 1, 20, 30, "scoped", 25), ("e", 2, 20, 30, "scoped", 100)], "variable string, source long, start long, stop long, origin string, captured_bytes long")
-    got = sorted((r.variable, str(r.declaration), r.status, r.reason) for r in resolution.type_binders(v, d, 16).collect())
+    got = sorted((r.variable, str(r.declaration), r.status, r.reason) for r in resolution.type_binders(v, d).collect())
     assert got == [
         ("a", "in1", "ambiguous", "conflicting_candidates"), ("a", "in2", "ambiguous", "conflicting_candidates"), ("b", "outer", "resolved", "explicit_identity"), ("c", "None", "unresolved", "unsupported_native_origin"),
         ("d", "None", "unresolved", "outside_captured_scope"), ("e", "None", "unresolved", "missing_correspondence"),
