@@ -6,10 +6,13 @@ operator, value), ("like", column, pattern), ("null", column), ("and", *filters)
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _COMPARE = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<>": lambda a, b: a != b}
 
@@ -75,6 +78,32 @@ def exact(expr: tuple, key: str) -> bool:
     return all(exact(x, key) for x in expr[1:]) if expr[0] == "and" else keys(expr, key) is not None
 
 
+def described(key: str):
+    """Of filters as JSON, a row each: (keys, exact, reads), as `keys`, `exact` and `columns` say; each distinct filter of a batch once."""
+
+    def one(text: str | None) -> tuple:
+        if text is None:
+            return None, None, None
+        expr = _tuples(json.loads(text))
+        found = keys(expr, key)
+        return None if found is None else sorted(found), exact(expr, key), sorted(columns(expr))
+
+    fields = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("exact", T.BooleanType()), T.StructField("reads", T.ArrayType(T.StringType()))])
+
+    @F.pandas_udf(fields)
+    def describe(filters: pd.Series) -> pd.DataFrame:
+        known = {x: one(x) for x in filters.drop_duplicates()}
+        return pd.DataFrame([known[x] for x in filters], columns=["keys", "exact", "reads"], dtype=object)
+
+    return describe
+
+
+def _tuples(expr: list) -> tuple:
+    """A filter's lists, but for its values, as tuples."""
+    kind, *rest = expr
+    return (kind, *map(_tuples, rest)) if kind in ("and", "or", "not") else (kind, *rest)
+
+
 def demanded(filters: list[tuple], key: str) -> tuple[frozenset | None, list[tuple]]:
     """(keys that all filters together can accept, filters that remain to be tested)."""
     found = [k for k in (keys(x, key) for x in filters) if k is not None]

@@ -10,30 +10,24 @@ from tessera.operators import demand, graph, judge, resolution, validation, witn
 from tessera.plans.catalog import register
 
 # Filters over orders, and what they ask of o_orderkey at most.
-_FORMS = {
-    "equal": ("eq", "o_orderkey", 7),
-    "null": ("eq", "o_orderkey", None),
-    "member": ("in", "o_orderkey", [3, 1, 2, None]),
-    "and": ("and", ("in", "o_orderkey", [1, 2, 3]), ("in", "o_orderkey", [2, 3, 4])),
-    "and_other": ("and", ("in", "o_orderkey", [1, 2, 3]), ("compare", "o_totalprice", ">", 1000.0)),
-    "or": ("or", ("eq", "o_orderkey", 1), ("eq", "o_orderkey", 2)),
-    "not": ("not", ("eq", "o_orderkey", 1)),
-    "not_member": ("not_in", "o_orderkey", [1]),
-    "other": ("like", "o_orderpriority", "1%"),
-    "disjoint": ("and", ("eq", "o_orderkey", 1), ("eq", "o_orderkey", 2)),
-}
-
-
+# Each customer asks for its orders, by one of six forms of filter.
 @register(
-    "SELECT * FROM (VALUES ('equal', '7', true, 'o_orderkey'), ('null', '', true, 'o_orderkey'), ('member', '1,2,3', true, 'o_orderkey'), ('and', '2,3', true, 'o_orderkey'), ('and_other', '1,2,3', false, 'o_orderkey,o_totalprice'),"
-    " ('or', NULL, false, 'o_orderkey'), ('not', NULL, false, 'o_orderkey'), ('not_member', NULL, false, 'o_orderkey'), ('other', NULL, false, 'o_orderpriority'), ('disjoint', '', true, 'o_orderkey')) t(form, keys, exact, reads)"
+    "WITH k AS (SELECT c_custkey, coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS ks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
+    " SELECT c_custkey, CASE c_custkey % 6 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN array_to_string(ks[2:], ',') WHEN 5 THEN '' ELSE array_to_string(ks, ',') END AS keys, c_custkey % 6 IN (0, 4, 5) AS exact,"
+    " CASE c_custkey % 6 WHEN 1 THEN 'o_orderkey,o_totalprice' ELSE 'o_orderkey' END AS reads FROM k"
 )
 def demand_forms(spark, t):
-    rows = []
-    for name, x in _FORMS.items():
-        k = demand.keys(x, "o_orderkey")
-        rows.append((name, None if k is None else ",".join(map(str, sorted(k))), demand.exact(x, "o_orderkey"), ",".join(sorted(demand.columns(x)))))
-    return spark.createDataFrame(rows, "form string, keys string, exact boolean, reads string")
+    ks = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("ks"))
+    rows = t("customer").select("c_custkey").join(ks, "c_custkey", "left").withColumn("ks", F.coalesce("ks", F.expr("cast(array() as array<bigint>)")))
+    among = lambda c: F.concat(F.lit('["in", "o_orderkey", ['), F.array_join(c.cast("array<string>"), ", "), F.lit("]]"))
+    join = lambda op, *xs: F.concat(F.lit(f'["{op}", '), F.concat_ws(", ", *xs), F.lit("]"))
+    mine, form = among(F.col("ks")), F.col("c_custkey") % 6
+    text = (
+        F.when(form == 0, mine).when(form == 1, join("and", mine, F.lit('["compare", "o_totalprice", ">", 1000.0]'))).when(form == 2, join("or", mine, mine)).when(form == 3, join("not", mine))
+        .when(form == 4, join("and", mine, among(F.slice("ks", 2, 1_000_000)))).otherwise(join("and", mine, F.lit('["eq", "o_orderkey", null]')))
+    )
+    got = rows.select("c_custkey", demand.described("o_orderkey")(text).alias("d"))
+    return got.select("c_custkey", F.when(F.col("d.keys").isNotNull(), F.array_join(F.col("d.keys").cast("array<string>"), ",")).alias("keys"), "d.exact", F.array_join("d.reads", ",").alias("reads"))
 
 
 _SOME = list(range(0, 4000, 7))
