@@ -261,13 +261,15 @@ def narrowed(most: int):
     return lower
 
 
-def summaries(sources, calls, max_depth: int, max_steps: int):
+def summaries(sources, calls, max_depth: int, max_steps: int, max_members: int | None = None):
     """Least costs of proofs through calls: (key, depth, steps), the Pareto frontier of each key, and what was refused.
 
     sources: key, depth, steps; calls: caller, callee, depth, steps (the caller's own part). A proof through a call is one
     deeper than the callee's, or as deep as the caller's part, and one step longer than both together. Returns two
     relations, frontier and refused (key, reason): a proof over a limit that no admitted proof of its key dominates.
     Each round extends only what the last one added; costs grow with each call, so max_steps bounds the rounds.
+    max_members bounds the keys that have proofs: of the keys that a round would add, the least are admitted while there
+    is room, the others are refused (proof_limit), and what is known of admitted keys still gets better.
     """
     from tessera.operators.graph import _cut
 
@@ -279,6 +281,14 @@ def summaries(sources, calls, max_depth: int, max_steps: int):
         judged = new.distinct().withColumn("reason", over)
         fresh = pareto(judged.filter("reason is null").drop("reason"), "key", "depth", "steps")
         no = judged.filter("reason is not null")
+        if max_members is not None:
+            fresh = _cut(fresh)
+            keys = fresh.select("key").distinct() if best is None else fresh.select("key").distinct().join(best.select("key"), "key", "left_anti")
+            room = max_members - (0 if best is None else best.select("key").distinct().count())
+            if keys.count() > room:
+                late = _cut(keys.join(keys.orderBy("key").limit(max(0, room)), "key", "left_anti"))
+                no = no.union(fresh.join(late, "key", "left_semi").withColumn("reason", F.lit("proof_limit")).select(*no.columns))
+                fresh = fresh.join(late, "key", "left_anti")
         refused = no if refused is None else refused.union(no)
         refused = _cut(pareto_any(refused))
         if best is None:

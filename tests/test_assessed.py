@@ -72,6 +72,18 @@ def test_summaries_keep_the_frontier_and_say_what_was_refused(spark):
     assert [tuple(r) for r in refused.collect()] == [("far", "proof_limit")]
 
 
+def test_summaries_have_room_for_so_many_keys(spark):
+    sources = spark.createDataFrame([("c", 0, 5)], "key string, depth long, steps long")
+    calls = spark.createDataFrame([("b", "c", 0, 9), ("d", "c", 0, 1), ("a", "b", 0, 1), ("c", "d", 0, 1), ("b", "d", 0, 1)], "caller string, callee string, depth long, steps long")
+    best, refused = conditions.summaries(sources, calls, 9, 99, 3)
+    # b and d come in one round and fill the room; a comes too late, and b still gets a way of fewer steps.
+    assert sorted(map(tuple, best.collect())) == [("b", 1, 15), ("b", 2, 9), ("c", 0, 5), ("d", 1, 7)]
+    assert [tuple(r) for r in refused.collect()] == [("a", "proof_limit")]
+    assert sorted({r.key for r in conditions.summaries(sources, calls, 9, 99)[0].collect()}) == ["a", "b", "c", "d"]
+    none, all_ = conditions.summaries(sources, calls, 9, 99, 0)
+    assert none.count() == 0 and [tuple(r) for r in all_.collect()] == [("c", "proof_limit")]
+
+
 def test_replies_lose_sections_first_and_never_their_only_row(spark):
     q = spark.createDataFrame([(1, 100, 0), (2, 100, 5), (3, 100, 0), (4, 999, 0), (5, 10, 0)], "request long, core long, offset long")
     s = spark.createDataFrame([(1, 0, 50), (1, 1, 50), (2, 0, 50)], "request long, ordinal long, bytes long")
