@@ -11,7 +11,7 @@ from tessera.functions import parts as P
 from tessera.functions import text as X
 from tessera.operators import aggregates, graph, joins, paging, predicates, ranking, resolution, validation
 from tessera.plans import stages
-from tessera.plans.catalog import register
+from tessera.plans.catalog import ORACLES, QUERIES, register
 from tessera.sources import sql
 from tessera.streaming import windows
 
@@ -422,6 +422,17 @@ def stream_tumbling(spark, t):
     return windows.tumbling(t("events")).withColumn("total", F.round("total", 4))
 
 
+def _stream_followed(spark, sf_dir):
+    """The same windows by a stream over the table's files, run to its end, whose changes are kept batch by batch."""
+    where, path = f"{graph.folder(spark.sparkContext)}/stream-{uuid.uuid4().hex}", f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a glob: the table may be a file or a folder
+    windows.follow(events, f"{where}/windows", f"{where}/checkpoint")
+    return windows.followed(spark, f"{where}/windows").withColumn("total", F.round("total", 4))
+
+
+QUERIES["stream_followed"], ORACLES["stream_followed"] = _stream_followed, ORACLES["stream_tumbling"]
+
+
 # ---------------------------------------------------------------- parts, anchors, schedules
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,26 @@ def stream_once(events: DataFrame, name: str, checkpoint: str, width: str = "1 d
     return events.sparkSession.table(name)
 
 
+def follow(events: DataFrame, path: str, checkpoint: str, width: str = "1 day", late: str = "2 hours") -> None:
+    """Run a stream over what is there now and put the windows that it changed under path, a folder a micro-batch.
+
+    A repeated batch overwrites its folder, so restarts from the checkpoint count nothing twice; nothing comes to the driver.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = tumbling(events, width, late).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def followed(spark: SparkSession, path: str) -> DataFrame:
+    """The windows as the last batch that changed each left them."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return last.select("window_start", "event_type", "x.n", "x.total")
+
+
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "2 hours") -> DataFrame:
     """Each event once; a stream forgets ids behind the watermark."""
     return _marked(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])

@@ -220,6 +220,18 @@ def test_classify_order(spark):
     assert {r.candidate: r.outcome for r in selection.classify(obs, dom, "all").collect()}["a"] == "contradicted"
 
 
+def test_a_followed_stream_goes_on_where_it_stopped(spark, sf, tmp_path):
+    """Micro-batches of a file each, in two runs with one checkpoint: each window as its last change left it."""
+    batch = spark.read.parquet(f"{sf}/events.parquet")
+    batch.filter("event_id % 3 > 0").repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    key = lambda r: (r.window_start, r.event_type, r.n, round(r.total, 4))
+    for rows in (batch.filter("event_id % 3 > 0"), batch):
+        windows.follow(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", late="60 days")
+        assert sorted(map(key, windows.followed(spark, f"{tmp_path}/out").collect())) == sorted(map(key, windows.tumbling(rows).collect()))
+        batch.filter("event_id % 3 = 0").repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     batch = spark.read.parquet(f"{sf}/events.parquet")
     batch.repartition(3).write.parquet(f"{tmp_path}/in")
