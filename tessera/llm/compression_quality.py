@@ -3,7 +3,8 @@
 A whole text is cut into blocks of BLOCK bytes, so that what a dictionary knows counts as much at the end of a long
 text as at its beginning. Each block is compressed with the dictionary of good text and with that of bad text. The
 difference of the two sums (bad less good), divided by the bytes of the text, is its normalised compressed-size
-difference: the higher, the more the text is like the good ones. Calibration turns it into the probability of label 1: an
+difference: the higher, the more the text is like the good ones. Sizes are whole bytes, so that a short text shows little:
+each text counts EVIDENCE bytes more, of the difference that all labelled texts have together. Calibration turns it into the probability of label 1: an
 isotonic fit (pool adjacent violators, linear in between) with a logistic one (Platt) mixed in, so that texts keep their
 order where the isotonic fit is flat. Both only rise.
 
@@ -12,7 +13,7 @@ all rows, as many of them in that order as CLASS_BYTES hold; texts of more than
 from. Two of three build the dictionaries, the third calibrates, weighed by how often the labels are among all labelled
 rows. These bounds are parameters. Every text is scored, whole.
 
-Defined results: null and empty texts have difference 0 and its score. doc_ids with two labels, with a null or another
+Defined results: null and empty texts have that common difference and its score. doc_ids with two labels, with a null or another
 label than 0 and 1, and rows without doc_id aren't learned from; of rows that share a doc_id one text is. With one label
 only, it is the score of every text; with none, 0.5. Equal texts get equal scores. Other columns are ignored.
 """
@@ -29,6 +30,7 @@ from . import shared as H
 
 PER_LABEL, CLASS_BYTES, LONGEST = 2_000, 8 << 20, 256 << 10
 DICTIONARY, SAMPLE, BLOCK, LEVEL = 32_768, 256, 512, 3  # bytes of a dictionary, of what it is trained on, of a block
+EVIDENCE = 128  # bytes of the common difference that each text begins with
 HELD_OUT = 5  # crc32(doc_id) mod this is 0: never learned from
 GOOD = 0.3  # least score that is predicted as 1
 ISOTONIC = 0.85  # its share of the score
@@ -48,22 +50,22 @@ def trained(texts: list[bytes]) -> bytes:
 
 
 class Difference:
-    """Normalised compressed-size difference by two dictionaries."""
+    """Normalised compressed-size difference by two dictionaries; common: what a text without evidence has."""
 
-    def __init__(self, good: bytes, bad: bytes):
-        self.packers = []
+    def __init__(self, good: bytes, bad: bytes, common: float = 0.0):
+        self.packers, self.common = [], common
         for raw in (good, bad):
             d = zstandard.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
             self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def __call__(self, text: bytes) -> float:
+    def saved(self, text: bytes) -> int:
         good, bad = self.packers
-        saved, view = 0, memoryview(text)
-        for i in range(0, len(text), BLOCK):
-            block = view[i : i + BLOCK]
-            saved += len(bad.compress(block)) - len(good.compress(block))
-        return saved / max(1, len(text))
+        view = memoryview(text)
+        return sum(len(bad.compress(view[i : i + BLOCK])) - len(good.compress(view[i : i + BLOCK])) for i in range(0, len(text), BLOCK))
+
+    def __call__(self, text: bytes) -> float:
+        return (self.saved(text) + EVIDENCE * self.common) / (len(text) + EVIDENCE)
 
 
 class Calibration:
@@ -101,13 +103,17 @@ class Model:
         build = [[t for i, t in enumerate(texts) if i % 3 < 2] for texts in (good, bad)]
         judge = [[t for i, t in enumerate(texts) if i % 3 == 2] or texts for texts in (good, bad)]
         self.dictionaries = tuple(trained(texts) for texts in build)
-        difference = Difference(*self.dictionaries)
+        plain = Difference(*self.dictionaries)
+        # Of each label by what a byte of it shows, together by how often the labels are.
+        shown = [sum(map(plain.saved, texts)) / max(1, sum(map(len, texts))) for texts in judge]
+        self.common = (counts[0] * shown[0] + counts[1] * shown[1]) / sum(counts)
+        difference = Difference(*self.dictionaries, self.common)
         x = np.array([difference(t) for texts in judge for t in texts])
         y = np.repeat([1, 0], [len(t) for t in judge])
         self.calibration = Calibration(x, y, np.repeat([n / len(t) for n, t in zip(counts, judge, strict=True)], [len(t) for t in judge]))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        difference = Difference(*self.dictionaries)
+        difference = Difference(*self.dictionaries, self.common)
         return np.clip(self.calibration(np.array([difference(t) for t in texts], float)), 0, 1)
 
 
