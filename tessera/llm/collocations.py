@@ -53,7 +53,7 @@ MOST = 1 << 21  # keys of a level whose tables are broadcast: some 40 bytes each
 FAN = 32  # arrays that meet in one step of the tree
 BLOCK = 1 << 16  # slots of a block of counts
 ROW = 2_048  # slots in a row of a sequence, more only where a run is longer
-PIECE = 4 << 20  # bytes cut into words at once
+PIECE = 2 << 20  # bytes cut into words at once
 LONG_WORD = 512  # bytes; longer words are named one by one
 
 _LOWER = np.arange(256, dtype=np.uint8)
