@@ -56,3 +56,17 @@ def capped_seeds(candidates: DataFrame, budget: int) -> DataFrame:
     out = candidates.join(ranked.select("candidate", "place"), "candidate", "left").join(chosen, "candidate", "left")
     reason = F.when(~F.col("eligible"), "ineligible").when(F.col("chosen"), "selected").when(F.col("place") > cap, "community_cap").otherwise("budget")
     return out.select("candidate", "community", "score", reason.alias("reason"))
+
+
+def configured_seeds(requests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Authored requests in their order, each with what became of it: plan, ordinal, name, target, matches, status.
+
+    requests: plan, names (an array; its order and repeats are kept). candidates: name, target, eligible. One candidate
+    is selected, or ineligible; none is missing; several are ambiguous, and none of them is taken. Names are counted
+    before they meet requests, so a name with many candidates costs a row.
+    """
+    asked = requests.select("plan", F.posexplode("names").alias("ordinal", "name"))
+    known = candidates.select("name", "target", "eligible").distinct().groupBy("name").agg(F.count("*").alias("matches"), F.min("target").alias("target"), F.max("eligible").alias("eligible"))
+    j = asked.join(known, "name", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    status = F.when(F.col("matches") == 0, "missing").when(F.col("matches") > 1, "ambiguous").when(F.col("eligible"), "selected").otherwise("ineligible")
+    return j.select("plan", "ordinal", "name", F.when(F.col("matches") == 1, F.col("target")).alias("target"), "matches", status.alias("status"))

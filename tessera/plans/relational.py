@@ -291,6 +291,19 @@ def retained_pages(spark, t):
     return rows
 
 
+# A supplier asks for its own name, a brand, the brand again, and a size of parts.
+@register(
+    "WITH c AS (SELECT DISTINCT * FROM (SELECT s_name AS name, s_suppkey AS target, s_acctbal > 0 AS eligible FROM supplier UNION ALL SELECT p_brand, p_partkey, true FROM part WHERE p_size < 3)), k AS (SELECT name, count(*) AS matches, min(target) AS target, max(eligible) AS eligible FROM c GROUP BY 1),"
+    " r AS (SELECT s_suppkey AS plan, unnest([s_name, 'Brand#' || (10 + s_nationkey), 'Brand#' || (10 + s_nationkey), NULL]) AS name, unnest([0, 1, 2, 3]) AS ordinal FROM supplier)"
+    " SELECT plan, ordinal::INTEGER AS ordinal, name, CASE WHEN matches = 1 THEN target END AS target, coalesce(matches, 0) AS matches, CASE WHEN matches IS NULL THEN 'missing' WHEN matches > 1 THEN 'ambiguous' WHEN eligible THEN 'selected' ELSE 'ineligible' END AS status FROM r LEFT JOIN k USING (name)"
+)
+def configured_seeds(spark, t):
+    brand = F.concat(F.lit("Brand#"), (F.lit(10) + F.col("s_nationkey")).cast("string"))
+    requests = t("supplier").select(F.col("s_suppkey").alias("plan"), F.array("s_name", brand, brand, F.lit(None).cast("string")).alias("names"))
+    own = t("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("target"), (F.col("s_acctbal") > 0).alias("eligible"))
+    return ranking.configured_seeds(requests, own.union(t("part").filter("p_size < 3").select("p_brand", "p_partkey", F.lit(True))))
+
+
 @register("SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT source, doc_id, sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 32768")
 def byte_pack(spark, t):
     return paging.packed_by(t("documents"), "source", [F.col("doc_id")], F.octet_length("text"), 32_768).select("source", "doc_id", "running")

@@ -72,3 +72,10 @@ def test_retained_rankings(spark, tmp_path, monkeypatch):
     assert paging.retained_page(spark, path, request, "s1", "up", 5)[0].count() == 5
     none = paging.retain({"none": (df.limit(0), ["x", "id"])}, path, request, "s3")
     assert none != where and paging.retained_page(spark, path, request, "s3", "none")[1] is None
+
+
+def test_configured_seeds_keep_their_order(spark):
+    requests = spark.createDataFrame([(1, ["b", "none", "a", "b", "two", "no", None]), (2, [])], "plan int, names array<string>")
+    known = spark.createDataFrame([("a", 10, True), ("b", 20, True), ("b", 20, True), ("two", 30, True), ("two", 31, True), ("no", 40, False), (None, 50, True)], "name string, target int, eligible boolean")
+    got = sorted((r.ordinal, r.name, r.target, r.matches, r.status) for r in ranking.configured_seeds(requests, known).collect())
+    assert got == [(0, "b", 20, 1, "selected"), (1, "none", None, 0, "missing"), (2, "a", 10, 1, "selected"), (3, "b", 20, 1, "selected"), (4, "two", None, 2, "ambiguous"), (5, "no", 40, 1, "ineligible"), (6, None, None, 0, "missing")]
