@@ -64,9 +64,12 @@ def contained(outer: DataFrame, inner: DataFrame, by: str) -> DataFrame:
     index = span_index(outer, by)
     levels = sorted(r[0] for r in index.select("level").distinct().collect())  # 64 at most
     i = inner.select(by, F.col("id").alias("inner_id"), F.col("start").cast("long").alias("p"), F.col("stop").cast("long").alias("q"))
-    asked = F.expr(f"flatten(transform(array({', '.join(f'{j}' for j in levels)}), j -> array(struct(j as level, shiftright(p, j) as cell), struct(j as level, shiftright(p, j) - 1 as cell))))") if levels else F.expr("cast(array() as array<struct<level: int, cell: bigint>>)")
-    i = i.withColumn("at", F.explode(asked)).select(by, "inner_id", "p", "q", "at.level", "at.cell")
-    return index.join(i, [by, "level", "cell"]).filter("p >= s and q <= e").select(by, "outer_id", "inner_id", "s", "e", "p", "q")
+    kept = f"filter(array({', '.join(f'{j}' for j in levels)}), j -> j >= least)" if levels else "cast(array() as array<int>)"
+    asked = F.expr(f"flatten(transform({kept}, j -> array(struct(j as level, shiftright(p, j) as cell), struct(j as level, shiftright(p, j) - 1 as cell))))")
+    # An outer span is no shorter than what it holds, nor is its level less.
+    i = i.withColumn("least", _level(F.greatest(F.col("q") - F.col("p"), F.lit(0)))).withColumn("at", F.explode(asked)).select(by, "inner_id", "p", "q", "at.level", "at.cell")
+    # Spark takes exploded rows for as many as there were before, and would broadcast look-ups that it believes to be few.
+    return index.join(i.hint("merge"), [by, "level", "cell"]).filter("p >= s and q <= e").select(by, "outer_id", "inner_id", "s", "e", "p", "q")
 
 
 def innermost(pairs: DataFrame) -> DataFrame:

@@ -44,3 +44,13 @@ def test_spans_are_stored_once(spark):
     inner = spans.filter("id > 0").withColumn("stop", F.col("start"))
     assert joins.contained(spans, inner, "g").count() == 499 * 2
     assert joins.contained(spans.limit(0), inner, "g").count() == 0
+
+
+def test_look_ups_are_never_broadcast(spark):
+    """Spark believes exploded rows to be as few as before. Levels below the inner span's own aren't asked."""
+    outer = spark.range(64).select(F.lit("a").alias("g"), "id", F.lit(0).alias("start"), F.pow(F.lit(2), F.col("id") % 32).cast("long").alias("stop"))
+    inner = spark.range(100).select(F.lit("a").alias("g"), "id", F.lit(0).alias("start"), F.lit(2**30).alias("stop"))
+    for got in (joins.contained(outer, inner, "g"), joins.innermost(joins.contained(outer, inner, "g"))):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joins.contained(outer, inner, "g").count() == 4 * 100  # two of each of the widths 2**30 and 2**31
