@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import joins
+from tessera.plans import catalog
 
 KIND = "g string, id long, start long, stop long"
 
@@ -54,3 +55,9 @@ def test_look_ups_are_never_broadcast(spark):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert joins.contained(outer, inner, "g").count() == 4 * 100  # two of each of the widths 2**30 and 2**31
+
+
+@pytest.mark.parametrize("name", ["join_span_contains", "join_innermost_span"])
+def test_queries_broadcast_no_look_ups(spark, sf, name):
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
