@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import vectors as V
 from tessera.operators import search, vector_index
 
 KIND = "item long, vector array<float>"
@@ -64,3 +66,21 @@ def test_what_has_no_direction_is_left_out(spark, tmp_path):
     assert [(r.query, r.target, round(r.score, 6), r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 8, 0.6, 1), (1, 10, -1.0, 2)]
     with pytest.raises(ValueError):
         vector_index.write(df.filter("item = 3"), f"file://{tmp_path}/w")
+
+
+def test_blocks_agree_with_every_pair(spark):
+    """Copies tie exactly, and pairs without a cosine come last, as where every pair is a row; no row is a pair any more."""
+    odd = [(900, [0.0] * 24), (901, None), (902, [math.nan] * 24), (903, [1.0]), (904, [])]
+    data = clusters(5, groups=6, size=15)
+    data += [(200 + i, v) for i, v in data[:40]] + [(300 + i, v) for i, v in data[:40]] + odd
+    df = spark.createDataFrame(data, KIND).repartition(3)
+    q = df.filter("item % 20 = 0 or item > 900")
+    pairs = q.select(F.col("item").alias("query"), F.col("vector").alias("qv")).crossJoin(df.select(F.col("item").alias("target"), F.col("vector").alias("tv"))).filter("query <> target")
+    plain = search._ranked_best(pairs.select("query", "target", V.cosine(F.col("qv"), F.col("tv")).alias("score")), 4)
+    every = lambda d: sorted((r.query, r["rank"], r.target, r.score) for r in d.collect())
+    got = search.knn(q, df, 4)
+    assert every(got) == every(plain)
+    assert "FlatMapCoGroupsInArrow" in search.knn(q, df, 4, 0.5)._jdf.queryExecution().executedPlan().toString()
+    few = df.filter("item in (3, 203, 900, 901, 903)")
+    some = search.knn(q.filter("item = 0"), few, 4).orderBy("rank").collect()
+    assert [(r.target, r.score is None) for r in some] == [(3, False), (203, False), (900, True), (901, True)]
