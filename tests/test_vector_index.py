@@ -84,3 +84,19 @@ def test_blocks_agree_with_every_pair(spark):
     few = df.filter("item in (3, 203, 900, 901, 903)")
     some = search.knn(q.filter("item = 0"), few, 4).orderBy("rank").collect()
     assert [(r.target, r.score is None) for r in some] == [(3, False), (203, False), (900, True), (901, True)]
+
+
+def test_projection_makes_no_row_a_pair(spark):
+    df = spark.createDataFrame(clusters(6, groups=8, size=12), KIND)
+    q = df.filter("item % 20 = 0")
+    got = search.projection_losses(q, df, 8, 3)
+    pairs = search._blocks_best(q, df, 3, -1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in pairs and "CartesianProduct" not in pairs and "NestedLoop" not in pairs
+    data = {r.item: np.array(r.vector, float) for r in df.collect()}
+    unit = lambda x: x / np.linalg.norm(x)
+    want = set()
+    for a in (i for i in data if i % 20 == 0):
+        best = lambda n: sorted((i for i in data if i != a), key=lambda i: -unit(data[a][:n]) @ unit(data[i][:n]))[:3]  # noqa: B023, E731
+        small = best(8)
+        want |= {(a, i, r, i in small) for r, i in enumerate(best(24), 1)}
+    assert {tuple(r) for r in got.select("query", "target", "rank", "found").collect()} == want
