@@ -100,3 +100,16 @@ def test_projection_makes_no_row_a_pair(spark):
         small = best(8)
         want |= {(a, i, r, i in small) for r, i in enumerate(best(24), 1)}
     assert {tuple(r) for r in got.select("query", "target", "rank", "found").collect()} == want
+
+
+def test_cells_meet_their_bands_as_matrices(stored, monkeypatch):
+    """No row is a pair of vectors; large cells are cut into pieces."""
+    df, index, _ = stored
+    asked = df.filter("item % 20 = 0")
+    for pieces in (vector_index.CELL_ROWS, 7):
+        monkeypatch.setattr(vector_index, "CELL_ROWS", pieces)
+        got = index.within(asked, 0.6)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+        assert rows(got) == rows(search.knn(asked, df, 10_000, floor=0.6))
+        assert rows(index.nearest(asked, 7, 2)) == rows(search.knn(asked, df, 7))
