@@ -113,3 +113,14 @@ def test_cells_meet_their_bands_as_matrices(stored, monkeypatch):
         assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
         assert rows(got) == rows(search.knn(asked, df, 10_000, floor=0.6))
         assert rows(index.nearest(asked, 7, 2)) == rows(search.knn(asked, df, 7))
+
+
+def test_best_between_labels(spark):
+    data = [(i, i % 7 if i % 11 else None, v) for i, v in clusters(8, groups=9, size=11)] + [(500, 9, [0.0] * 24), (501, 9, None)]
+    df = spark.createDataFrame(data, "item long, label long, vector array<float>")
+    got = search.best_between(df, df)
+    pairs = df.select(F.col("label").alias("a"), F.col("vector").alias("qv")).join(df.select(F.col("label").alias("b"), F.col("vector").alias("tv")), F.expr("a < b"))
+    plain = pairs.groupBy("a", "b").agg(F.max(V.cosine(F.col("qv"), F.col("tv"))).alias("score"))
+    every = lambda d: sorted((r.a, r.b, r.score is None, r.score or 0) for r in d.collect())
+    assert every(got) == every(plain) and got.filter("score is null").count() == 7
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
