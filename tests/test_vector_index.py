@@ -124,3 +124,14 @@ def test_best_between_labels(spark):
     every = lambda d: sorted((r.a, r.b, r.score is None, r.score or 0) for r in d.collect())
     assert every(got) == every(plain) and got.filter("score is null").count() == 7
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_projection_computes_its_norm_once_a_row(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0, 5.0]), (2, [0.0, 0.0, 1.0]), (3, []), (4, None), (5, [float("inf"), 1.0])], "item long, vector array<float>")
+    out = df.select("item", V.project_prefix(F.col("vector"), 2).alias("p"), V.norm(F.col("vector")).alias("n"))
+    for call, times in ((V.project_prefix(F.col("vector"), 2), 1), (V.cosine(F.col("vector"), F.col("vector")), 3)):
+        plan = df.select(call.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aggregate(") == times  # one sum of products each
+    got = {r.item: (r.p, r.n) for r in out.collect()}
+    assert got[1] == (pytest.approx([0.6, 0.8]), pytest.approx(math.sqrt(50)))
+    assert got[2] == ([None, None], 1.0) and got[3] == ([], None) and got[4] == (None, None) and got[5] == ([None, None], None)
