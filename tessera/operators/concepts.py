@@ -8,7 +8,7 @@ bit columns over its distinct rows (objects with the same attributes are one cla
 broadcast up to CONTEXT_BYTES and joined by a shuffle beyond.
 
 Implications: the Duquenne-Guigues basis goes through closed and pseudo-closed sets in lectic order, each judged by those
-before it, so that a scope is one task's work; scopes spread. max_examined stops it early on request, which shows as `budget_reached`.
+before it, so that a scope is one task's work, over its distinct rows; scopes spread. max_examined stops it early on request, which shows as `budget_reached`.
 """
 
 from __future__ import annotations
@@ -27,18 +27,25 @@ def _bits(mask: int) -> list[int]:
     return [i for i in range(mask.bit_length()) if mask >> i & 1]
 
 
+def _mask(bits) -> int:
+    """A long mask from its bits, the least first: a bit at a time would copy it as often."""
+    return int("".join("1" if b else "0" for b in bits)[::-1] or "0", 2)
+
+
 class Context:
-    """Incidence of objects and attributes as bit masks."""
+    """Incidence of objects and attributes as bit masks. weights: how many objects each stands for, 1 where not named."""
 
-    def __init__(self, pairs: list[tuple], objects: list | None = None, attributes: list | None = None):
+    def __init__(self, pairs: list[tuple], objects: list | None = None, attributes: list | None = None, weights: dict | None = None):
         self.objects = sorted(set(objects or []) | {o for o, _ in pairs})
         self.attributes = sorted(set(attributes or []) | {a for _, a in pairs})
         at_o, at_a = {o: i for i, o in enumerate(self.objects)}, {a: i for i, a in enumerate(self.attributes)}
-        self.rows, self.columns = [0] * len(self.objects), [0] * len(self.attributes)
+        held = [bytearray(len(self.objects)) for _ in self.attributes]
         for o, a in pairs:
-            self.rows[at_o[o]] |= 1 << at_a[a]
-            self.columns[at_a[a]] |= 1 << at_o[o]
+            held[at_a[a]][at_o[o]] = 1
+        self.columns = [_mask(h) for h in held]
         self.all_objects, self.all_attributes = (1 << len(self.objects)) - 1, (1 << len(self.attributes)) - 1
+        each = [(weights or {}).get(o, 1) for o in self.objects]
+        self.planes = [_mask(w >> b & 1 for w in each) for b in range(max(each, default=1).bit_length())]  # binary digits of the weights
 
     def extent(self, intent: int) -> int:
         out = self.all_objects
@@ -47,10 +54,10 @@ class Context:
         return out
 
     def intent(self, extent: int) -> int:
-        out = self.all_attributes
-        for o in _bits(extent):
-            out &= self.rows[o]
-        return out
+        return sum(1 << a for a, column in enumerate(self.columns) if extent & ~column == 0)
+
+    def size(self, extent: int) -> int:
+        return sum((extent & plane).bit_count() << b for b, plane in enumerate(self.planes))
 
     def closed(self, intent: int) -> int:
         return self.intent(self.extent(intent))
@@ -83,7 +90,7 @@ def analyse(context: Context, min_support: int, max_examined: int | None = None)
             return concepts, implications, examined, True
         examined += 1
         extent = context.extent(current)
-        support = extent.bit_count()
+        support = context.size(extent)
         full = context.intent(extent)
         if full == current:
             if support >= min_support:
@@ -97,7 +104,7 @@ def analyse(context: Context, min_support: int, max_examined: int | None = None)
             if current >> i & 1:
                 continue
             lower = current & ((1 << i) - 1)
-            if context.extent(lower | 1 << i).bit_count() < min_support:
+            if context.size(context.extent(lower | 1 << i)) < min_support:
                 continue
             nxt = implied(lower | 1 << i, basis, strict=True)
             if nxt & ((1 << i) - 1) & ~lower == 0:
@@ -219,7 +226,7 @@ def concepts(incidence: DataFrame, min_support: int = 2, steps: int = STEPS) ->
 
 def _implication_rows(min_support: int, max_examined: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = Context(list(zip(pdf["object"], pdf["attribute"], strict=True)))
+        c = Context([(i, a) for i, has in enumerate(pdf["has"]) for a in has], weights=dict(enumerate(map(int, pdf["n"]))))
         _, found, _, cut = analyse(c, min_support, max_examined)
         rows = [(pdf["scope"].iloc[0], [c.attributes[i] for i in _bits(p)], [c.attributes[i] for i in _bits(q)], s, cut) for p, q, s in found]
         return pd.DataFrame(rows, columns=["scope", "premise", "conclusion", "support", "budget_reached"])
@@ -228,7 +235,12 @@ def _implication_rows(min_support: int, max_examined: int | None):
 
 
 def implications(incidence: DataFrame, min_support: int = 2, max_examined: int | None = None) -> DataFrame:
-    """(scope, premise, conclusion, support, budget_reached): the basis of each scope, whole unless max_examined is set."""
+    """(scope, premise, conclusion, support, budget_reached): the basis of each scope, whole unless max_examined is set.
+
+    Objects with the same attributes are one class, counted by Spark: a scope's task sees its distinct rows, however many objects it has.
+    """
     t = dict(incidence.dtypes)
     ddl = f"scope {t['scope']}, premise array<{t['attribute']}>, conclusion array<{t['attribute']}>, support int, budget_reached boolean"
-    return incidence.select("scope", "object", "attribute").groupBy("scope").applyInPandas(_implication_rows(min_support, max_examined), ddl)
+    rows = incidence.select("scope", "object", "attribute").distinct().groupBy("scope", "object").agg(F.array_sort(F.collect_set("attribute")).alias("has"))
+    classes = rows.groupBy("scope", "has").agg(F.count("*").cast("long").alias("n"))
+    return classes.groupBy("scope").applyInPandas(_implication_rows(min_support, max_examined), ddl)

@@ -49,3 +49,15 @@ def test_implications_stop_on_request_only(spark):
     assert whole and not any(x.budget_reached for x in whole)
     part = C.implications(df, 1, 5).collect()
     assert len(part) < len(whole) and all(x.budget_reached for x in part)
+
+
+def test_implications_see_distinct_rows_whatever_the_objects(spark):
+    r = random.Random(8)
+    rows = {o: [a for a in range(7) if r.random() < 0.6] for o in range(15)}
+    one = spark.createDataFrame([("s", o, f"a{a}") for o, has in rows.items() for a in has], KIND)
+    many = one.crossJoin(spark.range(3000)).selectExpr("scope", "object + 100 * id as object", "attribute")
+    found = lambda df, least: sorted((tuple(x.premise), tuple(x.conclusion), x.support) for x in C.implications(df, least).collect())
+    assert found(many, 3000) == [(p, q, 3000 * n) for p, q, n in found(one, 1)] and len(found(one, 1)) > 1
+    assert "collect_set" in C.implications(one)._jdf.queryExecution().optimizedPlan().toString()
+    c = C.Context([(0, "a"), (1, "a"), (1, "b")], weights={0: 5, 1: 6})
+    assert [c.size(e) for e in (0, 1, 2, 3)] == [0, 5, 6, 11] and c.closed(2) == 3
