@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +42,37 @@ def identifiers(text: Column) -> Column:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("name", T.StringType())]))
 
 
-@F.pandas_udf(_SPANS)
-def identifier_spans(text: pd.Series) -> pd.Series:
-    """Dotted identifiers with byte offsets [start, stop) in UTF-8; offsets have no JVM expression."""
-    import re
+_IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
+SPAN_BYTES = 1 << 20  # of text that is cut at a time
 
-    pattern = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
-    return text.map(lambda t: None if t is None else [(m.start(), m.end(), m[0].decode()) for m in pattern.finditer(t.encode())])
+
+def _spans_of(texts: pa.Array) -> pa.Array:
+    kinds = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("name", pa.string())])
+    start, stop, name, sizes = array("i"), array("i"), [], []
+    for t in texts.cast(pa.binary()).to_pylist():
+        if t is None:
+            sizes.append(None)
+            continue
+        before = len(name)
+        for m in _IDENTIFIER.finditer(t):
+            start.append(m.start())
+            stop.append(m.end())
+            name.append(m[0])
+        sizes.append(len(name) - before)
+    offsets = pa.array(np.cumsum([0, *[n or 0 for n in sizes]]), pa.int32())
+    items = pa.StructArray.from_arrays([pa.array(np.array(start, "i4")), pa.array(np.array(stop, "i4")), pa.array(name, pa.binary()).cast(pa.string())], fields=list(kinds))
+    return pa.ListArray.from_arrays(offsets, items, mask=pa.array([n is None for n in sizes], pa.bool_()))
+
+
+@F.arrow_udf(_SPANS)
+def identifier_spans(text: pa.Array) -> pa.Array:
+    """Dotted identifiers with byte offsets [start, stop) in UTF-8; offsets have no JVM expression.
+
+    Spans are Arrow columns, and Python has objects of a megabyte of text at a time, however long a batch is.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) // SPAN_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(text)]
+    return pa.concat_arrays([_spans_of(text.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
 def analyzed(text: Column) -> Column:

@@ -66,3 +66,24 @@ def test_findings_of_a_model(spark):
     assert found == {("duplicate_key", "a"): 1, ("missing_reference", "a"): 1}
     assert [tuple(x) for x in validation.null_required(r["a"], ["id", "b"]).collect()] == [("b", 1)]
     assert validation.violations(r["a"], "b is small", F.col("b") < 8, "id").count() == 2
+
+
+def test_identifier_spans_of_long_batches(spark, monkeypatch):
+    import re
+
+    import pyarrow as pa
+
+    from tessera.functions import text as X
+
+    texts = ["aé.b _c1 9x.y.z", None, "", "ü é", "Straße.x" * 50, *[f"w{i} é.{i}_q" for i in range(300)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r.i: r.s for r in df.select("i", X.identifier_spans("t").alias("s")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else [(m.start(), m.end(), m[0].decode()) for m in re.finditer(rb"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", t.encode())]
+        assert (None if got[i] is None else list(map(tuple, got[i]))) == want
+    monkeypatch.setattr(X, "SPAN_BYTES", 64)
+    seen, cut = [], X._spans_of
+    monkeypatch.setattr(X, "_spans_of", lambda a: seen.append(len(a)) or cut(a))
+    out = X.identifier_spans.func(pa.array(texts))
+    assert out.to_pylist() == cut(pa.array(texts)).to_pylist() and sum(seen) == len(texts) and len(seen) > 20
+    assert X.identifier_spans.func(pa.array([], pa.string())).to_pylist() == []
