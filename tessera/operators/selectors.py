@@ -1,14 +1,14 @@
-"""Selection predicates compiled to semi joins over their domain.
+"""Selection predicates compiled to one grouping of facts over their domain.
 
 A selection is a tree: ("all", *trees), ("any", *trees), ("not", tree), or a predicate (kind, {field: value}). Each kind
 ranges over one domain, reads one relation, and compares some of its columns; `KINDS` says which. A relation has a column
-`entity` and a row for each fact, so a predicate holds for an entity if some fact of it fits: a semi join, and "not" is an anti
-join against the domain. Facts are filtered before they meet, and of those that fit only distinct entities do.
+`entity` and a row for each fact, so a predicate holds for an entity if some fact of it fits. Members and facts that fit
+meet once: each predicate of a selection is a flag, an entity's flags are taken together, and the tree is a condition on them. A null entity has no facts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,21 +77,36 @@ def _fits(kind: str, fields: Mapping) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(literal(fields[c])) for c in wanted])
 
 
-def _entities(tree: tuple, candidates: DataFrame, relations: Mapping[str, DataFrame]) -> DataFrame:
-    """Candidates (entity) that the tree holds for."""
+def _leaves(tree: tuple) -> list[tuple]:
+    return [x for t in tree[1:] for x in _leaves(t)] if tree[0] in ("all", "any", "not") else [tree]
+
+
+def _holds(tree: tuple, flag: Iterator[Column]) -> Column:
+    """The tree as a condition on its predicates' flags, which come in the order of the leaves."""
     op, *rest = tree
-    if op == "all":  # the next is asked of what the ones before have left
-        return reduce(lambda left, t: _entities(t, left, relations), rest, candidates)
-    if op == "any":
-        if not rest:
-            return candidates.limit(0)
-        return reduce(DataFrame.union, [_entities(t, candidates, relations) for t in rest]).distinct()
+    if op not in ("all", "any", "not"):
+        return next(flag)
+    parts = [_holds(t, flag) for t in rest]
     if op == "not":
-        return candidates.join(_entities(rest[0], candidates, relations), "entity", "left_anti")
-    relation = KINDS[op][0]
-    if relation not in relations:
-        raise Refused(f"no relation {relation}")
-    return candidates.join(relations[relation].filter(_fits(op, rest[0])).select("entity").distinct(), "entity", "left_semi")
+        return ~parts[0]
+    return reduce(lambda a, b: a & b if op == "all" else a | b, parts, F.lit(op == "all"))
+
+
+def _entities(tree: tuple, candidates: DataFrame, relations: Mapping[str, DataFrame]) -> DataFrame:
+    """Distinct candidates (entity) that the tree holds for."""
+    leaves = _leaves(tree)
+    flags = lambda on: [F.coalesce(c, F.lit(False)).alias(f"p{i}") for i, c in enumerate(on)]
+    kind = candidates.schema["entity"].dataType
+    rows = candidates.select("entity", F.lit(True).alias("member"), *flags([F.lit(False)] * len(leaves)))
+    for relation in dict.fromkeys(KINDS[k][0] for k, _ in leaves):
+        if relation not in relations:
+            raise Refused(f"no relation {relation}")
+        fits = [_fits(k, fields) if KINDS[k][0] == relation else F.lit(False) for k, fields in leaves]
+        facts = relations[relation].filter(F.col("entity").isNotNull()).select("entity", F.lit(False).alias("member"), *flags(fits))
+        rows = rows.union(facts.filter(reduce(lambda a, b: a | b, [F.col(f"p{i}") for i in range(len(leaves))])))
+    names = ["member", *[f"p{i}" for i in range(len(leaves))]]
+    met = rows.groupBy("entity").agg(*[F.bool_or(c).alias(c) for c in names])
+    return met.filter(F.col("member") & _holds(tree, iter([F.col(c) for c in names[1:]]))).select(F.col("entity").cast(kind).alias("entity"))
 
 
 def selected(tree: tuple, members: Mapping[str, DataFrame], relations: Mapping[str, DataFrame]) -> DataFrame:
@@ -105,7 +120,7 @@ def selected(tree: tuple, members: Mapping[str, DataFrame], relations: Mapping[s
     name = found.pop()
     if name not in members:
         raise Refused(f"no members of {name}")
-    return _entities(tree, members[name].select("entity").distinct(), relations).select(F.lit(name).alias("domain"), "entity")
+    return _entities(tree, members[name].select("entity"), relations).select(F.lit(name).alias("domain"), "entity")
 
 
 def selected_all(trees: list[tuple], members: Mapping[str, DataFrame], relations: Mapping[str, DataFrame]) -> DataFrame:

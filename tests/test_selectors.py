@@ -64,3 +64,15 @@ def test_what_is_refused(spark):
         with pytest.raises(S.Refused):
             S.selected(bad, members, {})
     assert S.domains(("deployment_declaration", {"field": "launch", "name": "x"})) == {"source_artifacts"}
+
+
+def test_a_selection_shuffles_its_domain_once(spark):
+    facts = spark.createDataFrame([(1, "a"), (2, "a"), (2, None), (None, "a")], "entity long, exception string")
+    members = {"public_exposures": spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "entity long")}
+    at = lambda x: ("behavioral_raises", {"exception": x})
+    got = lambda tree: S.selected(tree, members, {"raises": facts})
+    assert sorted((r.entity for r in got(("all", at("a"), ("not", at(None)))).collect()), key=str) == [1]
+    assert sorted((r.entity for r in got(("not", at("a"))).collect()), key=str) == [3, None]
+    assert got(("all", at("a"), ("any",))).count() == 0 and got(("any", at("b"), ("all",))).count() == 4
+    plan = got(("any", ("all", at("a"), ("not", at(None))), ("not", ("any", at("b"), at("c")))))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
