@@ -94,26 +94,28 @@ def _pass(rows: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     """
     place = F.least(F.lit(buckets - 1), F.floor(F.col("key.q") / (F.col("key.q") + 1) * buckets)).cast("int")
     fit = _match(rows, state).filter("budget > 0 and size <= budget and (low is null or key > low)").withColumn("bucket", place)
-    sums = fit.groupBy("source", "bucket", "budget").agg(F.sum("size").alias("b"))
+    counted = H.settle(fit.groupBy("source", "bucket", "budget").agg(F.sum("size").alias("b")), "mix-sums")
     run = F.sum("b").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.withColumn("run", run)
-    total = sums.groupBy("source").agg(F.sum("b").alias("all"))
-    cut = sums.filter("run > budget").groupBy("source").agg(F.min(F.struct("bucket", (F.col("run") - F.col("b")).alias("before"))).alias("cut"))
-    edge = _match(fit, cut).filter("bucket = cut.bucket").groupBy("source", "key", "size", "budget", "cut.before").agg((F.count("*") * F.col("size")).alias("b"))
+    sums = counted.withColumn("run", run)
+    passed = F.min(F.when(F.col("run") > F.col("budget"), F.struct("bucket", (F.col("run") - F.col("b")).alias("before"))))
+    per = sums.groupBy("source").agg(F.sum("b").alias("all"), passed.alias("cut"))
+    edge = _match(fit, per.select("source", "cut")).filter("bucket = cut.bucket").groupBy("source", "key", "size", "budget", "cut.before").agg((F.count("*") * F.col("size")).alias("b"))
     order = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("run", F.sum("b").over(order) + F.col("before"))
     found = edge.filter("run > budget").groupBy("source").agg(F.min(F.struct("key", (F.col("run") - F.col("b")).alias("start"), "size")).alias("end"))
-    out = _match(_match(_match(state, total), cut), found)
+    out = _match(_match(state, per), found)
     part = F.floor((F.col("budget") - F.col("end.start")) / F.col("end.size"))
     out = out.withColumn("part", F.coalesce(part, F.lit(0)).cast("long"))
     used = F.when(F.col("cut").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.col("end.start") + F.col("part") * F.col("end.size"))
-    return out.select("source", "budget", "low", F.col("end.key").alias("high"), "part", (F.col("budget") - used).alias("rest"))
+    done = H.settle(out.select("source", "budget", "low", F.col("end.key").alias("high"), "part", (F.col("budget") - used).alias("rest")), "mix-pass")
+    H.remove(counted)
+    return done
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
     """One row per source: source, words, target, whole, part and `cuts`, the stretches of its ranking that get a copy more.
 
-    sized: doc_id, source, size, h. Each pass reads it once; what passes on is one row per source.
+    sized: doc_id, source, size, h. It is ranked once; a pass reads the ranking twice, and what passes on is one row per source.
     """
     goal = targets(sized, weights, share, most)
     whole = F.floor(F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)).cast("long")
@@ -121,16 +123,18 @@ def plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, se
     goal = goal.withColumn("lacks", F.round("target").cast("long") - F.col("whole") * F.col("words"))
     goal = H.settle(goal, "mix-goal")
     buckets = max(256, min(65_536, sized.count() // 1_024))
-    rows = ranked(sized, goal, seed).filter("size > 0 and key is not null").select("source", "key", "size")
+    rows = H.settle(ranked(sized, goal, seed).filter("size > 0 and key is not null").select("source", "key", "size"), "mix-ranked")
     state = goal.select("source", F.col("lacks").alias("budget"), F.lit(None).cast(_KEY).alias("low"))
     cuts = goal.select("source", F.array().cast(f"array<struct<budget: bigint, low: {_KEY}, high: {_KEY}, part: bigint>>").alias("cuts"))
     for _ in range(1 + PASSES):
-        done = H.settle(_pass(rows, state, buckets), "mix-pass")
+        done = _pass(rows, state, buckets)
         step = done.select("source", F.struct("budget", "low", "high", "part").alias("step"))
         cuts = _match(cuts, step).select("source", F.array_append("cuts", F.col("step")).alias("cuts"))
         # Behind the last cut there is nothing left to draw where everything has fit.
         state = done.select("source", F.when(F.col("high").isNull(), 0).otherwise(F.col("rest")).alias("budget"), F.col("high").alias("low"))
-    return H.settle(_match(goal, cuts), "mix-plan")
+    out = H.settle(_match(goal, cuts), "mix-plan")
+    H.discard(rows)
+    return out
 
 
 def ranked(rows: DataFrame, goal: DataFrame, seed: str) -> DataFrame:
