@@ -239,3 +239,12 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = windows.stream_once(stream, "windows_test", f"{tmp_path}/cp", late="60 days")
     key = lambda r: (r.window_start, r.event_type, r.n, round(r.total, 4))
     assert sorted(map(key, got.collect())) == sorted(map(key, windows.tumbling(batch).collect()))
+
+
+def test_spread_deals_by_rows(spark):
+    from tessera.functions import parts
+
+    df = spark.range(1000).selectExpr("id % 50 as k", "id")
+    few, many = parts.spread(df, "k", rows=1), parts.spread(df, "k", rows=20 * parts.ROWS_A_TASK)
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 20
+    assert sorted(many.collect()) == sorted(df.collect())
