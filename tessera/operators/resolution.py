@@ -174,6 +174,7 @@ def handoffs(definitions: DataFrame, reaching: DataFrame, uses: DataFrame) -> Da
 
 #: Kinds of official usage, the best first.
 OFFICIAL = ("example", "doc_block", "test")
+SMALL_PAIRS = 100_000  # pairs of conditions that are broadcast
 
 
 def assessed_handoffs(definitions: DataFrame, reaching: DataFrame, uses: DataFrame) -> DataFrame:
@@ -184,11 +185,16 @@ def assessed_handoffs(definitions: DataFrame, reaching: DataFrame, uses: DataFra
     there is no handoff; where that is unknown (null, or over the budget) the status is unknown. Each pair of conditions is decided once.
     """
     from tessera.operators import conditions
+    from tessera.functions.parts import spread
+    from tessera.operators.graph import _cut
 
     role = F.coalesce(*[F.when(F.array_contains("roles", r), r) for r in OFFICIAL])
     used = uses.withColumn("role", role).filter("role is not null").select("use", "site", "consumer", "slot", "role", F.col("condition").alias("__u"))
-    met = reaching.select("definition", "use", F.col("condition").alias("__r")).join(used, "use").join(definitions, "definition")
+    met = reaching.select("definition", "use", F.col("condition").alias("__r")).join(definitions, "definition").join(spread(used, "use"), "use")
     pairs = met.select("__r", "__u").distinct().withColumn("__open", conditions.compatible("__r", "__u")).select(F.col("__r").alias("__a"), F.col("__u").alias("__b"), "__open")
+    pairs = _cut(pairs)
+    if pairs.count() <= SMALL_PAIRS:  # else a pair that most uses have would take them to one task
+        pairs = F.broadcast(pairs)
     j = met.join(pairs, F.col("__r").eqNullSafe(F.col("__a")) & F.col("__u").eqNullSafe(F.col("__b"))).filter("__open is null or __open")
     return j.groupBy("producer", "consumer", "slot", "site", "role").agg(F.when(F.max("__open"), "established").otherwise("unknown").alias("status"))
 

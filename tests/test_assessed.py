@@ -144,3 +144,15 @@ def test_a_stored_index_scores_as_the_texts_do(spark, tmp_path):
     assert [tuple(r)[:3] for r in search.candidates_with(spark, path, docs.filter("doc_id < 3").select(F.col("doc_id").alias("doc")), ["red"]).collect()] == [(1, "red", 2)]
     plan = search.probe(spark, path, ["red"])._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_handoffs_deal_uses_by_rows_and_broadcast_pairs_of_conditions(spark):
+    from tessera.operators import resolution
+
+    d = spark.createDataFrame([(1, 7), (2, 8)], "definition long, producer long")
+    reaching = spark.createDataFrame([(1, 1, "true"), (2, 2, None), (1, 2, '["not", "x"]')], "definition long, use long, condition string")
+    uses = spark.createDataFrame([(1, 5, 9, 0, ["test"], '"x"'), (2, 5, 9, 0, ["test"], '"x"')], "use long, site long, consumer long, slot int, roles array<string>, condition string")
+    out = resolution.assessed_handoffs(d, reaching, uses)
+    assert sorted((r.producer, r.status) for r in out.collect()) == [(7, "established"), (8, "unknown")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" in plan and "ArrowEvalPython" not in plan  # pairs are decided before
