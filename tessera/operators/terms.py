@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import framed
 from tessera.operators.graph import _cut
 
 MAX_ROUNDS = 128
@@ -43,11 +44,36 @@ def substituted(terms: DataFrame, bindings: DataFrame, roots: DataFrame) -> tupl
     Boundaries: unbound variables, and recursive terms, those on a circle of bindings (or on a way from one to another), which stay as they
     are. status: resolved, partial where a root has boundaries, unknown where it has some and its environment binds nothing.
     Refused: a variable bound to two terms in an environment, and ids without a term.
+
+    What comes of a root depends on what its environment binds alone: environments that bind alike are one class, and the work is
+    done once a class.
     """
-    terms = _cut(terms.select("term", "kind", "name", "args").distinct())
-    if not bindings.groupBy("env", "name").agg(F.count_distinct("term").alias("n")).filter("n > 1").isEmpty():
+    once = _cut(bindings.groupBy("env", "name").agg(F.min("term").alias("term"), F.max("term").alias("other")))
+    if not once.filter("term <> other").isEmpty():
         raise Refused("a variable is bound to two terms")
-    asked = roots.select("env", "root").distinct()
+    once = once.select("env", "name", "term")
+    classes = _cut(_classes(once))
+    every = roots.select("env", "root").distinct()
+    every = _cut(every.join(classes.withColumnRenamed("env", "of"), F.col("env").eqNullSafe(F.col("of")), "left").select("env", "root", F.coalesce("class", F.lit("")).alias("class")))
+    # A class binds what its least environment does.
+    least = classes.groupBy("class").agg(F.min("env").alias("of"))
+    binds = once.join(least, F.col("env").eqNullSafe(F.col("of"))).select(F.col("class").alias("env"), "name", "term")
+    got, out_terms, edges = _substituted(terms, _cut(binds), _cut(every.select(F.col("class").alias("env"), "root").distinct()))
+    of = lambda rows: every.join(rows.withColumnRenamed("env", "class"), ["class", "root"])
+    return of(got).select("env", "root", "term", "status"), out_terms, of(edges).select("env", "root", "term", "reason")
+
+
+def _classes(bindings: DataFrame) -> DataFrame:
+    """(env, class): a digest of all that an environment binds. Hashes are added up word by word, so that no task holds an environment's bindings."""
+    h = bindings.select("env", F.sha2(framed(F.col("name"), F.col("term")), 256).alias("h"))
+    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")) for i in range(8)]
+    sums = h.groupBy("env").agg(F.count("*").alias("n"), *[w.alias(f"w{i}") for i, w in enumerate(words)])
+    return sums.select("env", F.sha2(F.concat_ws(",", "n", *[f"w{i}" for i in range(8)]), 256).alias("class"))
+
+
+def _substituted(terms: DataFrame, bindings: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`substituted` of environments that each have a name, bind a variable once and ask for a root once."""
+    terms = _cut(terms.select("term", "kind", "name", "args").distinct())
     uses = _cut(terms.select(F.col("term").alias("above"), F.explode("args").alias("below")).distinct())
     named = F.col("below").alias("term")
     if not uses.select(named).union(bindings.select("term")).union(asked.select("root")).join(terms, "term", "left_anti").isEmpty():
@@ -98,7 +124,7 @@ def substituted(terms: DataFrame, bindings: DataFrame, roots: DataFrame) -> tupl
     limits = edges.select("env", "root").distinct().withColumn("open", F.lit(True))
     status = F.when(F.col("open").isNull(), "resolved").when(F.col("binds"), "partial").otherwise("unknown")
     got = asked.join(done.select("env", F.col("term").alias("root"), "new"), ["env", "root"], "left").join(limits, ["env", "root"], "left").join(binds, "env", "left")
-    return got.select("env", "root", F.coalesce("new", "root").alias("term"), status.alias("status")), out_terms, edges
+    return _cut(got.select("env", "root", F.coalesce("new", "root").alias("term"), status.alias("status"))), out_terms, edges
 
 
 def _circles(links: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def generic_substitution(spark, t):
     brand, kind = con(F.col("p_brand")), con(F.col("p_type"))
     listed, pair = con(F.lit("list"), F.lit(ids["T"])), con(F.lit("pair"), at(brand), F.lit(ids["T"]))
     call, wrapped = con(F.lit("call"), at(listed), at(pair)), con(F.lit("list"), F.lit(ids["U"]))
-    rows = p.select(F.explode(F.array(brand, kind, listed, pair, call, wrapped)).alias("c")).select("c.name", "c.args")
+    rows = p.select("p_brand", "p_type").distinct().select(F.explode(F.array(brand, kind, listed, pair, call, wrapped)).alias("c")).select("c.name", "c.args")
     odd = F.when(F.col("p_size") % 4 == 1, at(wrapped)).otherwise(at(kind))
     binds = p.filter("p_size % 4 > 0").select(F.col("p_partkey").alias("env"), F.lit("T").alias("name"), odd.alias("term")).union(p.filter("p_size % 4 = 1").select("p_partkey", F.lit("U"), at(kind)))
     got, all_, _ = terms.substituted(terms.built(rows).union(var), binds, p.select(F.col("p_partkey").alias("env"), at(call).alias("root")))

@@ -80,3 +80,19 @@ def test_refusals(spark):
             T.substituted(t, spark.createDataFrame(binds, BINDINGS), spark.createDataFrame(roots, ROOTS))
     empty = T.substituted(t, spark.createDataFrame([], BINDINGS), spark.createDataFrame([], ROOTS))
     assert empty[0].count() == 0 and empty[1].count() == 2
+
+
+def test_environments_that_bind_alike_are_one_class(spark, monkeypatch):
+    pool = Pool()
+    a, b, i, s = pool.add("var", "A"), pool.add("var", "B"), pool.add("con", "int"), pool.add("con", "str")
+    pair = pool.add("con", "pair", [a, b])
+    binds = [(e, "A", i if e % 2 else s) for e in range(1, 60)] + [(e, "B", i) for e in range(1, 60) if e % 3 == 0] + [(7, "A", i), (None, "A", i)]
+    worked, plain_ = [], T._substituted
+    monkeypatch.setattr(T, "_substituted", lambda t, b, r: worked.append((b.count(), r.count())) or plain_(t, b, r))
+    got, all_, edges = T.substituted(spark.createDataFrame(list(pool.rows.values()), TERMS), spark.createDataFrame(binds, BINDINGS), spark.createDataFrame([(e, pair) for e in [*range(60), None]], ROOTS))
+    text = {x.term: x.text for x in T.spelled(all_).collect()}
+    want = {e: (f"pair({'int' if e % 2 else 'str'}, {'B' if e % 3 else 'int'})", "partial" if e % 3 else "resolved") for e in range(1, 60)}
+    assert {x.env: (text[x.term], x.status) for x in got.collect()} == want | {0: ("pair(A, B)", "unknown"), None: ("pair(int, B)", "partial")}
+    open_ = [(x.env, text[x.term]) for x in edges.collect()]
+    assert sorted(open_, key=str) == sorted([(e, "B") for e in range(1, 60) if e % 3] + [(0, "A"), (0, "B"), (None, "B")], key=str)
+    assert worked == [(6, 5)]  # four ways to bind (two bind both variables), and one that binds nothing
