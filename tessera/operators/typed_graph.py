@@ -6,6 +6,7 @@ vertices: node and any other columns; isolated ones count. arcs: arc (an id), sr
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from tessera.functions.parts import ranked
 from tessera.operators.graph import _cut
 
 WORD = 64  # starts whose reach shares one long
+TABLES = 12  # tables of rounds that are read side by side
+FEW, LATE = 16, 3  # a sixteenth of what is known is few rows
 
 
 class Refused(ValueError):
@@ -60,7 +63,8 @@ def reach_words(graph: Snapshot, starts: DataFrame, direction: str = "out", role
     """What each start reaches, packed: (node, word, bits) and the places of the starts (start, word, bit).
 
     Sixty-four starts share a long, so one join and one `bit_or` a round move all of them on; a round has at most a
-    row for each node and word, and only bits that are new travel. Starts that aren't vertices are refused.
+    row for each node and word, and only bits that are new travel: what is known is read for what they meet, and not written
+    again. Where few bits travel, up to LATE rounds go by before that is read. Starts that aren't vertices are refused.
     """
     asked = starts.select(F.col("node").alias("start")).distinct()
     if not asked.join(graph.vertices.select(F.col("node").alias("start")), "start", "left_anti").isEmpty():
@@ -68,14 +72,24 @@ def reach_words(graph: Snapshot, starts: DataFrame, direction: str = "out", role
     places = ranked(asked, "start").select("start", F.floor(F.col("rank") / WORD).cast("long").alias("word"), (F.col("rank") % WORD).cast("int").alias("bit"))
     places = _cut(places)
     steps = _cut(graph.steps(direction, roles))
-    front = seen = _cut(places.groupBy(F.col("start").alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    front = _cut(places.groupBy(F.col("start").alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    seen, known, late = [front], front.count(), 0  # a table a round, none of which is written again but to put the smaller ones together
     for _ in range(max_rounds):
-        moved = front.join(steps, front["node"] == steps["src"]).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("got"))
-        both = _cut(moved.join(seen, ["node", "word"], "full_outer").select("node", "word", F.coalesce("got", F.lit(0)).alias("got"), F.coalesce("bits", F.lit(0)).alias("had")))
-        new = both.withColumn("bits", F.col("got").bitwiseAND(F.bitwise_not("had"))).filter("bits <> 0").select("node", "word", "bits")
-        if new.isEmpty():
-            return seen, places
-        seen, front = both.select("node", "word", F.col("got").bitwiseOR(F.col("had")).alias("bits")), new
+        moved = _cut(front.join(steps, front["node"] == steps["src"]).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("got")))
+        n = moved.count()
+        if n * FEW <= known and late < LATE:
+            front, late = moved.withColumnRenamed("got", "bits"), late + 1
+        else:
+            had = reduce(DataFrame.union, seen).join(moved.select("node", "word"), ["node", "word"], "left_semi").groupBy("node", "word").agg(F.bit_or("bits").alias("had"))
+            new = moved.join(had, ["node", "word"], "left").withColumn("bits", F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
+            front, late = _cut(new.filter("bits <> 0").select("node", "word", "bits")), 0
+            n = front.count()
+        if not n:
+            return reduce(DataFrame.union, seen).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), places
+        known += n
+        seen.append(front)
+        if len(seen) > TABLES:
+            seen = [*seen[: TABLES // 2], _cut(reduce(DataFrame.union, seen[TABLES // 2 :]))]
     raise Refused("the traversal did not end within its rounds")
 
 

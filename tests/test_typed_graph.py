@@ -122,3 +122,13 @@ def test_traversals_agree_with_a_queue(spark, bounds):
 def test_a_seed_is_no_boundary(spark):
     with pytest.raises(G.Refused):
         G.traverse(spark.createDataFrame([], ARCS), spark.createDataFrame([(1,)], "seed long"), G.Bounds(), spark.createDataFrame([(1, "x")], "node long, boundary string"))
+
+
+def test_a_long_way_does_not_write_all_that_is_known_each_round(spark, monkeypatch):
+    arcs = [(i, i, i + 1, "call", True) for i in range(30)] + [(30, 30, 5, "call", True)]
+    g = frames(spark, arcs, 400)
+    written, cut = [], G._cut
+    monkeypatch.setattr(G, "_cut", lambda df: written.append(cut(df)) or written[-1])
+    got = {(r.start, r.node) for r in G.reachable(g, g.vertices).collect()}
+    assert got == {(s, x) for s in range(400) for x in plain(arcs, s, "out", None)}
+    assert sum(w.count() for w in written) < 5_000  # 400 places of starts, 400 rows of nodes, at most 31 a round move
