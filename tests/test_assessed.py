@@ -156,3 +156,18 @@ def test_handoffs_deal_uses_by_rows_and_broadcast_pairs_of_conditions(spark):
     assert sorted((r.producer, r.status) for r in out.collect()) == [(7, "established"), (8, "unknown")]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" in plan and "ArrowEvalPython" not in plan  # pairs are decided before
+
+
+def test_a_stored_index_holds_a_row_for_a_term_and_a_block_of_documents(spark, tmp_path):
+    texts = [(i, " ".join(["same"] * (i % 3 + 1) + [f"w{i % 7}", "Other"])) for i in range(60)] + [(60, None), (61, "  ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, search.postings(docs, "doc_id", "text").select("doc", "term", "tf", "len").collect()))
+    words = ["same", "other", *(f"w{i}" for i in range(7))]
+    for block, rows in ((1 << 22, 9), (120, 18)):  # 240 terms in all
+        path = str(tmp_path / f"index-{block}")
+        search.write_index(docs, "doc_id", "text", path, 4, block)
+        assert sorted(map(tuple, search.probe(spark, path, words).select("doc", "term", "tf", "len").collect())) == want
+        assert rows <= spark.read.parquet(f"{path}/postings").count() <= rows + 9 * (rows > 9)
+        assert {r.term: (r.df, r.tf) for r in search.probe(spark, path, ["same", "w1"], "terms").collect()} == {"same": (60, 120), "w1": (9, 9)}
+        assert tuple(spark.read.parquet(f"{path}/stats").first())[:2] == (62, 240)
+    assert search.probe(spark, path, words).dtypes == [("doc", "bigint"), ("term", "string"), ("tf", "bigint"), ("len", "int")]
