@@ -55,3 +55,13 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     arcs = [(i, (i + 1) % n) for i in range(n)] + [(n + i, n + i + 1) for i in range(n - 1)] + [(0, n), (0, n // 2)]
     got = found(spark, arcs, 2 * n)
     assert all(got[i] == 0 for i in range(n)) and all(got[i] == i for i in range(n, 2 * n)) and len(written) < 40
+
+
+def test_what_waits_for_nobody_leaves_the_schedule(spark, monkeypatch):
+    arcs = [(i, 0) for i in range(100, 150)] + [(i + 1, i) for i in range(10)] + [(9, 2)]
+    parts = spark.range(151).selectExpr("id AS node", "id AS component").filter("node < 12 or node > 99")
+    rows, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: rows.append(cut(df)) or rows[-1])
+    got = {r.component: r.level for r in graph.callee_first(spark.createDataFrame(arcs, "src long, dst long"), parts).collect()}
+    assert got == {i: i for i in range(11)} | {11: 0, 150: 0} | {i: 1 for i in range(100, 150)}
+    assert [r.count() for r in rows if r.columns == ["p", "q"]] == [61, 10, 9, 7, 6, 5, 4, 3, 2, 1, 0]
