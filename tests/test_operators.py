@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import concepts, conditions, graph, paging, ranking, resolution, search, selection
@@ -82,6 +83,42 @@ def test_pagerank_known_graph(spark):
     assert all(got[i] == pytest.approx(x[i], abs=1e-9) for i in range(6))
 
 
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_pagerank_deals_arcs_by_rows(spark, monkeypatch, small):
+    """Tables of arcs are dealt by number of rows, also where half of all arcs have one end and most are given twice."""
+    from tessera.functions import parts
+
+    cut, most = graph._cut, []
+
+    def cut_(df):
+        out = cut(df)
+        if {"src", "dst"} <= set(out.columns):
+            most.append(max(r["count"] for r in out.groupBy(F.input_file_name()).count().collect()))
+        return out
+
+    monkeypatch.setattr(graph, "_cut", cut_)
+    monkeypatch.setattr(graph, "SMALL_IDS", small, raising=False)
+    monkeypatch.setattr(parts, "ROWS_A_TASK", 100)
+    pairs = [(i, 0) for i in range(1, 900)] + [(i, 1 + (i * 7 + 1) % 900) for i in range(1, 800)] + [(0, 5), (0, 6)]
+    weight: dict = {}
+    for a, b in pairs + pairs[:1000]:
+        weight.setdefault(a, {})
+        weight[a][b] = weight[a].get(b, 0) + 1
+    arcs = spark.createDataFrame(pairs + pairs[:1000], "src long, dst long").withColumn("weight", F.lit(1).cast("long"))
+    got = {r.node: r.score for r in graph.pagerank(arcs, arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct()).collect()}
+    assert most and max(most) <= 200
+    nodes = sorted({x for p in pairs for x in p})
+    n, x = len(nodes), dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(150):
+        lost, y = sum(x[i] for i in nodes if i not in weight), dict.fromkeys(nodes, 0.0)
+        for a, o in weight.items():
+            for b, w in o.items():
+                y[b] += w / sum(o.values()) * x[a]
+        x = {i: 0.15 / n + 0.85 * lost / n + 0.85 * y[i] for i in nodes}
+    assert got.keys() == x.keys() and all(got[i] == pytest.approx(x[i], abs=1e-9) for i in nodes)
+    assert {r.node for r in graph.pagerank(arcs, max_rounds=1).collect()} == x.keys()
+
+
 def test_graph_schedule_and_bounds(spark):
     arcs = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (5, 5)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "node long")
