@@ -135,3 +135,24 @@ def test_a_projection_computes_its_norm_once_a_row(spark):
     got = {r.item: (r.p, r.n) for r in out.collect()}
     assert got[1] == (pytest.approx([0.6, 0.8]), pytest.approx(math.sqrt(50)))
     assert got[2] == ([None, None], 1.0) and got[3] == ([], None) and got[4] == (None, None) and got[5] == ([None, None], None)
+
+
+def test_a_query_is_sent_once_to_a_tile(stored, monkeypatch):
+    """Not once for each cell it asks: the cells are bits. Tiles of any size give the same, also where a query asks a few cells."""
+    df, index, _ = stored
+    asked = df.filter("item % 20 = 0")
+    exact, every = rows(search.knn(asked, df, 7)), rows(search.knn(asked, df, 10_000, floor=0.6))
+    sent = index.within(asked, -1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cells" in sent and "FlatMapCoGroupsInArrow" in sent
+    for cells, queries, batch in ((32_768, 3, 1 << 20), (40, 16_384, 50)):
+        for name, size in (("CELL_ROWS", cells), ("QUERY_ROWS", queries), ("BATCH", batch)):
+            monkeypatch.setattr(vector_index, name, size)
+        assert rows(index.within(asked, 0.6)) == every
+        assert rows(index.nearest(asked, 7, 2)) == exact
+    met = index.met(asked, 3).toPandas()
+    assert set(met["cells"]) == {3} and len(met) == 30 and met["rows"].between(3, int(index.n.sum())).all()
+
+
+def test_tiles_hold_runs_of_cells():
+    first, pieces, starts = vector_index._tiles(np.array([3, 4, 2, 21, 1, 9, 1]), 9)
+    assert first.tolist() == [0, 0, 0, 1, 4, 5, 6] and pieces.tolist() == [1, 1, 1, 3, 1, 1, 1] and starts.tolist() == [0, 3, 3, 3, 4, 5, 6]
