@@ -17,6 +17,7 @@ from tessera.operators.graph import _cut
 WORD = 64  # starts whose reach shares one long
 TABLES = 12  # tables of rounds that are read side by side
 FEW, LATE = 16, 3  # a sixteenth of what is known is few rows
+SMALL = 100_000  # rows of a side that is broadcast
 
 
 class Refused(ValueError):
@@ -49,7 +50,7 @@ def snapshot(vertices: DataFrame, arcs: DataFrame) -> Snapshot:
     for rows, key in ((vertices, "node"), (arcs, "arc")):
         if not rows.groupBy(key).count().filter(F.col("count") > 1).isEmpty():
             raise Refused(f"a {key} is there twice")
-    ids = vertices.select("node")
+    ids = _side(vertices.select("node"))
     for end in ("src", "dst"):
         if not arcs.join(ids, arcs[end] == ids["node"], "left_anti").isEmpty():
             raise Refused(f"an arc's {end} is no vertex")
@@ -59,6 +60,11 @@ def snapshot(vertices: DataFrame, arcs: DataFrame) -> Snapshot:
 # ---------------------------------------------------------------- reachability
 
 
+def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A side of a join, broadcast if it has few rows (counted). Else by a shuffle: Spark would go by compressed size, of which the driver holds a multiple."""
+    return F.broadcast(df) if rows is not None and rows <= SMALL else df.hint("merge")
+
+
 def reach_words(graph: Snapshot, starts: DataFrame, direction: str = "out", roles: list[str] | None = None, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """What each start reaches, packed: (node, word, bits) and the places of the starts (start, word, bit).
 
@@ -67,21 +73,23 @@ def reach_words(graph: Snapshot, starts: DataFrame, direction: str = "out", role
     again. Where few bits travel, up to LATE rounds go by before that is read. Starts that aren't vertices are refused.
     """
     asked = starts.select(F.col("node").alias("start")).distinct()
-    if not asked.join(graph.vertices.select(F.col("node").alias("start")), "start", "left_anti").isEmpty():
+    if not asked.join(_side(graph.vertices.select(F.col("node").alias("start"))), "start", "left_anti").isEmpty():
         raise Refused("a start is no vertex")
     places = ranked(asked, "start").select("start", F.floor(F.col("rank") / WORD).cast("long").alias("word"), (F.col("rank") % WORD).cast("int").alias("bit"))
     places = _cut(places)
     steps = _cut(graph.steps(direction, roles))
     front = _cut(places.groupBy(F.col("start").alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
-    seen, known, late = [front], front.count(), 0  # a table a round, none of which is written again but to put the smaller ones together
+    ways, n = steps.count(), front.count()
+    seen, known, late = [front], n, 0  # a table a round, none of which is written again but to put the smaller ones together
     for _ in range(max_rounds):
-        moved = _cut(front.join(steps, front["node"] == steps["src"]).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("got")))
+        near = _side(front, n) if n <= SMALL else front
+        moved = _cut(near.join(_side(steps, ways) if n > SMALL else steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("got")))
         n = moved.count()
         if n * FEW <= known and late < LATE:
             front, late = moved.withColumnRenamed("got", "bits"), late + 1
         else:
-            had = reduce(DataFrame.union, seen).join(moved.select("node", "word"), ["node", "word"], "left_semi").groupBy("node", "word").agg(F.bit_or("bits").alias("had"))
-            new = moved.join(had, ["node", "word"], "left").withColumn("bits", F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
+            had = reduce(DataFrame.union, seen).join(_side(moved.select("node", "word"), n), ["node", "word"], "left_semi").groupBy("node", "word").agg(F.bit_or("bits").alias("had"))
+            new = moved.join(_side(had, n), ["node", "word"], "left").withColumn("bits", F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
             front, late = _cut(new.filter("bits <> 0").select("node", "word", "bits")), 0
             n = front.count()
         if not n:
@@ -96,14 +104,14 @@ def reach_words(graph: Snapshot, starts: DataFrame, direction: str = "out", role
 def unpacked(words: DataFrame, places: DataFrame) -> DataFrame:
     """(start, node) of packed rows."""
     bit = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), b -> getbit(bits, b) = 1)")).alias("bit")
-    return words.select("node", "word", bit).join(places, ["word", "bit"]).select("start", "node")
+    return words.select("node", "word", bit).join(_side(places), ["word", "bit"]).select("start", "node")
 
 
 def reachable(graph: Snapshot, starts: DataFrame, direction: str = "out", roles: list[str] | None = None, select: Column | None = None) -> DataFrame:
     """(start, node): all nodes reached, the start among them. `select` is a condition on vertices, applied to what was reached: it stops no traversal."""
     words, places = reach_words(graph, starts, direction, roles)
     if select is not None:
-        words = words.join(graph.vertices.filter(select).select("node"), "node", "left_semi")
+        words = words.join(_side(graph.vertices.filter(select).select("node")), "node", "left_semi")
     return unpacked(words, places)
 
 

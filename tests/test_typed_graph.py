@@ -132,3 +132,19 @@ def test_a_long_way_does_not_write_all_that_is_known_each_round(spark, monkeypat
     got = {(r.start, r.node) for r in G.reachable(g, g.vertices).collect()}
     assert got == {(s, x) for s in range(400) for x in plain(arcs, s, "out", None)}
     assert sum(w.count() for w in written) < 5_000  # 400 places of starts, 400 rows of nodes, at most 31 a round move
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    """Whatever Spark takes their size for; small ones that were counted are."""
+    arcs = some_graph(4, 100, 120)
+    g = frames(spark, arcs, 100)
+    want = {(s, x) for s in range(100) for x in plain(arcs, s, "out", None) if x % 3 == 1}
+    cuts, cut = [], G._cut
+    monkeypatch.setattr(G, "_cut", lambda df: cuts.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    for most in (0, 100_000):
+        monkeypatch.setattr(G, "SMALL", most)
+        cuts.clear()
+        got = G.reachable(g, g.vertices, "out", None, F.col("kind") == 1)
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert any("BroadcastHashJoin" in plan for plan in cuts[3:]) == bool(most)
+        assert {tuple(r) for r in got.collect()} == want
